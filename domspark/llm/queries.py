@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+import public_tokenizers
+
+from . import bpe, quality, token_counts
 from .common import table
 
 QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.op2_quality_rules(table(spark, d, "documents")),
+    "op6_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op9_bpe": lambda spark, d: bpe.op9_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
 }
 SQL: dict[str, str] = {}
