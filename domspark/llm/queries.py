@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, quality, token_counts
+from . import bpe, quality, secrets, token_counts, toxicity
 from .common import table
 
 QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.op2_quality_rules(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op8_secret_scans": lambda spark, d: secrets.op8_secret_scans(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.op9_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 SQL: dict[str, str] = {}
