@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, lattice, quality, secrets, token_counts, toxicity
+from . import bpe, jaccard, lattice, quality, secrets, token_counts, toxicity
 from .common import table
 
 QUERIES = {
     "op1_lattice_likelihood": lambda spark, d: lattice.op1_lattice_likelihood(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op2_quality_rules": lambda spark, d: quality.op2_quality_rules(table(spark, d, "documents")),
+    "op3_ngram_jaccard": lambda spark, d: jaccard.near_duplicates(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op8_secret_scans": lambda spark, d: secrets.op8_secret_scans(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.op9_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
