@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole_text
+from .common import pieces, settle, whole_text
 from .components import components
 from .shingles import mix, shingle_sets
 
 #: Ids of texts are sent to all tasks up to this many; beyond, they are joined by a shuffle.
 MOST_SENT = 2_000_000
 BLOCKS = 8
+#: Rows that a task works on at once.
+ROWS = 1_000
 
 
 def _at_least(n, num: int, den: int):
@@ -51,7 +53,7 @@ def _sets(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """In one pass over the texts: kind 0: a row's id, text hash, node and size; 1: an n-gram of a node; 2: n-grams of a node found twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             texts = batch.column(2).to_pylist()
             nodes, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             grams, owners, seen = [], [], set()
@@ -123,7 +125,7 @@ def _matrix(docs: DataFrame, k: int) -> DataFrame:
     """node, n, grams of distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             sets = list(shingle_sets(batch.column(0).to_pylist(), k))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_node(x)[0] if len(x) else 0 for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
@@ -137,33 +139,31 @@ def _linked(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v, nu, nv) whose sets are similar enough, from rows (node, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                nu, nv = part.column(2).to_numpy(), part.column(3).to_numpy()
-                # |A and B| / |A or B| >= num / den, that is overlap * (num + den) >= num * (|A| + |B|)
-                bound = _at_least(nu + nv, num, num + den)
-                alive = bound <= np.minimum(nu, nv)
-                sides = []
-                for c in (part.column(4), part.column(5)):
-                    owner = np.repeat(np.arange(part.num_rows), np.diff(c.offsets.to_numpy()))
-                    value = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    sides.append((owner, value, (value >> np.uint64(64 - 3)).astype(np.int64)))
-                left = [np.bincount(o, minlength=part.num_rows) for o, _, _ in sides]
-                overlap = np.zeros(part.num_rows, np.int64)
-                for block in range(BLOCKS):
-                    owners, values = [], []
-                    for j, (o, v, b) in enumerate(sides):
-                        here = (b == block) & alive[o]
-                        owners.append(o[here])
-                        values.append(v[here])
-                        left[j] = left[j] - np.bincount(o[here], minlength=part.num_rows)
-                    o, v = np.concatenate(owners), np.concatenate(values)
-                    order = np.lexsort((v, o))
-                    o, v = o[order], v[order]
-                    overlap += np.bincount(o[1:][(o[1:] == o[:-1]) & (v[1:] == v[:-1])], minlength=part.num_rows)
-                    alive &= overlap + np.minimum(*left) >= bound
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(alive)), part.column(1).filter(pa.array(alive))], names=["u", "v"])
+        for part in pieces(batches, ROWS):
+            nu, nv = part.column(2).to_numpy(), part.column(3).to_numpy()
+            # |A and B| / |A or B| >= num / den, that is overlap * (num + den) >= num * (|A| + |B|)
+            bound = _at_least(nu + nv, num, num + den)
+            alive = bound <= np.minimum(nu, nv)
+            sides = []
+            for c in (part.column(4), part.column(5)):
+                owner = np.repeat(np.arange(part.num_rows), np.diff(c.offsets.to_numpy()))
+                value = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                sides.append((owner, value, (value >> np.uint64(64 - 3)).astype(np.int64)))
+            left = [np.bincount(o, minlength=part.num_rows) for o, _, _ in sides]
+            overlap = np.zeros(part.num_rows, np.int64)
+            for block in range(BLOCKS):
+                owners, values = [], []
+                for j, (o, v, b) in enumerate(sides):
+                    here = (b == block) & alive[o]
+                    owners.append(o[here])
+                    values.append(v[here])
+                    left[j] = left[j] - np.bincount(o[here], minlength=part.num_rows)
+                o, v = np.concatenate(owners), np.concatenate(values)
+                order = np.lexsort((v, o))
+                o, v = o[order], v[order]
+                overlap += np.bincount(o[1:][(o[1:] == o[:-1]) & (v[1:] == v[:-1])], minlength=part.num_rows)
+                alive &= overlap + np.minimum(*left) >= bound
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(alive)), part.column(1).filter(pa.array(alive))], names=["u", "v"])
 
     one = rows.select(F.col("node").alias("u"), F.col("grams").alias("gu"))
     two = rows.select(F.col("node").alias("v"), F.col("grams").alias("gv"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 0xFFFFFFFFFFFFFFFF
 
