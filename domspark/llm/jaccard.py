@@ -9,10 +9,12 @@ The product of the document by n-gram matrix with its transpose is never formed
 3. Of the nodes left, n-grams are ordered by how many nodes have them, rare ones first. With k = 1, each node's first
    n-grams that others have are its postings; two linked nodes share one.
 4. In each posting list all nodes are held against one hub, and linked ones joined into components. Then the nodes that
-   aren't of the list's main component are held against those of other components. No list is paired with itself as a
-   whole, and no link between components is missed.
-5. Overlaps of such pairs accumulate over blocks of n-grams; a pair leaves as soon as what is left can't lift it to the
-   bound that follows from the two sizes.
+   aren't of a short list's main component are held against those of other components. Long lists that are still open
+   (many alike texts just below the bound) are multiplied block by block inside tasks, which give out linked pairs only.
+5. Overlaps accumulate over blocks of n-grams; a pair leaves as soon as what is left can't lift it to the bound that
+   follows from the two sizes.
+
+Only links between nodes of one component are left out; no link between components is missed.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ MOST_SENT = 2_000_000
 BLOCKS = 8
 #: Rows that a task works on at once.
 ROWS = 1_000
+#: Rounds of hubs before the lists that are still open are held against each other.
+TURNS = 2
+#: Lists of more nodes are not paired by a join but multiplied in blocks of so many rows and columns.
+LONG = 48
+BLOCK_ROWS = 256
+COLUMNS = 4096
 
 
 def _at_least(n, num: int, den: int):
@@ -196,29 +204,101 @@ def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
     # N-grams that no other node has come first in the order and take up their part of the prefix.
     rows_left = rows_left.withColumn("take", (prefix - (F.col("n") - F.size("g"))).cast("int")).where("take > 0")
     kept = settle(rows_left.select("node", "n", F.transform("g", lambda x: x["gram"]).alias("grams"), F.transform(F.slice(F.array_sort("g"), F.lit(1), F.col("take")), lambda x: x["gram"]).alias("first")))
-    postings = settle(kept.select("node", "n", F.explode("first").alias("gram")))
+    # A set that the others vary has the largest part of its n-grams in common with them, so it makes a good hub.
+    postings = settle(kept.select("node", "n", (F.size("grams") / F.col("n")).alias("part"), F.explode("first").alias("gram")))
 
     fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-    hub = postings.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("nh"))).alias("x"), F.count("*").alias("m")).where("m > 1").select("gram", "x.hub", "x.nh")
-    spokes = postings.join(hub, "gram").where((F.col("node") != F.col("hub")) & fits("n", "nh")).select(*_ordered("node", "hub", "n", "nh")).distinct()
-    tried = settle(spokes)
-    links = settle(_linked(tried, kept, num, den))
-    root = components(links)
-
-    # What the hubs have not settled: per list, members outside its main component against those of other components.
-    placed = settle(postings.join(root, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root")))
+    links = tried = root = None
+    for turn in range(TURNS):
+        # Lists that lie in one component are done. In the others all members are held against one of the main component.
+        placed = _open_lists(postings, root)
+        sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("m"))
+        choice = F.xxhash64(F.lit(turn), "gram", "node") if turn else F.struct("part", F.xxhash64("node"))
+        hubs = placed.join(sizes, ["gram", "root"]).groupBy("gram").agg(F.max(F.struct("m", choice.alias("c"), "node", "n", "root")).alias("x"))
+        hubs = hubs.select("gram", F.col("x.node").alias("hub"), F.col("x.n").alias("nh"), F.col("x.root").alias("rh"))
+        pairs = placed.join(hubs, "gram").where((F.col("root") != F.col("rh")) & fits("n", "nh")).select(*_ordered("node", "hub", "n", "nh")).distinct()
+        pairs = settle(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        new = settle(_linked(pairs, kept, num, den))
+        tried = pairs if tried is None else tried.union(pairs)
+        if turn and new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
+        root = components(links)
+
+    # Short lists that are still open: members outside the main component against those of other components.
+    placed = settle(_open_lists(postings, root))
     sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("gram").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("gram", F.col("x.root").alias("main"))
-    minor = placed.join(main, "gram").where("root <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main")
+    main = settle(sizes.groupBy("gram").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all")).select("gram", F.col("x.root").alias("main"), "all"))
+    short = main.where(F.col("all") <= LONG)
+    minor = placed.join(short, "gram").where("root <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main")
     other = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    open_pairs = minor.join(other, "gram").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits("na", "nb"))
-    rest = open_pairs.select(*_ordered("a", "b", "na", "nb")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = settle(_linked(rest, kept, num, den))
+    pairs = minor.join(other, "gram").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits("na", "nb"))
+    rest = pairs.select(*_ordered("a", "b", "na", "nb")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = _linked(rest, kept, num, den)
+
+    # Long ones: lists with members in common form a family, whose rows are multiplied block by block.
+    long = placed.join(main.where(F.col("all") > LONG).select("gram"), "gram")
+    first = long.groupBy("gram").agg(F.min("node").alias("least"))
+    ties = settle(long.join(first, "gram").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    if not ties.isEmpty():
+        more = more.union(_family_links(components(ties), long.select("node", "root").distinct(), kept, num, den))
+    more = settle(more)
     if more.isEmpty():
         return rows, root
     return rows, components(links.union(more))
 
 
+def _family_links(family: DataFrame, place: DataFrame, kept: DataFrame, num: int, den: int) -> DataFrame:
+    """Linked pairs of different components within each family (node, root)."""
+    members = family.select("node", F.col("root").alias("family")).join(place, "node").join(kept.select("node", "n", "grams"), "node")
+    blocks = family.groupBy(F.col("root").alias("family")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n", "root", "grams")
+
+    def product(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        block, n, root, node = (part[c].to_numpy() for c in ("block", "n", "root", "node"))
+        grams = part["grams"].combine_chunks()
+        owner = np.repeat(np.arange(len(n)), np.diff(grams.offsets.to_numpy()))
+        _, column = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        row_a, row_b = np.full(len(n), -1), np.full(len(n), -1)
+        row_a[left], row_b[right] = np.arange(len(left)), np.arange(len(right))
+        bound = _at_least(n[left][:, None] + n[right][None, :], num, num + den)
+        alive = (bound <= np.minimum(n[left][:, None], n[right][None, :])) & (root[left][:, None] != root[right][None, :])
+        overlap = np.zeros(alive.shape, np.float32)
+        remain = np.bincount(owner, minlength=len(n))
+        # Overlaps accumulate over blocks of columns; it ends when no pair can reach its bound.
+        for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            here = (column >= at) & (column < at + COLUMNS)
+            o, c = owner[here], column[here] - at
+            remain = remain - np.bincount(o, minlength=len(n))
+            a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            in_a, in_b = row_a[o] >= 0, row_b[o] >= 0
+            a[row_a[o[in_a]], c[in_a]] = 1
+            b[row_b[o[in_b]], c[in_b]] = 1
+            overlap += a @ b.T
+            alive &= overlap + np.minimum(remain[left][:, None], remain[right][None, :]) >= bound
+            if not alive.any():
+                break
+        x, y = np.nonzero(alive)
+        u, v = node[left[x]], node[right[y]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(product, "u long, v long").distinct()
+
+
+def _open_lists(postings: DataFrame, root: DataFrame | None) -> DataFrame:
+    """The postings with their component so far, of lists that several components share."""
+    if root is None:
+        placed = postings.withColumn("root", F.col("node"))
+    else:
+        placed = postings.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
+    return placed.join(several, "gram")
+
+
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for each row of docs (doc_id, text).
 
