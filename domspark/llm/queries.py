@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard, lattice, quality, secrets, token_counts, toxicity
+from . import bpe, decontaminate, jaccard, lattice, quality, secrets, substrings, token_counts, toxicity
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_ngram_jaccard": lambda spark, d: jaccard.near_duplicates(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op7_substring_dedup": lambda spark, d: substrings.op7_substring_dedup(table(spark, d, "documents")),
     "op8_secret_scans": lambda spark, d: secrets.op8_secret_scans(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.op9_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
