@@ -56,6 +56,16 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def map_rows(df: DataFrame, change) -> DataFrame:
+    """df with each batch of rows as change(batch) returns it, in the same columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1_000):
+            yield change(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with the value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import map_rows, pieces, whole_text
 
 Q = 10
 WINDOW = 80
@@ -207,21 +207,26 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
                     yield first + d, i, y - x, *found
 
 
+def _slices(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of items, each of about MOST_SENT characters at most, that hold the benchmark together."""
+    benchmark = benchmark.select("item_id", whole_text().alias("t")).where(F.length("t") >= Q)
+    n = max(1, -(-(benchmark.agg(F.sum(F.length("t"))).first()[0] or 0) // MOST_SENT))
+    for s in range(n):
+        part = benchmark.where(F.pmod(F.xxhash64("t"), F.lit(n)) == s).orderBy("item_id", "t").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in part], [r["t"] for r in part]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """A row for each text and item that it contains: doc_id, item_id, shared, start, end, edits (characters, end exclusive)."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    benchmark = benchmark.select("item_id", whole_text().alias("t")).where(F.length("t") >= Q)
-    slices = max(1, -(-(benchmark.agg(F.sum(F.length("t"))).first()[0] or 0) // MOST_SENT))
+    types = pa.int64() if item_kind == "bigint" else None
     rows = docs.select("doc_id", whole_text(text).alias("t"))
     out = None
-    for s in range(slices):
-        part = benchmark.where(F.pmod(F.xxhash64("t"), F.lit(slices)) == s).orderBy("item_id", "t").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in part], [r["t"] for r in part]))
-        types = pa.int64() if item_kind == "bigint" else None
+    for shared in _slices(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, types=types) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for batch in batches:
+            for batch in pieces(batches, 1_000):
                 found = list(_matches(batch.column(1).to_pylist(), items))
                 index = pa.array([f[0] for f in found], pa.int64())
                 numbers = [pa.array([int(f[j]) for f in found], pa.int64()) for j in (2, 3, 4, 5)]
@@ -230,3 +235,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
         found = rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, shared long, start long, end long, edits long")
         out = found if out is None else out.union(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text contains no item; all columns, no shuffle."""
+    at = docs.columns.index(text)
+    for shared in _slices(benchmark):
+
+        def change(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            dirty = {f[0] for f in _matches([x or "" for x in batch.column(at).to_pylist()], shared.value)}
+            return batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = map_rows(docs, change)
+    return docs

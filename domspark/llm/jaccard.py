@@ -311,3 +311,24 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
     group = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = group.select("node", "root").join(group.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near copies: of each component the row of the least id stays.
+
+    Of rows equal in id and text one stays; texts without words have no copies and stay.
+    """
+    rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = least.join(least.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
+    gone = rows.join(first, "node").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct())
+    twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"))
+    send = lambda ids: F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    row = F.xxhash64("doc_id", F.xxhash64(whole_text()))
+    left = docs.withColumn("_row", row).join(send(gone), F.col("_row") == F.col("gone"), "left_anti")
+    if not twice.isEmpty():
+        repeated = left.join(send(twice), F.col("_row") == F.col("twice"), "left_semi").dropDuplicates(["_row"])
+        left = left.join(send(twice), F.col("_row") == F.col("twice"), "left_anti").union(repeated)
+    return left.select(*docs.columns)

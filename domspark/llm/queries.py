@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard, lattice, quality, secrets, substrings, token_counts, toxicity
+from . import bpe, decontaminate, html_text, jaccard, lattice, quality, secrets, substrings, token_counts, toxicity
 from .common import table
 
 QUERIES = {
     "op1_lattice_likelihood": lambda spark, d: lattice.op1_lattice_likelihood(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op2_quality_rules": lambda spark, d: quality.op2_quality_rules(table(spark, d, "documents")),
     "op3_ngram_jaccard": lambda spark, d: jaccard.near_duplicates(table(spark, d, "documents")),
+    "op4_html_extraction": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "op7_substring_dedup": lambda spark, d: substrings.op7_substring_dedup(table(spark, d, "documents")),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import map_rows, whole_text
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,5 +171,19 @@ def scan(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
     return docs.select(F.col("doc_id"), whole_text(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long, redacted string")
 
 
+def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """docs with the mark in place of each span of its texts, and the texts' new lengths; a null text stays null."""
+    at, n_at = docs.columns.index(text), docs.columns.index(length)
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t if t is None else redacted(t, all_spans(t, base_spans(t)), mark) for t in batch.column(at).to_pylist()]
+        columns = [*batch.columns]
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        columns[n_at] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(n_at).to_pylist(), strict=True)], batch.schema.field(n_at).type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return map_rows(docs, change)
+
+
 def op8_secret_scans(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("redacted")
