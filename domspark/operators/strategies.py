@@ -220,3 +220,40 @@ def _sibling_locators(d: DataFrame, priority: list[str]) -> DataFrame:
     options = options.select("page_id", "nid", "tag", "k", "ptag", "far", "o.kind", "o.key", "o.anchor")
     best = options.join(counts, ["page_id", "tag", "ptag", "key", "k"]).groupBy("page_id", "nid").agg(F.min(F.struct("far", "kind", "anchor", "tag", "k")).alias("b"))
     return best.select("page_id", "nid", F.concat(F.col("b.anchor"), F.lit("/following-sibling::"), F.col("b.tag"), F.lit("["), F.col("b.k"), F.lit("]")).alias("sibling"))
+
+
+def href_locators(nodes: DataFrame) -> DataFrame:
+    """page_id, nid, href, css, xpath and their stability, of links whose address no other link of the page has."""
+    links = nodes.where("tag = 'a'").select("page_id", "nid", "scope", F.element_at("attrs", "href").alias("href")).where("href <> ''")
+    n = F.sum(F.when(F.col("scope") == -1, 1).otherwise(0)).over(Window.partitionBy("page_id", "href"))
+    out = links.withColumn("n", n).where("n = 1").select("page_id", "nid", "href", F.concat(F.lit('a[href="'), css_escape(F.col("href")), F.lit('"]')).alias("css"), F.concat(F.lit("//a[@href="), xpath_literal(F.col("href")), F.lit("]")).alias("xpath"))
+    return out.withColumns({"css_stability": stability(F.lit("css"), F.col("css")), "xpath_stability": stability(F.lit("xpath"), F.col("xpath"))})
+
+
+def class_locators(nodes: DataFrame) -> DataFrame:
+    """page_id, tag, token, css, xpath of classes that one element of a tag has."""
+    tokens = nodes.where("scope = -1").select("page_id", "nid", "tag", F.explode(F.array_distinct(_class_list(F.col("attrs")))).alias("token")).where("token <> ''")
+    one = tokens.groupBy("page_id", "tag", "token").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    padded = xpath_literal(F.concat(F.lit(" "), "token", F.lit(" ")))
+    return one.withColumns({"css": F.concat("tag", F.lit("."), css_escape(F.col("token"))), "xpath": F.concat(F.lit("//"), "tag", F.lit("[contains(concat(' ', normalize-space(@class), ' '), "), padded, F.lit(" )]"))})
+
+
+def text_counts(nodes: DataFrame, tag: str) -> DataFrame:
+    """page_id, text, n_exact, n_part for the short texts of a tag's elements: how many elements equal and how many hold them."""
+    d = described(nodes.where(F.col("tag") == tag))
+    d = d.withColumn("peers", F.collect_list(F.when(_light(), F.col("norm"))).over(Window.partitionBy("page_id")))
+    distinct = d.where("etext is not null").select("page_id", "etext", "peers").dropDuplicates(["page_id", "etext"])
+    return distinct.select("page_id", F.col("etext").alias("text"), F.size(F.filter("peers", lambda t: t == F.col("etext"))).alias("n_exact"), F.size(F.filter("peers", lambda t: F.contains(t, F.col("etext")))).alias("n_part"))
+
+
+def sibling_locators(nodes: DataFrame, priority: list[str] | None = None) -> DataFrame:
+    """page_id, nid, tag, sibling of elements that one step from an earlier sibling finds alone."""
+    found = _sibling_locators(described(nodes), priority or PREFERRED)
+    return found.join(nodes.select("page_id", "nid", "tag"), ["page_id", "nid"])
+
+
+def unique_or_refined(css: Column, xpath: Column, n_css: Column, n_xpath: Column, text: Column, n_refined: Column) -> Column:
+    """The CSS if it finds one element, else the XPath if it does, else the XPath with the text if that does, else the CSS."""
+    pair = lambda kind, v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
+    refined = F.concat(xpath, F.lit("[normalize-space(.)="), xpath_literal(text), F.lit("]"))
+    return F.when(css.isNotNull() & (n_css == 1), pair("css", css)).when(xpath.isNotNull() & (n_xpath == 1), pair("xpath", xpath)).when(xpath.isNotNull() & text.isNotNull() & (n_refined == 1), pair("xpath", refined)).when(css.isNotNull(), pair("css", css)).otherwise(pair("xpath", xpath))

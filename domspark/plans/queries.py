@@ -1,4 +1,151 @@
-"""Registered queries and their SQL."""
+"""Registered queries over whole tables, and what a second engine needs to give the same rows."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import locators as L
+from ..functions.text import css_escape, js_trim, xpath_literal, xpath_normalize
+from ..operators import entries as E
+from ..operators import review as R
+from ..operators import strategies as S
+from ..operators.verify import verified
+from ..sources.dom import nodes
+from ..streaming.changes import debounced
+from .oracles import SQL  # noqa: F401
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nodes(_table(spark, d, "pages"))
+
+
+def _strings(spark: SparkSession, d: str) -> DataFrame:
+    """id, s: strings of several kinds, made from parts and customers."""
+    part = _table(spark, d, "part")
+    made = F.expr("""CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, '''s "', p_brand, '"') WHEN 2 THEN concat('it''s ', p_type)
+        WHEN 3 THEN concat('ember', p_partkey) WHEN 4 THEN concat(p_brand, '/', p_size, '?a=', p_partkey * 7919) ELSE concat('[data-testid="', p_name, '"][name="', p_size, '"]') END""")
+    customer = _table(spark, d, "customer")
+    return part.select(F.col("p_partkey").alias("id"), made.alias("s")).union(customer.select(-F.col("c_custkey"), "c_name"))
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return _strings(spark, d).withColumn("type", F.expr("CASE pmod(id, 5) WHEN 0 THEN 'id' WHEN 1 THEN 'css' WHEN 2 THEN 'xpath' WHEN 3 THEN 'xpath-abs' ELSE 'name' END"))
+
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(
+        "p_partkey", F.expr("""map_filter(map('data-cy', CASE WHEN p_partkey % 3 = 0 THEN concat(' ', p_name, ' ') END, 'id', CASE WHEN p_partkey % 4 < 2 THEN concat('item-', p_partkey * 37) END,
+        'class', CASE WHEN p_partkey % 5 < 4 THEN concat(' c', p_partkey * 101, '  ', replace(p_brand, '#', '-'), ' x') END), (k, v) -> v IS NOT NULL)""").alias("attrs")
+    )
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return S.locators(_nodes(spark, d)).where("tag = 'a'")
+
+
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    return E.upsert(None, E.entries(_links(spark, d))).drop("first")
+
+
+def _flat(locators):
+    return F.array_join(F.transform(locators, lambda x: F.concat(x["type"], F.lit(" "), x["value"], F.lit(" "), x["stability"].cast("string"))), "\n")
+
+
+def href_locators(spark, d):
+    return S.href_locators(_nodes(spark, d)).drop("nid")
+
+
+def href_unique_counts(spark, d):
+    return S.href_locators(_nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("n_unique"))
+
+
+def link_texts(spark, d):
+    return S.text_counts(_nodes(spark, d), "a")
+
+
+def following_sibling_li(spark, d):
+    return S.sibling_locators(_nodes(spark, d)).where("tag = 'li'").select("page_id", "sibling")
+
+
+def class_locators(spark, d):
+    return S.class_locators(_nodes(spark, d))
+
+
+def entries_upsert(spark, d):
+    return _store(spark, d).select("page_id", "id", "name", "tag", _flat(F.col("locators")).alias("locators"))
+
+
+def entry_rank(spark, d):
+    w = Window.partitionBy("page_id").orderBy(F.desc("stab"), "seq")
+    return _store(spark, d).withColumn("stab", R.best_stability(F.col("locators"))).select("page_id", "id", "stab", F.row_number().over(w).alias("place"))
+
+
+def best_locator(spark, d):
+    best = R.best_locator(F.col("locators"))
+    return _store(spark, d).withColumn("b", best).select("page_id", "id", F.col("b.type").alias("type"), F.col("b.value").alias("value"), F.col("b.stability").alias("stability"))
+
+
+def name_search(spark, d):
+    return R.name_search(_store(spark, d), "An").select("page_id", "id")
+
+
+def clean_export(spark, d):
+    clean = _store(spark, d).withColumn("m", R.last_by_type(F.col("locators")))
+    return clean.select("page_id", "name", "tag", F.element_at("m", "css").alias("css"), F.element_at("m", "xpath").alias("xpath"))
+
+
+def verify_counts(spark, d):
+    n = _nodes(spark, d)
+    asked = E.entries(S.locators(n).where("tag = 'a'")).select("page_id", F.explode("locators").alias("x")).select("page_id", "x.type", "x.value")
+    return verified(n, asked).select("page_id", "type", "value", "matches", "verdict")
+
+
+def snippets(language: str):
+    def run(spark, d):
+        return _typed(spark, d).select("id", L.snippet(language, F.col("type"), F.col("s")).alias("code"))
+
+    return run
+
+
+def stable_attr_pick(spark, d):
+    return _attributes(spark, d).withColumn("x", L.stable_attribute(F.col("attrs"), L.PREFERRED)).select("p_partkey", F.col("x.attr").alias("attr"), F.col("x.value").alias("value"))
+
+
+def debounce_events(spark, d):
+    return debounced(_table(spark, d, "events"), "user_id", gap="6 hours").select("user_id", F.col("first").cast("timestamp_ntz").alias("first_ts"), F.col("last").cast("timestamp_ntz").alias("last_ts"), "n")
+
+
+def full_scan(spark, d):
+    found = S.locators(_nodes(spark, d))
+    return found.select("page_id", "nid", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "nid", "name", "tag", "place", "x.*")
+
+
+QUERIES = {
+    "score_synthetic": lambda s, d: _typed(s, d).select("id", L.stability(F.col("type"), F.col("s")).alias("stability")),
+    "dynamic_flags": lambda s, d: _strings(s, d).select("id", L.is_dynamic(F.col("s")).alias("dynamic")),
+    "xpath_literal": lambda s, d: _strings(s, d).select("id", xpath_literal(F.col("s")).alias("literal")),
+    "css_escape": lambda s, d: _strings(s, d).select("id", css_escape(F.col("s")).alias("escaped")),
+    "attr_css": lambda s, d: _strings(s, d).select("id", L.css_of(F.lit("p"), F.expr("CASE pmod(id, 3) WHEN 0 THEN 'id' WHEN 1 THEN 'class' ELSE 'title' END"), F.col("s")).alias("css")),
+    "attr_xpath": lambda s, d: _strings(s, d).select("id", L.xpath_of(F.lit("p"), F.expr("CASE pmod(id, 3) WHEN 0 THEN 'id' WHEN 1 THEN 'class' ELSE 'title' END"), F.col("s")).alias("xpath")),
+    "text_normalize": lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(xpath_normalize(F.col("text"))).alias("normalized"), F.md5(js_trim(F.col("text"))).alias("trimmed")),
+    "stable_attr_pick": stable_attr_pick,
+    **{f"snippets_{x}": snippets(x) for x in L.SNIPPETS},
+    "href_locators": href_locators,
+    "href_unique_counts": href_unique_counts,
+    "link_texts": link_texts,
+    "following_sibling_li": following_sibling_li,
+    "class_locators": class_locators,
+    "entries_upsert": entries_upsert,
+    "entry_rank": entry_rank,
+    "best_locator": best_locator,
+    "name_search": name_search,
+    "clean_export": clean_export,
+    "verify_counts": verify_counts,
+    "debounce_events": debounce_events,
+    "full_scan": full_scan,
+}
