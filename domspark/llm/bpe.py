@@ -14,6 +14,7 @@ import json
 from collections.abc import Iterator
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -99,7 +100,7 @@ class Automaton:
                     key = last << 32 | t
                     ok = known.get(key)
                     if ok is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > 300_000:
                             known.clear()
                         ok = known[key] = self._has(last, t)
                     if not ok:
@@ -135,15 +136,15 @@ def load(path: str) -> Automaton:
 
 
 class Words(dict):
-    """Encoded words: tokens, their ids as text, their labels. Emptied when full, so its memory is bounded."""
+    """Encoded words: number of tokens, their ids as text, their labels. Emptied when full, so its memory is bounded."""
 
-    def __init__(self, automaton: Automaton, most: int = 400_000, longest: int = 64):
+    def __init__(self, automaton: Automaton, most: int = 200_000, longest: int = 64):
         self.automaton, self.most, self.longest = automaton, most, longest
 
     def __missing__(self, word: str):
         ids = self.automaton.encode(word.encode())
         label = self.automaton.label
-        found = (len(ids), ",".join(map(str, ids)), b"".join([label[i] for i in ids]), ids)
+        found = (len(ids), ",".join(map(str, ids)), b"".join([label[i] for i in ids]))
         if len(word) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
@@ -155,7 +156,7 @@ _SPLIT = regex.compile(WORDS)
 _WORKER: dict[int, Words] = {}
 
 
-def encoded_words(text: str, words: Words) -> list[tuple[int, str, bytes, list[int]]]:
+def encoded_words(text: str, words: Words) -> list[tuple[int, str, bytes]]:
     """What words has for each word of the text; strings of special tokens stand for themselves."""
     special = words.automaton.special
     if any(s in text for s in special):
@@ -163,7 +164,7 @@ def encoded_words(text: str, words: Words) -> list[tuple[int, str, bytes, list[i
         for part in regex.split("(" + "|".join(regex.escape(s) for s in special) + ")", text):
             if part in special:
                 i = special[part]
-                out.append((1, str(i), words.automaton.label[i], [i]))
+                out.append((1, str(i), words.automaton.label[i]))
             else:
                 out += [words[w] for w in _SPLIT.findall(part)]
         return out
@@ -209,10 +210,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
             for t in batch.column(1):
                 found = encoded_words(t.as_py(), words)
                 n.append(sum(map(first, found)))
-                by_id.append(hashlib.sha256(",".join(map(second, found)).encode()).hexdigest())
+                listed = ",".join(map(second, found))
+                by_id.append(hashlib.sha256(listed.encode()).hexdigest())
                 by_text.append(hashlib.sha256(b"".join(map(third, found)).decode("utf-8", "replace").encode()).hexdigest())
                 if ids:
-                    all_ids.append([i for x in found for i in x[3]])
+                    all_ids.append(np.array(listed.split(",") if listed else [], np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(by_id, pa.string()), pa.array(by_text, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

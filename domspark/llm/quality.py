@@ -107,5 +107,11 @@ def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
     return signals(docs, text).withColumns({"base_failed": failed, "kept": ~failed & good, "failed_rules": broken})
 
 
+def kept_rows(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+    """The rows of docs whose text is kept, in the same columns, whatever their names."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_text"))
+    return judge(packed, "_text", thresholds).where("kept").select("_row.*")
+
+
 def op2_quality_rules(docs: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
