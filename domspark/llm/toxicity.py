@@ -116,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.ndar
             x = [text_features(t.as_py(), known).astype(np.int32).tobytes() for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "p", "u", "x"])
 
-    found = rows.mapInArrow(run, "doc_id string, p boolean, u boolean, x binary").limit(4 * (MOST_POSITIVE + MOST_UNLABELLED)).toArrow().to_pandas().sort_values(["doc_id", "x"])
+    # One row for each id drawn: the samples' bounds hold however often an id is repeated.
+    sample = rows.mapInArrow(run, "doc_id string, p boolean, u boolean, x binary").groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"), F.max("x").alias("x"))
+    found = sample.toArrow().to_pandas().sort_values("doc_id")
     read = lambda which: [np.frombuffer(x, np.int32).astype(np.int64) for x in found.loc[found[which], "x"]]
     positive, unlabelled = read("p"), read("u")
     if not positive or not unlabelled:
