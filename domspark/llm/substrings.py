@@ -29,8 +29,9 @@ from .suffix import deep_shallow_sort
 
 LENGTH = 400
 GRAM = 32
-#: Rows that are sent to all tasks at most; more are joined by a shuffle.
+#: Ids, and rows with all cuts of a text, that are sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
+MOST_CUTS = 10_000
 _CHUNK = 1 << 19
 _ROWS = 1_000
 _BITS = 28  # of a place in a chunk
@@ -246,7 +247,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.select("doc_id", whole_text(text).alias("t")).withColumn("row", F.xxhash64("doc_id", "t"))
     # Rows equal in id and text are one row to the joins, but each counts as an occurrence.
     cuts = settle(covered(docs).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")))
-    few = cuts.count() <= MOST_SENT
+    few = cuts.count() <= MOST_CUTS
     joined = docs.join(F.broadcast(cuts) if few else cuts, "row", "left").select("doc_id", "t", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
