@@ -33,3 +33,8 @@ def added(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     tops = roots.join(nodes, ["page_id", "nid"]).select("page_id", F.col("nid").alias("top"), F.col("pre").alias("a"), F.col("post").alias("b"), F.col("scope").alias("s"))
     inside = nodes.join(tops, "page_id").where((F.col("pre") >= F.col("a")) & (F.col("pre") <= F.col("b")) & ((F.col("scope") == F.col("s")) | (F.col("scope") == F.col("top"))))
     return inside.select(*nodes.columns).dropDuplicates(["page_id", "nid"])
+
+
+def picked(located: DataFrame, page_id: int, nid: int) -> DataFrame:
+    """One element of what was located; its counts have seen the whole page."""
+    return located.where((F.col("page_id") == page_id) & (F.col("nid") == nid))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +82,36 @@ def verified(nodes: DataFrame, locators: DataFrame) -> DataFrame:
 
 def verdict(matches: Column) -> Column:
     return F.when(matches.isNull(), "Err").when(matches == 1, "success-1").when(matches > 1, "success-multi").otherwise("error")
+
+
+def _unescaped(s: str) -> str:
+    """A CSS identifier without its escapes."""
+    return re.sub(r"\\(?:([0-9a-fA-F]{1,6})[ \t\n\r\f]?|(.))", lambda m: chr(int(m[1], 16)) if m[1] else m[2], s)
+
+
+def _is_segment(segment: str) -> Column:
+    """Whether an element fits tag#id, tag.class.class or tag; * fits all."""
+    tag, rest = re.match(r"((?:[^.#\\]|\\.)*)(.*)$", segment, re.S).groups()
+    good = F.lit(True) if tag in ("", "*") else F.col("tag") == _unescaped(tag)
+    for mark, name in re.findall(r"([.#])((?:[^.#\\]|\\.)+)", rest):
+        value = _unescaped(name)
+        has = F.element_at("attrs", "id") == value if mark == "#" else F.array_contains(F.split(F.element_at("attrs", "class"), r"\s+"), value)
+        good = good & F.coalesce(has, F.lit(False))
+    return good
+
+
+def by_hops(nodes: DataFrame, hops: list[dict[str, str | None]]) -> DataFrame:
+    """page_id, nid of the element that a path of shadow hosts and a leaf leads to on each page; pages without it have no row.
+
+    Each hop takes the first element in its tree; a host without a shadow tree ends the path.
+    """
+    at = nodes.select("page_id").distinct().withColumn("tree", F.lit(-1))
+    trees = nodes.where("scope >= 0").select("page_id", F.col("scope").alias("nid")).distinct()
+    for hop in hops:
+        leaf = hop["type"] == "leaf"
+        hits = nodes.where(_is_segment(hop["selector"] if leaf else hop["host"])).join(at, "page_id").where(F.col("scope") == F.col("tree"))
+        first = hits.groupBy("page_id").agg(F.min_by("nid", "pre").alias("nid"))
+        if leaf:
+            return first
+        at = first.join(trees, ["page_id", "nid"], "left_semi").select("page_id", F.col("nid").alias("tree"))
+    return nodes.select("page_id", "nid").limit(0)

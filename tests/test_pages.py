@@ -108,3 +108,13 @@ def test_missing_pages(spark):
     n = dom.nodes(spark.createDataFrame([(1, None), (2, "")], "page_id long, html string"))
     assert n.count() == 6
     assert locators(n).count() == 0
+
+
+def test_hops_lead_back(pages):
+    from domspark.operators.verify import by_hops
+
+    n = dom.nodes(pages('<div id="host"><template shadowrootmode="open"><p><button class="a 1b">Go</button></p></template></div><button>Other</button>', "<p>x</p>"))
+    hops = [{"type": "shadow", "host": "div#host"}, {"type": "leaf", "selector": "button.a.\\31 b"}]
+    got = [(r.page_id, r.nid) for r in by_hops(n, hops).collect()]
+    assert got == [(1, n.where("page_id = 1 and tag = 'button' and scope >= 0").first().nid)]
+    assert by_hops(n, [{"type": "shadow", "host": "button"}, hops[1]]).count() == 0
