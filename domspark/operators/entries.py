@@ -24,32 +24,26 @@ def entries(located: DataFrame) -> DataFrame:
     return located.select("page_id", F.col("scan_seq").alias("seq"), entry_key(F.col("name"), F.col("tag")).alias("id"), "name", "tag", plain.alias("locators"), F.concat(hosts.cast(kind), leaf.cast(kind)).alias("hops"))
 
 
-def upsert(store: DataFrame | None, new: DataFrame, by_page: bool = True) -> DataFrame:
+def upsert(store: DataFrame | None, new: DataFrame, by_page: bool = True, batch: int = 0) -> DataFrame:
     """store with new written over it: the last row of a key wins, at the place of its first one.
 
-    Rows: page_id, seq, id, name, tag, ...; a store also has ord. Ids that are missing or empty are made from name and
-    tag; rows without anything are passed over. by_page: keys of different pages are different.
+    Rows: page_id, seq, id, name, tag, ...; a store also has ord, the place: (batch, page_id, seq) of the first write.
+    batch: the number of this write, larger than those before. Ids that are missing or empty are made from name and tag;
+    rows without anything are passed over. by_page: keys of different pages are different.
     """
-    rest = [c for c in new.columns if c not in ("page_id", "seq", "id")]
+    rest = [c for c in new.columns if c not in ("page_id", "seq", "id", "ord")]
     made = F.coalesce(filled(F.col("id")), entry_key(F.col("name"), F.col("tag")))
     whole = F.coalesce("id", "name", "tag").isNotNull()
+    own_place = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("page_id").alias("page_id"), F.col("seq").alias("seq"))
 
     def dealt(df: DataFrame, late: int) -> DataFrame:
-        place = F.struct(F.lit(late).alias("late"), (F.col("ord") if late == 0 and "ord" in df.columns else F.lit(0)).cast("long").alias("ord"), F.col("page_id"), F.col("seq"))
-        return df.where(whole).select("page_id", "seq", made.alias("id"), *rest, place.alias("place"))
+        written = F.struct(F.lit(late).alias("late"), F.col("page_id"), F.col("seq"))
+        return df.where(whole).select("page_id", "seq", made.alias("id"), *rest, (own_place if late else F.col("ord")).alias("ord"), written.alias("written"))
 
     both = dealt(new, 1) if store is None else dealt(store, 0).unionByName(dealt(new, 1))
     keys = ["page_id", "id"] if by_page else ["id"]
-    kept = both.groupBy(*keys).agg(F.max_by(F.struct("page_id", "seq", *rest), "place").alias("row"), F.min("place").alias("first"))
-    return kept.select("row.page_id", "row.seq", "id", *[f"row.{c}" for c in rest], "first")
-
-
-def numbered(kept: DataFrame) -> DataFrame:
-    """The store with ord, the rank of each row's first place, dense within its page or, kept over pages, by page and scan.
-
-    The rank is (page, place) packed into one number, so that no task has to see all rows.
-    """
-    return kept.withColumn("ord", F.col("first.late") * F.lit(1 << 62) + F.when(F.col("first.late") == 0, F.col("first.ord")).otherwise(F.col("first.page_id") * F.lit(1 << 20) + F.col("first.seq"))).drop("first")
+    kept = both.groupBy(*keys).agg(F.max_by(F.struct("page_id", "seq", *rest), "written").alias("row"), F.min("ord").alias("ord"))
+    return kept.select("row.page_id", "row.seq", "id", *[f"row.{c}" for c in rest], "ord")
 
 
 def deleted(store: DataFrame, entry_id: str) -> DataFrame:

@@ -14,38 +14,41 @@ def _json(s: Column) -> Column:
     return F.substring(a, F.lit(2), F.length(a) - 2)
 
 
-def json_rows(store: DataFrame, order: str = "ord") -> DataFrame:
-    """ord, row: the lines of a JSON array of clean records, indented by two blanks; nothing for an empty store."""
-    clean = clean_records(store.withColumn("ord", F.col(order)))
+def json_rows(store: DataFrame) -> DataFrame:
+    """part, ord, row: the lines of a JSON array of clean records, indented by two blanks; nothing for an empty store."""
+    clean = clean_records(store)
     pairs = F.transform(F.map_entries("locators"), lambda e: F.concat(F.lit("      "), _json(e["key"]), F.lit(": "), _json(e["value"])))
     inner = F.when(F.size(pairs) == 0, "{}").otherwise(F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n    }")))
     body = F.concat(F.lit('  {\n    "name": '), _json(F.col("name")), F.lit(',\n    "tag": '), _json(F.col("tag")), F.lit(',\n    "locators": '), inner, F.lit("\n  }"))
     rows = clean.select("ord", body.alias("row"))
-    last = rows.agg(F.max("ord").alias("last"), F.min("ord").alias("first")).where("last is not null")
-    joined = rows.crossJoin(F.broadcast(last)).select("ord", F.when(F.col("ord") == F.col("last"), F.col("row")).otherwise(F.concat("row", F.lit(","))).alias("row"))
-    edges = last.select(F.explode(F.array(F.struct((F.col("first") - 1).alias("ord"), F.lit("[").alias("row")), F.struct((F.col("last") + 1).alias("ord"), F.lit("]").alias("row"))))).select("col.*")
-    return joined.union(edges)
-
-
-def text_rows(store: DataFrame, title: str, order: str = "ord") -> DataFrame:
-    """ord, row: a report; its title is the caller's, as it holds the time. n counts entries by their order."""
-    rows = store.withColumn("ord", F.col(order))
-    # The number of an entry: those of earlier ranges of its page, and its place in its own.
-    per_page = rows.groupBy("page_id").agg(F.count("*").alias("k"), F.min("ord").alias("o"))
-    starts = per_page.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.join(starts.select("page_id", "before"), "page_id").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("page_id").orderBy("ord")))
+    last = rows.agg(F.max("ord").alias("last")).where("last is not null")  # one row
+    joined = rows.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), "ord", F.when(F.col("ord") == F.col("last"), F.col("row")).otherwise(F.concat("row", F.lit(","))).alias("row"))
+    edge = lambda part, row: last.select(F.lit(part).alias("part"), F.col("last").alias("ord"), F.lit(row).alias("row"))
+    return edge(0, "[").union(joined).union(edge(2, "]"))
+
+
+def _counted(store: DataFrame) -> DataFrame:
+    """store with i, the number of each entry by its place: counts of blocks of places first, then each block by itself."""
+    rows = store.withColumn("_block", F.struct(F.col("ord.batch"), F.expr("ord.page_id div 65536").alias("pages")))
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("k"))
+    before = blocks.select("_block", F.coalesce(F.sum("k").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(before, "_block").withColumn("i", F.col("_before") + F.row_number().over(Window.partitionBy("_block").orderBy("ord"))).drop("_block", "_before")
+
+
+def text_rows(store: DataFrame, title: str) -> DataFrame:
+    """part, ord, row: a report; its title is the caller's, as it holds the time; nothing for an empty store."""
     each = F.transform("locators", lambda x: F.concat(F.lit(" ["), F.upper(x["type"]), F.lit("]"), F.coalesce(F.concat(F.lit(" [stability="), x["stability"].cast("string"), F.lit("]")), F.lit("")), F.lit("\n "), x["value"], F.lit("\n\n")))
-    hops = F.to_json("hops")
-    body = F.concat(F.lit("--- Element "), F.col("i").cast("string"), F.lit(" ---\nID: "), "id", F.lit("\nName: "), "name", F.lit("\nTag: <"), "tag", F.lit(">\n"), F.when(F.col("hops").isNotNull(), F.concat(F.lit("Hops: "), hops, F.lit("\n"))).otherwise(""), F.lit("\n"), F.array_join(each, ""), F.lit("---------------------\n"))
-    total = rows.agg(F.count("*").alias("n"), F.min("ord").alias("o")).where("n > 0")
+    hops = F.when(F.col("hops").isNotNull(), F.concat(F.lit("Hops: "), F.to_json("hops"), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("--- Element "), F.col("i").cast("string"), F.lit(" ---\nID: "), "id", F.lit("\nName: "), "name", F.lit("\nTag: <"), "tag", F.lit(">\n"))
+    body = _counted(store).select(F.lit(1).alias("part"), "ord", F.concat(head, hops, F.lit("\n"), F.array_join(each, ""), F.lit("---------------------\n")).alias("row"))
+    total = store.agg(F.count("*").alias("n"), F.min("ord").alias("ord")).where("n > 0")
     rule = "=" * 49
-    head = total.select((F.col("o") - 1).alias("ord"), F.concat(F.lit(f"{title}\n{rule}\n\nTotal Locators: "), F.col("n").cast("string"), F.lit("\n")).alias("row"))
-    return placed.select("ord", body.alias("row")).union(head)
+    return total.select(F.lit(0).alias("part"), "ord", F.concat(F.lit(f"{title}\n{rule}\n\nTotal Locators: "), F.col("n").cast("string"), F.lit("\n")).alias("row")).union(body)
 
 
 def write_rows(rows: DataFrame, path: str, files: int = 1) -> None:
     """Ordered text files whose contents follow each other; files: how many."""
-    rows.repartitionByRange(files, "ord").sortWithinPartitions("ord").select("row").write.mode("overwrite").text(path)
+    rows.repartitionByRange(files, "part", "ord").sortWithinPartitions("part", "ord").select("row").write.mode("overwrite").text(path)
 
 
 def file_stamp(ts: Column) -> Column:

@@ -49,7 +49,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
-    return E.upsert(None, E.entries(_links(spark, d))).drop("first")
+    return E.upsert(None, E.entries(_links(spark, d)))
 
 
 def _flat(locators):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.entries import entries, numbered, upsert
+from ..operators.entries import entries, upsert
 from ..operators.strategies import locators
 from ..sources.dom import nodes
 
@@ -56,7 +56,7 @@ def write_over(pages: DataFrame, batch_id: int, path: str, priority: list[str] |
         return
     if newest == batch_id:
         store = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-    numbered(upsert(store, scanned(pages, priority), by_page)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    upsert(store, scanned(pages, priority), by_page, batch_id).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
 
 def follow(pages: DataFrame, path: str, checkpoint: str, priority: list[str] | None = None, by_page: bool = True, **trigger) -> StreamingQuery:

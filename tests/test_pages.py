@@ -33,16 +33,16 @@ def test_scan_order_and_entries(found):
 
 
 def test_upsert_keeps_the_first_place_and_the_last_row(found):
-    once = E.numbered(E.upsert(None, found[1]))
+    once = E.upsert(None, found[1])
     rows = once.orderBy("ord").collect()
     assert [r.id for r in rows] == ["UserSign in::form", "HomeHome::ul", "user::input", "Home::li", "Sign in::button", "Home::a"]
     assert rows[5].locators[2].value == 'a[href="\\/b"]'
-    again = E.numbered(E.upsert(once, found[1]))
+    again = E.upsert(once, found[1], batch=1)
     assert [r.id for r in again.orderBy("ord").collect()] == [r.id for r in rows]
 
 
 def test_review(found):
-    store = E.numbered(E.upsert(None, found[1]))
+    store = E.upsert(None, found[1])
     row = store.where("id = 'Sign in::button'").select(review.best_locator(F.col("locators")).alias("b"), review.last_by_type(F.col("locators")).alias("m"), review.sorted_locators(F.col("locators")).alias("s")).first()
     assert row.b.value == '[data-testid="go"]'
     assert row.m == {"css": "button.btn.primary", "xpath": "//input[@id='u']/following-sibling::button[1]"}
@@ -54,7 +54,7 @@ def test_review(found):
 def test_json_export(found, tmp_path):
     import json
 
-    store = E.numbered(E.upsert(None, found[1]))
+    store = E.upsert(None, found[1])
     export.write_rows(export.json_rows(store), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).rstrip("\n")
     assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False)
@@ -63,8 +63,8 @@ def test_json_export(found, tmp_path):
 
 
 def test_text_export(found):
-    store = E.numbered(E.upsert(None, found[1]))
-    rows = [r.row for r in export.text_rows(store, "Report").orderBy("ord").collect()]
+    store = E.upsert(None, found[1])
+    rows = [r.row for r in export.text_rows(store, "Report").orderBy("part", "ord").collect()]
     assert rows[0].startswith("Report\n=") and "Total Locators: 6" in rows[0]
     assert rows[1].startswith("--- Element 1 ---\nID: UserSign in::form\nName: UserSign in\nTag: <form>\nHops: ")
     assert " [ID] [stability=80]\n login\n\n" in rows[1]
