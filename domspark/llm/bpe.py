@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 #: How the vocabulary's authors split text into words before merging; fixed value.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,7 +153,6 @@ class Words(dict):
 
 
 _SPLIT = regex.compile(WORDS)
-_WORKER: dict[int, Words] = {}
 
 
 def encoded_words(text: str, words: Words) -> list[tuple[int, str, bytes]]:
@@ -171,39 +170,18 @@ def encoded_words(text: str, words: Words) -> list[tuple[int, str, bytes]]:
     return [words[w] for w in _SPLIT.findall(text)]
 
 
-def _worker(shared) -> Words:
-    if shared.id not in _WORKER:
-        _WORKER.clear()
-        _WORKER[shared.id] = Words(shared.value)
-    return _WORKER[shared.id]
-
-
-class _Shared:
-    """A broadcast with an id that workers can keep things by. The vocabulary bounds its size."""
-
-    def __init__(self, spark, automaton: Automaton):
-        automaton._known = {}
-        self.broadcast = spark.sparkContext.broadcast(automaton)
-        self.id = self.broadcast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-    @property
-    def value(self) -> Automaton:
-        return self.broadcast.value
-
-
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
     """For each row its doc_id, n_tokens, ids_sha256 and decoded_sha256, and with ids the token ids.
 
     A null or empty text has no tokens and the hash of nothing. Rows are mapped one by one, so repeated rows and null
     ids come back as they are, and other columns are not read.
     """
-    shared = _Shared(docs.sparkSession, load(path))
+    small_batches(docs)
+    automaton = load(path)  # goes along with the function: what a task makes of it ends with the task
+    automaton._known = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker(shared)
+        words = Words(automaton)
         first, second, third = itemgetter(0), itemgetter(1), itemgetter(2)
         for batch in batches:
             n, by_id, by_text, all_ids = [], [], [], []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, whole_text
+from .common import pieces, settle, small_batches, whole_text
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -186,6 +186,7 @@ def _ordered(a: str, b: str, na: str, nb: str) -> list:
 
 def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n, text_hash) of all rows, and (node, root) of the nodes that have links. num / den: the least similarity."""
+    small_batches(docs)
     found = settle(_sets(docs, num, den, k))
     rows = found.where("kind = 0").select("doc_id", "text_hash", "node", "n")
     shared = _shared_grams(found.where("kind = 1")).union(found.where("kind = 2").select("node", "n")).groupBy("node").agg(F.sum("n").alias("shared"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, whole_text
+from .common import pieces, settle, small_batches, whole_text
 from .shingles import mix
 from .suffix import deep_shallow_sort
 
@@ -218,6 +218,7 @@ def _resolve(parts: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """row, start, end: bytes of texts (row, t) that repeated strings cover; spans may overlap."""
+    small_batches(docs)
     found = settle(_spans_table(docs).withColumn("class", F.xxhash64("anchor", "whole", "left", "right")))
     classes = found.groupBy("class", "anchor").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "left", "right")).alias("one"))
     classes = settle(classes.select("class", "anchor", "n", "one.*"))
