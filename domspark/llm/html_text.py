@@ -37,6 +37,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 BAD_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar pagination pager ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register search share sharing social related recommended recommendations comment comments commentlist discussion replies reply respond disqus feedback widget copyright legal disclaimer skip hidden".split()
 )
+_INSERTED = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored teaser".split())
 _STOP = frozenset(STOP_WORDS)
 _WORD = re.compile(r"\w+")
 
@@ -56,9 +57,10 @@ def _is_bad(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if tag in ("article", "main", "body", "html"):
-        return False
     names = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    if tag in ("article", "main", "body", "html"):
+        # Comments and teasers are often articles of their own; the names of the whole page say less.
+        return tag == "article" and not _INSERTED.isdisjoint(names)
     return attrs.get("role", "").lower() in BAD_ROLES or not BAD_NAMES.isdisjoint(names) or "header" in names and not in_main
 
 

@@ -225,3 +225,9 @@ def test_html_neighbours_decide():
     p = "<p>The quick brown fox jumps over the lazy dog and it is in the end of the day for all.</p>"
     assert "Short one" in html_text.main_text(f"<div>{p}<p>Short one</p>{p}</div><nav><p>No</p></nav>")
     assert "Lone" not in html_text.main_text(f"{p}<div></div><p>x</p><nav><p>No</p></nav><p>Lone</p><nav><p>No</p></nav>")
+
+
+def test_html_comments_as_articles():
+    p = "<p>The quick brown fox jumps over the lazy dog and it is in the end of the day for all.</p>"
+    got = html_text.main_text(f"<article class='post'>{p}<article class='comment'>{p.replace('fox', 'cat')}</article></article>")
+    assert "fox" in got and "cat" not in got
