@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space between words: U+0020 and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
+ROWS_PER_FILE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: later steps use it several times and a lost executor costs nothing."""
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: later steps use it several times and a lost executor costs nothing.
+
+    rows: about how many there are, if known; then small tables become few files.
+    """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,15 +21,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of edges (u, v): root is the least node of its component.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root for each node of edges (u, v): root is the least node of its component. rows: about how many nodes.
 
     Alternates the two star steps of large graphs until nothing changes; each result is written to the shared folder.
     """
-    now = settle(edges.select("u", "v").where("u <> v").distinct())
+    now = settle(edges.select("u", "v").where("u <> v").distinct(), rows)
     before = None
     while True:
-        now = settle(_star(_star(now, True), False))
+        now = settle(_star(_star(now, True), False), rows)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

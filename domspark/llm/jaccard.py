@@ -189,10 +189,11 @@ def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
     small_batches(docs)
     found = settle(_sets(docs, num, den, k))
     rows = found.where("kind = 0").select("doc_id", "text_hash", "node", "n")
+    size = rows.count()
     shared = _shared_grams(found.where("kind = 1")).union(found.where("kind = 2").select("node", "n")).groupBy("node").agg(F.sum("n").alias("shared"))
     least = F.ceil(F.col("n") * num / den).cast("long")  # the least size of a partner, and k of that size
     texts = rows.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
-    texts = settle(texts.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("text_hash"))
+    texts = settle(texts.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("text_hash"), size)
     few = texts.count() <= MOST_SENT
     t = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("t"))
     t = t.join(F.broadcast(texts) if few else texts, "text_hash", "left_semi").dropDuplicates(["text_hash"])
@@ -218,18 +219,18 @@ def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
         hubs = placed.join(sizes, ["gram", "root"]).groupBy("gram").agg(F.max(F.struct("m", choice.alias("c"), "node", "n", "root")).alias("x"))
         hubs = hubs.select("gram", F.col("x.node").alias("hub"), F.col("x.n").alias("nh"), F.col("x.root").alias("rh"))
         pairs = placed.join(hubs, "gram").where((F.col("root") != F.col("rh")) & fits("n", "nh")).select(*_ordered("node", "hub", "n", "nh")).distinct()
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        new = settle(_linked(pairs, kept, num, den))
+        pairs = settle(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), 4 * size)
+        new = settle(_linked(pairs, kept, num, den), 4 * size)
         tried = pairs if tried is None else tried.union(pairs)
         if turn and new.isEmpty():
             continue
         links = new if links is None else links.union(new)
-        root = components(links)
+        root = components(links, size)
 
     # Short lists that are still open: members outside the main component against those of other components.
-    placed = settle(_open_lists(postings, root))
+    placed = settle(_open_lists(postings, root), 8 * size)
     sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("m"))
-    main = settle(sizes.groupBy("gram").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all")).select("gram", F.col("x.root").alias("main"), "all"))
+    main = settle(sizes.groupBy("gram").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all")).select("gram", F.col("x.root").alias("main"), "all"), 4 * size)
     short = main.where(F.col("all") <= LONG)
     minor = placed.join(short, "gram").where("root <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main")
     other = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -240,13 +241,13 @@ def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
     # Long ones: lists with members in common form a family, whose rows are multiplied block by block.
     long = placed.join(main.where(F.col("all") > LONG).select("gram"), "gram")
     first = long.groupBy("gram").agg(F.min("node").alias("least"))
-    ties = settle(long.join(first, "gram").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    ties = settle(long.join(first, "gram").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), size)
     if not ties.isEmpty():
-        more = more.union(_family_links(components(ties), long.select("node", "root").distinct(), kept, num, den))
-    more = settle(more)
+        more = more.union(_family_links(components(ties, size), long.select("node", "root").distinct(), kept, num, den))
+    more = settle(more, size)
     if more.isEmpty():
         return rows, root
-    return rows, components(links.union(more))
+    return rows, components(links.union(more), size)
 
 
 def _family_links(family: DataFrame, place: DataFrame, kept: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,8 +325,9 @@ def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> Data
     least = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = least.join(least.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
     gone = rows.join(first, "node").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct())
-    twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"))
+    size = rows.count()
+    gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct(), size)
+    twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"), size)
     send = lambda ids: F.broadcast(ids) if ids.count() <= MOST_SENT else ids
     row = F.xxhash64("doc_id", F.xxhash64(whole_text()))
     left = docs.withColumn("_row", row).join(send(gone), F.col("_row") == F.col("gone"), "left_anti")

@@ -216,27 +216,28 @@ def _resolve(parts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "part long, first long, last long")
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """row, start, end: bytes of texts (row, t) that repeated strings cover; spans may overlap."""
+def covered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """row, start, end: bytes of texts (row, t) that repeated strings cover; spans may overlap. And how many anchors there are."""
     small_batches(docs)
     found = settle(_spans_table(docs).withColumn("class", F.xxhash64("anchor", "whole", "left", "right")))
+    size = found.count()
     classes = found.groupBy("class", "anchor").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "left", "right")).alias("one"))
-    classes = settle(classes.select("class", "anchor", "n", "one.*"))
+    classes = settle(classes.select("class", "anchor", "n", "one.*"), size)
     whole = found.join(classes.where("n > 1").select("class"), "class", "left_semi").select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
 
     several = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor")
     ends = classes.join(several, "anchor", "left_semi")
-    anchors = settle(ends.groupBy("row").agg(F.collect_list(F.struct("class", "n", "place", "left", "right")).alias("anchors")))
+    anchors = settle(ends.groupBy("row").agg(F.collect_list(F.struct("class", "n", "place", "left", "right")).alias("anchors")), size)
     few = anchors.count() <= MOST_SENT
     texts = docs.select("row", "t").where(F.octet_length("t") >= LENGTH)
     texts = texts.join(F.broadcast(anchors.select("row")) if few else anchors.select("row"), "row", "left_semi").groupBy("row").agg(F.first("t").alias("t"))
-    sides = settle(_sides(texts.join(anchors, "row").select("row", "t", "anchors")).withColumn("part", F.xxhash64("core", "before", "behind")))
+    sides = settle(_sides(texts.join(anchors, "row").select("row", "t", "anchors")).withColumn("part", F.xxhash64("core", "before", "behind")), size)
     alive = sides.groupBy("core").agg(F.sum("n").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
-    sides = settle(sides.join(alive, "core", "left_semi"))
+    sides = settle(sides.join(alive, "core", "left_semi"), size)
     parts = sides.groupBy("part", "core", "range").agg(F.first("before").alias("before"), F.first("behind").alias("behind"), F.sum("n").alias("n"))
     windows = _resolve(parts)
     more = sides.where("n = 1").select("part", "row", "place").join(windows, "part")
-    return whole.union(more.select("row", (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + LENGTH).alias("end")))
+    return whole.union(more.select("row", (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + LENGTH).alias("end"))), size
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -247,7 +248,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.select("doc_id", whole_text(text).alias("t")).withColumn("row", F.xxhash64("doc_id", "t"))
     # Rows equal in id and text are one row to the joins, but each counts as an occurrence.
-    cuts = settle(covered(docs).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")))
+    found, size = covered(docs)
+    cuts = settle(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")), size)
     few = cuts.count() <= MOST_CUTS
     joined = docs.join(F.broadcast(cuts) if few else cuts, "row", "left").select("doc_id", "t", "cuts")
 
