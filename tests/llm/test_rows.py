@@ -176,16 +176,16 @@ def plain_edits(p, t):
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(30)) for _ in range(20)]
+    items = [" ".join(word() for _ in range(24)) for _ in range(4)]
     rows, want = [], set()
-    for d in range(120):
-        t = [word() for _ in range(60)]
+    for d in range(36):
+        t = [word() for _ in range(30)]
         if d % 2:
-            i = rng.randrange(20)
+            i = rng.randrange(4)
             passage = list(items[i])
             for _ in range(d % 9):
                 passage[rng.randrange(len(passage))] = rng.choice("xyz")
-            t[20:20] = ["".join(passage).upper() if d % 4 == 1 else "".join(passage).replace(" ", " || ")]
+            t[10:10] = ["".join(passage).upper() if d % 4 == 1 else "".join(passage).replace(" ", " || ")]
         rows.append((d, " ".join(t)))
     docs = spark.createDataFrame([*rows, (500, None), (501, ""), (None, items[0])], "doc_id long, text string")
     bench = spark.createDataFrame([*enumerate(items), (90, None), (91, "short")], "item_id long, text string")
