@@ -11,6 +11,8 @@ texts would move each text many times; but equal strings hold the same least gra
    with the bytes to both sides of the core. Equal ranges are added up before they meet in a task.
 3. In each core's group both sides are sorted as suffixes (the left one backwards), deep-shallow. From the shared lengths
    of neighbours follows for each window which others agree with it on both sides: the repeated ones.
+4. A core that more than MOST_ROWS ranges have goes to no single task: each of its windows is counted by core, place and
+   hash, added up before they meet. Those that many ranges have are then sent to all tasks, the others are joined.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, settle, small_batches, whole_text
@@ -32,6 +34,8 @@ GRAM = 32
 #: Ids, and rows with all cuts of a text, that are sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 MOST_CUTS = 10_000
+#: Ranges of one core that one task sorts at most, and ranges with one window that a join brings together.
+MOST_ROWS = 2_000
 _CHUNK = 1 << 19
 _ROWS = 1_000
 _BITS = 28  # of a place in a chunk
@@ -216,6 +220,42 @@ def _resolve(parts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "part long, first long, last long")
 
 
+def _each_window(parts: DataFrame) -> DataFrame:
+    """core, at, w, part, n: the windows of rows as _resolve has them; w is the hash of the bytes beside the core."""
+    table = np.array(ranges())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, _ROWS):
+            before, behind = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("before", "behind"))
+            lo, hi = table[batch.column(batch.schema.get_field_index("range")).to_numpy()].T
+            a, b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (before, behind))
+            length = hi - lo
+            least, most = np.maximum(0, length - b), np.minimum(length, a)
+            times = most - least + 1
+            row = np.repeat(np.arange(len(a)), times)
+            x = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + least[row]
+            start = (np.cumsum(a + b) - b)[row] - x
+            w = Hashes(b"".join(y for pair in zip((s[::-1] for s in before), behind, strict=True) for y in pair)).of(start, start + length[row])
+            core, part, n = (batch.column(batch.schema.get_field_index(k)).take(pa.array(row)) for k in ("core", "part", "n"))
+            yield pa.RecordBatch.from_arrays([core, pa.array((x + lo[row]).astype(np.int32)), pa.array(w.view(np.int64)), part, n], names=["core", "at", "w", "part", "n"])
+
+    return parts.select("part", "core", "range", "before", "behind", "n").mapInArrow(run, "core long, at int, w long, part long, n long")
+
+
+def _resolve_crowded(parts: DataFrame) -> DataFrame:
+    """The same as _resolve; no group of rows of one core or one window meets in a task."""
+    key = ["core", "at", "w"]
+    windows = _each_window(parts)
+    counts = settle(windows.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
+    # So at most MOST_SENT windows are frequent, and a rare one brings few rows to its task.
+    most = max(MOST_ROWS, (counts.agg(F.sum("rows")).first()[0] or 0) // MOST_SENT)
+    frequent = F.broadcast(counts.where(F.col("rows") > most).select(*key))
+    rare = windows.join(frequent, key, "left_anti").join(counts.where(F.col("rows") <= most).select(*key), key, "left_semi")
+    hit = windows.join(frequent, key, "left_semi").union(rare).select("part", "at")
+    run = F.col("at") - F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return hit.withColumn("run", run).groupBy("part", "run").agg(F.min("at").cast("long").alias("first"), F.max("at").cast("long").alias("last")).drop("run")
+
+
 def covered(docs: DataFrame) -> tuple[DataFrame, int]:
     """row, start, end: bytes of texts (row, t) that repeated strings cover; spans may overlap. And how many anchors there are."""
     small_batches(docs)
@@ -232,10 +272,12 @@ def covered(docs: DataFrame) -> tuple[DataFrame, int]:
     texts = docs.select("row", "t").where(F.octet_length("t") >= LENGTH)
     texts = texts.join(F.broadcast(anchors.select("row")) if few else anchors.select("row"), "row", "left_semi").groupBy("row").agg(F.first("t").alias("t"))
     sides = settle(_sides(texts.join(anchors, "row").select("row", "t", "anchors")).withColumn("part", F.xxhash64("core", "before", "behind")), size)
-    alive = sides.groupBy("core").agg(F.sum("n").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
-    sides = settle(sides.join(alive, "core", "left_semi"), size)
-    parts = sides.groupBy("part", "core", "range").agg(F.first("before").alias("before"), F.first("behind").alias("behind"), F.sum("n").alias("n"))
-    windows = _resolve(parts)
+    alive = sides.groupBy("core").agg(F.sum("n").alias("k"), F.min("n").alias("least"), (F.count("*") > MOST_ROWS).alias("crowded")).where("k > 1 and least = 1").select("core", "crowded")
+    sides = settle(sides.join(alive, "core"), size)
+    parts = lambda some: sides.where(some).groupBy("part", "core", "range").agg(F.first("before").alias("before"), F.first("behind").alias("behind"), F.sum("n").alias("n"))
+    windows = _resolve(parts("not crowded"))
+    if not sides.where("crowded").isEmpty():
+        windows = windows.union(_resolve_crowded(settle(parts("crowded"))))
     more = sides.where("n = 1").select("part", "row", "place").join(windows, "part")
     return whole.union(more.select("row", (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + LENGTH).alias("end"))), size
 

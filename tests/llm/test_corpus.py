@@ -172,6 +172,23 @@ def test_substrings_of_nothing(spark):
     assert substrings.op7_substring_dedup(empty_docs(spark)).count() == 0
 
 
+def test_substrings_of_a_crowded_core(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, near = make(430), make(25)
+    # One passage in different surroundings, in pairs that share some of them too.
+    rows = [(d, make(rng.randint(150, 300)) + (near[: rng.randint(0, 25)] if d % 3 else near) + shared[rng.choice([0, 0, 7, 20]) :] + near[: rng.randint(0, 25)] + make(200)) for d in range(60)]
+    rows += passages()[:30]
+    most = []
+    resolve = substrings._resolve
+    monkeypatch.setattr(substrings, "_resolve", lambda parts: most.append(parts.groupBy("core").count().agg({"count": "max"}).first()[0] or 0) or resolve(parts))
+    monkeypatch.setattr(substrings, "MOST_ROWS", 6, raising=False)
+    monkeypatch.setattr(substrings, "MOST_SENT", 500)  # so that windows are counted both ways
+    got = collections.Counter(tuple(r) for r in substrings.op7_substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == plain_cuts(rows)
+    assert max(most) <= 6
+
+
 def test_lattice_sums_all_segmentations():
     pieces, log_p = lattice.read_pieces(PIECES)
     la = lattice.Lattice(pieces, [log_p])
