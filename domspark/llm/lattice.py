@@ -3,8 +3,8 @@
 A word is a path from its first to its last byte; an arc is a piece of an existing vocabulary (or one byte), and its
 weight the piece's log probability. All segmentations count: the forward recursion sums them in log space, so that the
 result is the word's marginal probability; at each word's end stands an end piece. Weights start from the vocabulary's
-own order and a bounded draw of training words, and are re-estimated by expected counts (forward and backward) over all
-words that training texts have.
+own order and are re-estimated by expected counts (forward and backward), each time over all words that training texts
+have: first for all classes together, at last for each class.
 A word seen in training also has one arc for its whole, weighted by its discounted count; the discounts' mass is the
 weight of entering the pieces. All this is learned for each of the most frequent values of lang (others and null
 together), and a text's marginal probability is the sum over these classes, by their share of training texts, of the
@@ -21,6 +21,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from .common import fold, settle, whole_text
 
 #: Pieces of more bytes are left out of the lattice.
 LONGEST_PIECE = 16
-#: So many words give the piece weights their start; all training words then re-estimate them.
-FIRST_WORDS = 30_000
+#: Re-estimations of the piece weights for all classes together.
+ROUNDS = 4
 #: Classes besides the one for the rest.
 MOST_CLASSES = 6
 #: So many words at most are sent to all tasks; the others' weights are joined.
@@ -141,23 +143,62 @@ class Lattice:
                 alpha[:, j] = np.where(np.isfinite(top), top + np.log(np.exp(terms - top).sum(axis=0)), -np.inf)
         return alpha, weights
 
+    def _short(self, arcs: list[np.ndarray], log_p: np.ndarray) -> bool:
+        """Whether no path through words of this width is too small for a double, so that no logarithms are needed."""
+        return arcs[0].shape[1] * -log_p.min() < 650
+
+    def _forward_short(self, arcs: list[np.ndarray], log_p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """As _forward, without logarithms, places first."""
+        n, width = arcs[0].shape
+        p = np.exp(log_p)
+        p[-1] = 0  # no arc is the end piece; -1 stands for none
+        weights = [p.take(a.T) for a in arcs]
+        alpha = np.zeros((width + 1, n))
+        alpha[0] = 1
+        for j in range(1, width + 1):
+            for k in range(1, min(len(arcs), j) + 1):
+                alpha[j] += alpha[j - k] * weights[k - 1][j - k]
+        return alpha, weights
+
     def log10(self, words: list[bytes]) -> np.ndarray:
         """The marginal log10 probability of each word in each class, its end piece included."""
         out = np.zeros((len(self.log_p), len(words)))
         for take, matrix, size in self._batches(words):
             arcs, size = self._arcs(matrix, size)
             for log_p, row in zip(self.log_p, out, strict=True):
+                if self._short(arcs, log_p):
+                    alpha, _ = self._forward_short(arcs, log_p)
+                    row[take] = np.log10(alpha[size, np.arange(len(take))]) + log_p[-1] / math.log(10)
+                    continue
                 alpha, _ = self._forward(arcs, size, log_p)
                 row[take] = (alpha[np.arange(len(take)), size] + log_p[-1]) / math.log(10)
         return out
 
     def expected(self, words: list[bytes], log_p: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the words, over all segmentations by their probability."""
-        counts = np.zeros(len(self.pieces))
+        return self.expected_in(words, np.ones((1, len(words)), bool), log_p)[0]
+
+    def expected_in(self, words: list[bytes], member: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """The same for several sets of words at once; member: a row for each set, a column for each word."""
+        counts = np.zeros((len(member), len(self.pieces)))
         for take, matrix, size in self._batches(words):
             arcs, size = self._arcs(matrix, size)
-            alpha, weights = self._forward(arcs, size, log_p)
+            counts[:, -1] += member[:, take].sum(axis=1)
             n, width = len(size), arcs[0].shape[1]
+            if self._short(arcs, log_p):
+                alpha, weights = self._forward_short(arcs, log_p)
+                beta = (np.arange(width + 1)[:, None] == size).astype(float)
+                beta /= alpha[size, np.arange(n)]
+                for j in range(width - 1, -1, -1):
+                    for k in range(1, min(len(arcs), width - j) + 1):
+                        beta[j] += weights[k - 1][j] * beta[j + k]
+                for k, (a, w) in enumerate(zip(arcs, weights, strict=True), 1):
+                    place, row = np.nonzero(w)
+                    piece, share, row = a[row, place], (alpha[: len(w)] * w * beta[k:])[place, row], take[row]
+                    for z, of in enumerate(member):
+                        counts[z] += np.bincount(piece, share * of[row], minlength=counts.shape[1])
+                continue
+            alpha, weights = self._forward(arcs, size, log_p)
             beta = np.full((n, width + 1), -np.inf)
             total = alpha[np.arange(n), size]
             for j in range(width, -1, -1):
@@ -171,8 +212,9 @@ class Lattice:
             for k, (a, w) in enumerate(zip(arcs, weights, strict=True), 1):
                 hit = a >= 0
                 share = np.exp((alpha[:, : a.shape[1]] + w + beta[:, k : k + a.shape[1]] - total[:, None])[hit])
-                counts += np.bincount(a[hit], share, minlength=len(counts))
-            counts[-1] += n
+                piece, row = a[hit], take[np.nonzero(hit)[0]]
+                for z, of in enumerate(member):
+                    counts[z] += np.bincount(piece, share * of[row], minlength=counts.shape[1])
         return counts
 
 
@@ -216,37 +258,37 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(x).alias(x) for x in names[1:]])
 
 
-def first_weights(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """A better start for piece_weights: a few re-estimations over FIRST_WORDS training words at most, drawn by their hash."""
-    seen = words.where("word != X'' and n > 0").select("word", "n")
-    lot = F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, FIRST_WORDS / max(1, seen.count()))))
-    drawn = sorted(bytes(w) for w in seen.where(lot).select("word").toArrow()["word"].to_pylist())
-    for _ in range(rounds if drawn else 0):
-        counts = Lattice(pieces, [log_p]).expected(drawn, log_p) + 0.1
-        log_p = np.log(counts / counts.sum())
-    return log_p
-
+def piece_weights(words: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> list[np.ndarray]:
+    """One re-estimation of the pieces' log probabilities for each class.
 
-def piece_weights(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, classes: int) -> list[np.ndarray]:
-    """For each class one re-estimation of the pieces' log probabilities over all its distinct training words."""
+    words: word and one column for each class, which says whether the word counts there; all words count that are in any.
+    """
+    classes = len(words.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, [log_p])
         total = np.zeros((classes, len(pieces)))
         for b in batches:
-            w = np.array(b.column(0).to_pylist(), object)
-            for z in range(classes):
-                total[z] += lattice.expected(list(w[b.column(1 + z).to_numpy(zero_copy_only=False) > 0]), log_p)
+            member = np.stack([b.column(1 + z).to_numpy(zero_copy_only=False) for z in range(classes)]).astype(bool)
+            total += lattice.expected_in(b.column(0).to_pylist(), member, log_p)
         z, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(at), pa.array(total[z, at])], names=["z", "piece", "n"])
 
-    seen = words.where("word != X''").select("word", *[f"c{z}" for z in range(classes)])
-    got = seen.mapInArrow(run, "z long, piece long, n double").groupBy("z", "piece").agg(F.sum("n").alias("n")).toPandas()
+    got = words.mapInArrow(run, "z long, piece long, n double").groupBy("z", "piece").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((classes, len(pieces)), 0.1)  # no piece becomes impossible
     counts[got.z.to_numpy(np.int64), got.piece.to_numpy(np.int64)] += got.n.to_numpy()
     return list(np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
+def learned_weights(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, classes: int) -> list[np.ndarray]:
+    """ROUNDS re-estimations over all distinct training words, and one over those of each class."""
+    counts = [F.col(f"c{z}") > 0 for z in range(classes)]
+    seen = words.where((F.col("word") != F.lit(b"")) & reduce(or_, counts))
+    for _ in range(ROUNDS):
+        log_p = piece_weights(seen.select("word", F.lit(True).alias("c")), pieces, log_p)[0]
+    return piece_weights(seen.select("word", *[c.alias(f"c{z}") for z, c in enumerate(counts)]), pieces, log_p)
+
+
 class Discounts:
     """Of one class: what counts of one, two and more lose, and the weight of entering the pieces."""
 
@@ -275,8 +317,7 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
         z = z.when(F.col("lang") == name, i)
     pieces, log_p = read_pieces(path)
     words = settle(count_words(docs.select("t", z.otherwise(len(names)).alias("z")), len(share)))
-    trained = words.select("word", sum((F.col(f"c{i}") for i in classes), F.lit(0)).alias("n"))
-    weights = piece_weights(words, pieces, first_weights(trained, pieces, log_p), len(share))
+    weights = learned_weights(words, pieces, log_p, len(share))
     in_class = ", ".join(f"c{i} long" for i in classes)
     by_pieces = ", ".join(f"p{i} float" for i in classes)
 

@@ -204,6 +204,16 @@ def test_lattice_sums_all_segmentations():
     assert expected[-1] == 2 and expected.sum() > 4
 
 
+def test_lattice_of_short_words(monkeypatch):
+    pieces, log_p = lattice.read_pieces(PIECES)
+    la = lattice.Lattice(pieces, [log_p])
+    words = [b"nation", b"the", "über".encode(), b"", b"characteristics", b"x%q", b"a" * 30]
+    short = la.log10(words), la.expected(words, log_p)
+    monkeypatch.setattr(lattice.Lattice, "_short", lambda *_: False)
+    for a, b in zip(short, (la.log10(words), la.expected(words, log_p)), strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
 def test_lattice_base_and_shape(spark, monkeypatch):
     monkeypatch.setattr(lattice, "MOST_SENT", 200)  # so that most words are joined
     docs = odd_docs(spark)
@@ -221,6 +231,21 @@ def test_lattice_base_and_shape(spark, monkeypatch):
     assert all(a[6] < 0 for a in got)
 
 
+def test_lattice_weights_see_all_words(spark):
+    pieces, log_p = lattice.read_pieces(PIECES)
+    words = [b"nation", b"the", b"there", "über".encode(), b"rate", b"ration", b"other"]
+    in_class = [[1, 1, 0, 0, 1, 2, 0], [0, 3, 1, 1, 0, 1, 0]]
+    table = spark.createDataFrame([(bytearray(w), 5, *c) for w, *c in zip(words, *in_class, strict=True)] + [(bytearray(), 9, 4, 4)], "word binary, n long, c0 long, c1 long")
+    want = log_p
+    step = lambda some, p: (lambda n: np.log(n / n.sum()))(lattice.Lattice(pieces, [p]).expected(some, p) + 0.1)
+    for _ in range(4):
+        want = step([w for w, a, b in zip(words, *in_class, strict=True) if a or b], want)
+    want = [step([w for w, n in zip(words, c, strict=True) if n], want) for c in in_class]
+    got = lattice.learned_weights(table.repartition(3), pieces, log_p, 2)
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+
+
 def test_lattice_of_nothing(spark):
     assert lattice.op1_lattice_likelihood(empty_docs(spark), PIECES).count() == 0
     untrained = odd_docs(spark).where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
