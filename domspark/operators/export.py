@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .review import clean_records
 
+ROWS_PER_FILE = 200_000
+
 
 def _json(s: Column) -> Column:
     """A JSON string."""
@@ -46,8 +48,9 @@ def text_rows(store: DataFrame, title: str) -> DataFrame:
     return total.select(F.lit(0).alias("part"), "ord", F.concat(F.lit(f"{title}\n{rule}\n\nTotal Locators: "), F.col("n").cast("string"), F.lit("\n")).alias("row")).union(body)
 
 
-def write_rows(rows: DataFrame, path: str, files: int = 1) -> None:
-    """Ordered text files whose contents follow each other; files: how many."""
+def write_rows(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Ordered text files whose contents follow each other; files: how many, by default one for each ROWS_PER_FILE rows."""
+    files = files or max(1, -(-rows.count() // ROWS_PER_FILE))
     rows.repartitionByRange(files, "part", "ord").sortWithinPartitions("part", "ord").select("row").write.mode("overwrite").text(path)
 
 

@@ -62,6 +62,15 @@ def test_json_export(found, tmp_path):
     assert export.json_rows(store.limit(0)).count() == 0
 
 
+def test_export_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 100, raising=False)
+    rows = spark.range(1000).selectExpr("1 AS part", "id AS ord", "cast(id AS string) AS row").repartition(3)
+    export.write_rows(rows, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 5
+    assert "".join(p.read_text() for p in files).split() == [str(i) for i in range(1000)]
+
+
 def test_text_export(found):
     store = E.upsert(None, found[1])
     rows = [r.row for r in export.text_rows(store, "Report").orderBy("part", "ord").collect()]
