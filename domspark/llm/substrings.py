@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, settle, small_batches, whole_text
+from .passages import rows_with_passages
 from .shingles import mix
 from .suffix import deep_shallow_sort
+from .windows import least_of_windows
 
 LENGTH = 400
 GRAM = 32
@@ -73,18 +75,6 @@ class Hashes:
         return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[:n])
 
 
-def _least(values: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w neighbouring values."""
-    n = len(values)
-    blocks = -(-n // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = values
-    table = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(table, axis=1).ravel()
-    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-
-
 def spans(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """For runs of texts: text, anchor's place, bytes to its left, bytes from it to the right, anchor's hash, hash of all."""
     at = 0
@@ -103,7 +93,7 @@ def spans(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterato
         g = h.grams(gram)
         bits = max(_BITS, int(size).bit_length())
         order = (g >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(g), dtype=np.uint64)
-        anchor = (_least(order, length - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        anchor = (least_of_windows(order, length - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
         doc = np.repeat(np.arange(len(own)), sizes)[: len(anchor)]
         inside = np.arange(len(anchor)) + length <= (begin + sizes)[doc]
         start = np.flatnonzero(inside)
@@ -283,17 +273,20 @@ def covered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage and the kept bytes for each row of docs.
 
-    A null text is empty; texts of fewer than LENGTH bytes lose nothing. A repeated row repeats all its strings. Null ids
-    stay null. Other columns are not read.
+    passage: 1 if the text holds a passage of more than 50 words that a row of another id or text holds too, however few
+    bytes it has; else 0. Nothing is removed for that alone. A null text is empty; texts of fewer than LENGTH bytes lose
+    nothing. A repeated row repeats all its strings. Null ids stay null. Other columns are not read.
     """
     docs = docs.select("doc_id", whole_text(text).alias("t")).withColumn("row", F.xxhash64("doc_id", "t"))
     # Rows equal in id and text are one row to the joins, but each counts as an occurrence.
     found, size = covered(docs)
     cuts = settle(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")), size)
-    few = cuts.count() <= MOST_CUTS
-    joined = docs.join(F.broadcast(cuts) if few else cuts, "row", "left").select("doc_id", "t", "cuts")
+    marks = rows_with_passages(docs, docs.count()).select("row", F.lit(1).alias("passage"))
+    marks = settle(cuts.join(marks, "row", "full"), size)
+    few = marks.count() <= MOST_CUTS
+    joined = docs.join(F.broadcast(marks) if few else marks, "row", "left").select("doc_id", "t", "cuts", F.coalesce("passage", F.lit(0)).alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, _ROWS):
@@ -314,10 +307,11 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
                 kept = b"".join(kept)
                 out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "passage"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, passage int")
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:

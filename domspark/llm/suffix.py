@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that the multikey sort looks at before blind tries take over.
+#: Bytes that the multikey quicksort looks at, eight at a time, before blind tries take over.
 SHALLOW = 32
 
 
@@ -62,6 +62,38 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
+def multikey_quicksort(keys: np.ndarray, words: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of keys within their groups by their first words, and numbers of the ties that are left.
+
+    All segments are parted at once around a pivot of their own into less, equal and greater; equal rows go on with the
+    next word, until a segment has one row or the words are used up.
+    """
+    order, segment = np.arange(len(keys)), np.unique(group, return_inverse=True)[1] if len(keys) else group.astype(np.int64)
+    depth = np.zeros(int(segment.max(initial=-1)) + 1, np.int64)
+    while True:
+        size = np.bincount(segment, minlength=len(depth))
+        active = (size > 1) & (depth < words)
+        if not active.any():
+            return order, segment
+        at = np.flatnonzero(active[segment])
+        own = segment[at]
+        key = keys[order[at], depth[own]]
+        first = np.cumsum(size) - size
+        middle = first + size // 2
+        pivot = np.zeros(len(depth), np.uint64)
+        pivot[active] = keys[order[middle[active]], depth[active]]
+        side = np.where(key < pivot[own], 0, np.where(key == pivot[own], 1, 2))
+        part = np.full(len(order), 1)
+        part[at] = side
+        step = at[np.argsort(3 * own + side, kind="stable")]
+        order[at], part[at] = order[step], part[step]
+        both = 3 * segment + part
+        edge = np.concatenate(([True], both[1:] != both[:-1]))
+        parent, equal = segment[edge], part[edge] == 1
+        depth = depth[parent] + (equal & active[parent])
+        segment = np.cumsum(edge) - 1
+
+
 def deep_shallow_sort(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings within their groups, and how many first bytes each shares with the one before it.
 
@@ -69,19 +101,10 @@ def deep_shallow_sort(rows: np.ndarray, size: np.ndarray, group: np.ndarray) ->
     shared length is -1.
     """
     n, width = rows.shape
-    order = np.arange(n)
-    tied = group.copy()
     words = -(-min(width, SHALLOW) // 8)
     padded = np.zeros((n, max(1, -(-width // 8)) * 8), np.uint8)
     padded[:, :width] = rows
-    keys = padded.view(">u8").astype(np.uint64)
-    # Shallow: rows that are still tied are parted by their next eight bytes.
-    for w in range(words):
-        step = np.lexsort((keys[order, w], tied))
-        order, tied = order[step], tied[step]
-        k = keys[order, w]
-        new = np.concatenate(([True], (tied[1:] != tied[:-1]) | (k[1:] != k[:-1])))[:n]
-        tied = np.cumsum(new) - 1
+    order, tied = multikey_quicksort(padded.view(">u8").astype(np.uint64), words, group)
     # Deep: what is left shares a long prefix; a blind trie orders each such group.
     if width > SHALLOW and n:
         edge = np.flatnonzero(np.concatenate(([True], tied[1:] != tied[:-1], [True])))

@@ -164,10 +164,54 @@ def test_substrings(spark, which):
     else:
         rows = passages()
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = collections.Counter(tuple(r) for r in substrings.op7_substring_dedup(docs).collect())
+    got = collections.Counter(tuple(r)[:5] for r in substrings.op7_substring_dedup(docs).collect())
     assert got == plain_cuts(rows)
 
 
+def test_substrings_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    part = make(5_000)
+    rows = [(1, make(200_000) + part + make(150_000)), (2, part), (3, "ab" * 60_000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.op7_substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (5_000, 1), 2: (5_000, 1), 3: (120_000, 1)}
+
+
+def plain_shared(rows, n=51):
+    """Which rows share a window of n words with a row of another id or text."""
+    own = collections.defaultdict(set)
+    windows = []
+    for d, t in rows:
+        w = plain_words(t)
+        windows.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+        for x in windows[-1]:
+            own[x].add((d, t))
+    return collections.Counter((d, int(any(len(own[x]) > 1 for x in of))) for (d, _), of in zip(rows, windows, strict=True))
+
+
+def worded_passages():
+    """Texts that share passages of 40 to 90 words: in foreign text, in copies, in each other's parts, and periodic ones."""
+    rng = random.Random(11)
+    make = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(n))
+    shared = [make(n) for n in (40, 50, 51, 52, 60, 75, 90)]
+    rows = []
+    for d in range(90):
+        s = rng.choice(shared).split()
+        cut = rng.randint(0, max(0, len(s) - 51))
+        rows.append((d, " ".join([make(rng.randint(0, 70)), *s[cut : cut + rng.randint(46, 90)], make(rng.randint(0, 70))])))
+    base = make(300)
+    rows += [(200 + i, base.replace(" a1 ", f" z{i} ") + " " + make(60)) for i in range(6)]
+    alone = make(55)
+    rows += [(300, "of " * 80), (301, "of " * 50), (302, "of " * 51 + make(30)), (303, alone + " " + alone), (304, None), (305, ""), (306, shared[5].upper()), (None, shared[6]), (307, make(50)), (307, "x " + alone.replace(" ", "\n"))]
+    return rows
+
+
+def test_rows_with_passages(spark):
+    for rows in (worded_passages(), [(i, t) for i, t, *_ in odd_rows()]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert collections.Counter((r.doc_id, r.passage) for r in substrings.op7_substring_dedup(docs).collect()) == plain_shared(rows)
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.op7_substring_dedup(empty_docs(spark)).count() == 0
 
@@ -184,7 +228,7 @@ def test_substrings_of_a_crowded_core(spark, monkeypatch):
     monkeypatch.setattr(substrings, "_resolve", lambda parts: most.append(parts.groupBy("core").count().agg({"count": "max"}).first()[0] or 0) or resolve(parts))
     monkeypatch.setattr(substrings, "MOST_ROWS", 6, raising=False)
     monkeypatch.setattr(substrings, "MOST_SENT", 500)  # so that windows are counted both ways
-    got = collections.Counter(tuple(r) for r in substrings.op7_substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    got = collections.Counter(tuple(r)[:5] for r in substrings.op7_substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == plain_cuts(rows)
     assert max(most) <= 6
 
