@@ -1,9 +1,14 @@
 """Secret scans: three base patterns, and literals that flow to sensitive names in source or configuration syntax.
 
-A text is lexed into name-literal pairs around its assignment signs (=, :, :=, =>): the name before the sign, behind it
-strings, bare values, names, and sums of those. Names stand for the literals last assigned to them, also when they are
-assigned further down, so that a constant is followed to where it is used. A literal is scored by the names it reaches
-and by its own form; from a least score on its span is reported as a "literal", unless a base span covers it.
+A text is lexed into strings (with escapes; triple-quoted and back-quoted ones over lines), comments and assignment signs
+(=, :, :=, =>, +=); signs in strings count for nothing. Each sign gives a name (before it; a quoted key too) and its terms
+(behind it: strings, bare values, names, and sums of those). Comments are read the same way, with names of their own.
+
+Constants are propagated in order: a name stands for what was last assigned to it, += adds to it, and a name that is only
+assigned further down stands for its first assignment there. So assignments point to assignments; from the most sensitive
+names down, each is visited once and passes its score on to its literals. A literal with a sensitive name's score and
+enough of a secret's form (LEAST_SCORE in all) is reported as "literal", unless a base span covers it. By the form, literals
+of fewer than 6 characters, with blanks, or that are placeholders are none.
 
 Defined results: a null or empty text has no spans; repeated rows each give their own result; other columns are not read.
 """
@@ -13,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +40,12 @@ NAME_SCORE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|0+|change_?me|example|placeholder|your[_-].*|none|null|true|false|todo|test|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w*\)?s?)$")
 LEAST_SCORE = 5
 
-_SIGN = re.compile(r":=|=>|==|!=|<=|>=|[=:]")
-_TERM = re.compile(r"""\s*(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<name>[A-Za-z_$][\w.$]*)(?![\w+/=-])|(?P<bare>[\w+/=.$-]+))""", re.A)
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*|[ \t]+(?=[\"'])")
+_STRING = r"""(?P<string>\"{3}[\s\S]*?(?:\"{3}|\Z)|'{3}[\s\S]*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\[\s\S])*"|(?<!\w)'(?:[^'\\\n]|\\[\s\S])*'|(?<!\w)`(?:[^`\\]|\\[\s\S])*`)"""
+_SIGN = r"(?P<sign>:=|=>|\+=|[=!<>]=+|=|:)"
+_COMMENT = r"(?P<comment>(?:^|(?<=\s))\#[^\n]*|(?<![:\w])//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"
+_CODE, _REMARK = re.compile(f"{_COMMENT}|{_STRING}|{_SIGN}", re.A | re.M), re.compile(f"{_STRING}|{_SIGN}", re.A)
+_TERM = re.compile(rf"(?:[ \t(]|\\\n)*(?:{_STRING}|(?P<name>[A-Za-z_$][\w.$]*)(?![\w+/=-])|(?P<bare>[\w+/=.$-]+))", re.A)
+_PLUS = re.compile(r"[ \t]*(?:\+(?!=)|\.\.|&)[ \t]*\n?|[ \t]+(?=[\"'])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -67,51 +77,92 @@ def _name_before(text: str, at: int) -> str:
     return text[at:end].strip("-.")
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Names, and the terms assigned to each: ("name" or "literal", start, end)."""
-    out = []
-    for sign in _SIGN.finditer(text):
-        if sign[0] in ("==", "!=", "<=", ">="):
-            continue
-        name = _name_before(text, sign.start())
-        if not name or not (name[0].isalpha() or name[0] in "_$"):
-            continue
-        at, terms = sign.end(), []
-        line = text.find("\n", at)
-        line = len(text) if line < 0 else line
-        while term := _TERM.match(text, at, line):
-            kind = term.lastgroup
-            terms.append(("name" if kind == "name" else "literal", *term.span(kind)))
-            if not (plus := _PLUS.match(text, term.end(), line)):
-                break
-            at = plus.end()
-        if terms:
-            out.append((name, terms))
-    return out
-
-
-def flows(found: list[tuple[str, list[tuple[str, int, int]]]], text: str) -> dict[tuple[int, int], int]:
-    """Spans of literals, and the best score of a name that each reaches."""
-    reach: dict[str, int] = {}
-    sources: dict[str, set[str]] = {}
-    for name, terms in found:
-        reach[name] = max(reach.get(name, 0), name_score(name))
-        for kind, a, b in terms:
-            if kind == "name":
-                sources.setdefault(text[a:b], set()).add(name)
-    todo = list(sources)
-    while todo:  # a name scores as the best name that it is assigned to
-        name = todo.pop()
-        best = max(reach.get(x, 0) for x in sources[name])
-        if best > reach.get(name, 0):
-            reach[name] = best
-            todo += [x for x, to in sources.items() if any(y == name for y in to)]
-    out: dict[tuple[int, int], int] = {}
-    for name, terms in found:
+Terms = list[tuple[str, int, int]]
+
+
+def _inner(text: str, a: int, b: int) -> tuple[int, int]:
+    """A string's place without its quotes."""
+    k = 3 if b - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1
+    return a + k, max(a + k, b - k if text[b - k : b] == text[a : a + k] else b)
+
+
+def pairs(text: str) -> tuple[list[tuple[str, bool, Terms]], list[tuple[str, bool, Terms]]]:
+    """The assignments in code, and those in comments: names, whether they add, and the terms ("name" or "literal", start, end)."""
+    remarks: list[tuple[int, int]] = []
+
+    def read(pattern: re.Pattern, start: int, end: int) -> Iterator[tuple[str, bool, Terms]]:
+        last = (-1, -1)  # the last string
+        done = start  # signs before this place belong to a term
+        for m in pattern.finditer(text, start, end):
+            if m.lastgroup == "comment":
+                remarks.append(m.span())
+                continue
+            if m.lastgroup == "string":
+                last = m.span()
+                continue
+            if m[0] not in ("=", ":", ":=", "=>", "+=") or m.start() < done:
+                continue
+            key = _key_before(text, m.start(), last)
+            if not key or not (key[0].isalpha() or key[0] in "_$"):
+                continue
+            at, terms = m.end(), []
+            while term := _TERM.match(text, at, end):
+                kind = term.lastgroup
+                a, b = term.span(kind)
+                terms.append(("name", a, b) if kind == "name" else ("literal", *(_inner(text, a, b) if kind == "string" else (a, b))))
+                done = term.end()
+                if not (plus := _PLUS.match(text, term.end(), end)):
+                    break
+                at = plus.end()
+            if terms:
+                yield key, m[0] == "+=", terms
+
+    code = list(read(_CODE, 0, len(text)))
+    return code, [x for a, b in remarks for x in read(_REMARK, a, b)]
+
+
+def _key_before(text: str, at: int, last: tuple[int, int]) -> str:
+    """The name before a sign; a string's content if that stands there."""
+    end = at
+    while end and text[end - 1] in " \t])":
+        end -= 1
+    return text[slice(*_inner(text, *last))].strip() if last[1] == end > 0 else _name_before(text, at)
+
+
+def flows(found: list[tuple[str, bool, Terms]], text: str) -> dict[tuple[int, int], int]:
+    """Spans of literals, and the best score of a name that each reaches. Linear in the number of terms."""
+    first: dict[str, int] = {}
+    for i, (name, _, _) in enumerate(found):
+        first.setdefault(name, i)
+    now: dict[str, int] = {}
+    sources: list[list[int]] = []
+    literals: list[list[tuple[int, int]]] = []
+    for i, (name, adds, terms) in enumerate(found):
+        to, own = [], []
         for kind, a, b in terms:
+            used = now.get(text[a:b], first.get(text[a:b])) if kind == "name" else None
             # A bare word that names nothing here is a value, as configuration files have them.
-            if kind == "literal" or text[a:b] not in reach:
-                out[a, b] = max(out.get((a, b), 0), reach[name])
+            if used is None:
+                own.append((a, b))
+            else:
+                to.append(used)
+        if adds and name in now:
+            to.append(now[name])
+        sources.append(to)
+        literals.append(own)
+        now[name] = i
+    out: dict[tuple[int, int], int] = {}
+    seen = bytearray(len(found))
+    scores = [name_score(name) for name, _, _ in found]
+    for score in range(max(scores, default=0), -1, -1):
+        todo = [i for i, s in enumerate(scores) if s == score]
+        while todo:
+            i = todo.pop()
+            if not seen[i]:
+                seen[i] = 1
+                todo += sources[i]
+                for span in literals[i]:
+                    out[span] = max(out.get(span, 0), score)
     return out
 
 
@@ -130,11 +181,15 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     """The base spans and those of literals that flow to sensitive names."""
     if "=" not in text and ":" not in text:
         return base
-    more = []
-    for (a, b), score in flows(pairs(text), text).items():
-        if score and score + literal_score(text[a:b]) >= LEAST_SCORE and not any(s <= a and b <= e for s, _, e in base):
-            more.append((a, 3, b))
-    return sorted(base + more)
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))  # the furthest end of the spans up to each
+    more: set[tuple[int, int, int]] = set()
+    for found in pairs(text):
+        for (a, b), score in flows(found, text).items():
+            k = bisect_right(starts, a)
+            if score and score + literal_score(text[a:b]) >= LEAST_SCORE and not (k and ends[k - 1] >= b):
+                more.add((a, 3, b))
+    return sorted([*base, *more])
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
@@ -172,14 +227,15 @@ def scan(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
 
 
 def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", mark: str = "[secret]") -> DataFrame:
-    """docs with the mark in place of each span of its texts, and the texts' new lengths; a null text stays null."""
-    at, n_at = docs.columns.index(text), docs.columns.index(length)
+    """docs with the mark in place of each span of its texts, and, where docs has that column, the texts' new lengths; a null text stays null."""
+    at, n_at = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t if t is None else redacted(t, all_spans(t, base_spans(t)), mark) for t in batch.column(at).to_pylist()]
         columns = [*batch.columns]
         columns[at] = pa.array(texts, batch.schema.field(at).type)
-        columns[n_at] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(n_at).to_pylist(), strict=True)], batch.schema.field(n_at).type)
+        if n_at is not None:
+            columns[n_at] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(n_at).to_pylist(), strict=True)], batch.schema.field(n_at).type)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return map_rows(docs, change)

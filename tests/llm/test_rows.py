@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -155,6 +156,20 @@ def test_secret_base(spark, small):
         ('password = "${PASS}"', []),
         ('greeting = "hello-there-World-12"', []),
         ("x == 'Zx81mQpL0aVn22'", []),
+        ('k = "Aa11Bb22Cc33Dd"\nk = "Zx81mQpL0aVn22"\npassword = k', ["Zx81mQpL0aVn22"]),
+        ('k = "Aa11Bb22Cc33Dd"\nk += "Zx81mQpL0aVn22"\npassword = k', ["Aa11Bb22Cc33Dd", "Zx81mQpL0aVn22"]),
+        ('password = k\nk = "Aa11Bb22Cc33Dd"\nk = "Zx81mQpL0aVn22"', ["Aa11Bb22Cc33Dd"]),
+        ("say = \"my auth_key = 'Zx81mQpL0aVn22' is\"", []),
+        ("# auth_key = k\nk = 'Zx81mQpL0aVn22'", []),
+        ("# k = 'Zx81mQpL0aVn22'\n# bearer_auth = k", ["Zx81mQpL0aVn22"]),
+        ("/* k = 'Zx81mQpL0aVn22'\n*/ credential = k", []),
+        ('pwd = """\nx = \'Zx81mQpL0aVn22\'\n"""', []),
+        ('pwd = """Zx81mQpL0aVn22"""', ["Zx81mQpL0aVn22"]),
+        ('pwd = (\\\n"Zx81mQpL0aVn22" +\n "Aa11Bb22Cc33Dd")', ["Zx81mQpL0aVn22", "Aa11Bb22Cc33Dd"]),
+        ('{"url": "http://a.b/c", "auth-key": "Zx81mQpL0aVn22"}', ["Zx81mQpL0aVn22"]),
+        ("config['credential'] = 'Zx81mQpL0aVn22'", ["Zx81mQpL0aVn22"]),
+        ("it's the users' pwd: 'Zx81mQpL0aVn22'", ["Zx81mQpL0aVn22"]),
+        ('a = b\nb = a\nb = "Zx81mQpL0aVn22"\npwd = b', ["Zx81mQpL0aVn22"]),
     ],
 )
 def test_secret_literals(text, found):
@@ -163,6 +178,50 @@ def test_secret_literals(text, found):
     assert all(f not in secrets.redacted(text, spans, "[s]") for f in found)
 
 
+def plain_reach(lines):
+    """The literals (by number) that reach a name with the part pwd, by following each literal through all later and earlier lines."""
+    def stands_for(i, name):
+        before = [j for j in range(i) if lines[j][0] == name]
+        after = [j for j in range(i, len(lines)) if lines[j][0] == name]
+        return before[-1] if before else after[0] if after else None
+
+    out = set()
+    for start in range(len(lines)):
+        seen, todo = set(), [start]
+        while todo:
+            i = todo.pop()
+            if i in seen:
+                continue
+            seen.add(i)
+            todo += [j for j in range(len(lines)) for t in lines[j][2] if isinstance(t, str) and stands_for(j, t) == i]
+            todo += [j for j in range(i + 1, len(lines)) if lines[j][1] and lines[j][0] == lines[i][0] and stands_for(j, lines[j][0]) == i]
+        if any("pwd" in lines[i][0] for i in seen):
+            out |= {t for t in lines[start][2] if isinstance(t, int)}
+    return out
+
+
+def test_secret_flows():
+    rng = random.Random(8)
+    names = ["a", "b", "c", "d", "x_pwd", "y_pwd"]
+    for _ in range(400):
+        lines = [(rng.choice(names), rng.random() < 0.2, [rng.choice([rng.choice(names), i * 10 + k]) for k in range(rng.randint(1, 3))]) for i in range(rng.randint(1, 12))]
+        show = lambda t: t if isinstance(t, str) else f'"Zx8mQ-pLaVn{t:03d}"'
+        text = "\n".join(f"{n} {'+=' if adds else '='} {' + '.join(map(show, terms))}" for n, adds, terms in lines)
+        got = {int(text[a:b][-3:]) for a, k, b in secrets.all_spans(text, secrets.base_spans(text)) if k == 3}
+        known = {n for n, _, _ in lines}
+        assert got == plain_reach([(n, adds, [t for t in terms if not isinstance(t, str) or t in known]) for n, adds, terms in lines]), text
+
+
+def test_secrets_of_very_long_texts():
+    chain = "k0 = 'Zx81mQpL0aVn22'\n" + "".join(f"k{i} = k{i - 1}\n" for i in range(1, 20_000)) + "pwd = k19999\n"
+    many = "password=abcdef pwd='Zx81mQpL0aVn22' " * 20_000
+    marks = "/* " * 30_000 + "# " * 30_000 + "' " * 30_000 + '""" ' * 9_999 + "a=" * 30_000 + "x" * 100_000 + " =" * 30_000
+    for text, n in ((chain, 1), (many, 20_000), (marks, 0)):
+        began = time.process_time()
+        assert sum(k == 3 for _, k, _ in secrets.all_spans(text, secrets.base_spans(text))) == n
+        assert time.process_time() - began < 3
+
+
 def plain_edits(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
