@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, scratch, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, root for each node of edges (u, v): root is the least node of its component. rows: about how many nodes.
 
-    Alternates the two star steps of large graphs until nothing changes; each result is written to the shared folder.
+    Alternates the two star steps of large graphs until nothing changes; each result is written to the shared folder, and
+    the one before it deleted.
     """
-    now = settle(edges.select("u", "v").where("u <> v").distinct(), rows)
-    before = None
-    while True:
-        now = settle(_star(_star(now, True), False), rows)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    with scratch():
+        now, before = settle(edges.select("u", "v").where("u <> v").distinct(), rows), None
+        while True:
+            half = settle(_star(now, True), rows)
+            new = settle(_star(half, False), rows)
+            discard(half)
+            discard(now)
+            now = new
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        return settle(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct()), rows, outer=True)

@@ -3,11 +3,12 @@
 Passages are windows of WORDS words (A-Z lowered). As with substrings, windows are tied to their least gram, the anchor:
 equal windows have equal anchors at equal places. The windows of a text that share an anchor are a span.
 
-1. Spans of equal anchor, reach and words are one class, kept as hashes with its least and greatest row. A class that two
-   rows have settles its rows.
-2. A row without such a class may still share some windows of a span. Its spans whose anchor other rows have are opened,
-   and all other spans of these anchors with them: each window's hash is counted by its least and greatest row. The short
-   passages that documents share among foreign text are found here.
+1. Spans whose anchor no other row has are dropped.
+2. Of the rest, spans of equal words are one class, with its least and greatest row. A class that two rows have settles
+   its rows.
+3. A row without such a class may still share some windows of a span. Its spans are opened, and all other spans of their
+   anchors with them: each window's hash is counted by its least and greatest row. The short passages that documents share
+   among foreign text are found here.
 
 All groups are reduced to two rows before they are shuffled, so that no passage is too common.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle
+from .common import pieces, scratch, settle
 from .shingles import mix, word_hashes
 from .windows import least_of_windows
 
@@ -112,23 +113,22 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "w long, row long")
 
 
-def rows_with_passages(docs: DataFrame, size: int) -> DataFrame:
-    """row of those docs (row, t) that share a passage with another row; size: about how many rows docs has."""
-    found = settle(_spans_table(docs).withColumn("class", F.xxhash64("anchor", "whole", "left", "right")), 8 * size)
-    classes = found.groupBy("class", "anchor").agg(F.min("row").alias("a"), F.max("row").alias("b"))
-    classes = settle(classes, 8 * size)
-    settled = settle(found.join(classes.where("a < b").select("class"), "class", "left_semi").select("row").distinct(), size)
-
-    # Anchors that several rows have, one of them by a class of its own and not settled.
-    mixed = classes.groupBy("anchor").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("k")).where("a < b and k > 1").select("anchor")
-    single = classes.where("a = b").join(mixed, "anchor", "left_semi").select("anchor", F.col("a").alias("row"))
-    anchors = settle(single.join(settled, "row", "left_anti").select("anchor").distinct(), size)
-    # One occurrence of each class is enough, and of a class that two rows have, its least and greatest row stand for all.
-    witness = classes.join(anchors, "anchor", "left_semi").select("class", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
-    opened = found.join(witness, ["class", "row"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "left", "right")).alias("spans"))
-    texts = docs.select("row", "t").join(settle(opened, size), "row").dropDuplicates(["row"])
-    windows = settle(_windows(texts.select("row", "t", "spans")), 8 * size)
-    shared = windows.groupBy("w").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("w")
-    # The rows that are settled stand for others only.
-    late = windows.join(settled, "row", "left_anti").join(shared, "w", "left_semi").select("row").distinct()
-    return settled.union(late)
+def rows_with_passages(docs: DataFrame) -> DataFrame:
+    """row of those docs (row, t) that share a passage with another row."""
+    with scratch():
+        every = settle(_spans_table(docs))
+        size = every.count()
+        common = every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
+        found = settle(every.join(common, "anchor", "left_semi"), size)
+        classes = settle(found.groupBy("whole", "anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")), size)
+        settled = settle(found.join(classes.where("a < b").select("whole"), "whole", "left_semi").select("row").distinct(), size)
+        anchors = settle(found.join(settled, "row", "left_anti").select("anchor").distinct(), size)
+        # Of a class that several rows have, its least and greatest row stand for all.
+        witness = classes.join(anchors, "anchor", "left_semi").select("whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
+        opened = found.join(witness, ["whole", "row"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "left", "right")).alias("spans"))
+        texts = docs.select("row", "t").join(settle(opened, size), "row").dropDuplicates(["row"])
+        windows = settle(_windows(texts.select("row", "t", "spans")), size)
+        shared = windows.groupBy("w").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("w")
+        # The rows that are settled stand for others only.
+        late = windows.join(settled, "row", "left_anti").join(shared, "w", "left_semi").select("row").distinct()
+        return settle(settled.union(late), size, outer=True)

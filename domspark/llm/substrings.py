@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, small_batches, whole_text
+from .common import pieces, scratch, settle, small_batches, whole_text
 from .passages import rows_with_passages
 from .shingles import mix
 from .suffix import deep_shallow_sort
@@ -281,10 +281,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.select("doc_id", whole_text(text).alias("t")).withColumn("row", F.xxhash64("doc_id", "t"))
     # Rows equal in id and text are one row to the joins, but each counts as an occurrence.
-    found, size = covered(docs)
-    cuts = settle(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")), size)
-    marks = rows_with_passages(docs, docs.count()).select("row", F.lit(1).alias("passage"))
-    marks = settle(cuts.join(marks, "row", "full"), size)
+    with scratch():
+        with scratch():
+            found, size = covered(docs)
+            cuts = settle(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")), size, outer=True)
+        marks = rows_with_passages(docs).select("row", F.lit(1).alias("passage"))
+        marks = settle(cuts.join(marks, "row", "full"), size, outer=True)
     few = marks.count() <= MOST_CUTS
     joined = docs.join(F.broadcast(marks) if few else marks, "row", "left").select("doc_id", "t", "cuts", F.coalesce("passage", F.lit(0)).alias("passage"))
 
