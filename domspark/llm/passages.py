@@ -10,7 +10,8 @@ equal windows have equal anchors at equal places. The windows of a text that sha
    anchors with them: each window's hash is counted by its least and greatest row. The short passages that documents share
    among foreign text are found here.
 
-All groups are reduced to two rows before they are shuffled, so that no passage is too common.
+All groups are reduced to two rows before they are shuffled, so that no passage is too common. Joins are merges at every
+size, so that the job behaves on little data as on much.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .windows import least_of_windows
 #: The least length of a passage: more than 50 words.
 WORDS = 51
 GRAM = 8
+#: Ids of texts are sent to all tasks up to this many; beyond, they are joined by a shuffle.
+MOST_SENT = 1_000_000
 _ROWS = 1_000
 _CHUNK = 1 << 19
 _BITS = 24  # of a place in a chunk of words
@@ -119,16 +122,18 @@ def rows_with_passages(docs: DataFrame) -> DataFrame:
         every = settle(_spans_table(docs))
         size = every.count()
         common = every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
-        found = settle(every.join(common, "anchor", "left_semi"), size)
+        found = settle(every.join(common.hint("merge"), "anchor", "left_semi"), size)
         classes = settle(found.groupBy("whole", "anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")), size)
-        settled = settle(found.join(classes.where("a < b").select("whole"), "whole", "left_semi").select("row").distinct(), size)
-        anchors = settle(found.join(settled, "row", "left_anti").select("anchor").distinct(), size)
+        settled = settle(found.join(classes.where("a < b").select("whole").hint("merge"), "whole", "left_semi").select("row").distinct(), size)
+        anchors = settle(found.join(settled.hint("merge"), "row", "left_anti").select("anchor").distinct(), size)
         # Of a class that several rows have, its least and greatest row stand for all.
-        witness = classes.join(anchors, "anchor", "left_semi").select("whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
-        opened = found.join(witness, ["whole", "row"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "left", "right")).alias("spans"))
-        texts = docs.select("row", "t").join(settle(opened, size), "row").dropDuplicates(["row"])
+        witness = classes.join(anchors.hint("merge"), "anchor", "left_semi").select("whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
+        opened = found.join(witness.hint("merge"), ["whole", "row"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "left", "right")).alias("spans"))
+        opened = settle(opened, size)
+        ids = F.broadcast(opened.select("row")) if opened.count() <= MOST_SENT else opened.select("row")
+        texts = docs.select("row", "t").join(ids, "row", "left_semi").dropDuplicates(["row"]).join(opened.hint("merge"), "row")
         windows = settle(_windows(texts.select("row", "t", "spans")), size)
         shared = windows.groupBy("w").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("w")
         # The rows that are settled stand for others only.
-        late = windows.join(settled, "row", "left_anti").join(shared, "w", "left_semi").select("row").distinct()
+        late = windows.join(settled.hint("merge"), "row", "left_anti").join(shared.hint("merge"), "w", "left_semi").select("row").distinct()
         return settle(settled.union(late), size, outer=True)
