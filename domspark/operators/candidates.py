@@ -16,11 +16,11 @@ def is_candidate() -> Column:
 
 
 def described(nodes: DataFrame, quirks: bool = True) -> DataFrame:
-    """nodes dealt by page, with etext, norm (as XPath sees the text), name, classes and candidate."""
-    out = nodes.repartition("page_id")
-    etext = element_text(F.col("direct_text"), F.col("text"), F.col("n_child"))
-    out = out.withColumns({"etext": etext, "norm": xpath_normalize(F.coalesce("text", F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
-    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), F.col("text"), F.col("etext"), quirks))
+    """nodes with etext, norm (as XPath sees the text), name, classes and candidate."""
+    text = F.coalesce("text", "brief")
+    etext = element_text(F.col("direct_text"), text, F.col("n_child"))
+    out = nodes.withColumns({"etext": etext, "norm": xpath_normalize(F.coalesce(text, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
+    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), text, F.col("etext"), quirks))
 
 
 def chosen(described: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Locators of elements: nine strategies, each kept where it finds exactly one element of its page.
 
-All locators come from a closed grammar, so that uniqueness needs no selector engine: equal keys are counted by windows
-over the page, and the shapes that compare by containment scan the page's elements of the same tag. Everything works on
-one partitioning by page; the only other shuffle is that of the sibling strategy's counts.
+Each candidate gives its possible locators as rows, with the question that each asks (see matching). All questions are
+counted at once by keys; rows whose question finds one element stay. So nothing on a page is compared with everything
+else on it, and no row holds more than its own element.
 """
 
 from __future__ import annotations
@@ -12,32 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions.locators import PREFERRED, attribute, css_of, is_dynamic, stability, stable_attribute, xpath_of
 from ..functions.text import css_escape, filled, xpath_literal
+from ..shared import settle
 from .candidates import chosen, described
+from .matching import QUESTION, class_form, counted, forms, question, text_form
 
 LOCATOR = "array<struct<strategy:string,type:string,value:string>>"
+#: What the strategies need of the elements.
+COLUMNS = (
+    "page_id", "nid", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts", "above",
+)
 
 
-def _light() -> Column:
-    return F.col("scope") == -1
+def _text(c: Column) -> Column:
+    return F.concat(F.lit("[normalize-space(.)="), xpath_literal(c), F.lit("]"))
 
 
-def _count(*by: Column | str) -> Column:
-    """Elements of the document that are alike."""
-    return F.sum(F.when(_light(), 1).otherwise(0)).over(Window.partitionBy("page_id", *by))
-
-
-def _loc(strategy: str, kind: str, value: Column, unless: Column | None = None) -> Column:
-    one = F.struct(F.lit(strategy).alias("strategy"), F.lit(kind).alias("type"), value.alias("value"))
-    good = filled(value).isNotNull()
-    return F.when(good if unless is None else good & unless, one)
-
-
-def _hits(peers: Column, test) -> Column:
-    return F.size(F.filter(peers, test))
-
-
-def _key(tag: Column, s: Column, any_id: bool) -> Column:
-    """The key of an anchor struct(attr, value); any_id: CSS asks for an id on any tag."""
+def _form(tag: Column, s: Column, any_id: bool) -> Column:
+    """The form of a stable attribute struct(attr, value); any_id: CSS asks for an id on any tag."""
     as_id = F.concat(F.lit("*") if any_id else tag, F.lit("|id="), s["value"])
     return F.when(s["attr"] == "id", as_id).when(s["attr"] == "class", F.concat(tag, F.lit("|."), s["value"])).otherwise(F.concat(tag, F.lit("|"), s["attr"], F.lit("="), s["value"]))
 
@@ -59,167 +50,150 @@ def _written(s: Column, css: bool) -> Column:
     return F.coalesce(by_id, by_class, F.concat(s["tag"], F.lit("["), s["place"], F.lit("]")), s["tag"])
 
 
-def _fits(s: Column, tag: Column, attrs: Column, classes: Column, idx: Column, css: bool) -> Column:
-    """Whether an element (tag, attrs, ...) fits a step."""
-    token = F.array_contains(classes, s["token"]) if css else F.contains(F.coalesce(F.element_at(attrs, "class"), F.lit("")), s["token"])
-    as_tag = (tag == s["tag"]) & F.when(s["token"].isNotNull(), token).when(s["place"].isNotNull(), idx == s["place"]).otherwise(True)
-    return F.coalesce(F.when(s["id"].isNotNull(), F.element_at(attrs, "id") == s["id"]).otherwise(as_tag), F.lit(False))
-
-
-def _with_peers(d: DataFrame) -> DataFrame:
-    """d with peers: elements of the same tag in the document; and with ids: elements with an id of any tag."""
-    up = F.get(F.col("up"), F.lit(0))
-    peer = F.struct("tag", "norm", "attrs", "classes", "tag_idx", "up_keys", "above_keys", up["tag"].alias("up_tag"), up["attrs"].alias("up_attrs"), up["tag_idx"].alias("up_idx"))
-    d = d.withColumn("peers", F.collect_list(F.when(_light(), peer)).over(Window.partitionBy("page_id", "tag")))
-    return d.withColumn("ids", F.collect_list(F.when(_light() & F.map_contains_key("attrs", "id"), peer)).over(Window.partitionBy("page_id")))
-
+def _step_form(s: Column, css: bool) -> Column:
+    """The form of a step."""
+    token = F.concat(s["tag"], F.lit("|." if css else "|~"), s["token"])
+    return F.coalesce(F.concat(F.lit("*|id="), s["id"]), token, F.concat(s["tag"], F.lit("|:"), s["place"].cast("string")), s["tag"])
 
-def _class_list(attrs: Column) -> Column:
-    return F.split(F.coalesce(F.element_at(attrs, "class"), F.lit("")), r"\s+")
 
+def _try(strategy: str, kind: str, value: Column, when: Column | None = None, own: Column | None = None, rel: str | Column | None = None, akey: Column | None = None, mid: Column | None = None, text: Column | None = None, alt: int = 0) -> Column:
+    """A possible locator; without own it is kept unasked. alt: of those at one place, the first that is unique counts."""
+    nothing = F.lit(None).cast("string")
+    rel = nothing if rel is None else F.lit(rel) if isinstance(rel, str) else rel
+    parts = {"rel": rel, "akey": akey, "mid": mid, "own": own, "text": text}
+    asked = [(nothing if x is None else x).cast("string").alias(k) for k, x in parts.items()]
+    # A text that is asked for at the top level is a form of its own.
+    q = question(rel, akey, mid, own, text) if own is not None else nothing
+    one = F.struct(F.lit(strategy).alias("strategy"), F.lit(kind).alias("type"), value.alias("value"), F.lit(alt).alias("alt"), F.lit(own is None).alias("unasked"), q.alias("q"), *asked)
+    good = filled(value).isNotNull()
+    return F.when(good if when is None else good & when, one)
 
-def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool = True) -> DataFrame:
-    """The chosen elements of each page with their ordered locators: page_id, nid, scan_seq, name, tag, locators, hops' parts.
 
-    locators: array of (strategy, type, value, stability), the first of equal ones only; elements without any are left out.
-    """
-    priority = priority or PREFERRED
-    d = described(nodes, quirks)
-    siblings = _sibling_locators(d, priority)
-    d = _with_peers(d)
-    tag, attrs, etext, norm = (F.col(c) for c in ("tag", "attrs", "etext", "norm"))
-    own_id, own_name, href = attribute(attrs, "id"), attribute(attrs, "name"), attribute(attrs, "href")
-    # Counts of equal keys; windows over null keys count other elements without the key, and are not asked for.
-    d = d.withColumns({"n_id": _count(F.element_at("attrs", "id")), "n_tag_id": _count("tag", F.element_at("attrs", "id")), "n_name": _count(F.element_at("attrs", "name")), "n_href": _count("tag", F.element_at("attrs", "href")), "n_norm": _count("tag", "norm")})
-    d = d.withColumn("stable", stable_attribute(attrs, priority))
-    c = _with_chains(chosen(d), priority)
-
-    def equal(attr: Column, value: Column) -> Column:
-        return _hits(F.col("peers"), lambda p: F.element_at(p["attrs"], attr) == value)
-
-    s = F.col("stable")
+def _tries(priority: list[str]) -> list[tuple[Column, ...]]:
+    """The possible locators of a candidate (columns of described, and _up, _top, _stable, _near, _far, _own_step, _mid_step), by place."""
+    tag, attrs, etext = F.col("tag"), F.col("attrs"), F.col("etext")
+    own_name, href, s = attribute(attrs, "name"), attribute(attrs, "href"), F.col("_stable")
     sv, sa = s["value"], s["attr"]
-    padded = xpath_literal(F.concat(F.lit(" "), sv, F.lit(" ")))
-    n_class = _hits(F.col("peers"), lambda p: F.array_contains(p["classes"], sv))
     is_class, is_id = sa == "class", sa == "id"
     other = s.isNotNull() & ~is_class & ~is_id
-    n_stable_id = F.when(sv == own_id, F.col("n_id")).otherwise(_hits(F.col("ids"), lambda p: F.element_at(p["attrs"], "id") == sv))
-    n_other = equal(sa, sv)
-    steps: list[Column] = []
+    of = lambda t, a, v: F.concat(t, F.lit("|"), a, F.lit("="), v)
+    any_tag = F.lit("*")
+    out: list[tuple[Column, ...]] = []
     for a in priority:
         v = attribute(attrs, a)
-        steps += [_loc("preferred", "css", F.concat(F.lit(f'[{a}="'), css_escape(v), F.lit('"]'))), _loc("preferred", "xpath", F.when(v.isNotNull(), F.concat(F.lit(f"//*[@{a}="), xpath_literal(v), F.lit("]"))))]
-    steps += [
-        _loc("class", "css", F.concat(tag, F.lit("."), css_escape(sv)), is_class & (n_class == 1)),
-        _loc("class", "xpath", F.concat(F.lit("//"), tag, F.lit("[contains(concat(' ', normalize-space(@class), ' '), "), padded, F.lit(" )]")), is_class & (n_class == 1)),
-        _loc("id", "id", sv, is_id),
-        _loc("id", "css", F.concat(F.lit("#"), css_escape(sv)), is_id & (n_stable_id == 1)),
-        _loc("id", "xpath", F.concat(F.lit("//*[@id="), xpath_literal(sv), F.lit("]")), is_id & (n_stable_id == 1)),
-        _loc("stable", "css", F.concat(tag, F.lit("["), sa, F.lit('="'), css_escape(sv), F.lit('"]')), other & (n_other == 1)),
-        _loc("stable", "xpath", F.concat(F.lit("//"), tag, F.lit("[@"), sa, F.lit("="), xpath_literal(sv), F.lit("]")), other & (n_other == 1)),
-        _loc("name", "css", F.concat(F.lit('[name="'), css_escape(own_name), F.lit('"]')), own_name.isNotNull() & (F.col("n_name") == 1)),
-        _loc("name", "xpath", F.concat(F.lit("//*[@name="), xpath_literal(own_name), F.lit("]")), own_name.isNotNull() & (F.col("n_name") == 1)),
+        out += [(_try("preferred", "css", F.concat(F.lit(f'[{a}="'), css_escape(v), F.lit('"]'))),), (_try("preferred", "xpath", F.when(v.isNotNull(), F.concat(F.lit(f"//*[@{a}="), xpath_literal(v), F.lit("]")))),)]
+    padded = xpath_literal(F.concat(F.lit(" "), sv, F.lit(" ")))
+    of_class = F.concat(tag, F.lit("|."), sv)
+    out += [
+        (_try("class", "css", F.concat(tag, F.lit("."), css_escape(sv)), is_class, of_class),),
+        (_try("class", "xpath", F.concat(F.lit("//"), tag, F.lit("[contains(concat(' ', normalize-space(@class), ' '), "), padded, F.lit(" )]")), is_class, of_class),),
+        (_try("id", "id", sv, is_id),),
+        (_try("id", "css", F.concat(F.lit("#"), css_escape(sv)), is_id, of(any_tag, F.lit("id"), sv)),),
+        (_try("id", "xpath", F.concat(F.lit("//*[@id="), xpath_literal(sv), F.lit("]")), is_id, of(any_tag, F.lit("id"), sv)),),
+        (_try("stable", "css", F.concat(tag, F.lit("["), sa, F.lit('="'), css_escape(sv), F.lit('"]')), other, of(tag, sa, sv)),),
+        (_try("stable", "xpath", F.concat(F.lit("//"), tag, F.lit("[@"), sa, F.lit("="), xpath_literal(sv), F.lit("]")), other, of(tag, sa, sv)),),
+        (_try("name", "css", F.concat(F.lit('[name="'), css_escape(own_name), F.lit('"]')), None, of(any_tag, F.lit("name"), own_name)),),
+        (_try("name", "xpath", F.when(own_name.isNotNull(), F.concat(F.lit("//*[@name="), xpath_literal(own_name), F.lit("]"))), None, of(any_tag, F.lit("name"), own_name)),),
+        (_try("text", "xpath", F.when(etext.isNotNull(), F.concat(F.lit("//"), tag, _text(etext))), None, text_form(tag, etext)),),
+        (_try("text_part", "xpath", F.when(etext.isNotNull(), F.concat(F.lit("//"), tag, F.lit("[contains(normalize-space(.), "), xpath_literal(etext), F.lit(")]"))), None, F.concat(tag, F.lit("|^"), etext)),),
+    ]
+    up, top, near, own, mid = (F.col(c) for c in ("_up", "_top", "_near", "_own_step", "_mid_step"))
+    anchor, atag, two = F.coalesce(near, F.col("_far")), F.when(near.isNotNull(), up["tag"]).otherwise(top["tag"]), near.isNull() & own["id"].isNull()
+    rel = F.when(two, "below2").otherwise("below")
+    css = F.concat(css_of(atag, anchor["attr"], anchor["value"]), F.lit(" "), F.when(two, F.concat(_written(mid, True), F.lit(" > "))).otherwise(""), _written(own, True))
+    xpath = F.concat(xpath_of(atag, anchor["attr"], anchor["value"]), F.lit("//"), F.when(two, F.concat(_written(mid, False), F.lit("/"))).otherwise(""), _written(own, False))
+    has = anchor.isNotNull()
+    asked = {c: (_step_form(own, c), rel, _form(atag, anchor, c), F.when(two, _step_form(mid, c))) for c in (True, False)}
+    out += [
+        (_try("chain", "css", css, has, *asked[True]),),
+        (_try("chain", "xpath", xpath, has, *asked[False]), _try("chain", "xpath", F.concat(xpath, _text(etext)), has & etext.isNotNull(), *asked[False], etext, 1)),
     ]
-    literal = xpath_literal(etext)
-    n_exact = F.when(norm == etext, F.when(_light(), F.col("n_norm")).otherwise(_hits(F.col("peers"), lambda p: p["norm"] == etext))).otherwise(_hits(F.col("peers"), lambda p: p["norm"] == etext))
-    n_part = _hits(F.col("peers"), lambda p: F.contains(p["norm"], etext))
-    steps += [
-        _loc("text", "xpath", F.concat(F.lit("//"), tag, F.lit("[normalize-space(.)="), literal, F.lit("]")), etext.isNotNull() & (n_exact == 1)),
-        _loc("text_part", "xpath", F.concat(F.lit("//"), tag, F.lit("[contains(normalize-space(.), "), literal, F.lit(")]")), etext.isNotNull() & (n_part == 1)),
+    by_near, simple = _form(up["tag"], near, False), F.concat(xpath_of(up["tag"], near["attr"], near["value"]), F.lit("//"), tag)
+    out += [
+        (_try("parent", "xpath", F.concat(simple, _text(etext)), near.isNotNull() & etext.isNotNull(), tag, "below", by_near, None, etext), _try("parent", "xpath", simple, near.isNotNull(), tag, "below", by_near, None, None, 1)),
+        (_try("parent", "css", F.concat(css_of(up["tag"], near["attr"], near["value"]), F.lit(" > "), tag), near.isNotNull(), tag, "child", _form(up["tag"], near, True)),),
     ]
-    steps += _chains()
     clean = F.filter(F.col("classes"), lambda t: ~t.rlike("[0-9]{5,}"))
-    n_chain = _hits(F.col("peers"), lambda p: F.size(F.array_except(clean, p["classes"])) == 0)
-    steps.append(_loc("class_chain", "css", F.concat(tag, F.lit("."), F.array_join(F.transform(clean, css_escape), ".")), (F.size(clean) > 0) & (n_chain == 1)))
-    n_href = F.when(_light(), F.col("n_href")).otherwise(equal(F.lit("href"), href))
-    steps += [
-        _loc("href", "css", F.concat(F.lit('a[href="'), css_escape(href), F.lit('"]')), (tag == "a") & href.isNotNull() & (n_href == 1)),
-        _loc("href", "xpath", F.concat(F.lit("//a[@href="), xpath_literal(href), F.lit("]")), (tag == "a") & href.isNotNull() & (n_href == 1)),
+    is_a = (tag == "a") & href.isNotNull()
+    out += [
+        (_try("class_chain", "css", F.concat(tag, F.lit("."), F.array_join(F.transform(clean, css_escape), ".")), F.size(clean) > 0, F.when(F.size(F.array_distinct(clean)) == 1, F.concat(tag, F.lit("|."), F.get(clean, F.lit(0)))).otherwise(class_form(tag, clean))),),
+        (_try("href", "css", F.concat(F.lit('a[href="'), css_escape(href), F.lit('"]')), is_a, of(tag, F.lit("href"), href)),),
+        (_try("href", "xpath", F.concat(F.lit("//a[@href="), xpath_literal(href), F.lit("]")), is_a, of(tag, F.lit("href"), href)),),
     ]
-    # A few columns of locators at a time: one expression with all of them is more than a compiler takes.
-    parts = [f"_part{i}" for i in range(0, len(steps), 6)]
-    c = c.withColumns({name: F.array_compact(F.array(*steps[i : i + 6])).cast(LOCATOR) for name, i in zip(parts, range(0, len(steps), 6), strict=True)})
-    c = c.withColumn("found", F.concat(*parts))
-    c = c.select("page_id", "nid", "scan_seq", "scope", "name", "tag", "attrs", "hosts", "found").join(siblings, ["page_id", "nid"], "left")
-    last = F.struct(F.lit("sibling").alias("strategy"), F.lit("xpath").alias("type"), F.col("sibling").alias("value"))
-    everything = F.concat(F.col("found"), F.when(F.col("sibling").isNotNull(), F.array(last)).otherwise(F.array()).cast(LOCATOR))
-    c = c.withColumn("found", everything)
-    first = F.filter("found", lambda x, i: ~F.exists(F.slice(F.col("found"), F.lit(1), i), lambda y: (y["type"] == x["type"]) & (y["value"] == x["value"])))
-    scored = F.transform(first, lambda x: F.struct(x["strategy"].alias("strategy"), x["type"].alias("type"), x["value"].alias("value"), stability(x["type"], x["value"]).alias("stability")))
-    return c.withColumn("locators", scored).where(F.size("locators") > 0).drop("found", "sibling")
+    return out
+
 
+def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool = True) -> DataFrame:
+    """The chosen elements of each page with their ordered locators: page_id, nid, scan_seq, scope, name, tag, attrs, hosts, locators.
 
-def _with_chains(c: DataFrame, priority: list[str]) -> DataFrame:
-    """c with the steps below a stable ancestor (parent or grandparent): as columns, so that each is worked out once."""
+    locators: array of (strategy, type, value, stability), the first of equal ones only; elements without any are left out.
+    nodes is read several times: read it from a table, as settle() makes one. The possible locators are written to the
+    shared folder too; scratch() around the use of the result deletes such tables.
+    """
+    priority = priority or PREFERRED
+    d = described(nodes, quirks)
     up, top = F.get(F.col("up"), F.lit(0)), F.get(F.col("up"), F.lit(1))
     usable = lambda e: e.isNotNull() & ~e["tag"].isin("body", "html")
-    c = c.withColumns({"_up": up, "_top": top})
+    base = chosen(d)
+    c = base.withColumns({"_up": up, "_top": top, "_stable": stable_attribute(F.col("attrs"), priority)})
     up, top = F.col("_up"), F.col("_top")
     c = c.withColumns({
         "_near": F.when(usable(up), stable_attribute(up["attrs"], priority)), "_far": F.when(usable(up) & usable(top), stable_attribute(top["attrs"], priority)),
-        "_own": _segment(F.col("tag"), F.col("attrs"), F.col("tag_idx"), F.col("tag_cnt")), "_mid": _segment(up["tag"], up["attrs"], up["tag_idx"], up["tag_cnt"]),
-    })
-    near, own, mid = F.col("_near"), F.col("_own"), F.col("_mid")
-    c = c.withColumns({"_anchor": F.coalesce(near, F.col("_far")), "_atag": F.when(near.isNotNull(), up["tag"]).otherwise(top["tag"]), "_two": near.isNull() & own["id"].isNull()})
-    anchor, atag, two = F.col("_anchor"), F.col("_atag"), F.col("_two")
-    c = c.withColumns({
-        "_in": F.when(anchor.isNull(), F.array_repeat(F.get("peers", F.lit(0)), 0)).when(own["id"].isNotNull(), F.col("ids")).otherwise(F.col("peers")),
-        "_key_css": _key(atag, anchor, True), "_key_xpath": _key(atag, anchor, False), "_near_css": _key(up["tag"], near, True), "_near_xpath": _key(up["tag"], near, False),
-        "_css": F.concat(css_of(atag, anchor["attr"], anchor["value"]), F.lit(" "), F.when(two, F.concat(_written(mid, True), F.lit(" > "))).otherwise(""), _written(own, True)),
-        "_xpath": F.concat(xpath_of(atag, anchor["attr"], anchor["value"]), F.lit("//"), F.when(two, F.concat(_written(mid, False), F.lit("/"))).otherwise(""), _written(own, False)),
-        "_par_css": F.concat(css_of(up["tag"], near["attr"], near["value"]), F.lit(" > "), F.col("tag")), "_par_xpath": F.concat(xpath_of(up["tag"], near["attr"], near["value"]), F.lit("//"), F.col("tag")),
-        "_equals": F.concat(F.lit("[normalize-space(.)="), xpath_literal(F.col("etext")), F.lit("]")),
+        "_own_step": _segment(F.col("tag"), F.col("attrs"), F.col("tag_idx"), F.col("tag_cnt")), "_mid_step": _segment(up["tag"], up["attrs"], up["tag_idx"], up["tag_cnt"]),
     })
+    found = _tries(priority)
+    # A few columns of tries at a time: one expression with all of them is more than a compiler takes.
+    parts = [f"_part{i}" for i in range(0, len(found), 6)]
+    placed = [F.array(*(F.when(x.isNotNull(), F.struct(F.lit(i).alias("place"), x.alias("x"))) for x in alternatives)) for i, alternatives in enumerate(found)]
+    c = c.withColumns({name: F.array_compact(F.concat(*placed[i : i + 6])) for name, i in zip(parts, range(0, len(found), 6), strict=True)})
+    # Eight counts read these rows.
+    rows = settle(c.select("page_id", "nid", F.explode(F.concat(*parts)).alias("p")).select("page_id", "nid", "p.place", "p.x.*"))
+    asked = rows.where("q is not null").select("page_id", "q", *[F.col(k) if k != "k" else F.lit(None).cast("int").alias("k") for k in QUESTION]).dropDuplicates(["page_id", "q"])
+    once = counted(nodes, asked).where("n = 1").select("page_id", "q", F.lit(True).alias("once"))
+    kept = rows.join(once, ["page_id", "q"], "left").where("unasked or once").select("page_id", "nid", "place", "alt", "strategy", "type", "value")
+    sibling = _sibling_locators(d, nodes, priority).select("page_id", "nid", F.lit(len(found)).alias("place"), F.lit(0).alias("alt"), F.lit("sibling").alias("strategy"), F.lit("xpath").alias("type"), F.col("sibling").alias("value"))
+    every = kept.union(sibling).groupBy("page_id", "nid").agg(F.array_sort(F.collect_list(F.struct("place", "alt", "strategy", "type", "value"))).alias("found"))
+    earlier = lambda x, i: F.slice(F.col("found"), F.lit(1), i)
+    first = F.filter("found", lambda x, i: ~F.exists(earlier(x, i), lambda y: (y["place"] == x["place"]) | ((y["type"] == x["type"]) & (y["value"] == x["value"]))))
+    scored = F.transform(first, lambda x: F.struct(x["strategy"].alias("strategy"), x["type"].alias("type"), x["value"].alias("value"), stability(x["type"], x["value"]).alias("stability")))
+    return base.select("page_id", "nid", "scan_seq", "scope", "name", "tag", "attrs", "hosts").join(every.select("page_id", "nid", scored.alias("locators")), ["page_id", "nid"])
 
-    def found(css: bool):
-        key = F.col("_key_css" if css else "_key_xpath")
-
-        def test(p: Column) -> Column:
-            below = F.array_contains(p["above_keys"], key)
-            both = below & _fits(mid, p["up_tag"], p["up_attrs"], _class_list(p["up_attrs"]), p["up_idx"], css)
-            return _fits(own, p["tag"], p["attrs"], p["classes"], p["tag_idx"], css) & F.when(two, both).otherwise(below | F.array_contains(p["up_keys"], key))
-
-        return F.filter("_in", test)
-
-    under = F.filter("peers", lambda p: F.array_contains(p["up_keys"], F.col("_near_xpath")) | F.array_contains(p["above_keys"], F.col("_near_xpath")))
-    c = c.withColumns({"_n_css": F.size(found(True)), "_by_xpath": F.transform(found(False), lambda p: p["norm"]), "_under": F.transform(F.when(near.isNotNull(), under), lambda p: p["norm"])})
-    same = lambda of: F.size(F.filter(of, lambda t: t == F.col("etext")))
-    return c.withColumns({
-        "_n_xpath": F.size("_by_xpath"), "_n_xpath_text": same("_by_xpath"), "_n_under": F.size("_under"), "_n_under_text": same("_under"),
-        "_n_child": F.when(near.isNotNull(), _hits(F.col("peers"), lambda p: F.array_contains(p["up_keys"], F.col("_near_css")))),
-    })
-
-
-def _chains() -> list[Column]:
-    """From the columns of _with_chains: two forms of the chain, and the simpler form below a stable parent."""
-    col, has_text = F.col, F.col("etext").isNotNull()
-    return [
-        _loc("chain", "css", col("_css"), col("_anchor").isNotNull() & (col("_n_css") == 1)),
-        _loc("chain", "xpath", F.when(col("_n_xpath") == 1, col("_xpath")).when(has_text & (col("_n_xpath_text") == 1), F.concat("_xpath", "_equals")), col("_anchor").isNotNull()),
-        _loc("parent", "xpath", F.when(has_text & (col("_n_under_text") == 1), F.concat("_par_xpath", "_equals")).when(col("_n_under") == 1, col("_par_xpath")), col("_near").isNotNull()),
-        _loc("parent", "css", col("_par_css"), col("_near").isNotNull() & (col("_n_child") == 1)),
-    ]
 
+def _sibling_locators(d: DataFrame, nodes: DataFrame, priority: list[str]) -> DataFrame:
+    """page_id, nid, sibling: the nearest sibling before an element from which one following-sibling step finds only it.
 
-def _sibling_locators(d: DataFrame, priority: list[str]) -> DataFrame:
-    """page_id, nid, sibling: the nearest sibling before an element from which one following-sibling step finds only it."""
-    before = Window.partitionBy("page_id", "scope", "parent").orderBy("sib_idx").rowsBetween(Window.unboundedPreceding, -1)
-    one = F.struct("tag", "sib_idx", "norm", "etext", "keys", stable_attribute(F.col("attrs"), priority).alias("stable"))
-    rows = d.where("parent is not null").withColumn("prev", F.collect_list(one).over(before)).select("page_id", "nid", "tag", "sib_idx", "scope", "prev", (F.col("candidate") & F.col("visible")).alias("wanted"))
-    # k: which of the following siblings of its tag the element is, seen from each sibling before it.
-    step = F.transform("prev", lambda p, i: F.struct(p.alias("p"), (F.lit(1) + F.size(F.filter(F.slice(F.col("prev"), i + 2, F.size("prev")), lambda q: q["tag"] == F.col("tag")))).alias("k")))
-    pairs = rows.withColumn("x", F.explode(step)).select("page_id", "nid", "tag", "sib_idx", "scope", "wanted", "x.k", "x.p")
-    text_key = F.concat(F.lit("="), F.col("p.norm"))
-    of = F.array_union(F.array(text_key), F.transform("p.keys", lambda k: F.concat(F.lit("|"), F.substring_index(k, "|", -1))))
-    facts = pairs.where("scope = -1").select("page_id", "tag", "k", "nid", F.col("p.tag").alias("ptag"), F.explode(of).alias("key"))
-    counts = facts.groupBy("page_id", "tag", "ptag", "key", "k").agg(F.countDistinct("nid").alias("n")).where("n = 1").drop("n")
-    s = F.col("p.stable")
-    by_attr = F.when(s.isNotNull(), F.struct(F.lit(0).alias("kind"), F.concat(F.lit("|"), F.when(s["attr"] == "class", F.concat(F.lit("."), s["value"])).otherwise(F.concat(s["attr"], F.lit("="), s["value"]))).alias("key"), xpath_of(F.col("p.tag"), s["attr"], s["value"]).alias("anchor")))
-    by_text = F.when(F.col("p.etext").isNotNull(), F.struct(F.lit(1).alias("kind"), F.concat(F.lit("="), F.col("p.etext")).alias("key"), F.concat(F.lit("//"), F.col("p.tag"), F.lit("[normalize-space(.)="), xpath_literal(F.col("p.etext")), F.lit("]")).alias("anchor")))
-    options = pairs.where("wanted").select("page_id", "nid", "tag", "k", F.col("p.tag").alias("ptag"), (F.col("sib_idx") - F.col("p.sib_idx")).alias("far"), F.explode(F.array_compact(F.array(by_attr, by_text))).alias("o"))
-    options = options.select("page_id", "nid", "tag", "k", "ptag", "far", "o.kind", "o.key", "o.anchor")
-    best = options.join(counts, ["page_id", "tag", "ptag", "key", "k"]).groupBy("page_id", "nid").agg(F.min(F.struct("far", "kind", "anchor", "tag", "k")).alias("b"))
-    return best.select("page_id", "nid", F.concat(F.col("b.anchor"), F.lit("/following-sibling::"), F.col("b.tag"), F.lit("["), F.col("b.k"), F.lit("]")).alias("sibling"))
+    From an anchor with m siblings of a tag behind it, step k leads to the one with m - k of them behind it. Of all
+    elements that fit an anchor, those that have the most behind them decide: the steps that none of the others can make
+    lead to one element only. So each kind of anchor settles one run of elements, up to the end of their list, and each
+    element takes the last anchor before it whose run has begun.
+    """
+    attr, text = stable_attribute(F.col("attrs"), priority), F.col("etext")
+    by_attr = F.when(attr.isNotNull(), F.struct(F.lit(1).alias("better"), _form(F.col("tag"), attr, False).alias("akey"), xpath_of(F.col("tag"), attr["attr"], attr["value"]).alias("anchor")))
+    by_text = F.when(text.isNotNull(), F.struct(F.lit(0).alias("better"), text_form(F.col("tag"), text).alias("akey"), F.concat(F.lit("//"), "tag", _text(text)).alias("anchor")))
+    anchors = d.where(F.col("parent").isNotNull() | (F.col("scope") >= 0)).select("page_id", "nid", "parent", "scope", "sib_idx", "after", F.explode(F.array_compact(F.array(by_attr, by_text))).alias("a")).select("page_id", "nid", "parent", "scope", "sib_idx", "after", "a.*")
+    asked = anchors.select("page_id", F.col("akey").alias("form")).distinct()
+    steps = forms(nodes).join(asked, ["page_id", "form"], "left_semi").join(nodes.where("scope = -1 and parent is not null").select("page_id", "nid", "parent", "after"), ["page_id", "nid"])
+    steps = steps.select("page_id", F.col("form").alias("akey"), "parent", F.explode("after").alias("tag", "m")).distinct()
+    rank = F.row_number().over(Window.partitionBy("page_id", "akey", "tag").orderBy(F.desc("m"), "parent"))
+    best = steps.withColumn("r", rank).where("r <= 2").groupBy("page_id", "akey", "tag").agg(F.max("m").alias("m"), F.min_by("parent", "r").alias("parent"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("m"))), F.lit(0)).alias("next"))
+    best = best.where("m > next")
+
+    light = anchors.where("scope = -1").join(best.withColumnRenamed("parent", "at"), ["page_id", "akey"]).where(F.col("parent") == F.col("at")).where(F.element_at("after", F.col("tag")) == F.col("m"))
+    # rest: so many of its tag are behind the first element of the run.
+    light = light.select("page_id", "parent", "tag", (F.col("m") - F.col("next") - 1).alias("rest"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("nid"), F.struct("sib_idx", "better", "anchor", "m").alias("a"))
+    wanted = d.where("candidate and visible").select("page_id", "nid", "parent", "scope", "sib_idx", "tag", F.coalesce(F.element_at("after", F.col("tag")), F.lit(0)).alias("rest"))
+    elements = wanted.where("scope = -1").select("page_id", "parent", "tag", "rest", F.lit(1).alias("kind"), "nid", F.lit(None).cast(light.schema["a"].dataType).alias("a"))
+    so_far = Window.partitionBy("page_id", "parent", "tag").orderBy(F.desc("rest"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = light.union(elements).withColumn("b", F.max("a").over(so_far)).where("kind = 1 and b is not null")
+    found = found.select("page_id", "nid", "tag", F.col("b.anchor").alias("anchor"), (F.col("b.m") - F.col("rest")).alias("k"))
+
+    # In shadow trees siblings are seen, but the document is asked: each anchor before an element is tried. Few elements.
+    inside = wanted.where("scope >= 0").select("page_id", "nid", F.coalesce("parent", F.lit(-1)).alias("parent"), "scope", F.col("sib_idx").alias("place"), "tag", "rest")
+    before = anchors.where("scope >= 0").select("page_id", F.coalesce("parent", F.lit(-1)).alias("parent"), "scope", "sib_idx", "after", "better", "akey", "anchor")
+    tried = inside.join(before, ["page_id", "parent", "scope"]).where("sib_idx < place").withColumn("k", F.element_at("after", F.col("tag")) - F.col("rest"))
+    shadow = tried.join(best.select("page_id", "akey", "tag", "m", "next"), ["page_id", "akey", "tag"]).where("k > next and k <= m")
+    shadow = shadow.groupBy("page_id", "nid", "tag").agg(F.max(F.struct("sib_idx", "better", "anchor", "k")).alias("b")).select("page_id", "nid", "tag", "b.anchor", "b.k")
+    return found.union(shadow).select("page_id", "nid", F.concat("anchor", F.lit("/following-sibling::"), "tag", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("sibling"))
 
 
 def href_locators(nodes: DataFrame) -> DataFrame:
@@ -240,15 +214,20 @@ def class_locators(nodes: DataFrame) -> DataFrame:
 
 def text_counts(nodes: DataFrame, tag: str) -> DataFrame:
     """page_id, text, n_exact, n_part for the short texts of a tag's elements: how many elements equal and how many hold them."""
-    d = described(nodes.where(F.col("tag") == tag))
-    d = d.withColumn("peers", F.collect_list(F.when(_light(), F.col("norm"))).over(Window.partitionBy("page_id")))
-    distinct = d.where("etext is not null").select("page_id", "etext", "peers").dropDuplicates(["page_id", "etext"])
-    return distinct.select("page_id", F.col("etext").alias("text"), F.size(F.filter("peers", lambda t: t == F.col("etext"))).alias("n_exact"), F.size(F.filter("peers", lambda t: F.contains(t, F.col("etext")))).alias("n_part"))
+    own = nodes.where(F.col("tag") == tag)
+    asked = described(own).where("etext is not null").select("page_id", F.col("etext").alias("text")).distinct()
+    nothing = F.lit(None).cast("string")
+    form = {"exact": text_form(F.lit(tag), F.col("text")), "part": F.concat(F.lit(f"{tag}|^"), "text")}
+    each = asked.select("page_id", "text", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), f.alias("own")) for name, f in form.items()])).alias("x")).select("page_id", "text", "x.*")
+    each = each.withColumns({"q": question(None, None, None, F.col("own")), **{k: nothing for k in QUESTION if k not in ("own", "k")}, "k": F.lit(None).cast("int")})
+    n = each.join(counted(own, each), ["page_id", "q"], "left")
+    count = lambda what: F.coalesce(F.max(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).cast("int").alias(f"n_{what}")
+    return n.groupBy("page_id", "text").agg(count("exact"), count("part"))
 
 
 def sibling_locators(nodes: DataFrame, priority: list[str] | None = None) -> DataFrame:
     """page_id, nid, tag, sibling of elements that one step from an earlier sibling finds alone."""
-    found = _sibling_locators(described(nodes), priority or PREFERRED)
+    found = _sibling_locators(described(nodes), nodes, priority or PREFERRED)
     return found.join(nodes.select("page_id", "nid", "tag"), ["page_id", "nid"])
 
 

@@ -1,4 +1,7 @@
-"""How many elements of its page a locator finds, for the shapes that this library writes."""
+"""How many elements of its page a locator finds, for the shapes that this library writes.
+
+Locators are taken apart by regular expressions into the questions of matching, which counts them all by keys.
+"""
 
 from __future__ import annotations
 
@@ -7,76 +10,107 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import css_escape, xpath_normalize
+from ..shared import settle
+from .matching import QUESTION, class_form, counted, question, text_form
 
-#: shape, kinds, pattern; groups: tag or *, attribute, value as written
-_SHAPES = (
-    ("attr", "css", r'^([a-z][a-z0-9-]*)?\[([a-zA-Z_:][\w:.-]*)="((?:[^"\\]|\\.)*)"\]$'),
-    ("attr", "xpath", r"^//(\*|[a-z][a-z0-9-]*)\[@([a-zA-Z_:][\w:.-]*)=('[^']*'|\"[^\"]*\"|concat\(.*\))\]$"),
-    ("text", "xpath", r"^//(\*|[a-z][a-z0-9-]*)\[(normalize-space)\(\.\)=('[^']*'|\"[^\"]*\"|concat\(.*\))\]$"),
-    ("part", "xpath", r"^//(\*|[a-z][a-z0-9-]*)\[contains\((normalize-space)\(\.\), ('[^']*'|\"[^\"]*\"|concat\(.*\))\)\]$"),
-    ("class", "xpath", r"^//(\*|[a-z][a-z0-9-]*)\[contains\(concat\(' ', (normalize-space)\(@class\), ' '\), ' ([^' ]*) ' ?\)\]$"),
-)
+_LITERAL = r"""(?:'[^']*'|"[^"]*"|concat\((?:'[^']*'|"[^"]*"|,)*\))"""
+_TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
+_NAME = r"""(?:\\[0-9a-fA-F]{1,6} ?|\\[^0-9a-fA-F]|[^\s.#>\[\]:\\"'])+"""
+_STRING = r'''"(?:[^"\\]|\\.)*"'''
+#: One step of a selector, and of a path.
+_CSS = rf"(?:#{_NAME}|(?:{_TAG})?\[[\w:.-]+={_STRING}\]|{_TAG}(?:\.{_NAME})+|{_TAG}:nth-of-type\(\d+\)|{_TAG})"
+_STEP = rf"""(?:\*|{_TAG})(?:\[(?:[^\[\]'"]|'[^']*'|"[^"]*")*\])?"""
 
 
 def _unquoted(s: Column) -> Column:
     """The string of an XPath literal; parts of concat() are put together."""
-    inner = F.regexp_replace(F.substring(s, 8, 1 << 20), r"\)$", "")
-    parts = F.regexp_extract_all(inner, F.lit("('[^']*'|\"[^\"]*\")"), F.lit(1))
-    joined = F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p) - 2)), "")
-    return F.when(s.startswith("concat("), joined).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
-
-
-def shapes(locators: DataFrame) -> DataFrame:
-    """locators (page_id, type, value, ...) with shape, of, attr, want; shape is null for what isn't in the grammar."""
-    kind = F.when(F.col("type").isin("xpath", "xpath-abs"), "xpath").when(F.col("type") == "id", "id").otherwise("css")
-    value = F.col("value")
-    shape, of, attr, want = F.when(kind == "id", "attr"), F.when(kind == "id", "*"), F.when(kind == "id", "id"), F.when(kind == "id", value)
-    by_id = (kind == "css") & value.rlike(r"^#(?:[^\s.#>\[:\\]|\\.)+$")
-    by_class = (kind == "css") & value.rlike(r"^[a-z][a-z0-9-]*\.(?:[^\s.#>\[:\\]|\\.)+$")
-    for name, k, pattern in _SHAPES:
-        hit = (kind == k) & value.rlike(pattern)
-        g = [F.regexp_extract(value, pattern, i) for i in (1, 2, 3)]
-        shape = F.when(hit, name).otherwise(shape)
-        of = F.when(hit, F.when(g[0] == "", "*").otherwise(g[0])).otherwise(of)
-        attr = F.when(hit, g[1]).otherwise(attr)
-        want = F.when(hit, g[2] if k == "css" or name == "class" else _unquoted(g[2])).otherwise(want)
-    # CSS keeps its escapes: elements' values are escaped for the comparison.
-    raw = (kind == "css") & (shape == "attr")
-    shape = F.when(by_id | raw, "css_attr").when(by_class, "css_class").otherwise(shape)
-    of = F.when(by_id, "*").when(by_class, F.regexp_extract(value, r"^([a-z][a-z0-9-]*)\.", 1)).otherwise(of)
-    attr = F.when(by_id, "id").otherwise(attr)
-    want = F.when(by_id, F.substring(value, 2, 1 << 20)).when(by_class, F.regexp_extract(value, r"^[a-z][a-z0-9-]*\.(.*)$", 1)).otherwise(want)
-    return locators.withColumns({"shape": shape, "of": of, "attr": attr, "want": want})
-
-
-def facts(nodes: DataFrame) -> DataFrame:
-    """What shapes with equal keys ask for: page_id, nid, pre, tag, shape, attr, have."""
-    light = nodes.where("scope = -1")
-    pairs = light.select("page_id", "nid", "pre", "tag", F.explode("attrs").alias("attr", "v"))
-    exact = pairs.select("page_id", "nid", "pre", "tag", F.lit("attr").alias("shape"), "attr", F.col("v").alias("have"))
-    css = pairs.select("page_id", "nid", "pre", "tag", F.lit("css_attr").alias("shape"), "attr", css_escape(F.col("v")).alias("have"))
-    text = light.where("text is not null").select("page_id", "nid", "pre", "tag", F.lit("text").alias("shape"), F.lit("normalize-space").alias("attr"), xpath_normalize(F.col("text")).alias("have"))
-    tokens = light.select("page_id", "nid", "pre", "tag", F.explode(F.array_distinct(F.split(F.element_at("attrs", "class"), r"\s+"))).alias("t")).where("t <> ''")
-    by_class = tokens.select("page_id", "nid", "pre", "tag", F.lit("class").alias("shape"), F.lit("normalize-space").alias("attr"), F.col("t").alias("have"))
-    css_class = tokens.select("page_id", "nid", "pre", "tag", F.lit("css_class").alias("shape"), F.lit(None).cast("string").alias("attr"), css_escape(F.col("t")).alias("have"))
-    return exact.union(css).union(text).union(by_class).union(css_class)
+    parts = F.regexp_extract_all(s, F.lit(r"""('[^']*'|"[^"]*")"""), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p) - 2)), "")
+
+
+def _unescaped(s: Column) -> Column:
+    """A CSS identifier or string without its escapes."""
+    parts = F.regexp_extract_all(s, F.lit(r"(\\[0-9a-fA-F]{1,6} ?|\\[\s\S]|[^\\]+)"), F.lit(1))
+    code = lambda p: F.decode(F.unhex(F.lpad(F.rtrim(F.substr(p, F.lit(2))), 8, "0")), "UTF-32")
+    plain = F.transform(parts, lambda p: F.when(p.rlike(r"^\\[0-9a-fA-F]"), code(p)).when(p.startswith("\\"), F.substr(p, F.lit(2))).otherwise(p))
+    return F.when(F.contains(s, F.lit("\\")), F.array_join(plain, "")).otherwise(s)
+
+
+def _css_form(s: Column) -> Column:
+    part = lambda pattern, i=1: F.regexp_extract(s, pattern, i)
+    attr = rf"^({_TAG})?\[([\w:.-]+)=\"([\s\S]*)\"\]$"
+    tag = F.regexp_extract(s, rf"^({_TAG})", 1)
+    tokens = F.transform(F.regexp_extract_all(F.substr(s, F.length(tag) + 1), F.lit(rf"\.({_NAME})"), F.lit(1)), _unescaped)
+    classes = F.when(F.size(F.array_distinct(tokens)) == 1, F.concat(tag, F.lit("|."), F.get(tokens, F.lit(0)))).otherwise(class_form(tag, tokens))
+    return (
+        F.when(s.startswith("#"), F.concat(F.lit("*|id="), _unescaped(F.substr(s, F.lit(2)))))
+        .when(s.rlike(attr), F.concat(F.coalesce(F.nullif(part(attr), F.lit("")), F.lit("*")), F.lit("|"), part(attr, 2), F.lit("="), _unescaped(part(attr, 3))))
+        .when(s.rlike(rf"^{_TAG}\."), classes)
+        .when(s.rlike(r":nth-of-type"), F.concat(tag, F.lit("|:"), part(r"\((\d+)\)$")))
+        .when(s != "", s)
+    )
+
+
+def _xpath_form(s: Column) -> Column:
+    """Null for a predicate out of the grammar."""
+    tag, predicate = F.regexp_extract(s, rf"^(\*|{_TAG})", 1), F.regexp_extract(s, r"^[^\[]*\[([\s\S]*)\]$", 1)
+    value = lambda pattern: _unquoted(F.regexp_extract(predicate, pattern, 1))
+    attr, text, part, of_class, in_class = (
+        rf"^@[\w:.-]+=({_LITERAL})$", rf"^normalize-space\(\.\)=({_LITERAL})$", rf"^contains\(normalize-space\(\.\), ({_LITERAL})\)$",
+        rf"^contains\(concat\(' ', normalize-space\(@class\), ' '\), ({_LITERAL}) ?\)$", rf"^contains\(@class, ({_LITERAL})\)$",
+    )
+    return (
+        F.when((predicate == "") & ~F.contains(s, F.lit("[")), F.nullif(s, F.lit("")))
+        .when(predicate.rlike(r"^\d+$"), F.concat(tag, F.lit("|:"), predicate))
+        .when(predicate.rlike(attr), F.concat(tag, F.lit("|"), F.regexp_extract(predicate, r"^@([\w:.-]+)=", 1), F.lit("="), value(attr)))
+        .when(predicate.rlike(text), text_form(tag, value(text)))
+        .when(predicate.rlike(part), F.concat(tag, F.lit("|^"), value(part)))
+        .when(predicate.rlike(of_class), F.concat(tag, F.lit("|."), F.trim(value(of_class))))
+        .when(predicate.rlike(in_class), F.concat(tag, F.lit("|~"), value(in_class)))
+    )
+
+
+def questions(locators: DataFrame) -> DataFrame:
+    """locators (page_id, type, value) with q and the parts of their question; own is null for what isn't in the grammar."""
+    value, nothing = F.col("value"), F.lit(None).cast("string")
+    is_xpath, is_id = F.col("type").isin("xpath", "xpath-abs"), F.col("type") == "id"
+    css = rf"^({_CSS})(?:( > | )({_CSS})(?: > ({_CSS}))?)?$"
+    below = rf"^//({_STEP})//({_STEP})(?:/({_STEP}))?(\[normalize-space\(\.\)=({_LITERAL})\])?$"
+    single, after, path = rf"^//({_STEP})$", rf"^//({_STEP})/following-sibling::({_TAG})\[(\d+)\]$", rf"^/html(/{_TAG}(\[\d+\])?)*$"
+    g = lambda pattern, i: F.nullif(F.regexp_extract(value, pattern, i), F.lit(""))
+    shape = (
+        F.when(is_id, "id").when(~is_xpath, F.when(value.rlike(css), "css")).when(value.rlike(path), "path").when(value.rlike(single), "single").when(value.rlike(after), "after").when(value.rlike(below), "below")
+    )
+    # The steps as written first: first (or only) one, second, third, and what is behind them.
+    out = locators.withColumn("shape", shape).withColumns({
+        "_a": F.when(F.col("shape") == "css", g(css, 1)).when(F.col("shape") == "single", g(single, 1)).when(F.col("shape") == "after", g(after, 1)).when(F.col("shape") == "below", g(below, 1)),
+        "_b": F.when(F.col("shape") == "css", g(css, 3)).when(F.col("shape") == "after", g(after, 2)).when(F.col("shape") == "below", g(below, 2)),
+        "_c": F.when(F.col("shape") == "css", g(css, 4)).when(F.col("shape") == "below", g(below, 3)),
+        "_sign": F.when(F.col("shape") == "css", F.nullif(F.regexp_extract(value, css, 2), F.lit(""))),
+        "text": F.when(F.col("shape") == "below", _unquoted(g(below, 5))),
+        "k": F.when(F.col("shape") == "after", g(after, 3).cast("int")),
+    })
+    css_shape = F.col("shape") == "css"
+    out = out.withColumns({x: F.when(css_shape, _css_form(F.col(x))).otherwise(_xpath_form(F.col(x))) for x in ("_a", "_b", "_c")})
+    known = F.when(F.col("shape").isin("css", "below"), (F.col("_b").isNotNull() | (css_shape & F.col("_sign").isNull())) & F.col("_a").isNotNull()).otherwise(F.col("_a").isNotNull())
+    several = F.col("shape").isin("css", "below") & F.col("_b").isNotNull()
+    rel = F.when(F.col("shape") == "path", "path").when(F.col("shape") == "after", "after").when(several & F.col("_c").isNotNull(), "below2").when(several & (F.col("_sign") == " > "), "child").when(several, "below")
+    own = (
+        F.when(F.col("shape") == "id", F.concat(F.lit("*|id="), value)).when(F.col("shape") == "path", value).when(F.col("shape") == "after", F.when(F.col("_a").isNotNull(), F.col("_b")))
+        .when(known, F.when(several, F.coalesce("_c", "_b")).otherwise(F.col("_a")))
+    )
+    out = out.withColumns({"rel": rel, "own": own, "akey": F.when(several | (F.col("shape") == "after"), F.col("_a")), "mid": F.when(rel == "below2", F.col("_b"))})
+    out = out.withColumn("q", question(F.col("rel"), F.col("akey"), F.col("mid"), F.col("own"), F.col("text"), F.col("k")))
+    return out.select("page_id", "type", "value", "q", *[F.coalesce(F.col(c), nothing) if c != "k" else F.col(c) for c in QUESTION]).toDF("page_id", "type", "value", "q", *QUESTION)
 
 
 def verified(nodes: DataFrame, locators: DataFrame) -> DataFrame:
-    """locators (page_id, type, value) with ok, matches, first_nid and verdict; those out of the grammar aren't ok.
-
-    Equal keys are counted once by (page, shape, key) and joined; containment is compared within page and tag.
-    """
-    asked = shapes(locators.select("page_id", "type", "value").distinct())
-    every = facts(nodes)
-    both = every.union(every.withColumn("tag", F.lit("*")))
-    counts = both.groupBy("page_id", F.col("tag").alias("of"), "shape", F.coalesce("attr", F.lit("")).alias("a"), F.col("have").alias("want")).agg(F.count("*").alias("n"), F.min_by("nid", "pre").alias("first_nid"))
-    equal = asked.where("shape <> 'part'").withColumn("a", F.coalesce("attr", F.lit(""))).join(counts, ["page_id", "of", "shape", "a", "want"], "left").select("page_id", "type", "value", F.coalesce("n", F.lit(0)).alias("matches"), "first_nid")
-    inside = asked.where("shape = 'part'").alias("x").join(every.where("shape = 'text'").select("page_id", F.col("tag").alias("of"), "have", "nid", "pre"), ["page_id", "of"], "left")
-    part = inside.groupBy("page_id", "type", "value").agg(F.count(F.when(F.contains("have", F.col("want")), 1)).alias("matches"), F.min_by(F.when(F.contains("have", F.col("want")), F.col("nid")), F.when(F.contains("have", F.col("want")), F.col("pre"))).alias("first_nid"))
-    none = asked.where("shape is null").select("page_id", "type", "value", F.lit(None).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_nid"))
-    out = equal.union(part).union(none)
+    """locators (page_id, type, value) with ok, matches, first_nid and verdict; those out of the grammar aren't ok."""
+    # Written before it is filtered: a filter on a question would be pushed below all that makes it.
+    asked = settle(questions(locators.select("page_id", "type", "value").distinct()))
+    n = counted(nodes, asked.where("q is not null").drop("type", "value").dropDuplicates(["page_id", "q"]))
+    matches = F.when(F.col("q").isNotNull(), F.coalesce("n", F.lit(0)))
+    out = asked.join(n, ["page_id", "q"], "left").select("page_id", "type", "value", matches.alias("matches"), "first_nid")
     return out.withColumns({"ok": F.col("matches").isNotNull(), "verdict": verdict(F.col("matches"))})
 
 
@@ -84,7 +118,7 @@ def verdict(matches: Column) -> Column:
     return F.when(matches.isNull(), "Err").when(matches == 1, "success-1").when(matches > 1, "success-multi").otherwise("error")
 
 
-def _unescaped(s: str) -> str:
+def _plain(s: str) -> str:
     """A CSS identifier without its escapes."""
     return re.sub(r"\\(?:([0-9a-fA-F]{1,6})[ \t\n\r\f]?|(.))", lambda m: chr(int(m[1], 16)) if m[1] else m[2], s)
 
@@ -92,9 +126,9 @@ def _unescaped(s: str) -> str:
 def _is_segment(segment: str) -> Column:
     """Whether an element fits tag#id, tag.class.class or tag; * fits all."""
     tag, rest = re.match(r"((?:[^.#\\]|\\.)*)(.*)$", segment, re.S).groups()
-    good = F.lit(True) if tag in ("", "*") else F.col("tag") == _unescaped(tag)
+    good = F.lit(True) if tag in ("", "*") else F.col("tag") == _plain(tag)
     for mark, name in re.findall(r"([.#])((?:[^.#\\]|\\.)+)", rest):
-        value = _unescaped(name)
+        value = _plain(name)
         has = F.element_at("attrs", "id") == value if mark == "#" else F.array_contains(F.split(F.element_at("attrs", "class"), r"\s+"), value)
         good = good & F.coalesce(has, F.lit(False))
     return good

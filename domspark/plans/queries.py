@@ -11,6 +11,7 @@ from ..operators import entries as E
 from ..operators import review as R
 from ..operators import strategies as S
 from ..operators.verify import verified
+from ..shared import settle
 from ..sources.dom import nodes
 from ..streaming.changes import debounced
 from .oracles import SQL  # noqa: F401
@@ -20,8 +21,13 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(_table(spark, d, "pages"))
+def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return nodes(_table(spark, d, "pages"), columns=columns or S.COLUMNS)
+
+
+def _kept_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed once, read several times."""
+    return settle(_nodes(spark, d))
 
 
 def _strings(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +51,7 @@ def _attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return S.locators(_nodes(spark, d)).where("tag = 'a'")
+    return S.locators(_kept_nodes(spark, d)).where("tag = 'a'")
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
@@ -57,23 +63,23 @@ def _flat(locators):
 
 
 def href_locators(spark, d):
-    return S.href_locators(_nodes(spark, d)).drop("nid")
+    return S.href_locators(_nodes(spark, d, "nid", "tag", "attrs", "scope")).drop("nid")
 
 
 def href_unique_counts(spark, d):
-    return S.href_locators(_nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("n_unique"))
+    return S.href_locators(_nodes(spark, d, "nid", "tag", "attrs", "scope")).groupBy("page_id").agg(F.count("*").alias("n_unique"))
 
 
 def link_texts(spark, d):
-    return S.text_counts(_nodes(spark, d), "a")
+    return S.text_counts(_kept_nodes(spark, d), "a")
 
 
 def following_sibling_li(spark, d):
-    return S.sibling_locators(_nodes(spark, d)).where("tag = 'li'").select("page_id", "sibling")
+    return S.sibling_locators(_kept_nodes(spark, d)).where("tag = 'li'").select("page_id", "sibling")
 
 
 def class_locators(spark, d):
-    return S.class_locators(_nodes(spark, d))
+    return S.class_locators(_nodes(spark, d, "nid", "tag", "attrs", "scope"))
 
 
 def entries_upsert(spark, d):
@@ -121,7 +127,7 @@ def debounce_events(spark, d):
 
 
 def full_scan(spark, d):
-    found = S.locators(_nodes(spark, d))
+    found = S.locators(_kept_nodes(spark, d))
     return found.select("page_id", "nid", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "nid", "name", "tag", "place", "x.*")
 
 

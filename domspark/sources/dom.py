@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .markup import VOID, attributes, tokens
 
@@ -310,6 +312,21 @@ def content(e: Element) -> str:
     return "".join(out)
 
 
+def short_content(e: Element, most: int = 60) -> str | None:
+    """The same, or null if it has more characters, white space aside."""
+    out, todo, n = [], [e], 0
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            n += sum(map(len, x.split()))
+            if n > most:
+                return None
+        else:
+            todo.extend(reversed(x.children))
+    return "".join(out)
+
+
 def _direct(e: Element) -> str | None:
     """The first text child that isn't blank."""
     return next((c for c in _joined(e.children) if isinstance(c, str) and c.strip(_JS_SPACE)), None)
@@ -329,88 +346,99 @@ def _joined(children: list) -> list:
     return out
 
 
-NODE_SCHEMA = (
-    "page_id long, nid int, parent int, tag string, attrs map<string,string>, pre int, post int, depth int, sib_idx int, tag_idx int, tag_cnt int, scan_seq int, scope int, "
-    "direct_text string, text string, n_child int, visible boolean, path string, up array<struct<tag:string,attrs:map<string,string>,nid:int,tag_idx:int,tag_cnt:int>>, hosts array<struct<tag:string,attrs:map<string,string>>>, keys array<string>, up_keys array<string>, above_keys array<string>"
-)
-
-
-def _keys(e: Element) -> list[str]:
-    """What selectors of one element can ask for: tag|attribute=value, tag|.class, *|id=value."""
-    tokens = re.split(f"[{_JS_SPACE}]+", e.attrs.get("class", ""))
-    own = [f"{e.tag}|{a}={v}" for a, v in e.attrs.items()] + [f"{e.tag}|.{t}" for t in dict.fromkeys(tokens) if t]
-    return own + [f"*|id={e.attrs['id']}"] if "id" in e.attrs else own
+_PAIRS = pa.map_(pa.string(), pa.string())
+_NEAR = pa.struct([("tag", pa.string()), ("attrs", _PAIRS), ("nid", pa.int32()), ("tag_idx", pa.int32()), ("tag_cnt", pa.int32())])
+KINDS = {
+    "page_id": pa.int64(), "nid": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "attrs": _PAIRS, "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "sib_idx": pa.int32(),
+    "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "after": pa.map_(pa.string(), pa.int32()), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "brief": pa.string(), "n_child": pa.int32(),
+    "visible": pa.bool_(), "path": pa.string(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])), "above": pa.list_(pa.int32()),
+}
+_ROWS = 5_000
 
 
-def _rows(page_id: int, source: str) -> Iterator[dict]:
+def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iterator[dict]:
     root = build(source)
     found = number(root)
-    place: dict[int, tuple[int, int, int]] = {}
-    path: dict[int, str] = {}
+    ask = frozenset(columns)
+    place: dict[int, tuple[int, int, int]] = {root.nid: (0, 1, 1)}
+    after: dict[int, dict[str, int]] = {root.nid: {}}
+    parent_of: dict[int, Element] = {}
     for e in found:
-        own = [*e.elements()]
-        for group in (own, e.shadow.elements() if e.shadow else []):
+        own = e.elements()
+        parent_of.update((c.nid, e) for c in own)
+        for group in (own, e.shadow.elements() if e.shadow else ()):
             seen: dict[str, int] = {}
-            total: dict[str, int] = {}
-            for c in group:
-                total[c.tag] = total.get(c.tag, 0) + 1
+            left: dict[str, int] = {}
             for i, c in enumerate(group):
                 seen[c.tag] = seen.get(c.tag, 0) + 1
-                place[c.nid] = (i, seen[c.tag], total[c.tag])
-    place[root.nid] = (0, 1, 1)
+                place[c.nid] = (i, seen[c.tag], 0)
+            if "after" in ask:
+                for c in reversed(group):
+                    after[c.nid] = dict(left)
+                    left[c.tag] = left.get(c.tag, 0) + 1
+            for c in group:
+                place[c.nid] = (*place[c.nid][:2], seen[c.tag])
     wanted = {e.tag for e in found if e.tag in CANDIDATE_TAGS or "id" in e.attrs or e.attrs.get("role") in CANDIDATE_ROLES} | {"label"}
-    parent_of = {c.nid: e for e in found for c in e.elements()}
-    keys = {e.nid: _keys(e) for e in found}
-    above: dict[int, list[str]] = {}
-    for e in found:
-        up = parent_of.get(e.nid)
-        above[e.nid] = [*keys[up.nid], *above[up.nid]] if up and (keys[up.nid] or above[up.nid]) else []
+    path: dict[int, str] = {}
     for e in found:
         up = parent_of.get(e.nid)
         sib, idx, cnt = place[e.nid]
-        path[e.nid] = "/html" if e is root else (path[up.nid] if up else "") + f"/{e.tag}" + (f"[{idx}]" if idx > 1 else "")
-        near = []
-        p = up
-        while p is not None and len(near) < 2:
-            _, i, c = place[p.nid]
-            near.append({"tag": p.tag, "attrs": list(p.attrs.items()), "nid": p.nid, "tag_idx": i, "tag_cnt": c})
-            p = parent_of.get(p.nid)
-        hosts, scope = [], e.scope
-        while scope >= 0:
-            hosts.insert(0, {"tag": found[scope].tag, "attrs": list(found[scope].attrs.items())})
-            scope = found[scope].scope
-        yield {
-            "page_id": page_id, "nid": e.nid, "parent": up.nid if up else None, "tag": e.tag, "attrs": list(e.attrs.items()), "pre": e.nid, "post": e.post, "depth": e.depth,
-            "sib_idx": sib, "tag_idx": idx, "tag_cnt": cnt, "scan_seq": e.scan, "scope": e.scope, "direct_text": _direct(e), "text": content(e) if e.tag in wanted else None,
-            "n_child": len(e.elements()), "visible": e.visible, "path": path[e.nid], "up": near, "hosts": hosts,
-            "keys": keys[e.nid], "up_keys": keys[up.nid] if up else [], "above_keys": above[up.nid] if up else [],
+        row = {
+            "page_id": page_id, "nid": e.nid, "parent": up.nid if up else None, "tag": e.tag, "attrs": list(e.attrs.items()), "pre": e.nid, "post": e.post, "depth": e.depth, "sib_idx": sib, "tag_idx": idx, "tag_cnt": cnt,
+            "scan_seq": e.scan, "scope": e.scope, "n_child": len(e.elements()), "visible": e.visible,
         }
-
-
-def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
+        if "after" in ask:
+            row["after"] = list(after[e.nid].items())
+        if "direct_text" in ask:
+            row["direct_text"] = _direct(e)
+        if "text" in ask:
+            row["text"] = content(e) if e.tag in wanted else None
+        if "brief" in ask:
+            row["brief"] = None if e.tag in wanted else short_content(e)
+        if "path" in ask:
+            row["path"] = path[e.nid] = "/html" if e is root else (path[up.nid] if up else "") + f"/{e.tag}" + (f"[{idx}]" if idx > 1 else "")
+        if ask & {"above", "up"}:
+            above, p = [], up
+            while p is not None and (len(above) < 2 or "above" in ask):
+                above.append(p)
+                p = parent_of.get(p.nid)
+            row["above"] = [p.nid for p in above]
+            row["up"] = [{"tag": p.tag, "attrs": list(p.attrs.items()), "nid": p.nid, "tag_idx": place[p.nid][1], "tag_cnt": place[p.nid][2]} for p in above[:2]]
+        if "hosts" in ask:
+            hosts, scope = [], e.scope
+            while scope >= 0:
+                hosts.insert(0, {"tag": found[scope].tag, "attrs": list(found[scope].attrs.items())})
+                scope = found[scope].scope
+            row["hosts"] = hosts
+        yield row
+
+
+def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None = None) -> DataFrame:
     """The elements of pages (page_id, html), one row each; scope is -1 in the document, else the shadow host's nid.
 
-    up: parent and grandparent; hosts: shadow hosts from the outermost in; keys, up_keys, above_keys: what selectors can ask
-    of the element, its parent, and the elements above that. text is there for tags that can be scanned.
+    up: parent and grandparent; above: the nids of all ancestors from the parent on; after: for each tag how many siblings
+    of it follow; hosts: shadow hosts from the outermost in. text is there for tags that can be
+    scanned; brief is the text of others, if it is short. columns: those that
+    are needed, the others are not made. Page ids keep their type.
     """
-    pair = lambda: pa.map_(pa.string(), pa.string())
-    kinds = {
-        "page_id": pa.int64(), "nid": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "attrs": pair(), "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "sib_idx": pa.int32(),
-        "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "n_child": pa.int32(), "visible": pa.bool_(), "path": pa.string(),
-        "up": pa.list_(pa.struct([("tag", pa.string()), ("attrs", pair()), ("nid", pa.int32()), ("tag_idx", pa.int32()), ("tag_cnt", pa.int32())])), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", pair())])),
-        "keys": pa.list_(pa.string()), "up_keys": pa.list_(pa.string()), "above_keys": pa.list_(pa.string()),
-    }
-    schema = pa.schema(list(kinds.items()))
+    columns = tuple(c for c in KINDS if columns is None or c in columns or c == "page_id")
+    rows = pages.select("page_id", F.coalesce(html, F.lit("")).alias("html"))
+    tasks = pages.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:  # a small table in one file would keep one core busy
+        rows = rows.repartition(tasks)
+    id_type = to_arrow_type(pages.schema["page_id"].dataType)
+    schema = pa.schema([(c, id_type if c == "page_id" else KINDS[c]) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += _rows(page_id, source)
-                if len(rows) > 5_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return pages.select(F.col("page_id").cast("long"), F.coalesce(html, F.lit("")).alias("html")).mapInArrow(run, NODE_SCHEMA)
+            out: list[dict] = []
+            for page_id, source in zip(batch.column(0), batch.column(1), strict=True):
+                for row in _rows(page_id.as_py(), source.as_py(), columns):
+                    out.append(row)
+                    if len(out) == _ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(run, StructType([StructField("page_id", pages.schema["page_id"].dataType), *from_arrow_schema(schema).fields[1:]]))
