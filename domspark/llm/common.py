@@ -1,21 +1,17 @@
-"""What the text operators share: tables, words, and results written to the shared folder."""
+"""What the text operators share: tables, words, batches."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, scratch, settle  # noqa: F401
+
 #: White space between words: U+0020 and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
-ROWS_PER_FILE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,61 +33,6 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; in local mode a temporary one where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="domspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-#: Paths of the tables written in each open scope, from the outermost in.
-_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
-
-
-def settle(df: DataFrame, rows: int | None = None, outer: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it again: later steps use it several times and a lost executor costs nothing.
-
-    rows: about how many there are, if known; then small tables become few files. outer: the table outlives the innermost
-    scratch(), as a result that is read later has to.
-    """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    if rows is not None:
-        df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
-    df.write.parquet(path)
-    scopes = _SCOPES.get()[: -1 if outer else None]
-    if scopes:
-        scopes[-1].append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that settle() writes inside are deleted at the end, but for outer ones."""
-    own: list[tuple[SparkSession, str]] = []
-    token = _SCOPES.set((*_SCOPES.get(), own))
-    try:
-        yield
-    finally:
-        _SCOPES.reset(token)
-        for spark, path in own:
-            _delete(spark, path)
-
-
-def discard(settled: DataFrame) -> None:
-    """Delete a table that settle() wrote; nothing may read it any more."""
-    for folder in {f.rpartition("/")[0] for f in settled.inputFiles()}:
-        _delete(settled.sparkSession, folder)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(df: DataFrame, rows: int = 2_000) -> None:
     """From now on Arrow batches hold so many rows at most: texts are long, and a batch stands in memory on both sides."""
     conf = df.sparkSession.conf

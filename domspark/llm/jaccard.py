@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ByteType, LongType, StructField, StructType
 
-from .common import pieces, settle, small_batches, whole_text
+from .common import pieces, scratch, settle, small_batches, whole_text
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -89,14 +91,17 @@ def _sets(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
             m, e, c = len(texts), int(once.sum()), len(known)
             kind = np.repeat(np.array([0, 1, 2], np.int8), (m, e, c))
             null = lambda n: pa.nulls(n, pa.int64())
-            join = lambda *parts: pa.chunked_array([p if isinstance(p, pa.Array) else pa.array(p, pa.int64()) for p in parts]).combine_chunks()
+            join = lambda *parts: pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, pa.int64()) for p in parts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), join(batch.column(0).cast(pa.int64()), null(e + c)), join(batch.column(1), null(e + c)), join(nodes, node, known), join(sizes, null(e), times), join(null(m), flat[once], null(c))],
+                [pa.array(kind), pa.concat_arrays([batch.column(0).cast(id_type), pa.nulls(e + c, id_type)]), join(batch.column(1), null(e + c)), join(nodes, node, known), join(sizes, null(e), times), join(null(m), flat[once], null(c))],
                 names=["kind", "doc_id", "text_hash", "node", "n", "gram"],
             )
 
     t = whole_text()
-    return docs.select("doc_id", F.xxhash64(t).alias("h"), t.alias("t")).mapInArrow(run, "kind byte, doc_id long, text_hash long, node long, n long, gram long")
+    kind = docs.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+    schema = StructType([StructField("kind", ByteType()), StructField("doc_id", kind), *(StructField(x, LongType()) for x in ("text_hash", "node", "n", "gram"))])
+    return docs.select("doc_id", F.xxhash64(t).alias("h"), t.alias("t")).mapInArrow(run, schema)
 
 
 def _shared_grams(postings: DataFrame) -> DataFrame:
@@ -187,17 +192,18 @@ def _ordered(a: str, b: str, na: str, nb: str) -> list:
 def node_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n, text_hash) of all rows, and (node, root) of the nodes that have links. num / den: the least similarity."""
     small_batches(docs)
-    found = settle(_sets(docs, num, den, k))
-    rows = found.where("kind = 0").select("doc_id", "text_hash", "node", "n")
-    size = rows.count()
-    shared = _shared_grams(found.where("kind = 1")).union(found.where("kind = 2").select("node", "n")).groupBy("node").agg(F.sum("n").alias("shared"))
-    least = F.ceil(F.col("n") * num / den).cast("long")  # the least size of a partner, and k of that size
-    texts = rows.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
-    texts = settle(texts.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("text_hash"), size)
-    few = texts.count() <= MOST_SENT
-    t = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("t"))
-    t = t.join(F.broadcast(texts) if few else texts, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    matrix = settle(_matrix(t.select("t"), k).dropDuplicates(["node"]))
+    with scratch():
+        found = settle(_sets(docs, num, den, k))
+        rows = settle(found.where("kind = 0").select("doc_id", "text_hash", "node", "n"), outer=True)
+        size = rows.count()
+        shared = _shared_grams(found.where("kind = 1")).union(found.where("kind = 2").select("node", "n")).groupBy("node").agg(F.sum("n").alias("shared"))
+        least = F.ceil(F.col("n") * num / den).cast("long")  # the least size of a partner, and k of that size
+        texts = rows.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
+        texts = settle(texts.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("text_hash"), size)
+        few = texts.count() <= MOST_SENT
+        t = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("t"))
+        t = t.join(F.broadcast(texts) if few else texts, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        matrix = settle(_matrix(t.select("t"), k).dropDuplicates(["node"]), outer=True)
 
     entries = matrix.select("node", "n", F.explode("grams").alias("gram"))
     often = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -301,17 +307,34 @@ def _open_lists(postings: DataFrame, root: DataFrame | None) -> DataFrame:
     return placed.join(several, "gram")
 
 
+#: Parts that the nodes of one component are dealt into, so that no task gets all of a large one.
+SALTS = 64
+
+
+def _named(least: DataFrame, root: DataFrame) -> DataFrame:
+    """node, least: of each node (node, least) the least value of its component.
+
+    Values are settled per node first, then per component and part; each component's least value goes to every part.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("part")
+    linked = settle(least.join(root, "node").select("node", "root", part, "least"), root.count())
+    of_part = linked.groupBy("root", "part").agg(F.min("least").alias("least"))
+    of_root = of_part.groupBy("root").agg(F.min("least").alias("least"), F.collect_list("part").alias("parts")).select("root", F.explode("parts").alias("part"), "least")
+    named = linked.select("node", "root", "part").join(of_root, ["root", "part"]).select("node", "least")
+    return named.union(least.join(root, "node", "left_anti").select("node", "least"))
+
+
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for each row of docs (doc_id, text).
 
     A null or empty text, or one without words, has an empty set and no links. A text of fewer than k words is one
     shingle. Repeated rows are copies of each other. Null ids stay null and count as larger than others.
     """
-    rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
-    # Ids of a node are settled per node first, then per component, so that no group of copies meets in one task.
-    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    group = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = group.select("node", "root").join(group.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    with scratch():
+        rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
+        named = _named(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), root).select("node", F.col("least").alias("component_id"))
+        size = rows.count()
+        rows, named = settle(rows, size, outer=True), settle(named, size, outer=True)
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -320,14 +343,14 @@ def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> Data
 
     Of rows equal in id and text one stays; texts without words have no copies and stay.
     """
-    rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    least = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = least.join(least.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
-    gone = rows.join(first, "node").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    size = rows.count()
-    gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct(), size)
-    twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"), size)
+    with scratch():
+        rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
+        key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+        first = _named(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least")), root).select("node", F.col("least").alias("first"))
+        gone = rows.join(first, "node").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+        size = rows.count()
+        gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct(), size, outer=True)
+        twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"), size, outer=True)
     send = lambda ids: F.broadcast(ids) if ids.count() <= MOST_SENT else ids
     row = F.xxhash64("doc_id", F.xxhash64(whole_text()))
     left = docs.withColumn("_row", row).join(send(gone), F.col("_row") == F.col("gone"), "left_anti")

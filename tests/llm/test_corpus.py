@@ -95,6 +95,13 @@ def test_jaccard(spark, which, monkeypatch):
     assert sum(not plain_words(t) for _, t in left) == sum(not plain_words(t) for _, t in rows)
 
 
+def test_jaccard_of_text_ids(spark):
+    rows = [(f"d{i:03d}", t) for i, (_, t) in enumerate(near_copies()[:60])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_components(rows)
+    assert {r.doc_id for r in jaccard.one_of_each(docs).collect()} == {c for _, _, c in plain_components(rows)}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.near_duplicates(empty_docs(spark)).count() == 0
 
