@@ -8,17 +8,18 @@ have: first for all classes together, at last for each class.
 A word seen in training also has one arc for its whole, weighted by its discounted count; the discounts' mass is the
 weight of entering the pieces. All this is learned for each of the most frequent values of lang (others and null
 together), and a text's marginal probability is the sum over these classes, by their share of training texts, of the
-product over its words and its end. A text's own lang is no input of its score.
+product over its words and its end. A text's own lang is no input of its score. lattice_score is what the vocabulary's
+pieces alone give, without arcs for whole words, each word by the classes' shares.
 
 Defined results: a null or empty text has one token, the end. Repeated rows each get their result (rows with the same id
-and text are told apart by their number only). Null ids count as the empty string for the training fold. Other columns
+and text are told apart by their number only; the text is known by a digest of 128 bits). Null ids count as the empty string for the training fold. Other columns
 are not read. Without training texts, words get the pieces' probability alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -29,10 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, settle, whole_text
+from .common import discard, fold, settle, whole_text
 
-#: Pieces of more bytes are left out of the lattice.
-LONGEST_PIECE = 16
 #: Re-estimations of the piece weights for all classes together.
 ROUNDS = 4
 #: Classes besides the one for the rest.
@@ -55,7 +54,7 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         b = piece.encode()
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or b != b.lower() or len(b) > LONGEST_PIECE or "▁" in piece[1:]:
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or b != b.lower() or "▁" in piece[1:]:
             continue
         found[b] = 1 / (10 + max(0.0, -model.get_score(i)))
     for b in range(256):
@@ -75,8 +74,9 @@ class Lattice:
         self.hashes = hashes[self.order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self._slot(hashes)] = True
-        self.power = np.ones(LONGEST_PIECE + 1, np.uint64)
-        for i in range(LONGEST_PIECE):
+        self.longest = max(map(len, pieces))
+        self.power = np.ones(self.longest + 1, np.uint64)
+        for i in range(self.longest):
             self.power[i + 1 : i + 2] = self.power[i : i + 1] * _BASE
 
     @staticmethod
@@ -118,7 +118,7 @@ class Lattice:
         for j in range(width):
             h[:, j + 1] = h[:, j] * _BASE + (w[:, j].astype(np.uint64) + np.uint64(1))
         out = []
-        for k in range(1, min(LONGEST_PIECE, width) + 1):
+        for k in range(1, min(self.longest, width) + 1):
             key = h[:, k:] - h[:, :-k] * self.power[k]
             hit = self.maybe[self._slot(key)]
             hit &= np.arange(width - k + 1) + k <= size[:, None]
@@ -308,6 +308,12 @@ class Discounts:
         return F.when(~is_word, F.lit(self.end)).when(c == 0, through).otherwise(F.log10(own + F.pow(F.lit(10.0), through)))
 
 
+def _log10_sum(logs: list[Column]) -> Column:
+    """The logarithm of the sum of what logs are logarithms of."""
+    best = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    return best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
+
+
 def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select("doc_id", "lang", whole_text().alias("t"), (fold(F.col("doc_id"), 5) == 1).alias("held_out"))
     names, share = class_names(docs)
@@ -316,8 +322,8 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
     for i, name in enumerate(names):
         z = z.when(F.col("lang") == name, i)
     pieces, log_p = read_pieces(path)
-    words = settle(count_words(docs.select("t", z.otherwise(len(names)).alias("z")), len(share)))
-    weights = learned_weights(words, pieces, log_p, len(share))
+    counted = settle(count_words(docs.select("t", z.otherwise(len(names)).alias("z")), len(share)))
+    weights = learned_weights(counted, pieces, log_p, len(share))
     in_class = ", ".join(f"c{i} long" for i in classes)
     by_pieces = ", ".join(f"p{i} float" for i in classes)
 
@@ -327,7 +333,8 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
             found = lattice.log10(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x.astype(np.float32)) for x in found)], names=[*b.schema.names, *(f"p{i}" for i in classes)])
 
-    words = settle(words.mapInArrow(run, f"word binary, n long, {in_class}, {by_pieces}"))
+    words = settle(counted.mapInArrow(run, f"word binary, n long, {in_class}, {by_pieces}"))
+    discard(counted)
     is_word = F.col("word") != F.lit(b"")
     c = sum((F.col(f"c{i}") for i in classes), F.lit(0))
     sums = words.agg(
@@ -337,11 +344,12 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
             *[F.count(F.when(is_word & (x == k), 1)).alias(f"n{k}_{i}") for k in (1, 2, 3, 4)], F.count(F.when(is_word & (x > 2), 1)).alias(f"more{i}"))],
     ).first().asDict()
     total, distinct = sums["N"] or 0, sums["V"]
+    spelt = [F.when(is_word, F.col(f"p{i}").cast("double")).otherwise(F.lit(float(weights[i][-1]) / math.log(10))) + math.log10(share[i]) for i in classes]
     weighed = words.select(
-        "word", "n", F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("b"), (c > 0).cast("int").alias("k"),
+        "word", "n", _log10_sum(spelt).alias("l"), F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("b"), (c > 0).cast("int").alias("k"),
         *[Discounts(*(sums[f"{x}{i}"] or 0 for x in ("total", "ends", "n1_", "n2_", "n3_", "n4_", "more"))).weight(F.col(f"c{i}"), F.col(f"p{i}").cast("double"), is_word).alias(f"w{i}") for i in classes],
     )
-    values = ["k", "b", *(f"w{i}" for i in classes)]
+    values = ["k", "b", "l", *(f"w{i}" for i in classes)]
 
     # The words that occur most go to all tasks: as many as MOST_SENT allows, by steps of their count's logarithm.
     step = F.floor(8 * F.log2("n"))
@@ -361,7 +369,7 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
             at, key, word, tf, n, heads, sums = [], [], [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
                 raw = t.as_py().encode()
-                h = zlib.crc32(raw)
+                h = hashlib.blake2b(raw, digest_size=16).digest()
                 seen = Counter(raw.lower().split())
                 seen[b""] += 1
                 index = [place.get(x, -1) for x in seen]
@@ -373,7 +381,7 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
                 heads.append(len(at))
                 at += [i] * (len(rest) + 1)
                 key += [h] * (len(rest) + 1)
-                word += [b" %d %d" % (i, h), *(x for x, _ in rest)]
+                word += [b" %d " % i + h, *(x for x, _ in rest)]
                 tf += [0, *(m for _, m in rest)]
                 n.append(seen.total())
             index = pa.array(at, pa.int64())
@@ -381,16 +389,14 @@ def op1_lattice_likelihood(docs: DataFrame, path: str) -> DataFrame:
             own[heads] = np.arange(len(heads))
             own = pa.array(own, mask=own < 0)
             sums = np.array(sums).reshape(len(n), len(values))
-            columns = [batch.column(0).take(index), pa.array(key, pa.int64()), batch.column(2).take(index), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(n, pa.int64()).take(own), *(pa.array(sums[:, j]).take(own) for j in range(len(values)))]
+            columns = [batch.column(0).take(index), pa.array(key, pa.binary()), batch.column(2).take(index), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(n, pa.int64()).take(own), *(pa.array(sums[:, j]).take(own) for j in range(len(values)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "held_out", "word", "tf", "tokens", *values])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = docs.select("doc_id", "t", "held_out").mapInArrow(score, f"doc_id {kind}, h long, held_out boolean, word binary, tf long, tokens long, " + ", ".join(f"{x} double" for x in values))
+    parts = docs.select("doc_id", "t", "held_out").mapInArrow(score, f"doc_id {kind}, h binary, held_out boolean, word binary, tf long, tokens long, " + ", ".join(f"{x} double" for x in values))
     rare = weighed.where(step < least).select(F.col("word").alias("_word"), *[F.col(x).alias(f"_{x}") for x in values])
     joined = parts.join(rare, F.col("word") == F.col("_word"), "left")
     rows = joined.groupBy("doc_id", "h", "held_out").agg(F.count("tokens").alias("rows"), F.sum("tokens").alias("n"), *[F.sum(F.coalesce(F.col(x), F.col("tf") * F.col(f"_{x}"))).alias(x) for x in values])
     each = rows.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     part = [F.col(f"w{i}") / F.col("rows") + math.log10(share[i]) for i in classes]
-    best = F.greatest(*part) if len(part) > 1 else part[0]
-    marginal = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in part), F.lit(0.0)))
-    return each.select("doc_id", "held_out", F.expr("n div rows").alias("n_tokens"), F.round(F.col("k") / F.col("rows")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("b") / F.col("rows")).alias("base_score"), marginal.alias("score"))
+    return each.select("doc_id", "held_out", F.expr("n div rows").alias("n_tokens"), F.round(F.col("k") / F.col("rows")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("b") / F.col("rows")).alias("base_score"), _log10_sum(part).alias("score"), (F.col("l") / F.col("rows")).alias("lattice_score"))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from helpers import empty_docs, odd_docs, odd_rows, plain_words
+from pyspark.sql import functions as F
 
 from domspark.llm import jaccard, lattice, substrings, toxicity
 from domspark.llm.components import components
@@ -244,11 +245,11 @@ def test_lattice_sums_all_segmentations():
     pieces, log_p = lattice.read_pieces(PIECES)
     la = lattice.Lattice(pieces, [log_p])
     weight = dict(zip(pieces, np.exp(log_p), strict=True))
-    for w in ("the", "nation", "über", "x%q", "\U0001f600", "a" * 70):
+    for w in ("the", "nation", "über", "x%q", "\U0001f600", "a" * 70, "characteristics", "representations"):
         s = ("▁" + w).encode()
         sums = [1.0, *[0.0] * len(s)]
         for j in range(1, len(s) + 1):
-            sums[j] = sum(sums[i] * weight.get(s[i:j], 0) for i in range(max(0, j - lattice.LONGEST_PIECE), j))
+            sums[j] = sum(sums[i] * weight.get(s[i:j], 0) for i in range(j))
         want = math.log10(sums[-1] * weight[b""])
         assert la.log10([w.encode(), b"other"])[0][0] == pytest.approx(want, rel=1e-9)
     expected = la.expected([b"nation", b"the"], log_p)
@@ -282,6 +283,57 @@ def test_lattice_base_and_shape(spark, monkeypatch):
     assert all(a[6] < 0 for a in got)
 
 
+def test_lattice_scores(spark):
+    """score and lattice_score from the learned weights, by summing all segmentations and whole-word arcs in plain Python."""
+    docs = [(i, t, "en" if (i or 0) % 2 else None) for i, t, *_ in odd_rows() if len(t or "") < 5_000]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    pieces, log_p = lattice.read_pieces(PIECES)
+    names, share = lattice.class_names(df.withColumn("held_out", F.expr("pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) = 1")))
+    own = lambda lang: names.index(lang) if lang in names else len(names)
+    counts = [collections.Counter() for _ in share]
+    for d, t, lang in docs:
+        if not held(d):
+            counts[own(lang)].update([*plain_words(t), b""])
+    every = sorted({w for _, t, _ in docs for w in plain_words(t)})
+    table = spark.createDataFrame([(bytearray(w), 1, *(c[w] for c in counts)) for w in every], "word binary, n long, " + ", ".join(f"c{i} long" for i in range(len(share))))
+    weights = lattice.learned_weights(table, pieces, log_p, len(share))
+
+    def spelt(w, z):
+        weight = dict(zip(pieces, np.exp(weights[z]), strict=True))
+        s = "▁".encode() + w if w else b""
+        sums = [1.0, *[0.0] * len(s)]
+        for j in range(1, len(s) + 1):
+            sums[j] = sum(sums[i] * weight.get(s[i:j], 0) for i in range(j))
+        return sums[-1] * weight[b""]
+
+    p = [{w: spelt(w, z) for w in [*every, b""]} for z in range(len(share))]
+
+    def word_in(w, z):
+        c, total = counts[z], sum(counts[z].values())
+        n = [sum(1 for x, m in c.items() if x and m == k) for k in (1, 2, 3, 4)]
+        a = [max(1, x) for x in n]
+        y = a[0] / (a[0] + 2 * a[1])
+        cut = [min(max(1 - 2 * y * a[1] / a[0], 0.05), 0.95), min(max(2 - 3 * y * a[2] / a[1], 0.05), 1.95), min(max(3 - 4 * y * a[3] / a[2], 0.05), 2.95)]
+        free = (sum(cut[min(m, 3) - 1] for x, m in c.items() if x)) / (total + 1)
+        if not w:
+            return (c[b""] + 1) / (total + 1)
+        return (c[w] - cut[min(c[w], 3) - 1] if c[w] else 0) / (total + 1) + free * p[z][w]
+
+    want = {}
+    for d, t, _ in docs:
+        ws = [*plain_words(t), b""]
+        mix = [math.log10(share[z]) + sum(math.log10(word_in(w, z)) for w in ws) for z in range(len(share))]
+        top = max(mix)
+        want.setdefault((str(d), len(ws)), []).append((top + math.log10(sum(10 ** (m - top) for m in mix)), sum(math.log10(sum(share[z] * p[z][w] for z in range(len(share)))) for w in ws)))
+    got = {}
+    for r in lattice.op1_lattice_likelihood(df, PIECES).collect():
+        got.setdefault((str(r.doc_id), r.n_tokens), []).append((r.score, r.lattice_score))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(sorted(got[k]), sorted(want[k]), rtol=1e-5)
+
+
 def test_lattice_weights_see_all_words(spark):
     pieces, log_p = lattice.read_pieces(PIECES)
     words = [b"nation", b"the", b"there", "über".encode(), b"rate", b"ration", b"other"]
