@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_rows, pieces, whole_text
 
@@ -27,9 +28,12 @@ Q = 10
 WINDOW = 80
 RATE = 0.0625
 BAND = 16
-#: Items are sent to all tasks in slices of about this many characters.
-MOST_SENT = 20_000_000
+#: Items are sent to all tasks in slices of about this many characters, each 16 bytes: 64 MB.
+MOST_SENT = 4_000_000
+#: Hits that a task looks at together.
+MOST_HITS = 1_000_000
 _CHUNK = 1 << 18
+_TOGETHER = 64  # windows that are aligned at once
 _LETTER = np.array([chr(b).isalnum() for b in range(256)])
 
 
@@ -100,10 +104,10 @@ class Items:
         self.texts = [plain[i].string() for i in keep]
         grams = [_gram_hashes(plain[i].code.tobytes()) for i in keep]
         hashes = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[self.order]
-        self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[self.order]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order]
+        self.place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.zeros(0, np.int32)])[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(hashes >> np.uint64(42)).astype(np.int64)] = True
         self.least = np.array([bounds(len(t))[2] for t in self.texts], np.int64)
@@ -139,6 +143,25 @@ def edits_within(pattern: str, text: str, most: int) -> tuple[int, int, int] | N
     return (cost[end], begin[end], end) if cost[end] <= most else None
 
 
+def any_within(patterns: list[str], texts: list[str], most: int) -> np.ndarray:
+    """Which patterns, all of one length, stand in their texts with at most so many edits; all are aligned at once."""
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    want = np.stack([codes(p) for p in patterns])
+    have = np.full((len(texts), int(size.max())), 0xFFFFFFFF, np.uint32)
+    for row, t in zip(have, texts, strict=True):
+        row[: len(t)] = codes(t)
+    column = np.arange(have.shape[1] + 1, dtype=np.int32)
+    cost = np.zeros((len(texts), len(column)), np.int32)
+    for i in range(want.shape[1]):
+        new = cost + 1
+        np.minimum(new[:, 1:], cost[:, :-1] + (have != want[:, i : i + 1]), out=new[:, 1:])
+        cost = np.minimum.accumulate(new - column, axis=1) + column  # skipped characters of the text
+        if cost.min() > most:
+            return np.zeros(len(texts), bool)
+    return np.where(column <= size[:, None], cost, most + 1).min(axis=1) <= most
+
+
 def _verified(text: Plain, item: str, diagonal: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
     """(start, end, edits) of a window that the hits of a band allow and the alignment confirms; those with most hits come first."""
     window, edits, least = bounds(len(item))
@@ -150,13 +173,19 @@ def _verified(text: Plain, item: str, diagonal: np.ndarray, place: np.ndarray) -
     lo, hi = np.searchsorted(place, s, "left"), np.searchsorted(place, s + window - Q, "right")
     count = distinct[hi] - distinct[lo]
     good = s[count >= least]
-    for x in good[np.argsort(-count[good], kind="stable")].tolist():
-        here = diagonal[lo[x] : hi[x]]
-        from_ = max(0, x + int(here.min()) - edits)
-        to = min(len(text), x + window + int(here.max()) + edits)
-        found = edits_within(item[x : x + window], text.string(from_, to), edits) if from_ < to else None
-        if found:
-            return text.at(from_ + found[1]), text.at(from_ + found[2] - 1) + 1, found[0]
+    order = good[np.argsort(-count[good], kind="stable")].tolist()
+    for at in range(0, len(order), _TOGETHER):
+        tries = []
+        for x in order[at : at + _TOGETHER]:
+            here = diagonal[lo[x] : hi[x]]
+            from_, to = max(0, x + int(here.min()) - edits), min(len(text), x + window + int(here.max()) + edits)
+            if from_ < to:
+                tries.append((item[x : x + window], from_, text.string(from_, to)))
+        hit = any_within([p for p, _, _ in tries], [t for _, _, t in tries], edits) if tries else ()
+        for (pattern, from_, piece), good_one in zip(tries, hit, strict=True):
+            if good_one:
+                cost, a, b = edits_within(pattern, piece, edits)
+                return text.at(from_ + a), text.at(from_ + b - 1) + 1, cost
     return None
 
 
@@ -176,19 +205,30 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         lo, hi = np.searchsorted(items.hashes, h, "left"), np.searchsorted(items.hashes, h, "right")
         doc = np.searchsorted(starts, hit, "right") - 1
         times = np.where(hit + Q <= starts[doc + 1], hi - lo, 0)
-        total = int(times.sum())
-        if not total:
+        if not times.any():
             continue
-        which = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(total)
-        doc, where = np.repeat(doc, times), np.repeat(hit - starts[doc], times)
-        item, place = items.item[which], items.place[which]
+
+        def hits(doc=doc, lo=lo, hit=hit, times=times, starts=starts) -> Iterator[tuple[np.ndarray, ...]]:
+            """pair of text and item, item, place in the text, place in the item; a bounded number at once."""
+            done = np.cumsum(times)
+            a = 0
+            while a < len(times):
+                b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + MOST_HITS, "right")))
+                n = times[a:b]
+                which = np.repeat(lo[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                item = items.item[which].astype(np.int64)
+                yield np.repeat(doc[a:b], n) * len(items.texts) + item, item, np.repeat(hit[a:b] - starts[doc[a:b]], n), items.place[which].astype(np.int64)
+                a = b
+
         # First the pairs of text and item with enough hits at all, then their bands.
-        pair = doc * len(items.texts) + item
-        _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = n[back] >= items.least[item]
-        pair, where, place, item = pair[keep], where[keep], place[keep], item[keep]
-        if not len(pair):
+        some = [np.unique(pair, return_counts=True) for pair, *_ in hits()]
+        key, back = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+        many = np.bincount(back, np.concatenate([n for _, n in some]))
+        good = key[many >= items.least[key % len(items.texts)]]
+        if not len(good):
             continue
+        kept = [[x[np.isin(part[0], good)] for x in part] for part in hits()]
+        pair, item, where, place = (np.concatenate(x) for x in zip(*kept, strict=True))
         done: set[int] = set()
         for shift in (0, BAND // 2):
             band = (where - place + shift) // BAND
@@ -219,7 +259,7 @@ def _slices(benchmark: DataFrame) -> Iterator:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """A row for each text and item that it contains: doc_id, item_id, shared, start, end, edits (characters, end exclusive)."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    types = pa.int64() if item_kind == "bigint" else None
+    types = to_arrow_type(benchmark.schema["item_id"].dataType)
     rows = docs.select("doc_id", whole_text(text).alias("t"))
     out = None
     for shared in _slices(benchmark):

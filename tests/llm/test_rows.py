@@ -10,6 +10,8 @@ import public_tokenizers as P
 import pytest
 from helpers import empty_docs, odd_docs, odd_rows
 
+from pyspark.sql import functions as F
+
 from domspark.llm import bpe, decontaminate, html_text, quality, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,6 +234,15 @@ def plain_edits(p, t):
     return min(row)
 
 
+def test_alignments_at_once():
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choice("abé😀") for _ in range(n))
+    for _ in range(60):
+        m, most = rng.randint(1, 14), rng.randint(0, 4)
+        pairs = [(make(m), make(rng.randint(1, 22))) for _ in range(9)]
+        assert decontaminate.any_within([p for p, _ in pairs], [t for _, t in pairs], most).tolist() == [plain_edits(p, t) <= most for p, t in pairs]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
@@ -264,6 +275,26 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_slices(spark, monkeypatch):
+    """Text ids, clashing columns, repeated rows, a very long text, a phrase that many items share; hits and items a few at a time."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    common = "a phrase that all of the items have in their middle"
+    items = {f"i{k}": f"{' '.join(word() for _ in range(12))} {common} {' '.join(word() for _ in range(12))}" for k in range(60)}
+    long = " ".join(word() for _ in range(30_000))
+    texts = {"a": long[:70_000] + " " + items["i7"] + " " + long[70_000:], "b": common * 10, "c": items["i3"][40:] + " " + items["i9"], "d": long, "e": ""}
+    docs = spark.createDataFrame([*texts.items(), ("c", texts["c"])], "doc_id string, text string")
+    for name in ("t", "item_id", "start", "end", "edits", "shared"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    bench = spark.createDataFrame([*items.items()], "item_id string, text string").withColumn("t", F.lit("clash"))
+    monkeypatch.setattr(decontaminate, "MOST_SENT", 3_000)
+    monkeypatch.setattr(decontaminate, "MOST_HITS", 500)
+    got = collections.Counter((r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect())
+    assert {(d, i) for d, i, _ in got} == {("a", "i7"), ("c", "i3"), ("c", "i9")} and got["c", "i9", 0] == 2 and got["a", "i7", 0] == 1
+    left = decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == ["b", "d", "e"]
+
+
 PAGE = """<html><head><title>no</title></head><body><nav><ul><li><a href=1>menu</a></li></ul></nav><div class="cookie-notice">The site is of the and in that for it on was as with be by</div>
 <article><header><h1>A &amp; B</h1></header><p>The quick brown fox jumps over the lazy dog and it is in the end of the day.<br>more<p>Short.<p><b>Open
  <aside>side</aside><div class="ad">buy</div><form><p>mail</p><input></form><section id="comments"><p>The reader said that it is the best of all and for the rest.</p></section><ul><li>item <i>one</i></li></ul></article><footer>f</footer>"""
