@@ -355,6 +355,23 @@ def test_lattice_of_nothing(spark):
     assert all(math.isfinite(r.score) for r in lattice.op1_lattice_likelihood(untrained, PIECES).collect())
 
 
+def test_toxicity_risk_and_gradient():
+    rng = np.random.default_rng(5)
+    for shift in (-3.0, 0.0, 3.0):
+        z, is_p = rng.normal(size=40) + shift, np.arange(40) < 15
+        z[is_p] += 2 * shift
+        got, g = toxicity.risk(z, is_p, 0.3)
+        loss = lambda x: math.log1p(math.exp(-x))
+        own, rest = [loss(x) for x in z[is_p]], [loss(-x) for x in z[~is_p]]
+        excess = sum(rest) / 25 - 0.3 * sum(loss(-x) for x in z[is_p]) / 15
+        assert got == pytest.approx(0.3 * sum(own) / 15 + max(0, excess))
+        part = (lambda x: toxicity.risk(x, is_p, 0.3)[0]) if excess >= 0 else lambda x: -(np.logaddexp(0, x)[~is_p].mean() - 0.3 * np.logaddexp(0, x)[is_p].mean())
+        for i in (0, 7, 20, 39):
+            step = np.zeros(40)
+            step[i] = 1e-6
+            assert g[i] == pytest.approx((part(z + step) - part(z - step)) / 2e-6, abs=1e-6)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(3)
     plain = [f"w{i}" for i in range(400)]
