@@ -24,6 +24,7 @@ from ..functions.text import xpath_normalize
 SEP = "\x01"
 #: Longer texts are compared by a digest.
 LONG_TEXT = 200
+_BY_PARTS = r"^[^|]*\|[~&]"
 QUESTION = ("rel", "akey", "mid", "own", "text", "k")
 
 
@@ -62,10 +63,12 @@ def forms(nodes: DataFrame) -> DataFrame:
     return nodes.where("scope = -1").select("page_id", "nid", F.explode(F.concat(*own)).alias("form"))
 
 
-def _fits(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """page_id, form, nid for the asked forms (page_id, form)."""
+def _fits(nodes: DataFrame, asked: DataFrame, by_parts: bool) -> DataFrame:
+    """page_id, form, nid for the asked forms (page_id, form); by_parts: whether any is about parts of, or several, classes."""
     plain = forms(nodes).join(asked, ["page_id", "form"], "left_semi").select("page_id", "form", "nid")
-    by_class = asked.where(F.col("form").rlike(r"^[^|]*\|[~&]")).select("page_id", "form", F.substring_index("form", "|", 1).alias("tag"), F.expr("substr(form, instr(form, '|') + 1, 1)").alias("sign"), F.expr("substr(form, instr(form, '|') + 2)").alias("want"))
+    if not by_parts:
+        return plain
+    by_class = asked.where(F.col("form").rlike(_BY_PARTS)).select("page_id", "form", F.substring_index("form", "|", 1).alias("tag"), F.expr("substr(form, instr(form, '|') + 1, 1)").alias("sign"), F.expr("substr(form, instr(form, '|') + 2)").alias("want"))
     light = nodes.where("scope = -1").select("page_id", "nid", "tag", F.element_at("attrs", "class").alias("class")).where("class is not null")
     distinct = light.select("page_id", "tag", "class").distinct()
     tokens = class_tokens(F.create_map(F.lit("class"), F.col("class")), numeric=True)
@@ -74,51 +77,77 @@ def _fits(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return plain.union(classes.join(light, ["page_id", "tag", "class"]).select("page_id", "form", "nid"))
 
 
+def _some(df: DataFrame, q: Column) -> DataFrame:
+    return df.groupBy("page_id", q.alias("q")).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid"))
+
+
 def counted(nodes: DataFrame, questions: DataFrame) -> DataFrame:
-    """page_id, q, n, first_nid for questions (page_id, q, rel, akey, mid, own, text, k) that find any element."""
-    col = F.col
+    """page_id, q, n, first_nid for questions (page_id, q, rel, akey, mid, own, text, k) that find any element.
+
+    First it looks which kinds of questions there are, so that only their parts are planned.
+    """
+    any_form = lambda pattern: F.max(F.coalesce(F.col("own").rlike(pattern), F.lit(False)) | F.coalesce(F.col("akey").rlike(pattern), F.lit(False)) | F.coalesce(F.col("mid").rlike(pattern), F.lit(False)))
+    rels, by_parts, texts = questions.agg(F.collect_set(F.coalesce("rel", F.lit(""))), any_form(_BY_PARTS), any_form(r"^[^|]*\|\^")).first()
     asked = questions.select("page_id", F.explode(F.array_compact(F.array("own", "akey", "mid"))).alias("form")).distinct()
-    fits = _fits(nodes, asked)
+    fits = _fits(nodes, asked, bool(by_parts))
     light = nodes.where("scope = -1")
-    some = lambda df, q: df.groupBy("page_id", q.alias("q")).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid"))
-    found = some(fits, question(None, None, None, col("form")))
-
-    # Elements below asked anchors; of several anchors alike, the nearest and the furthest count.
+    found = _some(fits, question(None, None, None, F.col("form")))
+    if {"below", "child", "below2"} & set(rels):
+        found = found.union(_anchored(light, questions, fits))
+    if "after" in rels:
+        found = found.union(_after(light, questions, fits))
+    if texts:
+        found = found.union(_parts(light, questions))
+    if "path" in rels:
+        found = found.union(_paths(light, questions))
+    return found
+
+
+def _anchored(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFrame:
+    """Elements below asked anchors; of several anchors alike, the nearest and the furthest count."""
+    col = F.col
     anchored = questions.where("rel in ('below', 'child', 'below2')")
     anchors = fits.join(anchored.select("page_id", col("akey").alias("form")).distinct(), ["page_id", "form"], "left_semi").select("page_id", col("form").alias("akey"), col("nid").alias("anc"))
     tree = light.select("page_id", "nid", "parent", F.coalesce(_norm(), F.lit("")).alias("norm"), F.posexplode("above").alias("far", "anc"))
     under = tree.join(anchors, ["page_id", "anc"]).groupBy("page_id", "akey", "nid", "parent").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.first("norm").alias("norm"))
     rows = under.join(fits.withColumnRenamed("form", "own"), ["page_id", "nid"])
     rows = rows.join(anchored.select("page_id", "akey", "own").distinct(), ["page_id", "akey", "own"], "left_semi")
-    below, child, below2 = F.lit("below"), F.lit("child"), F.lit("below2")
     deep = rows.where("far >= 1").join(fits.select("page_id", col("form").alias("mid"), col("nid").alias("parent")), ["page_id", "parent"])
     deep = deep.join(anchored.where("rel = 'below2'").select("page_id", "akey", "mid", "own").distinct(), ["page_id", "akey", "mid", "own"], "left_semi")
-    short = F.length("norm").between(1, LONG_TEXT)
-    for df, rel, mid in ((rows, below, None), (rows.where("near = 0"), child, None), (deep, below2, col("mid"))):
-        found = found.union(some(df, question(rel, col("akey"), mid, col("own"))))
-        if rel is not child:
-            found = found.union(some(df.where(short), question(rel, col("akey"), mid, col("own"), col("norm"))))
+    # Each row answers for its keys, and again with its text; a child answers for one more relation.
+    both = lambda rel, mid: F.array(question(rel, col("akey"), mid, col("own")), F.when(F.length("norm").between(1, LONG_TEXT), question(rel, col("akey"), mid, col("own"), col("norm"))))
+    as_child = F.array(F.when(col("near") == 0, question(F.lit("child"), col("akey"), None, col("own"))))
+    answers = rows.select("page_id", "nid", F.explode(F.array_compact(F.concat(both(F.lit("below"), None), as_child))).alias("q"))
+    answers = answers.union(deep.select("page_id", "nid", F.explode(F.array_compact(both(F.lit("below2"), col("mid")))).alias("q")))
+    return _some(answers, col("q"))
+
 
-    # The k-th following sibling of a tag is the one that has so many fewer of its tag behind it.
+def _after(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFrame:
+    """The k-th following sibling of a tag is the one that has so many fewer of its tag behind it."""
+    col = F.col
     after = questions.where("rel = 'after'").select("page_id", "q", "akey", "own", "k")
     starts = fits.join(light.select("page_id", "nid", "parent", "after"), ["page_id", "nid"]).select("page_id", col("form").alias("akey"), "parent", "after")
     places = after.join(starts, ["page_id", "akey"]).withColumn("rest", F.element_at("after", col("own")) - col("k")).where("rest >= 0").select("page_id", "q", "parent", col("own").alias("tag"), "rest").distinct()
     ends = light.select("page_id", "parent", "tag", F.coalesce(F.element_at("after", col("tag")), F.lit(0)).alias("rest"), "nid")
-    found = found.union(some(places.join(ends, ["page_id", "parent", "tag", "rest"]), col("q")))
+    return _some(places.join(ends, ["page_id", "parent", "tag", "rest"]), col("q"))
 
-    # Parts of texts: one row for each page and tag.
+
+def _parts(light: DataFrame, questions: DataFrame) -> DataFrame:
+    """Parts of texts: one row for each page and tag."""
     parts = questions.where("rel is null and own like '%|^%'").select("page_id", "q", F.substring_index("own", "|", 1).alias("tag"), F.expr("substr(own, instr(own, '|') + 2)").alias("part"))
     parts = parts.groupBy("page_id", "tag").agg(F.collect_set(F.struct("q", "part")).alias("parts"))
-    texts = light.where(_norm().isNotNull()).join(parts.select("page_id", "tag"), ["page_id", "tag"], "left_semi").groupBy("page_id", "tag").agg(F.array_sort(F.collect_list(F.struct("nid", _norm().alias("norm")))).alias("texts"))
+    texts = light.where(_norm().isNotNull()).groupBy("page_id", "tag").agg(F.array_sort(F.collect_list(F.struct("nid", _norm().alias("norm")))).alias("texts"))
     hits = F.transform("parts", lambda p: F.struct(p["q"].alias("q"), F.filter("texts", lambda t: F.contains(t["norm"], p["part"])).alias("hits")))
-    hit = parts.join(texts, ["page_id", "tag"]).select("page_id", F.explode(F.transform(hits, lambda h: F.struct(h["q"].alias("q"), F.size(h["hits"]).cast("long").alias("n"), F.get(h["hits"], F.lit(0))["nid"].alias("first_nid")))).alias("h"))
-    found = found.union(hit.select("page_id", "h.q", "h.n", "h.first_nid").where("n > 0"))
+    hit = parts.join(texts, ["page_id", "tag"]).select("page_id", F.explode(hits).alias("h")).select("page_id", "h.q", "h.hits")
+    return hit.where(F.size("hits") > 0).select("page_id", "q", F.size("hits").cast("long").alias("n"), F.get("hits", F.lit(0))["nid"].alias("first_nid"))
+
 
-    # Absolute paths: steps without a place fit all of their tag.
-    paths = questions.where("rel = 'path'").select("page_id", "q", _steps(col("own")).alias("tags"), F.split("own", "/").alias("want"))
-    every = light.select("page_id", "nid", _steps(col("path")).alias("tags"), F.split("path", "/").alias("have"))
+def _paths(light: DataFrame, questions: DataFrame) -> DataFrame:
+    """Absolute paths: steps without a place fit all of their tag."""
+    paths = questions.where("rel = 'path'").select("page_id", "q", _steps(F.col("own")).alias("tags"), F.split("own", "/").alias("want"))
+    every = light.select("page_id", "nid", _steps(F.col("path")).alias("tags"), F.split("path", "/").alias("have"))
     same = F.forall(F.zip_with("want", "have", lambda w, h: (w == h) | ~F.contains(w, F.lit("[")) | ((F.substring_index(w, "[1]", 1) == h) & w.endswith("[1]"))), lambda x: x)
-    return found.union(some(paths.join(every, ["page_id", "tags"]).where(same), col("q")))
+    return _some(paths.join(every, ["page_id", "tags"]).where(same), F.col("q"))
 
 
 def _steps(path: Column) -> Column:

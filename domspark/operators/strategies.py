@@ -19,7 +19,7 @@ from .matching import QUESTION, class_form, counted, forms, question, text_form
 LOCATOR = "array<struct<strategy:string,type:string,value:string>>"
 #: What the strategies need of the elements.
 COLUMNS = (
-    "page_id", "nid", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts", "above",
+    "page_id", "nid", "pre", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts", "above",
 )
 
 
@@ -215,14 +215,14 @@ def class_locators(nodes: DataFrame) -> DataFrame:
 def text_counts(nodes: DataFrame, tag: str) -> DataFrame:
     """page_id, text, n_exact, n_part for the short texts of a tag's elements: how many elements equal and how many hold them."""
     own = nodes.where(F.col("tag") == tag)
-    asked = described(own).where("etext is not null").select("page_id", F.col("etext").alias("text")).distinct()
+    asked = described(own).where("etext is not null").select("page_id", F.col("etext").alias("short")).distinct()
     nothing = F.lit(None).cast("string")
-    form = {"exact": text_form(F.lit(tag), F.col("text")), "part": F.concat(F.lit(f"{tag}|^"), "text")}
-    each = asked.select("page_id", "text", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), f.alias("own")) for name, f in form.items()])).alias("x")).select("page_id", "text", "x.*")
-    each = each.withColumns({"q": question(None, None, None, F.col("own")), **{k: nothing for k in QUESTION if k not in ("own", "k")}, "k": F.lit(None).cast("int")})
+    kinds = {"exact": text_form(F.lit(tag), F.col("short")), "part": F.concat(F.lit(f"{tag}|^"), "short")}
+    each = asked.select("page_id", "short", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), f.alias("own")) for name, f in kinds.items()])).alias("x")).select("page_id", "short", "x.*")
+    each = each.withColumns({"q": question(None, None, None, F.col("own")), "rel": nothing, "akey": nothing, "mid": nothing, "text": nothing, "k": F.lit(None).cast("int")})
     n = each.join(counted(own, each), ["page_id", "q"], "left")
     count = lambda what: F.coalesce(F.max(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).cast("int").alias(f"n_{what}")
-    return n.groupBy("page_id", "text").agg(count("exact"), count("part"))
+    return n.groupBy("page_id", F.col("short").alias("text")).agg(count("exact"), count("part"))
 
 
 def sibling_locators(nodes: DataFrame, priority: list[str] | None = None) -> DataFrame:

@@ -40,17 +40,42 @@ plain AS (SELECT page_id, k, replace(replace(href, '&quot;', '"'), '&amp;', '&')
 links AS (SELECT *, count(*) OVER (PARTITION BY page_id, href) AS n_href, count(*) OVER (PARTITION BY page_id, txt) AS n_txt,
     (SELECT count(*) FROM plain q WHERE q.page_id = p.page_id AND contains(q.txt, p.txt)) AS n_part FROM plain p)"""
 
-_FOUND = f"""located AS (SELECT page_id, k, txt AS name, txt || '::a' AS id, list_filter([
-    CASE WHEN txt <> '' AND n_txt = 1 THEN {{'type': 'xpath', 'value': '//a[normalize-space(.)=' || {literal("txt")} || ']'}} END,
-    CASE WHEN txt <> '' AND n_part = 1 THEN {{'type': 'xpath', 'value': '//a[contains(normalize-space(.), ' || {literal("txt")} || ')]'}} END,
-    CASE WHEN href <> '' AND n_href = 1 THEN {{'type': 'css', 'value': 'a[href="' || {escaped("href")} || '"]'}} END,
-    CASE WHEN href <> '' AND n_href = 1 THEN {{'type': 'xpath', 'value': '//a[@href=' || {literal("href")} || ']'}} END], lambda x: x IS NOT NULL) AS found
-  FROM links WHERE txt <> '' AND length(txt) < 50),
-store AS (SELECT page_id, id, name, found, k FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY k DESC) AS r FROM located WHERE len(found) > 0) WHERE r = 1),
-items AS (SELECT page_id, id, name, k, unnest(found) AS x, unnest(range(len(found))) AS i FROM store),
-scored AS (SELECT page_id, id, name, k, i, x.type AS type, x.value AS value, {score("x.type", "x.value")} AS stability FROM items)"""
-
-WITH_STORE = f"WITH {LINKS}, {_FOUND}"
+#: All elements of the tables' pages that a scan looks at. They have one form: a list of links, an advert, an article with a
+#: heading and paragraphs. k: the place in the scan; grp and pos: the list of siblings and the place in it; path: from the root.
+ELEMENTS = rf"""{LINKS},
+text_of AS (SELECT page_id, html, string_split(regexp_extract(html, '(?s)</h1>(.*?)(?:</article>|<footer>)', 1), '<p>')[2:] AS ps FROM pages),
+every AS (
+  SELECT page_id, 'li' AS tag, 10 * (5 + k) + 1 AS k, 'ul' AS grp, k AS pos, txt AS raw, NULL AS href, '/html/body/nav/ul/li' || CASE WHEN k > 0 THEN '[' || (k + 1) || ']' ELSE '' END AS path FROM plain
+  UNION ALL SELECT page_id, 'a', 10 * (6 + k), 'li' || k, 0, txt, href, '/html/body/nav/ul/li' || CASE WHEN k > 0 THEN '[' || (k + 1) || ']' ELSE '' END || '/a' FROM plain
+  UNION ALL SELECT page_id, 'nav', 30, 'body', 0, string_agg(txt, '' ORDER BY k), NULL, '/html/body/nav' FROM plain GROUP BY page_id
+  UNION ALL SELECT page_id, 'div', 42, 'body', 1, regexp_extract(html, '<div class="ad">([^<]*)', 1), NULL, '/html/body/div' FROM pages
+  UNION ALL SELECT page_id, 'h1', 62, 'article', 0, regexp_extract(html, '<h1>([^<]*)', 1), NULL, '/html/body/article/h1' FROM pages
+  UNION ALL SELECT page_id, 'p', 10 * (7 + i) + 2, 'article', i + 1, ps[i + 1], NULL, '/html/body/article/p' || CASE WHEN i > 0 THEN '[' || (i + 1) || ']' ELSE '' END FROM (SELECT page_id, ps, unnest(range(len(ps))) AS i FROM text_of)),
+plain_text AS (SELECT page_id, tag, k, grp, pos, href, path, trim(CASE WHEN tag IN ('li', 'a', 'nav') THEN raw ELSE replace(replace(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&amp(;|$)', '&amp;', 'g'), '&quot;', '"'), '&amp;', '&') END, ' ' || chr(10)) AS whole FROM every),
+els AS (SELECT *, trim(regexp_replace(whole, '[ \t\r\n]+', ' ', 'g')) AS txt, trim(string_split(whole, chr(10))[1]) AS line FROM plain_text),
+counts AS (SELECT *, whole <> '' AND length(whole) < 50 AND NOT contains(whole, chr(10)) AS short, count(*) OVER (PARTITION BY page_id, tag, txt) AS n_txt, count(*) OVER (PARTITION BY page_id, tag, href) AS n_href,
+    (SELECT count(*) FROM els q WHERE q.page_id = e.page_id AND q.tag = e.tag AND contains(q.txt, e.txt)) AS n_part FROM els e),
+pairs AS (SELECT b.page_id, b.k, b.tag, b.grp, a.pos AS near, a.tag AS atag, a.txt AS atxt, a.short, (SELECT count(*) FROM els c WHERE c.page_id = a.page_id AND c.grp = a.grp AND c.tag = b.tag AND c.pos > a.pos AND c.pos <= b.pos) AS step
+  FROM counts a JOIN els b ON a.page_id = b.page_id AND a.grp = b.grp AND a.pos < b.pos),
+once AS (SELECT page_id, atag, atxt, tag, step FROM pairs GROUP BY page_id, atag, atxt, tag, step HAVING count(DISTINCT k) = 1),
+siblings AS (SELECT p.page_id, p.k, arg_max('//' || atag || '[normalize-space(.)=' || {literal("atxt")} || ']/following-sibling::' || tag || '[' || step || ']', near) AS sibling
+  FROM pairs p JOIN once o USING (page_id, atag, atxt, tag, step) WHERE p.short GROUP BY p.page_id, p.k)"""
+
+_FOUND = f"""located AS (SELECT e.page_id, e.k, e.tag, e.path, CASE WHEN short THEN whole ELSE line END AS name, CASE WHEN short THEN whole ELSE line END || '::' || tag AS id, list_filter([
+    CASE WHEN tag = 'div' THEN {{'strategy': 'class', 'type': 'css', 'value': 'div.ad'}} END,
+    CASE WHEN tag = 'div' THEN {{'strategy': 'class', 'type': 'xpath', 'value': '//div[contains(concat('' '', normalize-space(@class), '' ''), '' ad '' )]'}} END,
+    CASE WHEN short AND n_txt = 1 THEN {{'strategy': 'text', 'type': 'xpath', 'value': '//' || tag || '[normalize-space(.)=' || {literal("txt")} || ']'}} END,
+    CASE WHEN short AND n_part = 1 THEN {{'strategy': 'text_part', 'type': 'xpath', 'value': '//' || tag || '[contains(normalize-space(.), ' || {literal("txt")} || ')]'}} END,
+    CASE WHEN href <> '' AND n_href = 1 THEN {{'strategy': 'href', 'type': 'css', 'value': 'a[href="' || {escaped("href")} || '"]'}} END,
+    CASE WHEN href <> '' AND n_href = 1 THEN {{'strategy': 'href', 'type': 'xpath', 'value': '//a[@href=' || {literal("href")} || ']'}} END,
+    CASE WHEN sibling IS NOT NULL THEN {{'strategy': 'sibling', 'type': 'xpath', 'value': sibling}} END], lambda x: x IS NOT NULL) AS found
+  FROM counts e LEFT JOIN siblings s ON e.page_id = s.page_id AND e.k = s.k WHERE (short OR line <> '' AND length(line) < 30) AND tag <> 'nav'),
+scan AS (SELECT page_id, k, name, tag, i, x.strategy AS strategy, x.type AS type, x.value AS value, {score("x.type", "x.value")} AS stability FROM (SELECT page_id, k, name, tag, unnest(found) AS x, unnest(range(len(found))) AS i FROM located)),
+store AS (SELECT page_id, id, name, tag, found, k, first FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY k DESC) AS r, min(k) OVER (PARTITION BY page_id, id) AS first FROM located WHERE len(found) > 0) WHERE r = 1),
+items AS (SELECT page_id, id, name, tag, k, first, unnest(found) AS x, unnest(range(len(found))) AS i FROM store),
+scored AS (SELECT page_id, id, name, tag, k, first, i, x.type AS type, x.value AS value, {score("x.type", "x.value")} AS stability FROM items)"""
+
+WITH_STORE = f"WITH {ELEMENTS}, {_FOUND}"
 
 
 def _snippet(language: str) -> str:
@@ -92,12 +117,34 @@ SQL = {
       SELECT p.page_id, '//li[normalize-space(.)=' || {literal("p.t")} || ']/following-sibling::li[' || p.step || ']' AS sibling FROM best b JOIN pairs p ON b.page_id = p.page_id AND b.j = p.j AND b.step = p.step""",
     "class_locators": """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<div class="([^"]*)">', 1)) AS c FROM pages)
       SELECT page_id, 'div' AS tag, c AS token, 'div.' || c AS css, '//div[contains(concat('' '', normalize-space(@class), '' ''), '' ' || c || ' '' )]' AS xpath FROM t GROUP BY page_id, c HAVING count(*) = 1""",
-    "entries_upsert": f"{WITH_STORE} SELECT page_id, id, name, 'a' AS tag, string_agg(type || ' ' || value || ' ' || stability, chr(10) ORDER BY i) AS locators FROM scored GROUP BY page_id, id, name",
+    "full_scan": f"{WITH_STORE} SELECT page_id, name, tag, CAST(i AS INTEGER) AS place, strategy, type, value, stability FROM scan",
+    "entries_upsert": f"{WITH_STORE} SELECT page_id, id, name, tag, string_agg(type || ' ' || value || ' ' || stability, chr(10) ORDER BY i) AS locators FROM scored GROUP BY page_id, id, name, tag",
     "entry_rank": f"{WITH_STORE}, m AS (SELECT page_id, id, k, max(stability) AS stab FROM scored GROUP BY page_id, id, k) SELECT page_id, id, stab, CAST(row_number() OVER (PARTITION BY page_id ORDER BY stab DESC, k) AS INTEGER) AS place FROM m",
     "best_locator": f"{WITH_STORE} SELECT page_id, id, type, value, stability FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY stability DESC, i) AS r FROM scored) WHERE r = 1",
     "name_search": f"{WITH_STORE} SELECT page_id, id FROM store WHERE contains(lower(name), 'an')",
-    "clean_export": f"{WITH_STORE} SELECT page_id, name, 'a' AS tag, max(value) FILTER (type = 'css') AS css, arg_max(value, i) FILTER (type = 'xpath') AS xpath FROM scored GROUP BY page_id, name",
-    "verify_counts": f"""WITH {LINKS}, {_FOUND}, every AS (SELECT DISTINCT page_id, unnest(found) AS x FROM located) SELECT page_id, x.type AS type, x.value AS value, CAST(1 AS BIGINT) AS matches, 'success-1' AS verdict FROM every""",
+    "clean_export": f"{WITH_STORE} SELECT page_id, name, tag, arg_max(value, i) FILTER (type = 'css') AS css, arg_max(value, i) FILTER (type = 'xpath') AS xpath FROM scored GROUP BY page_id, name, tag",
+    "sorted_locators": f"""{WITH_STORE} SELECT page_id, id, CAST(row_number() OVER (PARTITION BY page_id, id ORDER BY list_position(['id', 'css', 'xpath'], type), stability DESC, i) - 1 AS INTEGER) AS place, type, value,
+      'page.locator("' || CASE type WHEN 'css' THEN '' ELSE 'xpath=' END || replace(value, '"', chr(39)) || '")' AS code FROM scored""",
+    "entry_delete": f"{WITH_STORE} SELECT page_id, id FROM store WHERE id <> 'para::a'",
+    "json_export": f"""{WITH_STORE}, v AS (SELECT page_id, first, name, tag, min(i) AS i, type, arg_max(value, i) AS value FROM scored GROUP BY page_id, first, name, tag, type),
+      r AS (SELECT page_id, first, name, tag, '  {{' || chr(10) || '    "name": ' || to_json(name) || ',' || chr(10) || '    "tag": ' || to_json(tag) || ',' || chr(10) || '    "locators": {{' || chr(10)
+          || string_agg('      ' || to_json(type) || ': ' || to_json(value), ',' || chr(10) ORDER BY i) || chr(10) || '    }}' || chr(10) || '  }}' AS row FROM v GROUP BY page_id, first, name, tag)
+      SELECT CASE WHEN row_number() OVER (ORDER BY page_id, first) = count(*) OVER () THEN row ELSE row || ',' END AS row FROM r UNION ALL SELECT '[' UNION ALL SELECT ']'""",
+    "text_export": f"""{WITH_STORE}, r AS (SELECT page_id, first, name, tag, id, string_agg(' [' || upper(type) || '] [stability=' || stability || ']' || chr(10) || ' ' || value || chr(10) || chr(10), '' ORDER BY i) AS body FROM scored GROUP BY page_id, first, name, tag, id)
+      SELECT '--- Element ' || row_number() OVER (ORDER BY page_id, first) || ' ---' || chr(10) || 'ID: ' || id || chr(10) || 'Name: ' || name || chr(10) || 'Tag: <' || tag || '>' || chr(10) || 'Hops: [{{"type":"leaf","selector":"'
+        || CASE tag WHEN 'div' THEN 'div.ad' ELSE tag END || '"}}]' || chr(10) || chr(10) || body || '---------------------' || chr(10) AS row FROM r
+      UNION ALL SELECT 'Report' || chr(10) || repeat('=', 49) || chr(10) || chr(10) || 'Total Locators: ' || count(*) || chr(10) FROM r""",
+    "absolute_paths": f"{WITH_STORE} SELECT page_id, name, tag, path FROM located",
+    "accessible_names": f"WITH {ELEMENTS} SELECT page_id, tag, path, nullif(whole, '') AS accessible_name FROM els WHERE tag <> 'nav'",
+    "hop_leaves": f"WITH {LINKS} SELECT page_id, CAST(9 + 2 * count(*) AS INTEGER) AS nid FROM plain GROUP BY page_id",
+    "verify_counts": f"""{WITH_STORE}, n AS (SELECT page_id, count(*) AS n FROM plain GROUP BY page_id),
+      asked AS (SELECT DISTINCT page_id, type, value, 1 AS matches FROM scan
+        UNION ALL SELECT page_id, 'css', 'li', n FROM n UNION ALL SELECT page_id, 'css', 'div.none', 0 FROM n UNION ALL SELECT page_id, 'xpath', '//li[', NULL FROM n UNION ALL SELECT page_id, 'css', 'a:hover', NULL FROM n
+        UNION ALL SELECT page_id, 'xpath-abs', '/html/body/nav/ul/li/a', n FROM n UNION ALL SELECT page_id, 'xpath-abs', '/html/body/nav/ul/li[2]/a', least(1, n - 1) FROM n UNION ALL SELECT page_id, 'css', 'ul > li', n FROM n
+        UNION ALL SELECT page_id, 'css', 'nav a', n FROM n UNION ALL SELECT page_id, 'css', 'nav > a', 0 FROM n UNION ALL SELECT page_id, 'xpath', '//nav//li[2]/a', least(1, n - 1) FROM n
+        UNION ALL SELECT page_id, 'xpath', '//li[1]/following-sibling::li[2]', greatest(0, least(1, n - 2)) FROM n
+        UNION ALL SELECT page_id, 'xpath', '//ul//li[contains(@class, ''x'')]', 0 FROM n UNION ALL SELECT page_id, 'xpath', '//div[contains(@class, ''a'')]', 1 FROM n)
+      SELECT page_id, type, value, CAST(coalesce(matches, -1) AS BIGINT) AS matches, CASE WHEN matches IS NULL THEN 'Err' WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' ELSE 'error' END AS verdict FROM asked""",
     "debounce_events": """WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM t)
       SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM g GROUP BY user_id, island""",

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import locators as L
 from ..functions.text import css_escape, js_trim, xpath_literal, xpath_normalize
 from ..operators import entries as E
+from ..operators import export as X
 from ..operators import review as R
 from ..operators import strategies as S
-from ..operators.verify import verified
+from ..operators.candidates import chosen, described
+from ..operators.verify import by_hops, verified
 from ..shared import settle
 from ..sources.dom import nodes
 from ..streaming.changes import debounced
@@ -50,12 +52,12 @@ def _attributes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    return S.locators(_kept_nodes(spark, d)).where("tag = 'a'")
+def _located(spark: SparkSession, d: str) -> DataFrame:
+    return S.locators(_kept_nodes(spark, d))
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
-    return E.upsert(None, E.entries(_links(spark, d)))
+    return E.upsert(None, E.entries(_located(spark, d)))
 
 
 def _flat(locators):
@@ -105,10 +107,48 @@ def clean_export(spark, d):
     return clean.select("page_id", "name", "tag", F.element_at("m", "css").alias("css"), F.element_at("m", "xpath").alias("xpath"))
 
 
+#: Asked of each page besides its own locators: what finds several elements, none, or can't be asked.
+ASKED = (
+    ("css", "li"), ("css", "div.none"), ("xpath", "//li["), ("css", "a:hover"), ("xpath-abs", "/html/body/nav/ul/li/a"), ("xpath-abs", "/html/body/nav/ul/li[2]/a"), ("css", "ul > li"), ("css", "nav a"), ("css", "nav > a"),
+    ("xpath", "//nav//li[2]/a"), ("xpath", "//li[1]/following-sibling::li[2]"), ("xpath", "//ul//li[contains(@class, 'x')]"), ("xpath", "//div[contains(@class, 'a')]"),
+)
+
+
 def verify_counts(spark, d):
-    n = _nodes(spark, d)
-    asked = E.entries(S.locators(n).where("tag = 'a'")).select("page_id", F.explode("locators").alias("x")).select("page_id", "x.type", "x.value")
-    return verified(n, asked).select("page_id", "type", "value", "matches", "verdict")
+    n = _kept_nodes(spark, d)
+    own = S.locators(n).select("page_id", F.explode("locators").alias("x")).select("page_id", "x.type", "x.value")
+    more = _table(spark, d, "pages").select("page_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in ASKED])).alias("x")).select("page_id", "x.*")
+    return verified(n, own.union(more)).select("page_id", "type", "value", F.coalesce("matches", F.lit(-1)).alias("matches"), "verdict")
+
+
+def sorted_locators(spark, d):
+    return R.with_snippets(_store(spark, d), "playwright").select("page_id", "id", "place", "locator.type", "locator.value", "code")
+
+
+def entry_delete(spark, d):
+    return E.deleted(_store(spark, d), "para::a").select("page_id", "id")
+
+
+def json_export(spark, d):
+    return X.json_rows(settle(_store(spark, d))).select("row")
+
+
+def text_export(spark, d):
+    return X.text_rows(settle(_store(spark, d)), "Report").select("row")
+
+
+def absolute_paths(spark, d):
+    return chosen(described(_nodes(spark, d))).select("page_id", "name", "tag", "path")
+
+
+def accessible_names(spark, d):
+    n = _kept_nodes(spark, d)
+    own = n.where("tag in ('li', 'a', 'div', 'h1', 'p')").select("page_id", "nid", "tag", "path")
+    return R.accessible_name(n).join(own, ["page_id", "nid"]).select("page_id", "tag", "path", "accessible_name")
+
+
+def hop_leaves(spark, d):
+    return by_hops(_kept_nodes(spark, d), [{"type": "leaf", "selector": "div.ad"}])
 
 
 def snippets(language: str):
@@ -127,8 +167,7 @@ def debounce_events(spark, d):
 
 
 def full_scan(spark, d):
-    found = S.locators(_kept_nodes(spark, d))
-    return found.select("page_id", "nid", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "nid", "name", "tag", "place", "x.*")
+    return _located(spark, d).select("page_id", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "name", "tag", "place", "x.*")
 
 
 QUERIES = {
@@ -152,6 +191,13 @@ QUERIES = {
     "name_search": name_search,
     "clean_export": clean_export,
     "verify_counts": verify_counts,
+    "sorted_locators": sorted_locators,
+    "entry_delete": entry_delete,
+    "json_export": json_export,
+    "text_export": text_export,
+    "absolute_paths": absolute_paths,
+    "accessible_names": accessible_names,
+    "hop_leaves": hop_leaves,
     "debounce_events": debounce_events,
     "full_scan": full_scan,
 }
