@@ -101,12 +101,14 @@ class Lattice:
             n = max(1, _CELLS // max(1, int(lengths[order[min(len(order) - 1, at + _CELLS // 8)]]) + 3))
             take = order[at : at + n]
             size = lengths[take]
+            take = take[: np.searchsorted(size, size[0] + size[0] // 2 + 4, "right")]  # no padding to a few long words
+            size = size[: len(take)]
             width = int(size.max(initial=0))
             cells = starts[take][:, None] + np.arange(width)
             inside = np.arange(width) < size[:, None]
             matrix = np.where(inside, flat[np.minimum(cells, max(len(flat) - 1, 0))] if len(flat) else 0, 0).astype(np.uint8)
             yield take, matrix, size
-            at += n
+            at += len(take)
 
     def _arcs(self, matrix: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """For each piece length the piece at each place, or -1; words begin with the mark U+2581."""
@@ -143,31 +145,55 @@ class Lattice:
                 alpha[:, j] = np.where(np.isfinite(top), top + np.log(np.exp(terms - top).sum(axis=0)), -np.inf)
         return alpha, weights
 
-    def _short(self, arcs: list[np.ndarray], log_p: np.ndarray) -> bool:
+    def _short(self, matrix: np.ndarray, log_p: np.ndarray) -> bool:
         """Whether no path through words of this width is too small for a double, so that no logarithms are needed."""
-        return arcs[0].shape[1] * -log_p.min() < 650
+        return (matrix.shape[1] + 3) * -log_p.min() < 650
 
-    def _forward_short(self, arcs: list[np.ndarray], log_p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """As _forward, without logarithms, places first."""
-        n, width = arcs[0].shape
+    def _sparse(self, matrix: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For each piece length with arcs: the length, where the arcs of each place begin, and their words and pieces, places first."""
+        n = len(matrix)
+        w = np.concatenate([np.broadcast_to(np.frombuffer("▁".encode(), np.uint8)[:, None], (3, n)), matrix.T])
+        size = size + 3
+        width = len(w)
+        h = np.zeros((width + 1, n), np.uint64)
+        for j in range(width):
+            h[j + 1] = h[j] * _BASE + (w[j].astype(np.uint64) + np.uint64(1))
+        out = []
+        for k in range(1, min(self.longest, width) + 1):
+            key = h[k:] - h[:-k] * self.power[k]
+            hit = self.maybe[self._slot(key)]
+            hit &= (np.arange(width - k + 1) + k)[:, None] <= size
+            where = np.flatnonzero(hit)
+            got = key.ravel()[where]
+            place = np.minimum(np.searchsorted(self.hashes, got), len(self.hashes) - 1)
+            same = self.hashes[place] == got
+            where = where[same]
+            if len(where):
+                out.append((k, np.searchsorted(where, np.arange(width - k + 2) * n), where % n, self.order[place[same]]))
+        return out, size
+
+    def _forward_short(self, arcs: list, n: int, width: int, log_p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """As _forward, without logarithms, places first; arcs as from _sparse."""
         p = np.exp(log_p)
-        p[-1] = 0  # no arc is the end piece; -1 stands for none
-        weights = [p.take(a.T) for a in arcs]
+        weights = [p[piece] for _, _, _, piece in arcs]
         alpha = np.zeros((width + 1, n))
         alpha[0] = 1
-        for j in range(1, width + 1):
-            for k in range(1, min(len(arcs), j) + 1):
-                alpha[j] += alpha[j - k] * weights[k - 1][j - k]
+        for j in range(width):
+            for (k, begin, word, _), w in zip(arcs, weights, strict=True):
+                if j + k <= width and begin[j] < begin[j + 1]:  # each word has one arc of a length from a place
+                    here = slice(begin[j], begin[j + 1])
+                    alpha[j + k][word[here]] += alpha[j][word[here]] * w[here]
         return alpha, weights
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """The marginal log10 probability of each word in each class, its end piece included."""
         out = np.zeros((len(self.log_p), len(words)))
         for take, matrix, size in self._batches(words):
-            arcs, size = self._arcs(matrix, size)
+            short = all(self._short(matrix, log_p) for log_p in self.log_p)
+            arcs, size = self._sparse(matrix, size) if short else self._arcs(matrix, size)
             for log_p, row in zip(self.log_p, out, strict=True):
-                if self._short(arcs, log_p):
-                    alpha, _ = self._forward_short(arcs, log_p)
+                if short:
+                    alpha, _ = self._forward_short(arcs, len(take), matrix.shape[1] + 3, log_p)
                     row[take] = np.log10(alpha[size, np.arange(len(take))]) + log_p[-1] / math.log(10)
                     continue
                 alpha, _ = self._forward(arcs, size, log_p)
@@ -182,22 +208,27 @@ class Lattice:
         """The same for several sets of words at once; member: a row for each set, a column for each word."""
         counts = np.zeros((len(member), len(self.pieces)))
         for take, matrix, size in self._batches(words):
-            arcs, size = self._arcs(matrix, size)
             counts[:, -1] += member[:, take].sum(axis=1)
-            n, width = len(size), arcs[0].shape[1]
-            if self._short(arcs, log_p):
-                alpha, weights = self._forward_short(arcs, log_p)
+            n, width = len(size), matrix.shape[1] + 3
+            if self._short(matrix, log_p):
+                arcs, size = self._sparse(matrix, size)
+                alpha, weights = self._forward_short(arcs, n, width, log_p)
                 beta = (np.arange(width + 1)[:, None] == size).astype(float)
                 beta /= alpha[size, np.arange(n)]
                 for j in range(width - 1, -1, -1):
-                    for k in range(1, min(len(arcs), width - j) + 1):
-                        beta[j] += weights[k - 1][j] * beta[j + k]
-                for k, (a, w) in enumerate(zip(arcs, weights, strict=True), 1):
-                    place, row = np.nonzero(w)
-                    piece, share, row = a[row, place], (alpha[: len(w)] * w * beta[k:])[place, row], take[row]
+                    for (k, begin, word, piece), w in zip(arcs, weights, strict=True):
+                        if j + k <= width and begin[j] < begin[j + 1]:
+                            here = slice(begin[j], begin[j + 1])
+                            own = word[here]
+                            step = w[here] * beta[j + k][own]
+                            beta[j][own] += step
+                            w[here] = step * alpha[j][own]  # from now on the arc's share
+                for (_, _, word, piece), share in zip(arcs, weights, strict=True):
+                    own = take[word]
                     for z, of in enumerate(member):
-                        counts[z] += np.bincount(piece, share * of[row], minlength=counts.shape[1])
+                        counts[z] += np.bincount(piece, share * of[own], minlength=counts.shape[1])
                 continue
+            arcs, size = self._arcs(matrix, size)
             alpha, weights = self._forward(arcs, size, log_p)
             beta = np.full((n, width + 1), -np.inf)
             total = alpha[np.arange(n), size]
