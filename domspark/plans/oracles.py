@@ -78,6 +78,58 @@ scored AS (SELECT page_id, id, name, tag, k, first, i, x.type AS type, x.value A
 WITH_STORE = f"WITH {ELEMENTS}, {_FOUND}"
 
 
+#: The locators of the form pages, as the rules give them by hand; $k is the page, $m its number modulo 7. Variant 0: pages with a second button.
+_BOTH = (
+    ("form", None, (("id", "id", "login"), ("id", "css", "#login"), ("id", "xpath", "//*[@id='login']"), ("text", "xpath", "//form[normalize-space(.)='UserSave $m$c']"), ("text_part", "xpath", "//form[contains(normalize-space(.), 'UserSave $m$c')]"))),
+    ("ul", "HomeHome", (("id", "id", "menu"), ("id", "css", "#menu"), ("id", "xpath", "//*[@id='menu']"), ("text", "xpath", "//ul[normalize-space(.)='HomeHome']"), ("text_part", "xpath", "//ul[contains(normalize-space(.), 'HomeHome')]"),
+        ("sibling", "xpath", "//form[@id='login']/following-sibling::ul[1]"))),
+    ("input", "user$k", (("id", "id", "u"), ("id", "css", "#u"), ("id", "xpath", "//*[@id='u']"), ("name", "css", '[name="user$k"]'), ("name", "xpath", "//*[@name='user$k']"), ("chain", "css", "#login #u"), ("chain", "xpath", "//form[@id='login']//*[@id='u']"),
+        ("parent", "xpath", "//form[@id='login']//input"), ("parent", "css", "#login > input"), ("sibling", "xpath", "//label[normalize-space(.)='User']/following-sibling::input[1]"))),
+    ("li", "Home", (("chain", "css", "#menu li:nth-of-type(1)"), ("chain", "xpath", "//ul[@id='menu']//li[1]"))),
+    ("li", "Home", (("chain", "css", "#menu li:nth-of-type(2)"), ("chain", "xpath", "//ul[@id='menu']//li[2]"), ("sibling", "xpath", "//li[normalize-space(.)='Home']/following-sibling::li[1]"))),
+    ("a", "Home", (("chain", "css", "#menu li:nth-of-type(1) > a"), ("chain", "xpath", "//ul[@id='menu']//li[1]/a"), ("href", "css", 'a[href="\\/a$k"]'), ("href", "xpath", "//a[@href='/a$k']"))),
+    ("a", "Home", (("chain", "css", "#menu li:nth-of-type(2) > a"), ("chain", "xpath", "//ul[@id='menu']//li[2]/a"), ("href", "css", 'a[href="\\/b$k"]'), ("href", "xpath", "//a[@href='/b$k']"))),
+)
+_SAVE = (
+    ("preferred", "css", '[data-testid="go$k"]'), ("preferred", "xpath", "//*[@data-testid='go$k']"), ("stable", "css", 'button[data-testid="go$k"]'), ("stable", "xpath", "//button[@data-testid='go$k']"),
+    ("text", "xpath", "//button[normalize-space(.)='Save $m']"), ("text_part", "xpath", "//button[contains(normalize-space(.), 'Save $m')]"),
+)
+_SAVE_END = (("class_chain", "css", "button.btn.primary"), ("sibling", "xpath", "//input[@id='u']/following-sibling::button[1]"))
+_FORMS = {
+    1: (*_BOTH, ("button", "Save $m", (*_SAVE, ("chain", "css", "#login button.btn"), ("chain", "xpath", "//form[@id='login']//button[contains(@class, 'btn')]"), ("parent", "xpath", "//form[@id='login']//button[normalize-space(.)='Save $m']"), ("parent", "css", "#login > button"), *_SAVE_END))),
+    0: (*_BOTH, ("button", "Save $m", (*_SAVE, ("chain", "xpath", "//form[@id='login']//button[contains(@class, 'btn')][normalize-space(.)='Save $m']"), ("parent", "xpath", "//form[@id='login']//button[normalize-space(.)='Save $m']"), *_SAVE_END)),
+        ("button", "Cancel", (("text", "xpath", "//button[normalize-space(.)='Cancel']"), ("text_part", "xpath", "//button[contains(normalize-space(.), 'Cancel')]"), ("chain", "xpath", "//form[@id='login']//button[contains(@class, 'btn')][normalize-space(.)='Cancel']"),
+            ("parent", "xpath", "//form[@id='login']//button[normalize-space(.)='Cancel']"), ("sibling", "xpath", "//button[@data-testid='go$k']/following-sibling::button[1]")))),
+}
+#: How many elements the questions of plans.queries find in pages with one and with two buttons, and the first one's tag.
+_FORM_COUNTS = {
+    "#login button.btn": (1, 2, "button"), "#login > button": (1, 2, "button"), "button.primary.btn": (1, 1, "button"), "#menu li:nth-of-type(2) > a": (1, 1, "a"), "form input": (1, 1, "input"), "u": (1, 1, "input"),
+    "//form[@id='login']//button[contains(@class, 'prim')]": (1, 1, "button"), "//form[@id='login']//button[normalize-space(.)='Cancel']": (0, 1, "button"), "//input[@id='u']/following-sibling::button[2]": (0, 1, "button"),
+    "//ul[@id='menu']//li/a[normalize-space(.)='Home']": (2, 2, "a"), "//label[normalize-space(.)='User']": (1, 1, "label"),
+}
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _form_scan() -> str:
+    filled = lambda s: f"replace(replace(replace({s}, '$k', CAST(p_partkey AS VARCHAR)), '$m', CAST(p_partkey % 7 AS VARCHAR)), '$c', CASE WHEN p_partkey % 2 = 0 THEN 'Cancel' ELSE '' END)"
+    rows = ", ".join(
+        f"({variant}, {_quoted(name or 'UserSave $m$c')}, '{tag}', {place}, '{strategy}', '{kind}', {_quoted(value)})"
+        for variant, elements in _FORMS.items() for tag, name, found in elements for place, (strategy, kind, value) in enumerate(found)
+    )
+    return f"""WITH f(variant, name, tag, place, strategy, type, value) AS (VALUES {rows}), t AS (SELECT p_partkey AS page_id, {filled("name")} AS name, tag, CAST(place AS INTEGER) AS place, strategy, type, {filled("value")} AS value FROM part JOIN f ON p_partkey % 2 = variant)
+      SELECT page_id, name, tag, place, strategy, type, value, {score("type", "value")} AS stability FROM t"""
+
+
+def _form_verify() -> str:
+    kind = lambda v: "id" if v == "u" else "xpath" if v.startswith("//") else "css"
+    rows = ", ".join(f"('{kind(v)}', {_quoted(v)}, {one}, {two}, '{tag}')" for v, (one, two, tag) in _FORM_COUNTS.items())
+    return f"""WITH f(type, value, one, two, tag) AS (VALUES {rows}), t AS (SELECT p_partkey AS page_id, type, value, CAST(CASE WHEN p_partkey % 2 = 0 THEN two ELSE one END AS BIGINT) AS matches, tag FROM part, f)
+      SELECT page_id, type, value, matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' ELSE 'error' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
+
+
 def _snippet(language: str) -> str:
     forms = {
         "java": ('driver.findElement(By.id("', '"))', 'driver.findElement(By.cssSelector("', '"))', 'driver.findElement(By.xpath("', '"))'),
@@ -118,6 +170,8 @@ SQL = {
     "class_locators": """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<div class="([^"]*)">', 1)) AS c FROM pages)
       SELECT page_id, 'div' AS tag, c AS token, 'div.' || c AS css, '//div[contains(concat('' '', normalize-space(@class), '' ''), '' ' || c || ' '' )]' AS xpath FROM t GROUP BY page_id, c HAVING count(*) = 1""",
     "full_scan": f"{WITH_STORE} SELECT page_id, name, tag, CAST(i AS INTEGER) AS place, strategy, type, value, stability FROM scan",
+    "form_scan": _form_scan(),
+    "form_verify": _form_verify(),
     "entries_upsert": f"{WITH_STORE} SELECT page_id, id, name, tag, string_agg(type || ' ' || value || ' ' || stability, chr(10) ORDER BY i) AS locators FROM scored GROUP BY page_id, id, name, tag",
     "entry_rank": f"{WITH_STORE}, m AS (SELECT page_id, id, k, max(stability) AS stab FROM scored GROUP BY page_id, id, k) SELECT page_id, id, stab, CAST(row_number() OVER (PARTITION BY page_id ORDER BY stab DESC, k) AS INTEGER) AS place FROM m",
     "best_locator": f"{WITH_STORE} SELECT page_id, id, type, value, stability FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY stability DESC, i) AS r FROM scored) WHERE r = 1",

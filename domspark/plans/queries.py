@@ -166,6 +166,32 @@ def debounce_events(spark, d):
     return debounced(_table(spark, d, "events"), "user_id", gap="6 hours").select("user_id", F.col("first").cast("timestamp_ntz").alias("first_ts"), F.col("last").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
+def form_pages(parts: DataFrame) -> DataFrame:
+    """page_id, html: a page with a form and a menu for each part; every other one has a second button."""
+    html = F.expr("""concat('<form id="login"><label for="u">User</label><input id="u" name="user', p_partkey, '" type="text"><button data-testid="go', p_partkey, '" class="btn primary">Save ', p_partkey % 7, '</button>',
+        CASE WHEN p_partkey % 2 = 0 THEN '<button class="btn">Cancel</button>' ELSE '' END, '</form><ul id="menu"><li><a href="/a', p_partkey, '">Home</a></li><li><a href="/b', p_partkey, '">Home</a></li></ul>')""")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def form_scan(spark, d):
+    found = S.locators(settle(nodes(form_pages(_table(spark, d, "part")), columns=S.COLUMNS)))
+    return found.select("page_id", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "name", "tag", "place", "x.*")
+
+
+def form_verify(spark, d):
+    n = settle(nodes(form_pages(_table(spark, d, "part")), columns=S.COLUMNS))
+    asked = n.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in FORM_ASKED])).alias("x")).select("page_id", "x.*")
+    tag = n.select("page_id", F.col("nid").alias("first_nid"), F.col("tag").alias("first_tag"))
+    return verified(n, asked).join(tag, ["page_id", "first_nid"], "left").select("page_id", "type", "value", "matches", "verdict", "first_tag")
+
+
+#: Asked of each form page; plans.oracles says how many elements each finds.
+FORM_ASKED = (
+    ("css", "#login button.btn"), ("css", "#login > button"), ("css", "button.primary.btn"), ("css", "#menu li:nth-of-type(2) > a"), ("css", "form input"), ("id", "u"), ("xpath", "//form[@id='login']//button[contains(@class, 'prim')]"),
+    ("xpath", "//form[@id='login']//button[normalize-space(.)='Cancel']"), ("xpath", "//input[@id='u']/following-sibling::button[2]"), ("xpath", "//ul[@id='menu']//li/a[normalize-space(.)='Home']"), ("xpath", "//label[normalize-space(.)='User']"),
+)
+
+
 def full_scan(spark, d):
     return _located(spark, d).select("page_id", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "name", "tag", "place", "x.*")
 
@@ -200,4 +226,6 @@ QUERIES = {
     "hop_leaves": hop_leaves,
     "debounce_events": debounce_events,
     "full_scan": full_scan,
+    "form_scan": form_scan,
+    "form_verify": form_verify,
 }
