@@ -1,7 +1,7 @@
 """Main text of web pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. First pass: blocks inside of menus, footers, adverts and the like are bad,
-and so are blocks of links; blocks that are long enough and hold stop words are good; short ones, and long ones without
+and so are blocks of links; inside of an article a doubtful name makes only those blocks bad that aren't prose; blocks that are long enough and hold stop words are good; short ones, and long ones without
 stop words, stay open. Second pass: open blocks take the label of the nearest decided blocks: of both if they agree, else
 of the nearer one (at equal distance the good one). Where a page marks an article or main part, only its blocks are
 looked at, and an open block without decided neighbours is good in it.
@@ -37,9 +37,12 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 BAD_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar pagination pager ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register search share sharing social related recommended recommendations comment comments commentlist discussion replies reply respond disqus feedback widget copyright legal disclaimer skip hidden".split()
 )
+#: Those of them that also name parts of articles: inside of one they only count against blocks that aren't prose.
+DOUBTFUL_NAMES = frozenset("side search share sharing discussion register login legal skip alert feedback".split())
 _INSERTED = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored teaser".split())
 _STOP = frozenset(STOP_WORDS)
 _WORD = re.compile(r"\w+")
+_BETWEEN = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
@@ -48,43 +51,53 @@ class Block:
     words: int
     link_words: int
     bad: bool
+    doubtful: bool
     main: bool
     heading: bool
 
 
+def _is_doubtful(attrs: dict[str, str], in_main: bool) -> bool:
+    names = _BETWEEN.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    return in_main and not DOUBTFUL_NAMES.isdisjoint(names)
+
+
 def _is_bad(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     if tag in BAD_TAGS or tag == "header" and not in_main:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    names = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    names = _BETWEEN.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
     if tag in ("article", "main", "body", "html"):
         # Comments and teasers are often articles of their own; the names of the whole page say less.
         return tag == "article" and not _INSERTED.isdisjoint(names)
-    return attrs.get("role", "").lower() in BAD_ROLES or not BAD_NAMES.isdisjoint(names) or "header" in names and not in_main
+    named = BAD_NAMES.intersection(names)
+    if in_main:
+        named -= DOUBTFUL_NAMES
+    return attrs.get("role", "").lower() in BAD_ROLES or bool(named) or "header" in names and not in_main
 
 
 def blocks(source: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    # Open elements that matter: (tag, makes its content bad, begins a main part); p and li end with the next block too.
-    stack: list[tuple[str, bool, bool]] = []
-    bad = main = links = 0
+    # Open elements that matter: (tag, makes its content bad, doubtful, begins a main part); p and li end with the next block too.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    bad = doubtful = main = links = 0
     heading = False
 
     def close() -> None:
         text = " ".join("".join(parts).split())
         if text:
             n = len(_WORD.findall(text))
-            out.append(Block(text, n, len(_WORD.findall(" ".join(link_parts))), bad > 0, main > 0, heading))
+            out.append(Block(text, n, len(_WORD.findall(" ".join(link_parts))), bad > 0, doubtful > 0, main > 0, heading))
         parts.clear()
         link_parts.clear()
 
     def pop() -> None:
-        nonlocal bad, main
-        _, was_bad, was_main = stack.pop()
+        nonlocal bad, doubtful, main
+        _, was_bad, was_doubtful, was_main = stack.pop()
         bad -= was_bad
+        doubtful -= was_doubtful
         main -= was_main
 
     for kind, tag, rest in tokens(source):
@@ -118,8 +131,10 @@ def blocks(source: str) -> list[Block]:
             # Inline elements matter only if their content is bad.
             if block or is_bad or is_main:
                 if not rest.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    stack.append((tag, is_bad, is_main))
+                    is_doubtful = _is_doubtful(attrs, main > 0)
+                    stack.append((tag, is_bad, is_doubtful, is_main))
                     bad += is_bad
+                    doubtful += is_doubtful
                     main += is_main
         else:
             if block:
@@ -148,6 +163,8 @@ def labels(found: list[Block]) -> list[bool]:
             first.append(False)
         elif b.words >= LONG and stop >= STOP_DENSITY * b.words:
             first.append(True)
+        elif b.doubtful:
+            first.append(False)
         else:
             first.append(None)
     # In a marked part only its own blocks are neighbours.

@@ -321,3 +321,22 @@ def test_html_comments_as_articles():
     p = "<p>The quick brown fox jumps over the lazy dog and it is in the end of the day for all.</p>"
     got = html_text.main_text(f"<article class='post'>{p}<article class='comment'>{p.replace('fox', 'cat')}</article></article>")
     assert "fox" in got and "cat" not in got
+
+
+def test_html_doubtful_names():
+    p = "<p>The quick brown fox jumps over the lazy dog and it is in the end of the day for all.</p>"
+    cat = p.replace("fox", "cat")
+    got = html_text.main_text(f"<article>{p}<div class='content legal'>{cat}</div><div class='share'><p>Share this now</p></div><div class='cookie legal'>{p.replace('fox', 'cow')}</div>{p}</article><div class='legal'>{p.replace('fox', 'pig')}</div>")
+    assert "cat" in got and "Share" not in got and "cow" not in got and "pig" not in got
+
+
+def test_html_of_very_long_and_nested_pages(spark):
+    p = "<p>The quick brown fox jumps over the lazy dog and it is in the end of the day for all.</p>"
+    long = "<main>" + p * 20_000 + "</main>"
+    deep = "<div>" * 20_000 + p + "</div>" * 20_000
+    rows = [(1, "u", long), (2, "u", deep), (3, "u", "<" * 100_000)]
+    began = time.process_time()
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].n_chars == len(p) * 20_000 - 7 * 20_000 + 20_000 - 1
+    assert got[2].text.startswith("The quick")
+    assert time.process_time() - began < 30
