@@ -45,6 +45,8 @@ def stable_attribute(attrs: Column, priority: list[str] | None = None) -> Column
     """struct(attr, value): the first filled one by priority (not a dynamic id), else an id, else a class token; or null."""
     found = []
     for name in priority or ATTRIBUTE_ORDER:
+        if not name:
+            continue
         v = F.element_at(attrs, name)
         good = js_trim(v) != ""
         if name == "id":
@@ -57,6 +59,14 @@ def stable_attribute(attrs: Column, priority: list[str] | None = None) -> Column
     return F.coalesce(*found)
 
 
+def preferred_attributes(setting: str | None, changed: bool = False) -> list[str]:
+    """The list that a setting's text names: parted by commas, trimmed. Without a text the default holds; a text that was
+    changed to nothing names one attribute without a name, which no element has."""
+    if not setting and not changed:
+        return PREFERRED
+    return [name.strip() for name in (setting or "").split(",")]
+
+
 def attribute_priority(preferred: list[str] | None) -> list[str]:
     """The preferred attributes and then the others, each once."""
     return list(dict.fromkeys([*(p.strip() for p in preferred), *ATTRIBUTE_ORDER])) if preferred is not None else ATTRIBUTE_ORDER

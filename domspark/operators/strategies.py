@@ -79,7 +79,7 @@ def _tries(priority: list[str]) -> list[tuple[Column, ...]]:
     of = lambda t, a, v: F.concat(t, F.lit("|"), a, F.lit("="), v)
     any_tag = F.lit("*")
     out: list[tuple[Column, ...]] = []
-    for a in priority:
+    for a in filter(None, priority):
         v = attribute(attrs, a)
         out += [(_try("preferred", "css", F.concat(F.lit(f'[{a}="'), css_escape(v), F.lit('"]'))),), (_try("preferred", "xpath", F.when(v.isNotNull(), F.concat(F.lit(f"//*[@{a}="), xpath_literal(v), F.lit("]")))),)]
     padded = xpath_literal(F.concat(F.lit(" "), sv, F.lit(" ")))
@@ -130,7 +130,7 @@ def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool =
     nodes is read several times: read it from a table, as settle() makes one. The possible locators are written to the
     shared folder too; scratch() around the use of the result deletes such tables.
     """
-    priority = priority or PREFERRED
+    priority = [a for a in priority or PREFERRED if a] or [""]
     d = described(nodes, quirks)
     up, top = F.get(F.col("up"), F.lit(0)), F.get(F.col("up"), F.lit(1))
     usable = lambda e: e.isNotNull() & ~e["tag"].isin("body", "html")

@@ -114,6 +114,15 @@ def verified(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     return out.withColumns({"ok": F.col("matches").isNotNull(), "verdict": verdict(F.col("matches"))})
 
 
+def first_matches(nodes: DataFrame, locators: DataFrame, strict: bool = False) -> DataFrame:
+    """page_id, type, value, nid: the first element in document order that each locator finds, or null.
+
+    Ids are compared as they are. Other kinds than id, css and xpath are read as CSS; strict: they find nothing.
+    """
+    known = F.col("type").isin("id", "css", "xpath", "xpath-abs") if strict else F.lit(True)
+    return verified(nodes, locators).select("page_id", "type", "value", F.when(known, F.col("first_nid")).alias("nid"))
+
+
 def verdict(matches: Column) -> Column:
     return F.when(matches.isNull(), "Err").when(matches == 1, "success-1").when(matches > 1, "success-multi").otherwise("error")
 

@@ -192,3 +192,24 @@ def test_hops_lead_back(pages):
     got = [(r.page_id, r.nid) for r in by_hops(n, hops).collect()]
     assert got == [(1, n.where("page_id = 1 and tag = 'button' and scope >= 0").first().nid)]
     assert by_hops(n, [{"type": "shadow", "host": "button"}, hops[1]]).count() == 0
+
+
+def test_first_matches(found, spark):
+    from domspark.operators.verify import first_matches
+
+    n = found[0]
+    nid = lambda where: n.where(where).agg(F.min("nid")).first()[0]
+    asked = spark.createDataFrame([(1, "css", "a"), (1, "other", "a"), (1, "id", "menu"), (1, "xpath", "//li[normalize-space(.)='Home']"), (1, "css", "#none"), (1, "xpath", "//li[")], "page_id long, type string, value string")
+    want = {("css", "a"): nid("tag = 'a'"), ("other", "a"): nid("tag = 'a'"), ("id", "menu"): nid("tag = 'ul'"), ("xpath", "//li[normalize-space(.)='Home']"): nid("tag = 'li'"), ("css", "#none"): None, ("xpath", "//li["): None}
+    assert {(r.type, r.value): r.nid for r in first_matches(n, asked).collect()} == want
+    assert {(r.type, r.value): r.nid for r in first_matches(n, asked, strict=True).collect()} == want | {("other", "a"): None}
+
+
+def test_preferred_attributes_from_a_setting(found):
+    from domspark.functions.locators import PREFERRED, preferred_attributes
+
+    assert preferred_attributes(None) == preferred_attributes("") == PREFERRED
+    assert preferred_attributes(" data-x , name,,") == ["data-x", "name", "", ""]
+    assert preferred_attributes("", changed=True) == [""]
+    e = locators(found[0], preferred_attributes("", changed=True))
+    assert [x.strategy for x in e.where("tag = 'button'").first().locators][:2] == ["class", "class"]
