@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import pieces, small_batches, whole_text
 
 #: How the vocabulary's authors split text into words before merging; fixed value.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,7 +100,7 @@ class Automaton:
                     key = last << 32 | t
                     ok = known.get(key)
                     if ok is None:
-                        if len(known) > 300_000:
+                        if len(known) > 150_000:
                             known.clear()
                         ok = known[key] = self._has(last, t)
                     if not ok:
@@ -138,7 +138,7 @@ def load(path: str) -> Automaton:
 class Words(dict):
     """Encoded words: number of tokens, their ids as text, their labels. Emptied when full, so its memory is bounded."""
 
-    def __init__(self, automaton: Automaton, most: int = 200_000, longest: int = 64):
+    def __init__(self, automaton: Automaton, most: int = 80_000, longest: int = 64):
         self.automaton, self.most, self.longest = automaton, most, longest
 
     def __missing__(self, word: str):
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(automaton)
         first, second, third = itemgetter(0), itemgetter(1), itemgetter(2)
-        for batch in batches:
+        for batch in pieces(batches, 500):
             n, by_id, by_text, all_ids = [], [], [], []
             for t in batch.column(1):
                 found = encoded_words(t.as_py(), words)
