@@ -1,17 +1,23 @@
-"""Byte-pair encoding by a deterministic automaton over tokens.
+"""Byte-pair encoding by a deterministic automaton, compiled from the merges.
 
 The automaton starts as one state with a loop for each byte. Each merge (u, v) -> w, in order, applies a gadget: the
 state that u's arcs lead to is split, the copy loses its arc v, u's arcs go to the copy, and each state with an arc u
-gets an arc w to where v led. In the end each byte string has exactly one path, its BPE encoding. A state is kept as
-the split that made it (the token u, and the time), so that the table of arcs is the table of merges: whether the
-state after token u has an arc t is read from the merges between the right parts of u and the left parts of t.
+gets an arc w to where v led. In the end each byte string has exactly one path, its BPE encoding.
+
+The states that merge number k takes the arc v from are those behind u and behind tokens that got u's arcs later; the
+tokens that go with v are those that began with it later. With tokens put in order by their right parts, and again by
+their left parts, both are runs. So a gadget is two runs, the bounds of all gadgets' first runs part the tokens into
+states, and the table holds for each state the runs of arcs that it lacks. A word is encoded by one pass: the last arc of
+the path to each place is the longest one for which the state at its begin has an arc; there is always exactly one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -35,94 +41,141 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Labels of arcs, and the merges that decide which arcs a state has."""
+    """label: of each arc; arc: by label; state: behind each token; lacks: bounds of the runs of arcs that a state lacks."""
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None):
         self.label = {i: b for b, i in vocabulary.items()}
         self.special = dict(special or {})
         self.label |= {i: s.encode() for s, i in self.special.items()}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        self.time: dict[int, int] = {}
-        self._known: dict[int, bool] = {}
         self.arc = {b: i for b, i in vocabulary.items() if len(b) == 1}
+        parts: dict[int, tuple[int, int, int]] = {}
+        time: dict[tuple[int, int], int] = {}
         for k, (left, right) in enumerate(merges):
             u, v = self.arc.get(left), self.arc.get(right)
             # A merge whose pair no path holds side by side never applies: no split, no arcs.
-            if u is None or v is None or not self._has(u, v, k):
+            if u is None or v is None or not _side_by_side(parts, time, u, v):
                 continue
             if left + right in self.arc:
                 raise ValueError(f"two merges make {left + right!r}")
             w = vocabulary[left + right]
             self.arc[left + right] = w
-            self.parts[w] = (u, v, k)
-            self.time[u << 32 | v] = k
-        # How long the arcs are that begin with four given bytes, longest first; shorter arcs are looked up as they are.
+            parts[w] = (u, v, k)
+            time[u, v] = k
+        self._compile(parts)
+        # How long the arcs are that end with four given bytes, longest first; shorter arcs are looked up as they are.
         lengths: dict[bytes, set[int]] = {}
         for b in self.arc:
             if len(b) >= 4:
-                lengths.setdefault(b[:4], set()).add(len(b))
+                lengths.setdefault(b[-4:], set()).add(len(b))
         self.lengths = {b: (*sorted(x, reverse=True), 3, 2, 1) for b, x in lengths.items()}
 
-    def _has(self, u: int, t: int, now: int = NEVER) -> bool:
-        """Whether the state after token u had an arc t at that time.
+    def _compile(self, parts: dict[int, tuple[int, int, int]]) -> None:
+        tokens = [*self.arc.values()]
+        by_right, right = _ordered(tokens, parts, 1)
+        by_left, left = _ordered(tokens, parts, 0)
+        # The gadget of each merge: the run of tokens whose states lose arcs, and the run of these arcs. Of three equal
+        # tokens the first two merge: at the time of (c, c) an arc cc is held back, one behind cc isn't.
+        gadgets = np.array([(right(u, k + 1), by_right[u] + 1, left(v, k), by_left[v] + 1) for u, v, k in parts.values()], np.int64).reshape(-1, 4)
+        bounds = np.unique(np.append(gadgets[:, :2], 0))
+        place = np.array([by_right[t] for t in tokens])
+        self.state = dict(zip(tokens, (np.searchsorted(bounds, place, "right") - 1).tolist(), strict=True))
+        self.place = by_left
+        first, last = np.searchsorted(bounds, gadgets[:, 0]), np.searchsorted(bounds, gadgets[:, 1])
+        of = np.repeat(np.arange(len(gadgets)), last - first)
+        state = np.arange(len(of)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[of]
+        order = np.lexsort((gadgets[of, 2], state))
+        self.lacks = [array("i") for _ in bounds]
+        for z, a, b in zip(state[order].tolist(), gadgets[of[order], 2].tolist(), gadgets[of[order], 3].tolist(), strict=True):
+            runs = self.lacks[z]
+            if runs and a <= runs[-1]:
+                runs[-1] = max(runs[-1], b)
+            else:
+                runs.extend((a, b))
 
-        The splits that made the state come from u, its right part, that one's right part and so on, each while it
-        was the last token; an arc t stands where the arcs of its left parts stood when they were merged.
-        """
-        a, until_a = u, now
-        while True:
-            c, until_c = t, now
-            while True:
-                k = self.time.get(a << 32 | c, NEVER)
-                # Of three equal tokens the first two merge: at the time of (c, c) an arc cc is held back, one behind cc isn't.
-                if k < until_a and k <= until_c:
-                    return False
-                if c not in self.parts:
-                    break
-                c, _, until_c = self.parts[c]
-            if a not in self.parts:
-                return True
-            _, a, until_a = self.parts[a]
+    def has(self, u: int, t: int) -> bool:
+        """Whether the state behind token u has an arc t."""
+        return not bisect_right(self.lacks[self.state[u]], self.place[t]) & 1
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path that spells word: longest arc first, and back from a place without a way on."""
-        n, at, last, path, ends, dead = len(word), 0, -1, [], [], set()
-        arc, known, lengths = self.arc.get, self._known, self.lengths.get
-        while at < n:
-            for size in lengths(word[at : at + 4], (3, 2, 1)):
-                end = at + size
-                if end > n:
-                    continue
-                t = arc(word[at:end])
-                if t is None or end in dead:
+        """The labels' ids on the one path that spells word."""
+        n, arc, lengths = len(word), self.arc.get, self.lengths.get
+        whole = arc(word)
+        if whole is not None:
+            return [whole]
+        lacks, state, place = self.lacks, self.state, self.place
+        last, sizes = [0] * (n + 1), [0] * (n + 1)
+        behind = [0] * (n + 1)  # the state at each place
+        for end in range(1, n + 1):
+            for size in lengths(word[max(0, end - 4) : end], (3, 2, 1)):
+                if size > end:
                     continue
-                if last >= 0:
-                    key = last << 32 | t
-                    ok = known.get(key)
-                    if ok is None:
-                        if len(known) > 150_000:
-                            known.clear()
-                        ok = known[key] = self._has(last, t)
-                    if not ok:
-                        continue
-                path.append(t)
-                ends.append(at)
-                at, last = end, t
-                break
+                t = arc(word[end - size : end])
+                if t is not None and (size == end or not bisect_right(lacks[behind[end - size]], place[t]) & 1):
+                    last[end], sizes[end], behind[end] = t, size, state[t]
+                    break
             else:
-                dead.add(at)
-                if not path:
-                    raise ValueError("a byte has no arc")
-                path.pop()
-                at = ends.pop()
-                last = path[-1] if path else -1
-        return path
+                raise ValueError("a byte has no arc")
+        path = []
+        while n:
+            path.append(last[n])
+            n -= sizes[n]
+        return path[::-1]
 
     def decode(self, ids) -> str:
         """The labels of the arcs, as text; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(self.label[int(i)] for i in ids).decode("utf-8", "replace")
 
 
+def _side_by_side(parts: dict[int, tuple[int, int, int]], time: dict[tuple[int, int], int], u: int, t: int) -> bool:
+    """Whether the state behind token u has an arc t after the merges so far (parts, and the time of each pair).
+
+    The splits that made the state come from u, its right part, that one's right part and so on, each while it was the
+    last token; an arc t stands where the arcs of its left parts stood when they were merged.
+    """
+    a, until_a = u, NEVER
+    while True:
+        c, until_c = t, NEVER
+        while True:
+            k = time.get((a, c), NEVER)
+            if k < until_a and k <= until_c:
+                return False
+            if c not in parts:
+                break
+            c, _, until_c = parts[c]
+        if a not in parts:
+            return True
+        _, a, until_a = parts[a]
+
+
+def _ordered(tokens: list[int], parts: dict[int, tuple[int, int, int]], side: int) -> tuple[dict[int, int], Callable[[int, int], int]]:
+    """Each token's place in an order where those made from it, on that side, stand before it, the earliest merge first.
+
+    Also where the run begins that ends with a token and has those made from it from a time on.
+    """
+    made: dict[int, list[int]] = {}
+    for w, x in parts.items():  # in order of time
+        made.setdefault(x[side], []).append(w)
+    place: dict[int, int] = {}
+    start: dict[int, int] = {}
+    for root in tokens:
+        todo = [] if root in parts else [(root, 0)]
+        while todo:
+            x, i = todo.pop()
+            if not i:
+                start[x] = len(place)
+            if i < len(made.get(x, ())):
+                todo += [(x, i + 1), (made[x][i], 0)]
+            else:
+                place[x] = len(place)
+
+    def begin(x: int, time: int) -> int:
+        own = made.get(x, ())
+        i = bisect_left(own, time, key=lambda w: parts[w][2])
+        return start[own[i]] if i < len(own) else place[x]
+
+    return place, begin
+
+
 def load(path: str) -> Automaton:
     """The automaton of a byte-level BPE vocabulary file."""
     with open(path, encoding="utf-8") as f:
@@ -138,7 +191,7 @@ def load(path: str) -> Automaton:
 class Words(dict):
     """Encoded words: number of tokens, their ids as text, their labels. Emptied when full, so its memory is bounded."""
 
-    def __init__(self, automaton: Automaton, most: int = 80_000, longest: int = 64):
+    def __init__(self, automaton: Automaton, most: int = 160_000, longest: int = 64):
         self.automaton, self.most, self.longest = automaton, most, longest
 
     def __missing__(self, word: str):
@@ -177,8 +230,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     ids come back as they are, and other columns are not read.
     """
     small_batches(docs)
-    automaton = load(path)  # goes along with the function: what a task makes of it ends with the task
-    automaton._known = {}
+    automaton = load(path)  # goes along with the function
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(automaton)

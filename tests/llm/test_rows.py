@@ -88,12 +88,45 @@ def test_bpe_small_automata():
                 i += 1
         return [vocabulary[p] for p in parts]
 
+    assert len(a.lacks) > 3 and not a.has(a.arc[b"a"], a.arc[b"aa"]) and a.has(a.arc[b"aa"], a.arc[b"a"])
     rng = random.Random(2)
     for _ in range(3000):
         w = bytes(rng.choice(b"aaabcx") for _ in range(rng.randint(0, 12)))
         assert a.encode(w) == merged(w), w
 
 
+def test_bpe_random_automata():
+    """Merges of random tokens, applied one after another in plain Python, against the compiled table."""
+    rng = random.Random(14)
+    for _ in range(150):
+        vocabulary = {bytes([c]): i for i, c in enumerate(b"abc")}
+        merges = []
+        while len(merges) < 9:
+            u, v = rng.choice([*vocabulary]), rng.choice([*vocabulary])
+            if u + v not in vocabulary:
+                vocabulary[u + v] = len(vocabulary)
+                merges.append((u, v))
+        a = bpe.Automaton(vocabulary, merges)
+        for _ in range(60):
+            w = bytes(rng.choice(b"aabc") for _ in range(rng.randint(0, 14)))
+            parts = [bytes([c]) for c in w]
+            for u, v in merges:
+                i = 0
+                while i < len(parts) - 1:
+                    if (parts[i], parts[i + 1]) == (u, v):
+                        parts[i : i + 2] = [u + v]
+                    i += 1
+            assert [a.label[i] for i in a.encode(w)] == parts, (merges, w)
+
+
+def test_bpe_of_a_very_long_word(automaton, tokenizer):
+    rng = random.Random(15)
+    for t in ("a" * 60_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))):
+        began = time.process_time()
+        assert automaton.encode(t.encode()) == tokenizer.encode(t, add_special_tokens=False).ids
+        assert time.process_time() - began < 10
+
+
 def test_bpe_documents(spark, tokenizer):
     want = []
     for i, t, *_ in odd_rows():
