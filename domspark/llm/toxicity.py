@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for b in batches:
-            x = [np.unique(text_features(t.as_py(), known)).astype(np.int32).tobytes() for t in b.column(3)]
+            x = [text_features(t.as_py(), known).astype(np.int32).tobytes() for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "p", "u", "x"])
 
     with scratch():
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[np.ndar
             n = np.zeros((2, 1 << BITS), np.int64)
             for b in batches:
                 for p, u, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    own = np.frombuffer(x, np.int32)
+                    own = np.frombuffer(x, np.int32)  # a feature that a text has several times counts once here
                     n[0, own] += p
                     n[1, own] += u
             at = np.flatnonzero(n.any(axis=0))
