@@ -45,4 +45,28 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1)>'),
 c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), ' ') AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c"""
 
-SQL = {"op2_quality_rules": QUALITY, "op3_ngram_jaccard": JACCARD, "op4_html_extraction": HTML}
+WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM r"""
+
+
+def _rounds(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds over all vectors and centroids: c0, a0, c1, a1, ... are centroids and assignments."""
+    out = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS j, v AS c FROM v QUALIFY j < {k})"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, j, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""s{i} AS MATERIALIZED (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM v JOIN a{i} USING (r)) GROUP BY j, i),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY j) m ON c{i}.j = m.j)""")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""WITH {_rounds()}
+SELECT vec_id, CAST(a10.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a10.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM v JOIN a10 USING (r) JOIN c10 ON a10.j = c10.j"""
+
+SQL = {"op11_warc": WARC, "op12_yinyang": CENTROIDS, "op2_quality_rules": QUALITY, "op3_ngram_jaccard": JACCARD, "op4_html_extraction": HTML}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, html_text, jaccard, lattice, quality, secrets, substrings, token_counts, toxicity
+from . import alignment, bpe, centroids, decontaminate, html_text, jaccard, lattice, quality, secrets, substrings, token_counts, toxicity, warc
 from .common import table
 from .oracles import SQL  # noqa: F401
 
@@ -19,4 +19,7 @@ QUERIES = {
     "op8_secret_scans": lambda spark, d: secrets.op8_secret_scans(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.op9_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_warc": lambda spark, d: warc.op11_warc(table(spark, d, "pages")),
+    "op12_yinyang": lambda spark, d: centroids.yinyang(table(spark, d, "embeddings")),
+    "op13_alignment": lambda spark, d: alignment.op13_alignment(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
 }
