@@ -5,7 +5,9 @@ vocabularies for that). Each distinct segment is tokenised and aligned once, ove
 back and documents are composed of their segments' alignments.
 
 Documents are read in chunks of a bounded number of characters. A chunk numbers its distinct segments and keeps a
-document as an array of these numbers, so that what is shuffled is the distinct segments of chunks, not all words.
+document as an array of these numbers, so that what is shuffled is the distinct segments of chunks, not all words. In the
+same way blocks of distinct segments number their pairs of tokens. So no key is hot: a word, and a pair, has one row for
+each chunk or block at most.
 
 Tokenizer A is byte-level BPE (a JSON file of the tokenizers library) and gets a space before the text; B is a
 sentencepiece model that adds that space itself. Strings of special tokens in a text are plain text to both.
@@ -17,7 +19,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import by_key, pieces, settle, small_batches
+from .common import pieces, settle, small_batches
 
-CHUNK = 16_000_000
+#: Characters of documents, and distinct segments, that share their numbers.
+CHUNK, BLOCK = 32_000_000, 200_000
 SPACE_PIECE = "▁"
 #: Characters of the Unicode property White_Space, as the content of a class; fixed value.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -86,33 +88,34 @@ class Tokenizers:
 
     def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of segments, each of which begins with a character to cut before."""
-        a = [x.ids for x in self.a.encode_batch(segments, add_special_tokens=False)]
+        a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.b.encode([s.removeprefix(" ") for s in segments], num_threads=1)
         for s, x, y in zip(segments, a, b, strict=True):
             yield x, (y or self.space) if s[0] == " " else y[1:]  # B gives nothing for an empty text
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups "a1,a2|b1" up to each byte where tokens of both end, and all pairs of tokens that overlap."""
-    if len(a) == 1 == len(b):
-        return [f"{a[0]}|{b[0]}"], [(a[0], b[0])]
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = a_size[a[0]], b_size[b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
-            first_i, first_j = i + 1, j + 1
-            if first_i == len(a):
-                return groups, links
-        step = end_a - end_b
-        if step <= 0:
-            i += 1
-            end_a += a_size[a[i]]
-        if step >= 0:
-            j += 1
-            end_b += b_size[b[j]]
+def align(a: list[list[int]], b: list[list[int]], a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of segments, one behind the other: links per segment, all links (a, b), groups per segment, and groups as text.
+
+    Between two neighbouring ends, of whichever tokens, there is one token of each side: each such stretch is a link.
+    """
+    flat = [np.fromiter((i for ids in x for i in ids), np.int64) for x in (a, b)]
+    ends = [np.cumsum(size[ids]) for size, ids in zip((a_size, b_size), flat, strict=True)]
+    last = np.cumsum([len(x) for x in a]) - 1  # the last token of each segment
+    segments = ends[0][last]
+    stops = np.union1d(*ends)
+    at = [np.searchsorted(e, stops) for e in ends]
+    links = np.stack([ids[k] for ids, k in zip(flat, at, strict=True)], 1)
+    common = np.intersect1d(*ends, assume_unique=True)
+    group = [np.searchsorted(common, e) for e in ends]
+    # Each token as text with what stands behind it, in the order of groups, A before B.
+    closes = [np.append(g[1:] != g[:-1], True) for g in group]
+    order = np.lexsort((np.concatenate([np.zeros(len(flat[0])), np.ones(len(flat[1]))]), np.concatenate(group)))
+    mark = np.concatenate([np.where(closes[0], "|", ","), np.where(closes[1], ";", ",")]).astype(object)[order]
+    texts = (np.concatenate(flat)[order].astype(str).astype(object) + mark).tolist()
+    n_groups = np.diff(np.searchsorted(common, segments), prepend=-1)
+    cut = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]).tolist()
+    return np.diff(np.searchsorted(stops, segments), prepend=-1), links, n_groups, ["".join(texts[lo:hi])[:-1] for lo, hi in zip([0, *cut], cut, strict=False)]
 
 
 class _Numbers(dict):
@@ -139,81 +142,120 @@ def segment_pattern(cuts: str) -> re.Pattern:
     return re.compile(f"[{ANY_WHITE}]+[^{ANY_WHITE}]*(?:[{re.escape(rest)}][{ANY_WHITE}]*[^{ANY_WHITE}]*)*")
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, of which the higher ones are almost empty."""
+    return np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _chunks(docs: DataFrame, tokenizers, text: str, chunk: int) -> DataFrame:
-    """Rows for documents (chunk, d, ids) and for the distinct segments of chunks (chunk, seg, local, n)."""
+    """Rows for documents (chunk, d, ids) and for the distinct segments of chunks (chunk, seg, local, n).
+
+    A chunk's most frequent segments have the smallest numbers.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["chunk", "d", "ids", "seg", "local", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers()
         found = segment_pattern(both.cut_characters()).findall
+        nothing = np.empty(0, np.int32)
         number, docs_of, ids_of, chars, done = _Numbers(), [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, docs_of, ids_of, chars, done
-            if docs_of:
-                at = (TaskContext.get().partitionId() << 32) + done
-                flat = np.concatenate(ids_of)
-                n = np.bincount(flat, minlength=len(number))
-                d, k = pa.concat_arrays(docs_of), len(number)
-                for lo in range(0, len(d), 1_000):
-                    own = ids_of[lo : lo + 1_000]
-                    m = len(own)
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([at] * m, pa.int64()), d.slice(lo, m), lists, pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=["chunk", "d", "ids", "seg", "local", "n"])
-                keys = list(number)
-                for lo in range(0, k, 10_000):
-                    own = keys[lo : lo + 10_000]
-                    m = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([at] * m, pa.int64()), pa.nulls(m, d.type), pa.nulls(m, pa.list_(pa.int32())), pa.array(own, pa.string()), pa.array(range(lo, lo + m), pa.int32()), pa.array(n[lo : lo + m], pa.int64())], names=["chunk", "d", "ids", "seg", "local", "n"])
-                number, docs_of, ids_of, chars, done = _Numbers(), [], [], 0, done + 1
+            at, d = (TaskContext.get().partitionId() << 32) + done, pa.concat_arrays(docs_of)
+            n = np.bincount(np.concatenate(ids_of), minlength=len(number))
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            for lo in range(0, len(d), 1_000):
+                own = pa.array([_packed(place[ids]) for ids in ids_of[lo : lo + 1_000]], pa.binary())
+                m = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * m, pa.int64()), d.slice(lo, m), own, pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
+            keys = pa.array(list(number), pa.string())
+            for lo in range(0, len(order), 10_000):
+                own = keys.slice(lo, 10_000)
+                m = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * m, pa.int64()), pa.nulls(m, d.type), pa.nulls(m, pa.binary()), own, pa.array(place[lo : lo + m].astype(np.int32)), pa.array(n[lo : lo + m], pa.int64())], names=names)
 
-        nothing = np.empty(0, np.int32)
         for batch in pieces(batches, 200):
             docs_of.append(batch.column(0))
-            for t in batch.column(1):
-                t = t.as_py() or ""
-                own = found(" " + t) if both.spelt(t) else ()
+            for t in batch.column(1).to_pylist():
+                own = found(" " + t) if t and both.spelt(t) else ()
                 ids_of.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)) if own else nothing)
-                chars += len(t)
+                chars += len(t or "")
             if chars >= chunk:
                 yield from flush()
-        yield from flush()
+                number, docs_of, ids_of, chars, done = _Numbers(), [], [], 0, done + 1
+        if docs_of:
+            yield from flush()
 
     small_batches(docs)
-    return docs.select(F.col("doc_id").alias("d"), F.col(text).alias("t")).mapInArrow(run, f"chunk long, d {kind}, ids array<int>, seg string, local int, n long")
+    return docs.select(F.col("doc_id").alias("d"), F.col(text).alias("t")).mapInArrow(run, f"chunk long, d {kind}, ids binary, seg string, local int, n long")
 
 
-def _aligned(segments: DataFrame, tokenizers) -> DataFrame:
-    """segments (seg, n) with n_a, n_b, n_groups, groups and links, the distinct pairs of overlapping tokens and how often each occurs."""
+def _aligned(segments: DataFrame, tokenizers, block: int) -> DataFrame:
+    """Rows for segments (blk, seg, n_a, n_b, n_groups, n_links, groups, links) and for the distinct pairs of blocks (blk, local, a, b, n).
+
+    links: the pairs' local numbers; n: how many links hold the pair, over all documents that hold the block's segments.
+    """
+    names = ["blk", "seg", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "local", "a", "b", "n"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def row(m: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(m, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers()
-        for batch in pieces(batches, 2_000):
-            n_a, n_b, n_groups, n_links, groups, size, flat = [], [], [], [], [], [0], []
-            for a, b in both.encode(batch.column(0).to_pylist()):
-                own, links = align(a, b, both.a_size, both.b_size)
-                n_a.append(len(a))
-                n_b.append(len(b))
-                n_groups.append(len(own))
-                n_links.append(len(links))
-                groups.append(";".join(own))
-                flat += [(x, y, k) for (x, y), k in Counter(links).items()]
-                size.append(len(flat))
-            triples = np.array(flat, np.int32).reshape(-1, 3)
-            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(triples[:, c])) for c in range(3)], names=["a", "b", "k"]))
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(n_a), long(n_b), long(n_groups), long(n_links), pa.array(groups, pa.string()), lists], names=["seg", "n", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
-
-    return segments.mapInArrow(run, "seg string, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,k:int>>")
-
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """a, b, count (links that hold the pair, over all documents), best (whether b has no pair of a higher count), rows."""
-    each = aligned.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum(F.col("n") * F.col("x.k")).alias("count"), F.count("*").alias("rows"))
+        sizes, pairs, total, seen, done = (np.array(both.a_size), np.array(both.b_size)), {}, [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            at, keys, n = (TaskContext.get().partitionId() << 32) + done, np.array(list(pairs), np.int64), np.zeros(len(pairs), np.int64)
+            for local, weight in total:
+                np.add.at(n, local, weight)
+            for lo in range(0, len(keys), 10_000):
+                own = keys[lo : lo + 10_000]
+                yield row(len(own), blk=[at] * len(own), local=np.arange(lo, lo + len(own)), a=own >> 32, b=own & 0xFFFFFFFF, n=n[lo : lo + len(own)])
+
+        for batch in pieces(batches, 5_000):
+            a, b = zip(*both.encode(batch.column(0).to_pylist()), strict=True)
+            n_links, links, n_groups, groups = align(a, b, *sizes)
+            keys, inverse = np.unique((links[:, 0] << 32) + links[:, 1], return_inverse=True)
+            known = np.array([pairs.setdefault(k, len(pairs)) for k in keys.tolist()], np.int32)
+            total.append((known, np.bincount(inverse, np.repeat(batch.column(1).to_numpy(), n_links), len(keys)).astype(np.int64)))
+            m = batch.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_links))), pa.int32()), pa.array(known[inverse]))
+            at = (TaskContext.get().partitionId() << 32) + done
+            yield row(m, blk=[at] * m, seg=batch.column(0), n_a=[len(x) for x in a], n_b=[len(x) for x in b], n_groups=n_groups, n_links=n_links, groups=groups, links=lists)
+            seen += m
+            if seen >= block:
+                yield from flush()
+                pairs, total, seen, done = {}, [], 0, done + 1
+        if seen:
+            yield from flush()
+
+    return segments.mapInArrow(run, "blk long, seg string, n_a long, n_b long, n_groups long, n_links long, groups string, links array<int>, local int, a int, b int, n long")
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """a, b, count (links that hold the pair, over all documents), best (whether b has no pair of a higher count)."""
+    each = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     return each.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text", chunk: int = CHUNK, groups: bool = True) -> DataFrame:
+def _scored(one: pa.Table, pairs: pa.Table) -> pa.Table:
+    """A block's segments with n_best and count_sum."""
+    order = np.argsort(pairs.column("local").to_numpy())
+    facts = np.stack([pairs.column("best").to_numpy().astype(np.int64), pairs.column("count").to_numpy()], 1)[order]
+    n = one.column("n_links").to_numpy()
+    sums = np.add.reduceat(facts[one.column("links").combine_chunks().flatten().to_numpy()], np.cumsum(n) - n)
+    return one.select(["seg", "n_a", "n_b", "n_groups", "n_links"]).append_column("n_best", pa.array(np.ascontiguousarray(sums[:, 0]))).append_column("count_sum", pa.array(np.ascontiguousarray(sums[:, 1]))).append_column("groups", one.column("groups"))
+
+
+def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text", chunk: int = CHUNK, block: int = BLOCK, groups: bool = True) -> DataFrame:
     """For each row its doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with groups these as text.
 
     A null or empty text, and one that some token sequence doesn't spell, has no tokens: zeros, empty groups and hash.
@@ -229,12 +271,11 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
     kind = docs.schema["doc_id"].dataType.simpleString()
     split = settle(_chunks(docs, tokenizers, text, chunk))
     of_chunks = split.where("seg is not null")
-    aligned = settle(_aligned(of_chunks.groupBy("seg").agg(F.sum("n").alias("n")), tokenizers).withColumn("sid", F.monotonically_increasing_id()))
-    counts = settle(pair_counts(aligned))
-    links = aligned.select("sid", F.explode("links").alias("x")).select("sid", "x.*")
-    known = by_key(links, counts.select("a", "b", "count", "best", "rows"), ["a", "b"], "rows")
-    scores = known.groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("k") * F.col("count")).alias("count_sum"))
-    scored = aligned.drop("links", "n").join(scores, "sid")
+    aligned = settle(_aligned(of_chunks.groupBy("seg").agg(F.sum("n").alias("n")), tokenizers, block))
+    pairs = aligned.where("seg is null").select("blk", "local", "a", "b", "n")
+    known = pairs.drop("n").join(pair_counts(pairs), ["a", "b"]).select("blk", "local", "count", "best")
+    own = aligned.where("seg is not null").select(F.col("blk").alias("own_blk"), "seg", "n_a", "n_b", "n_groups", "n_links", "groups", "links")
+    scored = own.groupBy("own_blk").cogroup(known.groupBy("blk")).applyInArrow(_scored, f"seg string, {', '.join(f'{c} long' for c in SUMS)}, groups string")
     back = of_chunks.select("chunk", "local", "seg").join(scored, "seg").select("chunk", "local", *SUMS, "groups")
 
     def compose(one: pa.Table, segs: pa.Table) -> pa.Table:
@@ -242,8 +283,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
         sums = np.stack([segs.column(c).to_numpy()[order] for c in SUMS], 1) if len(order) else np.zeros((0, len(SUMS)), np.int64)
         texts = np.array(segs.column("groups").to_pylist(), object)[order]
         total, joined = [], []
-        for ids in one.column("ids").combine_chunks():
-            ids = ids.values.to_numpy()
+        for ids in map(_unpacked, one.column("ids").to_pylist()):
             total.append(sums[ids].sum(0))
             joined.append(";".join(texts[ids].tolist()))
         hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in joined]

@@ -69,17 +69,5 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: A key that more than one of so many rows have is hot; fewer keys than this can be.
+#: A key that more than one of so many rows has is hot; fewer keys than this can be.
 HOT = 10_000
-
-
-def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """rows joined with facts, which has one row for each key and in column n how many of rows have it; n goes.
-
-    Fewer than HOT keys can have more than one of HOT rows, so their facts are broadcast and their rows stay where they
-    are; all other keys are joined by a shuffle that no key is large in. facts is read several times.
-    """
-    total = facts.agg(F.sum(n)).first()[0] or 0
-    hot = facts.where(F.col(n) * HOT > total).drop(n)
-    cold = facts.where(F.col(n) * HOT <= total).drop(n)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))

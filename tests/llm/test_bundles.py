@@ -180,7 +180,7 @@ def test_alignment(spark):
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(150)] + ["word" * 500 + " " + "y z " * 300, None, "", " ", "\n", "▁ a", "a\r b"]
     texts += texts[:5]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in alignment.align_documents(docs, A, B, chunk=500, groups=False).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.align_documents(docs, A, B, chunk=500, block=40, groups=False).collect()}
     want = plain_alignment(texts)
     assert [got[i] for i in range(len(texts))] == want and sum(w[0] > 0 for w in want) > 100
 
@@ -193,17 +193,3 @@ def test_alignment_of_odd_rows(spark):
     one = alignment.align_documents(docs.where("doc_id = 7"), A, B).first()
     assert hashlib.sha256(one.groups.encode()).hexdigest() == one.groups_sha256
     assert alignment.op13_alignment(empty_docs(spark), A, B).count() == 0
-
-
-def test_hot_keys_join_as_others(spark):
-    from domspark.llm import common
-
-    rows = spark.createDataFrame([(i % 7 if i % 2 else 99, i) for i in range(400)], "k long, i long")
-    facts = rows.groupBy("k").count().withColumn("f", F.col("k") * 2).union(spark.createDataFrame([(1000, 1, 5)], "k long, count long, f long"))
-    for hot in (2, 3, 10_000):
-        common.HOT, old = hot, common.HOT
-        try:
-            got = common.by_key(rows, facts, ["k"], "count").select("k", "i", "f").collect()
-        finally:
-            common.HOT = old
-        assert sorted(got) == [(r.k, r.i, 2 * r.k) for r in sorted(rows.collect())]
