@@ -180,7 +180,7 @@ def test_alignment(spark):
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(150)] + ["word" * 500 + " " + "y z " * 300, None, "", " ", "\n", "▁ a", "a\r b"]
     texts += texts[:5]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in alignment.align_documents(docs, A, B, chunk=500, block=40, groups=False).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.align_documents(docs, A, B, chunk=500, bucket=300, groups=False).collect()}
     want = plain_alignment(texts)
     assert [got[i] for i in range(len(texts))] == want and sum(w[0] > 0 for w in want) > 100
 
