@@ -5,12 +5,12 @@ A question is a locator taken apart. Its parts are forms, strings that an elemen
     tag   tag|:place   tag|attr=value   *|attr=value   tag|.class   tag|~part of class   tag|&classes   tag|=text   tag|^part of text
 
 own: the form of the element asked for. rel and akey: none, or "below" (an ancestor fits akey), "child" (the parent does),
-"below2" (the parent fits mid, and an ancestor of it akey), "after" (the k-th following sibling of the tag own of an element
-that fits akey). text: what the element's text has to be besides. Only the document itself is asked, no shadow trees.
+"below2" (the parent fits mid, and an ancestor of it akey). text: what the element's text has to be besides. Only the
+document itself is asked, no shadow trees.
 
-All answers are counts by keys: each element gives one row for each form that is asked on its page, and for each asked
-anchor above it. No two elements, and no two questions, are ever paired, but for the distinct class attributes and the
-texts of a tag within one page, which the two forms with "part of" are held against.
+All answers are counts by keys: each element gives one row for each form that is asked on its page, and what lies below
+anchors is counted by intervals. No two elements, and no two questions, are ever paired, but for the distinct class
+attributes and the texts of a tag within one page, which the two forms with "part of" are held against.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.locators import class_tokens
 from ..functions.text import xpath_normalize
+from .intervals import counts_inside
 
 SEP = "\x01"
 #: Longer texts are compared by a digest.
 LONG_TEXT = 200
 _BY_PARTS = r"^[^|]*\|[~&]"
-QUESTION = ("rel", "akey", "mid", "own", "text", "k")
+QUESTION = ("rel", "akey", "mid", "own", "text")
 
 
 def _norm() -> Column:
@@ -33,9 +34,12 @@ def _norm() -> Column:
     return xpath_normalize(F.coalesce("text", "brief"))
 
 
+def _short(norm: Column) -> Column:
+    return F.when(F.length(norm) <= LONG_TEXT, norm).otherwise(F.concat(F.lit(SEP), F.sha2(norm, 256)))
+
+
 def text_form(tag: Column, norm: Column) -> Column:
-    short = F.when(F.length(norm) <= LONG_TEXT, norm).otherwise(F.concat(F.lit(SEP), F.sha2(norm, 256)))
-    return F.concat(tag, F.lit("|="), short)
+    return F.concat(tag, F.lit("|="), _short(norm))
 
 
 def class_form(tag: Column, tokens: Column) -> Column:
@@ -43,9 +47,9 @@ def class_form(tag: Column, tokens: Column) -> Column:
     return F.concat(tag, F.lit("|&"), F.array_join(F.array_sort(F.array_distinct(tokens)), " "))
 
 
-def question(rel: Column | None, akey: Column | None, mid: Column | None, own: Column, text: Column | None = None, k: Column | None = None) -> Column:
+def question(rel: Column | None, akey: Column | None, mid: Column | None, own: Column, text: Column | None = None) -> Column:
     """One string for a question; null if own is."""
-    parts = [F.lit("") if x is None else F.coalesce(x.cast("string"), F.lit("")) for x in (rel, akey, mid, own, text, k)]
+    parts = [F.lit("") if x is None else F.coalesce(x.cast("string"), F.lit("")) for x in (rel, akey, mid, own, text)]
     return F.when(own.isNotNull(), F.concat_ws(SEP, *parts))
 
 
@@ -82,7 +86,7 @@ def _some(df: DataFrame, q: Column) -> DataFrame:
 
 
 def counted(nodes: DataFrame, questions: DataFrame) -> DataFrame:
-    """page_id, q, n, first_nid for questions (page_id, q, rel, akey, mid, own, text, k) that find any element.
+    """page_id, q, n, first_nid for questions (page_id, q, rel, akey, mid, own, text) that find any element; first_nid but for below2.
 
     First it looks which kinds of questions there are, so that only their parts are planned.
     """
@@ -94,42 +98,31 @@ def counted(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     found = _some(fits, question(None, None, None, F.col("form")))
     if {"below", "child", "below2"} & set(rels):
         found = found.union(_anchored(light, questions, fits))
-    if "after" in rels:
-        found = found.union(_after(light, questions, fits))
     if texts:
         found = found.union(_parts(light, questions))
-    if "path" in rels:
-        found = found.union(_paths(light, questions))
     return found
 
 
 def _anchored(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFrame:
-    """Elements below asked anchors; of several anchors alike, the nearest and the furthest count."""
+    """Elements below asked anchors, counted by intervals; a question's own form, parent's form and text name a set of members."""
     col = F.col
-    anchored = questions.where("rel in ('below', 'child', 'below2')")
-    anchors = fits.join(anchored.select("page_id", col("akey").alias("form")).distinct(), ["page_id", "form"], "left_semi").select("page_id", col("form").alias("akey"), col("nid").alias("anc"))
-    tree = light.select("page_id", "nid", "parent", F.coalesce(_norm(), F.lit("")).alias("norm"), F.posexplode("above").alias("far", "anc"))
-    under = tree.join(anchors, ["page_id", "anc"]).groupBy("page_id", "akey", "nid", "parent").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.first("norm").alias("norm"))
-    rows = under.join(fits.withColumnRenamed("form", "own"), ["page_id", "nid"])
-    rows = rows.join(anchored.select("page_id", "akey", "own").distinct(), ["page_id", "akey", "own"], "left_semi")
-    deep = rows.where("far >= 1").join(fits.select("page_id", col("form").alias("mid"), col("nid").alias("parent")), ["page_id", "parent"])
-    deep = deep.join(anchored.where("rel = 'below2'").select("page_id", "akey", "mid", "own").distinct(), ["page_id", "akey", "mid", "own"], "left_semi")
-    # Each row answers for its keys, and again with its text; a child answers for one more relation.
-    both = lambda rel, mid: F.array(question(rel, col("akey"), mid, col("own")), F.when(F.length("norm").between(1, LONG_TEXT), question(rel, col("akey"), mid, col("own"), col("norm"))))
-    as_child = F.array(F.when(col("near") == 0, question(F.lit("child"), col("akey"), None, col("own"))))
-    answers = rows.select("page_id", "nid", F.explode(F.array_compact(F.concat(both(F.lit("below"), None), as_child))).alias("q"))
-    answers = answers.union(deep.select("page_id", "nid", F.explode(F.array_compact(both(F.lit("below2"), col("mid")))).alias("q")))
-    return _some(answers, col("q"))
-
-
-def _after(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFrame:
-    """The k-th following sibling of a tag is the one that has so many fewer of its tag behind it."""
-    col = F.col
-    after = questions.where("rel = 'after'").select("page_id", "q", "akey", "own", "k")
-    starts = fits.join(light.select("page_id", "nid", "parent", "after"), ["page_id", "nid"]).select("page_id", col("form").alias("akey"), "parent", "after")
-    places = after.join(starts, ["page_id", "akey"]).withColumn("rest", F.element_at("after", col("own")) - col("k")).where("rest >= 0").select("page_id", "q", "parent", col("own").alias("tag"), "rest").distinct()
-    ends = light.select("page_id", "parent", "tag", F.coalesce(F.element_at("after", col("tag")), F.lit(0)).alias("rest"), "nid")
-    return _some(places.join(ends, ["page_id", "parent", "tag", "rest"]), col("q"))
+    named = lambda own, mid, text: F.concat_ws(SEP, own, F.coalesce(mid, F.lit("")), F.coalesce(text, F.lit("")))
+    short = _short(col("text"))
+    anchored = questions.where("rel in ('below', 'child', 'below2')").select("page_id", "q", "rel", "akey", "own", "mid", F.coalesce(F.when(col("text") != "", short), F.lit("")).alias("text"))
+    place = light.select("page_id", "nid", "post", "parent", F.coalesce(_short(_norm()), F.lit("")).alias("norm"))
+    tops = fits.join(anchored.select("page_id", col("akey").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place.select("page_id", "nid", "post"), ["page_id", "nid"]).select("page_id", col("form").alias("a"), col("nid").alias("pre"), "post")
+    # Each element stands for its form, and once more for its form with its text.
+    own = fits.join(anchored.select("page_id", col("own").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place, ["page_id", "nid"])
+    own = own.select("page_id", col("form").alias("own"), "nid", "parent", F.explode(F.array_distinct(F.array(F.lit(""), col("norm")))).alias("text"))
+    wanted = anchored.where("rel <> 'child'").select("page_id", "own", F.coalesce("mid", F.lit("")).alias("mid"), "text").distinct()
+    alone = own.withColumn("mid", F.lit("")).join(wanted, ["page_id", "own", "mid", "text"], "left_semi").select("page_id", named(col("own"), col("mid"), col("text")).alias("b"), col("nid").alias("at"), "nid")
+    mids = fits.join(wanted.where("mid <> ''").select("page_id", col("mid").alias("form")).distinct(), ["page_id", "form"], "left_semi").select("page_id", col("form").alias("mid"), col("nid").alias("parent"))
+    under = own.join(mids, ["page_id", "parent"]).join(wanted, ["page_id", "own", "mid", "text"], "left_semi").select("page_id", named(col("own"), col("mid"), col("text")).alias("b"), col("parent").alias("at"), "nid")
+    pairs = anchored.where("rel <> 'child'").select("page_id", "q", col("akey").alias("a"), named(col("own"), col("mid"), col("text")).alias("b"))
+    found = counts_inside(tops, alone.union(under), pairs)
+    parents = tops.select("page_id", col("a").alias("akey"), col("pre").alias("parent"))
+    children = anchored.where("rel = 'child'").join(parents, ["page_id", "akey"]).join(own, ["page_id", "own", "parent", "text"])
+    return found.unionByName(_some(children, col("q")))
 
 
 def _parts(light: DataFrame, questions: DataFrame) -> DataFrame:
@@ -140,15 +133,3 @@ def _parts(light: DataFrame, questions: DataFrame) -> DataFrame:
     hits = F.transform("parts", lambda p: F.struct(p["q"].alias("q"), F.filter("texts", lambda t: F.contains(t["norm"], p["part"])).alias("hits")))
     hit = parts.join(texts, ["page_id", "tag"]).select("page_id", F.explode(hits).alias("h")).select("page_id", "h.q", "h.hits")
     return hit.where(F.size("hits") > 0).select("page_id", "q", F.size("hits").cast("long").alias("n"), F.get("hits", F.lit(0))["nid"].alias("first_nid"))
-
-
-def _paths(light: DataFrame, questions: DataFrame) -> DataFrame:
-    """Absolute paths: steps without a place fit all of their tag."""
-    paths = questions.where("rel = 'path'").select("page_id", "q", _steps(F.col("own")).alias("tags"), F.split("own", "/").alias("want"))
-    every = light.select("page_id", "nid", _steps(F.col("path")).alias("tags"), F.split("path", "/").alias("have"))
-    same = F.forall(F.zip_with("want", "have", lambda w, h: (w == h) | ~F.contains(w, F.lit("[")) | ((F.substring_index(w, "[1]", 1) == h) & w.endswith("[1]"))), lambda x: x)
-    return _some(paths.join(every, ["page_id", "tags"]).where(same), F.col("q"))
-
-
-def _steps(path: Column) -> Column:
-    return F.regexp_replace(path, r"\[\d+\]", "")

@@ -19,7 +19,7 @@ from .matching import QUESTION, class_form, counted, forms, question, text_form
 LOCATOR = "array<struct<strategy:string,type:string,value:string>>"
 #: What the strategies need of the elements.
 COLUMNS = (
-    "page_id", "nid", "pre", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts", "above",
+    "page_id", "nid", "pre", "post", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts",
 )
 
 
@@ -148,7 +148,7 @@ def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool =
     c = c.withColumns({name: F.array_compact(F.concat(*placed[i : i + 6])) for name, i in zip(parts, range(0, len(found), 6), strict=True)})
     # Eight counts read these rows.
     rows = settle(c.select("page_id", "nid", F.explode(F.concat(*parts)).alias("p")).select("page_id", "nid", "p.place", "p.x.*"))
-    asked = rows.where("q is not null").select("page_id", "q", *[F.col(k) if k != "k" else F.lit(None).cast("int").alias("k") for k in QUESTION]).dropDuplicates(["page_id", "q"])
+    asked = rows.where("q is not null").select("page_id", "q", *QUESTION).dropDuplicates(["page_id", "q"])
     once = counted(nodes, asked).where("n = 1").select("page_id", "q", F.lit(True).alias("once"))
     kept = rows.join(once, ["page_id", "q"], "left").where("unasked or once").select("page_id", "nid", "place", "alt", "strategy", "type", "value")
     sibling = _sibling_locators(d, nodes, priority).select("page_id", "nid", F.lit(len(found)).alias("place"), F.lit(0).alias("alt"), F.lit("sibling").alias("strategy"), F.lit("xpath").alias("type"), F.col("sibling").alias("value"))
@@ -223,7 +223,7 @@ def text_counts(nodes: DataFrame, tag: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     kinds = {"exact": text_form(F.lit(tag), F.col("short")), "part": F.concat(F.lit(f"{tag}|^"), "short")}
     each = asked.select("page_id", "short", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), f.alias("own")) for name, f in kinds.items()])).alias("x")).select("page_id", "short", "x.*")
-    each = each.withColumns({"q": question(None, None, None, F.col("own")), "rel": nothing, "akey": nothing, "mid": nothing, "text": nothing, "k": F.lit(None).cast("int")})
+    each = each.withColumns({"q": question(None, None, None, F.col("own")), "rel": nothing, "akey": nothing, "mid": nothing, "text": nothing})
     n = each.join(counted(own, each), ["page_id", "q"], "left")
     count = lambda what: F.coalesce(F.max(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).cast("int").alias(f"n_{what}")
     return n.groupBy("page_id", F.col("short").alias("text")).agg(count("exact"), count("part"))

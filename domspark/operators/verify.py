@@ -1,6 +1,6 @@
-"""How many elements of its page a locator finds, for the shapes that this library writes.
+"""How many elements of its page a locator finds, and the first of them.
 
-Locators are taken apart by regular expressions into the questions of matching, which counts them all by keys.
+Absolute paths of tags and places are compared with the elements' own paths; all other locators are resolved as joins.
 """
 
 from __future__ import annotations
@@ -11,106 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import settle
-from .matching import QUESTION, class_form, counted, question, text_form
+from .resolve import COLUMNS as _RESOLVE
+from .resolve import resolved
 
-_LITERAL = r"""(?:'[^']*'|"[^"]*"|concat\((?:'[^']*'|"[^"]*"|,)*\))"""
+#: What is needed of the elements.
+COLUMNS = (*_RESOLVE, "path")
 _TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
-_NAME = r"""(?:\\[0-9a-fA-F]{1,6} ?|\\[^0-9a-fA-F]|[^\s.#>\[\]:\\"'])+"""
-_STRING = r'''"(?:[^"\\]|\\.)*"'''
-#: One step of a selector, and of a path.
-_CSS = rf"(?:#{_NAME}|(?:{_TAG})?\[[\w:.-]+={_STRING}\]|{_TAG}(?:\.{_NAME})+|{_TAG}:nth-of-type\(\d+\)|{_TAG})"
-_STEP = rf"""(?:\*|{_TAG})(?:\[(?:[^\[\]'"]|'[^']*'|"[^"]*")*\])?"""
-
-
-def _unquoted(s: Column) -> Column:
-    """The string of an XPath literal; parts of concat() are put together."""
-    parts = F.regexp_extract_all(s, F.lit(r"""('[^']*'|"[^"]*")"""), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p) - 2)), "")
-
-
-def _unescaped(s: Column) -> Column:
-    """A CSS identifier or string without its escapes."""
-    parts = F.regexp_extract_all(s, F.lit(r"(\\[0-9a-fA-F]{1,6} ?|\\[\s\S]|[^\\]+)"), F.lit(1))
-    code = lambda p: F.decode(F.unhex(F.lpad(F.rtrim(F.substr(p, F.lit(2))), 8, "0")), "UTF-32")
-    plain = F.transform(parts, lambda p: F.when(p.rlike(r"^\\[0-9a-fA-F]"), code(p)).when(p.startswith("\\"), F.substr(p, F.lit(2))).otherwise(p))
-    return F.when(F.contains(s, F.lit("\\")), F.array_join(plain, "")).otherwise(s)
-
-
-def _css_form(s: Column) -> Column:
-    part = lambda pattern, i=1: F.regexp_extract(s, pattern, i)
-    attr = rf"^({_TAG})?\[([\w:.-]+)=\"([\s\S]*)\"\]$"
-    tag = F.regexp_extract(s, rf"^({_TAG})", 1)
-    tokens = F.transform(F.regexp_extract_all(F.substr(s, F.length(tag) + 1), F.lit(rf"\.({_NAME})"), F.lit(1)), _unescaped)
-    classes = F.when(F.size(F.array_distinct(tokens)) == 1, F.concat(tag, F.lit("|."), F.get(tokens, F.lit(0)))).otherwise(class_form(tag, tokens))
-    return (
-        F.when(s.startswith("#"), F.concat(F.lit("*|id="), _unescaped(F.substr(s, F.lit(2)))))
-        .when(s.rlike(attr), F.concat(F.coalesce(F.nullif(part(attr), F.lit("")), F.lit("*")), F.lit("|"), part(attr, 2), F.lit("="), _unescaped(part(attr, 3))))
-        .when(s.rlike(rf"^{_TAG}\."), classes)
-        .when(s.rlike(r":nth-of-type"), F.concat(tag, F.lit("|:"), part(r"\((\d+)\)$")))
-        .when(s != "", s)
-    )
-
-
-def _xpath_form(s: Column) -> Column:
-    """Null for a predicate out of the grammar."""
-    tag, predicate = F.regexp_extract(s, rf"^(\*|{_TAG})", 1), F.regexp_extract(s, r"^[^\[]*\[([\s\S]*)\]$", 1)
-    value = lambda pattern: _unquoted(F.regexp_extract(predicate, pattern, 1))
-    attr, text, part, of_class, in_class = (
-        rf"^@[\w:.-]+=({_LITERAL})$", rf"^normalize-space\(\.\)=({_LITERAL})$", rf"^contains\(normalize-space\(\.\), ({_LITERAL})\)$",
-        rf"^contains\(concat\(' ', normalize-space\(@class\), ' '\), ({_LITERAL}) ?\)$", rf"^contains\(@class, ({_LITERAL})\)$",
-    )
-    return (
-        F.when((predicate == "") & ~F.contains(s, F.lit("[")), F.nullif(s, F.lit("")))
-        .when(predicate.rlike(r"^\d+$"), F.concat(tag, F.lit("|:"), predicate))
-        .when(predicate.rlike(attr), F.concat(tag, F.lit("|"), F.regexp_extract(predicate, r"^@([\w:.-]+)=", 1), F.lit("="), value(attr)))
-        .when(predicate.rlike(text), text_form(tag, value(text)))
-        .when(predicate.rlike(part), F.concat(tag, F.lit("|^"), value(part)))
-        .when(predicate.rlike(of_class), F.concat(tag, F.lit("|."), F.trim(value(of_class))))
-        .when(predicate.rlike(in_class), F.concat(tag, F.lit("|~"), value(in_class)))
-    )
-
-
-def questions(locators: DataFrame) -> DataFrame:
-    """locators (page_id, type, value) with q and the parts of their question; own is null for what isn't in the grammar."""
-    value, nothing = F.col("value"), F.lit(None).cast("string")
-    is_xpath, is_id = F.col("type").isin("xpath", "xpath-abs"), F.col("type") == "id"
-    css = rf"^({_CSS})(?:( > | )({_CSS})(?: > ({_CSS}))?)?$"
-    below = rf"^//({_STEP})//({_STEP})(?:/({_STEP}))?(\[normalize-space\(\.\)=({_LITERAL})\])?$"
-    single, after, path = rf"^//({_STEP})$", rf"^//({_STEP})/following-sibling::({_TAG})\[(\d+)\]$", rf"^/html(/{_TAG}(\[\d+\])?)*$"
-    g = lambda pattern, i: F.nullif(F.regexp_extract(value, pattern, i), F.lit(""))
-    shape = (
-        F.when(is_id, "id").when(~is_xpath, F.when(value.rlike(css), "css")).when(value.rlike(path), "path").when(value.rlike(single), "single").when(value.rlike(after), "after").when(value.rlike(below), "below")
-    )
-    # The steps as written first: first (or only) one, second, third, and what is behind them.
-    out = locators.withColumn("shape", shape).withColumns({
-        "_a": F.when(F.col("shape") == "css", g(css, 1)).when(F.col("shape") == "single", g(single, 1)).when(F.col("shape") == "after", g(after, 1)).when(F.col("shape") == "below", g(below, 1)),
-        "_b": F.when(F.col("shape") == "css", g(css, 3)).when(F.col("shape") == "after", g(after, 2)).when(F.col("shape") == "below", g(below, 2)),
-        "_c": F.when(F.col("shape") == "css", g(css, 4)).when(F.col("shape") == "below", g(below, 3)),
-        "_sign": F.when(F.col("shape") == "css", F.nullif(F.regexp_extract(value, css, 2), F.lit(""))),
-        "text": F.when(F.col("shape") == "below", _unquoted(g(below, 5))),
-        "k": F.when(F.col("shape") == "after", g(after, 3).cast("int")),
-    })
-    css_shape = F.col("shape") == "css"
-    out = out.withColumns({x: F.when(css_shape, _css_form(F.col(x))).otherwise(_xpath_form(F.col(x))) for x in ("_a", "_b", "_c")})
-    known = F.when(F.col("shape").isin("css", "below"), (F.col("_b").isNotNull() | (css_shape & F.col("_sign").isNull())) & F.col("_a").isNotNull()).otherwise(F.col("_a").isNotNull())
-    several = F.col("shape").isin("css", "below") & F.col("_b").isNotNull()
-    rel = F.when(F.col("shape") == "path", "path").when(F.col("shape") == "after", "after").when(several & F.col("_c").isNotNull(), "below2").when(several & (F.col("_sign") == " > "), "child").when(several, "below")
-    own = (
-        F.when(F.col("shape") == "id", F.concat(F.lit("*|id="), value)).when(F.col("shape") == "path", value).when(F.col("shape") == "after", F.when(F.col("_a").isNotNull(), F.col("_b")))
-        .when(known, F.when(several, F.coalesce("_c", "_b")).otherwise(F.col("_a")))
-    )
-    out = out.withColumns({"rel": rel, "own": own, "akey": F.when(several | (F.col("shape") == "after"), F.col("_a")), "mid": F.when(rel == "below2", F.col("_b"))})
-    out = out.withColumn("q", question(F.col("rel"), F.col("akey"), F.col("mid"), F.col("own"), F.col("text"), F.col("k")))
-    return out.select("page_id", "type", "value", "q", *[F.coalesce(F.col(c), nothing) if c != "k" else F.col(c) for c in QUESTION]).toDF("page_id", "type", "value", "q", *QUESTION)
+
+
+def _steps(path: Column) -> Column:
+    return F.regexp_replace(path, r"\[\d+\]", "")
+
+
+def _paths(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Absolute paths: steps without a place fit all of their tag."""
+    paths = asked.select("page_id", "type", "value", _steps(F.lower("value")).alias("tags"), F.split(F.lower("value"), "/").alias("want"))
+    every = nodes.where("scope = -1").select("page_id", "nid", _steps(F.col("path")).alias("tags"), F.split("path", "/").alias("have"))
+    same = F.forall(F.zip_with("want", "have", lambda w, h: (w == h) | ~F.contains(w, F.lit("[")) | ((F.substring_index(w, "[1]", 1) == h) & w.endswith("[1]"))), lambda x: x)
+    n = paths.join(every, ["page_id", "tags"]).where(same).groupBy("page_id", "type", "value").agg(F.count("*").alias("matches"), F.min("nid").alias("first_nid"))
+    return asked.join(n, ["page_id", "type", "value"], "left").select("page_id", "type", "value", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), "first_nid")
 
 
 def verified(nodes: DataFrame, locators: DataFrame) -> DataFrame:
-    """locators (page_id, type, value) with ok, matches, first_nid and verdict; those out of the grammar aren't ok."""
-    # Written before it is filtered: a filter on a question would be pushed below all that makes it.
-    asked = settle(questions(locators.select("page_id", "type", "value").distinct()))
-    n = counted(nodes, asked.where("q is not null").drop("type", "value").dropDuplicates(["page_id", "q"]))
-    matches = F.when(F.col("q").isNotNull(), F.coalesce("n", F.lit(0)))
-    out = asked.join(n, ["page_id", "q"], "left").select("page_id", "type", "value", matches.alias("matches"), "first_nid")
+    """locators (page_id, type, value), each once, with ok, matches, first_nid and verdict; those out of the grammar aren't ok."""
+    asked = locators.select("page_id", "type", "value").distinct().withColumn("plain", F.coalesce(F.col("type").isin("xpath", "xpath-abs") & F.col("value").rlike(rf"^/(?i:html)(/{_TAG}(\[[1-9]\d*\])?)*$"), F.lit(False)))
+    asked = settle(asked)
+    out = resolved(nodes, asked.where("not plain").drop("plain")).unionByName(_paths(nodes, asked.where("plain").drop("plain")))
     return out.withColumns({"ok": F.col("matches").isNotNull(), "verdict": verdict(F.col("matches"))})
 
 

@@ -106,6 +106,10 @@ _FORM_COUNTS = {
     "#login button.btn": (1, 2, "button"), "#login > button": (1, 2, "button"), "button.primary.btn": (1, 1, "button"), "#menu li:nth-of-type(2) > a": (1, 1, "a"), "form input": (1, 1, "input"), "u": (1, 1, "input"),
     "//form[@id='login']//button[contains(@class, 'prim')]": (1, 1, "button"), "//form[@id='login']//button[normalize-space(.)='Cancel']": (0, 1, "button"), "//input[@id='u']/following-sibling::button[2]": (0, 1, "button"),
     "//ul[@id='menu']//li/a[normalize-space(.)='Home']": (2, 2, "a"), "//label[normalize-space(.)='User']": (1, 1, "label"),
+    "//form[@id='login']//button[contains(normalize-space(.), 'Save')]": (1, 1, "button"), "//*[contains(normalize-space(.), 'Save')]": (4, 4, "html"), "//*[contains(@class, 'prim')]": (1, 1, "button"), "//*": (12, 13, "html"),
+    "//label[contains(normalize-space(.), 'User')]/following-sibling::button[1]": (1, 1, "button"), "(//a)[2]": (1, 1, "a"), "//a/..": (2, 2, "li"), "button:not(.primary)": (0, 1, "button"), "label + input": (1, 1, "input"), "input ~ button, ul": (2, 3, "button"),
+    "a[href^='/a']": (1, 1, "a"), "a:hover": (None, None, None), "//li[": (None, None, None), "//button[last()]": (1, 1, "button"), "//ul//a[not(@class) and starts-with(@href, '/b')]": (1, 1, "a"), "//button[contains(@class, 'btn')][2]/preceding-sibling::button[1]": (0, 1, "button"),
+    "/html/body/ul/li[2]": (1, 1, "li"), "//li[position()=2]/a[. = 'Home']": (1, 1, "a"), "ul > li > a": (2, 2, "a"), "//input/parent::form | //ul": (2, 2, "form"),
 }
 
 
@@ -124,10 +128,11 @@ def _form_scan() -> str:
 
 
 def _form_verify() -> str:
-    kind = lambda v: "id" if v == "u" else "xpath" if v.startswith("//") else "css"
-    rows = ", ".join(f"('{kind(v)}', {_quoted(v)}, {one}, {two}, '{tag}')" for v, (one, two, tag) in _FORM_COUNTS.items())
+    kind = lambda v: "id" if v == "u" else "xpath" if v.startswith(("//", "(")) else "xpath-abs" if v[0] == "/" else "css"
+    sql = lambda x: "NULL" if x is None else str(x)
+    rows = ", ".join(f"('{kind(v)}', {_quoted(v)}, {sql(one)}, {sql(two)}, '{tag}')" for v, (one, two, tag) in _FORM_COUNTS.items())
     return f"""WITH f(type, value, one, two, tag) AS (VALUES {rows}), t AS (SELECT p_partkey AS page_id, type, value, CAST(CASE WHEN p_partkey % 2 = 0 THEN two ELSE one END AS BIGINT) AS matches, tag FROM part, f)
-      SELECT page_id, type, value, matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' ELSE 'error' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
+      SELECT page_id, type, value, matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' WHEN matches = 0 THEN 'error' ELSE 'Err' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
 
 
 def _snippet(language: str) -> str:

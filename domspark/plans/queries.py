@@ -12,6 +12,7 @@ from ..operators import export as X
 from ..operators import review as R
 from ..operators import strategies as S
 from ..operators.candidates import chosen, described
+from ..operators.verify import COLUMNS as VERIFY_COLUMNS
 from ..operators.verify import by_hops, verified
 from ..shared import settle
 from ..sources.dom import nodes
@@ -27,9 +28,9 @@ def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return nodes(_table(spark, d, "pages"), columns=columns or S.COLUMNS)
 
 
-def _kept_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _kept_nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Parsed once, read several times."""
-    return settle(_nodes(spark, d))
+    return settle(_nodes(spark, d, *columns))
 
 
 def _strings(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +116,7 @@ ASKED = (
 
 
 def verify_counts(spark, d):
-    n = _kept_nodes(spark, d)
+    n = _kept_nodes(spark, d, *S.COLUMNS, *VERIFY_COLUMNS)
     own = S.locators(n).select("page_id", F.explode("locators").alias("x")).select("page_id", "x.type", "x.value")
     more = _table(spark, d, "pages").select("page_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in ASKED])).alias("x")).select("page_id", "x.*")
     return verified(n, own.union(more)).select("page_id", "type", "value", F.coalesce("matches", F.lit(-1)).alias("matches"), "verdict")
@@ -179,7 +180,7 @@ def form_scan(spark, d):
 
 
 def form_verify(spark, d):
-    n = settle(nodes(form_pages(_table(spark, d, "part")), columns=S.COLUMNS))
+    n = settle(nodes(form_pages(_table(spark, d, "part")), columns=VERIFY_COLUMNS))
     asked = n.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in FORM_ASKED])).alias("x")).select("page_id", "x.*")
     tag = n.select("page_id", F.col("nid").alias("first_nid"), F.col("tag").alias("first_tag"))
     return verified(n, asked).join(tag, ["page_id", "first_nid"], "left").select("page_id", "type", "value", "matches", "verdict", "first_tag")
@@ -189,6 +190,9 @@ def form_verify(spark, d):
 FORM_ASKED = (
     ("css", "#login button.btn"), ("css", "#login > button"), ("css", "button.primary.btn"), ("css", "#menu li:nth-of-type(2) > a"), ("css", "form input"), ("id", "u"), ("xpath", "//form[@id='login']//button[contains(@class, 'prim')]"),
     ("xpath", "//form[@id='login']//button[normalize-space(.)='Cancel']"), ("xpath", "//input[@id='u']/following-sibling::button[2]"), ("xpath", "//ul[@id='menu']//li/a[normalize-space(.)='Home']"), ("xpath", "//label[normalize-space(.)='User']"),
+    ("xpath", "//form[@id='login']//button[contains(normalize-space(.), 'Save')]"), ("xpath", "//*[contains(normalize-space(.), 'Save')]"), ("xpath", "//*[contains(@class, 'prim')]"), ("xpath", "//*"), ("xpath", "//label[contains(normalize-space(.), 'User')]/following-sibling::button[1]"),
+    ("xpath", "(//a)[2]"), ("xpath", "//a/.."), ("css", "button:not(.primary)"), ("css", "label + input"), ("css", "input ~ button, ul"), ("css", "a[href^='/a']"), ("css", "a:hover"), ("xpath", "//li["), ("xpath", "//button[last()]"), ("xpath", "//ul//a[not(@class) and starts-with(@href, '/b')]"),
+    ("xpath", "//button[contains(@class, 'btn')][2]/preceding-sibling::button[1]"), ("xpath-abs", "/html/body/ul/li[2]"), ("xpath", "//li[position()=2]/a[. = 'Home']"), ("css", "ul > li > a"), ("xpath", "//input/parent::form | //ul"),
 )
 
 

@@ -346,12 +346,33 @@ def _joined(children: list) -> list:
     return out
 
 
+def text_spans(root: Element) -> tuple[str, dict[int, tuple[int, int, int]]]:
+    """The text of the page without shadow trees; for each element where its text begins and ends in it, and how many characters of it aren't white space."""
+    pieces: list[str] = []
+    spans: dict[int, tuple[int, int, int]] = {}
+    at = solid = 0
+    todo: list[tuple] = [(root, None)]
+    while todo:
+        x, began = todo.pop()
+        if isinstance(x, str):
+            pieces.append(x)
+            at += len(x)
+            solid += len(x) - sum(map(x.count, " \t\r\n"))
+        elif began is None:
+            todo.append((x, (at, solid)))
+            todo.extend((c, None) for c in reversed(x.children))
+        else:
+            spans[x.nid] = (began[0], at, solid - began[1])
+    return "".join(pieces), spans
+
+
 _PAIRS = pa.map_(pa.string(), pa.string())
 _NEAR = pa.struct([("tag", pa.string()), ("attrs", _PAIRS), ("nid", pa.int32()), ("tag_idx", pa.int32()), ("tag_cnt", pa.int32())])
 KINDS = {
     "page_id": pa.int64(), "nid": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "attrs": _PAIRS, "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "sib_idx": pa.int32(),
     "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "after": pa.map_(pa.string(), pa.int32()), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "brief": pa.string(), "n_child": pa.int32(),
-    "visible": pa.bool_(), "path": pa.string(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])), "above": pa.list_(pa.int32()),
+    "visible": pa.bool_(), "path": pa.string(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])),
+    "text_from": pa.int32(), "text_to": pa.int32(), "solid": pa.int32(), "page_text": pa.string(),
 }
 _ROWS = 5_000
 
@@ -380,6 +401,7 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iter
                 place[c.nid] = (*place[c.nid][:2], seen[c.tag])
     wanted = {e.tag for e in found if e.tag in CANDIDATE_TAGS or "id" in e.attrs or e.attrs.get("role") in CANDIDATE_ROLES} | {"label"}
     path: dict[int, str] = {}
+    whole, spans = text_spans(root) if ask & {"text_from", "text_to", "solid", "page_text"} else ("", {})
     for e in found:
         up = parent_of.get(e.nid)
         sib, idx, cnt = place[e.nid]
@@ -397,13 +419,14 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iter
             row["brief"] = None if e.tag in wanted else short_content(e)
         if "path" in ask:
             row["path"] = path[e.nid] = "/html" if e is root else (path[up.nid] if up else "") + f"/{e.tag}" + (f"[{idx}]" if idx > 1 else "")
-        if ask & {"above", "up"}:
+        row["text_from"], row["text_to"], row["solid"] = spans.get(e.nid, (None,) * 3)
+        row["page_text"] = whole if e is root else None
+        if "up" in ask:
             above, p = [], up
-            while p is not None and (len(above) < 2 or "above" in ask):
+            while p is not None and len(above) < 2:
                 above.append(p)
                 p = parent_of.get(p.nid)
-            row["above"] = [p.nid for p in above]
-            row["up"] = [{"tag": p.tag, "attrs": list(p.attrs.items()), "nid": p.nid, "tag_idx": place[p.nid][1], "tag_cnt": place[p.nid][2]} for p in above[:2]]
+            row["up"] = [{"tag": p.tag, "attrs": list(p.attrs.items()), "nid": p.nid, "tag_idx": place[p.nid][1], "tag_cnt": place[p.nid][2]} for p in above]
         if "hosts" in ask:
             hosts, scope = [], e.scope
             while scope >= 0:
@@ -416,10 +439,11 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iter
 def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None = None) -> DataFrame:
     """The elements of pages (page_id, html), one row each; scope is -1 in the document, else the shadow host's nid.
 
-    up: parent and grandparent; above: the nids of all ancestors from the parent on; after: for each tag how many siblings
+    up: parent and grandparent; after: for each tag how many siblings
     of it follow; hosts: shadow hosts from the outermost in. text is there for tags that can be
-    scanned; brief is the text of others, if it is short. columns: those that
-    are needed, the others are not made. Page ids keep their type.
+    scanned; brief is the text of others, if it is short. page_text: the text of the whole page, on its first element only,
+    in which text_from and text_to say where an element's text is; solid: how many characters of it aren't white space.
+    columns: those that are needed, the others are not made. Page ids keep their type.
     """
     columns = tuple(c for c in KINDS if columns is None or c in columns or c == "page_id")
     rows = pages.select("page_id", F.coalesce(html, F.lit("")).alias("html"))
