@@ -132,7 +132,7 @@ def _form_verify() -> str:
     sql = lambda x: "NULL" if x is None else str(x)
     rows = ", ".join(f"('{kind(v)}', {_quoted(v)}, {sql(one)}, {sql(two)}, '{tag}')" for v, (one, two, tag) in _FORM_COUNTS.items())
     return f"""WITH f(type, value, one, two, tag) AS (VALUES {rows}), t AS (SELECT p_partkey AS page_id, type, value, CAST(CASE WHEN p_partkey % 2 = 0 THEN two ELSE one END AS BIGINT) AS matches, tag FROM part, f)
-      SELECT page_id, type, value, matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' WHEN matches = 0 THEN 'error' ELSE 'Err' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
+      SELECT page_id, type, value, coalesce(matches, -1) AS matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' WHEN matches = 0 THEN 'error' ELSE 'Err' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
 
 
 def _snippet(language: str) -> str:

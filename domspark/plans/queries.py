@@ -183,7 +183,7 @@ def form_verify(spark, d):
     n = settle(nodes(form_pages(_table(spark, d, "part")), columns=VERIFY_COLUMNS))
     asked = n.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in FORM_ASKED])).alias("x")).select("page_id", "x.*")
     tag = n.select("page_id", F.col("nid").alias("first_nid"), F.col("tag").alias("first_tag"))
-    return verified(n, asked).join(tag, ["page_id", "first_nid"], "left").select("page_id", "type", "value", "matches", "verdict", "first_tag")
+    return verified(n, asked).join(tag, ["page_id", "first_nid"], "left").select("page_id", "type", "value", F.coalesce("matches", F.lit(-1)).alias("matches"), "verdict", "first_tag")
 
 
 #: Asked of each form page; plans.oracles says how many elements each finds.
