@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import pieces, settle, small_batches
+from .common import give_back, pieces, settle, small_batches
 
 #: Characters of texts that share a chunk, and bytes of texts for which there is one bucket of segments.
 CHUNK, BUCKET = 32_000_000, 16_000_000
@@ -204,6 +204,7 @@ def _chunks(docs: DataFrame, tokenizers, text: str, chunk: int, buckets: int) ->
                 yield from rows.set_column(1, "d", d.slice(lo, len(own))).to_batches()
             texts = [s.encode() for s in number]
             bucket = np.fromiter(map(crc32, texts), np.int64, len(texts)) % buckets
+            ids_of.clear()
             order = np.argsort(bucket, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                 some = [texts[i] for i in own.tolist()]
@@ -348,12 +349,16 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
 
     def compose(one: pa.Table, back: pa.Table) -> pa.Table:
         sums, texts = _dictionary(back)
-        total, joined = [], []
-        for ids, n in zip(one.column("ids").to_pylist(), one.column("n").to_pylist(), strict=True):
-            ids = _unpacked(ids, n)
+        total, joined, hashes = [], [], []
+        for ids, n in zip(one.column("ids"), one.column("n").to_pylist(), strict=True):
+            ids = _unpacked(ids.as_py(), n)
             total.append(sums[ids].sum(0))
-            joined.append(";".join(texts[ids].tolist()))
-        hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in joined]
+            text = ";".join(texts[ids].tolist())
+            hashes.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+            if groups:
+                joined.append(text)
+        del texts
+        give_back()
         total = np.array(total, np.int64).reshape(-1, len(SUMS))
         columns = [one.column("d"), *[pa.array(np.ascontiguousarray(total[:, i])) for i in range(len(SUMS))], pa.array(hashes, pa.string()), *([pa.array(joined, pa.string())] if groups else [])]
         return pa.table(columns, names=["doc_id", *SUMS, "groups_sha256", *(["groups"] if groups else [])])
