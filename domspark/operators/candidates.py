@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, element_text
 from ..functions.text import xpath_normalize
 from ..sources.dom import CANDIDATE_ROLES, CANDIDATE_TAGS
+from .intervals import inside
 
 
 def is_candidate() -> Column:
@@ -29,10 +30,15 @@ def chosen(described: DataFrame) -> DataFrame:
 
 
 def added(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of elements added as roots (page_id, nid): themselves, all below, and what is in their own shadow tree's light."""
-    tops = roots.join(nodes, ["page_id", "nid"]).select("page_id", F.col("nid").alias("top"), F.col("pre").alias("a"), F.col("post").alias("b"), F.col("scope").alias("s"))
-    inside = nodes.join(tops, "page_id").where((F.col("pre") >= F.col("a")) & (F.col("pre") <= F.col("b")) & ((F.col("scope") == F.col("s")) | (F.col("scope") == F.col("top"))))
-    return inside.select(*nodes.columns).dropDuplicates(["page_id", "nid"])
+    """Of elements added as roots (page_id, nid): themselves, all below, and what is in their own shadow tree's light.
+
+    What lies below is found by intervals, within one tree.
+    """
+    tops = roots.join(nodes, ["page_id", "nid"]).select("page_id", "nid", "pre", "post", "scope")
+    below = inside(tops.select("page_id", "scope", "pre", "post"), nodes.select("page_id", "scope", F.col("pre").alias("at"), "nid"), "scope").select("page_id", "nid")
+    own = nodes.join(tops.select("page_id", F.col("nid").alias("scope")).distinct(), ["page_id", "scope"], "left_semi").select("page_id", "nid")
+    every = below.union(own).union(tops.select("page_id", "nid")).distinct()
+    return nodes.join(every, ["page_id", "nid"], "left_semi")
 
 
 def picked(located: DataFrame, page_id: int, nid: int) -> DataFrame:

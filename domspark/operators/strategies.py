@@ -123,10 +123,11 @@ def _tries(priority: list[str]) -> list[tuple[Column, ...]]:
     return out
 
 
-def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool = True) -> DataFrame:
+def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool = True, only: DataFrame | None = None) -> DataFrame:
     """The chosen elements of each page with their ordered locators: page_id, nid, scan_seq, scope, name, tag, attrs, hosts, locators.
 
     locators: array of (strategy, type, value, stability), the first of equal ones only; elements without any are left out.
+    only: the elements (page_id, nid) that get locators; these are held against the whole page all the same.
     nodes is read several times: read it from a table, as settle() makes one. The possible locators are written to the
     shared folder too; scratch() around the use of the result deletes such tables.
     """
@@ -135,6 +136,8 @@ def locators(nodes: DataFrame, priority: list[str] | None = None, quirks: bool =
     up, top = F.get(F.col("up"), F.lit(0)), F.get(F.col("up"), F.lit(1))
     usable = lambda e: e.isNotNull() & ~e["tag"].isin("body", "html")
     base = chosen(d)
+    if only is not None:
+        base = base.join(only.select("page_id", "nid").distinct(), ["page_id", "nid"], "left_semi")
     c = base.withColumns({"_up": up, "_top": top, "_stable": stable_attribute(F.col("attrs"), priority)})
     up, top = F.col("_up"), F.col("_top")
     c = c.withColumns({

@@ -372,15 +372,20 @@ KINDS = {
     "page_id": pa.int64(), "nid": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "attrs": _PAIRS, "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "sib_idx": pa.int32(),
     "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "after": pa.map_(pa.string(), pa.int32()), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "brief": pa.string(), "n_child": pa.int32(),
     "visible": pa.bool_(), "path": pa.string(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])),
-    "text_from": pa.int32(), "text_to": pa.int32(), "solid": pa.int32(), "page_text": pa.string(),
+    "text_from": pa.int32(), "text_to": pa.int32(), "solid": pa.int32(), "page_text": pa.string(), "fresh": pa.int32(),
 }
 _ROWS = 5_000
 
 
-def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iterator[dict]:
+def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS), before: str | None = None) -> Iterator[dict]:
     root = build(source)
     found = number(root)
     ask = frozenset(columns)
+    fresh: dict[int, int] = {}
+    if "fresh" in ask:
+        from .diff import freshness  # which needs this module
+
+        fresh = freshness(before, found)
     place: dict[int, tuple[int, int, int]] = {root.nid: (0, 1, 1)}
     after: dict[int, dict[str, int]] = {root.nid: {}}
     parent_of: dict[int, Element] = {}
@@ -421,6 +426,7 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iter
             row["path"] = path[e.nid] = "/html" if e is root else (path[up.nid] if up else "") + f"/{e.tag}" + (f"[{idx}]" if idx > 1 else "")
         row["text_from"], row["text_to"], row["solid"] = spans.get(e.nid, (None,) * 3)
         row["page_text"] = whole if e is root else None
+        row["fresh"] = fresh.get(e.nid)
         if "up" in ask:
             above, p = [], up
             while p is not None and len(above) < 2:
@@ -436,17 +442,18 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS)) -> Iter
         yield row
 
 
-def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None = None) -> DataFrame:
+def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None = None, before: str | None = None) -> DataFrame:
     """The elements of pages (page_id, html), one row each; scope is -1 in the document, else the shadow host's nid.
 
     up: parent and grandparent; after: for each tag how many siblings
     of it follow; hosts: shadow hosts from the outermost in. text is there for tags that can be
     scanned; brief is the text of others, if it is short. page_text: the text of the whole page, on its first element only,
     in which text_from and text_to say where an element's text is; solid: how many characters of it aren't white space.
+    before: the column with what the page was, null if it wasn't known; then fresh says what is new (see diff).
     columns: those that are needed, the others are not made. Page ids keep their type.
     """
-    columns = tuple(c for c in KINDS if columns is None or c in columns or c == "page_id")
-    rows = pages.select("page_id", F.coalesce(html, F.lit("")).alias("html"))
+    columns = tuple(c for c in KINDS if c == "page_id" or (c == "fresh" and before is not None) or (c != "fresh" and (columns is None or c in columns)))
+    rows = pages.select("page_id", F.coalesce(html, F.lit("")).alias("html"), *([F.col(before).alias("before")] if before is not None else []))
     tasks = pages.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < tasks:  # a small table in one file would keep one core busy
         rows = rows.repartition(tasks)
@@ -456,8 +463,9 @@ def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
-            for page_id, source in zip(batch.column(0), batch.column(1), strict=True):
-                for row in _rows(page_id.as_py(), source.as_py(), columns):
+            was = batch.column(2).to_pylist() if before is not None else [None] * batch.num_rows
+            for page_id, source, old in zip(batch.column(0), batch.column(1), was, strict=True):
+                for row in _rows(page_id.as_py(), source.as_py(), columns, old):
                     out.append(row)
                     if len(out) == _ROWS:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)

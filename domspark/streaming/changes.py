@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.entries import entries, upsert
-from ..operators.strategies import locators
+from ..operators.candidates import added
+from ..operators.entries import entries
+from ..operators.strategies import COLUMNS, locators
+from ..shared import scratch, settle
+from ..sources.diff import NEW, WHOLE
 from ..sources.dom import nodes
+from . import store
+from .debounce import debounced_stream
 
-GAP = "500 milliseconds"
+GAP_MS = 500
+GAP = f"{GAP_MS} milliseconds"
 
 
 def debounced(changes: DataFrame, *keys: str, ts: str = "ts", gap: str = GAP, what: Column | None = None, last_only: bool = False, late: str | None = None) -> DataFrame:
@@ -31,34 +37,54 @@ def debounced(changes: DataFrame, *keys: str, ts: str = "ts", gap: str = GAP, wh
 
 def scanned(pages: DataFrame, priority: list[str] | None = None) -> DataFrame:
     """Entries of page snapshots."""
-    return entries(locators(nodes(pages), priority))
+    return entries(locators(nodes(pages, columns=COLUMNS), priority))
 
 
-def _latest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    """The newest complete version of a store, and its number (-1: none)."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1, None
-    found = [int(s.getPath().getName()[8:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return (max(found), spark.read.parquet(f"{path}/version={max(found)}")) if found else (-1, None)
+def rescanned(pages: DataFrame, priority: list[str] | None = None) -> DataFrame:
+    """Entries of what is new in snapshots (page_id, html, before); of pages without a before, of all of it.
 
+    New elements are held against the whole page as it is now; those that were there before aren't looked at again.
+    """
+    n = settle(nodes(pages, columns=COLUMNS, before="before"))
+    new = n.where(F.col("fresh") == WHOLE).select("page_id", "nid").union(added(n, n.where(F.col("fresh") == NEW).select("page_id", "nid")).select("page_id", "nid"))
+    return entries(locators(n, priority, only=new))
+
+
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The entries, now or at a version."""
+    return store.read(spark, f"{path}/entries", version)
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    return _latest(spark, path)[1]
 
+def entry_changes(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
+    """The stream of inserted, updated and deleted entries."""
+    return store.changes(spark, f"{path}/entries", since)
 
-def write_over(pages: DataFrame, batch_id: int, path: str, priority: list[str] | None = None, by_page: bool = True) -> None:
-    """One micro-batch of snapshots into the store at path. A batch that is run again writes its version again."""
-    spark = pages.sparkSession
-    newest, store = _latest(spark, path)
-    if newest > batch_id:
-        return
-    if newest == batch_id:
-        store = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-    upsert(store, scanned(pages, priority), by_page, batch_id).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
+def write_over(pages: DataFrame, batch_id: int, path: str, priority: list[str] | None = None, by_page: bool = True, incremental: bool = False) -> None:
+    """One micro-batch of snapshots (page_id, html; the last of a page by ts, if there is that column) into the store at path.
 
-def follow(pages: DataFrame, path: str, checkpoint: str, priority: list[str] | None = None, by_page: bool = True, **trigger) -> StreamingQuery:
-    """Starts the stream of snapshots (page_id, html) into the store; stop() of the query ends it, a restart goes on."""
-    return pages.writeStream.foreachBatch(lambda df, i: write_over(df, i, path, priority, by_page)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    The store holds entries, and pages as they were last seen. Pages that are as they were aren't scanned; changed ones are
+    scanned anew, or, incremental, only what is new in them. Only entries that change are written. A batch that is run
+    again changes nothing.
+    """
+    spark, keys = pages.sparkSession, ["page_id", "id"] if by_page else ["id"]
+    with scratch():
+        order = F.struct("ts", "html") if "ts" in pages.columns else F.struct("html")
+        last = settle(pages.where("page_id is not null").groupBy("page_id").agg(F.max_by(F.coalesce("html", F.lit("")), order).alias("html")))
+        known = store.read(spark, f"{path}/pages")
+        seen = last.withColumn("before", F.lit(None).cast("string")) if known is None else last.join(known.select("page_id", F.col("html").alias("before")), "page_id", "left")
+        seen = seen.where(~F.col("html").eqNullSafe(F.col("before")))
+        found = rescanned(seen if incremental else seen.withColumn("before", F.lit(None).cast("string")), priority)
+        place = F.struct(F.lit(batch_id).cast("long").alias("batch"), "page_id", "seq")
+        rows = found.select("page_id", "seq", "id", "name", "tag", "locators", "hops", place.alias("ord"))
+        store.write(rows, f"{path}/entries", keys, batch_id, ("page_id", "seq"), ("ord",))
+        store.write(last, f"{path}/pages", ["page_id"], batch_id)  # after the entries: a batch that broke off is done again
+
+
+def follow(pages: DataFrame, path: str, checkpoint: str, priority: list[str] | None = None, by_page: bool = True, incremental: bool = False, debounce: str | None = None, **trigger) -> StreamingQuery:
+    """Starts the stream of snapshots (page_id, html, and ts with debounce) into the store; stop() of the query ends it, a restart goes on.
+
+    debounce: the watermark's delay; then a page is scanned as its burst of changes left it, once the burst is over.
+    """
+    rows = pages if debounce is None else debounced_stream(pages, "page_id", gap_ms=GAP_MS, delay=debounce, last_only=True).select("page_id", "html", F.col("last").alias("ts"))
+    return rows.writeStream.foreachBatch(lambda df, i: write_over(df, i, path, priority, by_page, incremental)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
