@@ -82,7 +82,7 @@ def blocks(source: str) -> list[Block]:
     link_parts: list[str] = []
     # Open elements that matter: (tag, makes its content bad, doubtful, begins a main part); p and li end with the next block too.
     stack: list[tuple[str, bool, bool, bool]] = []
-    bad = doubtful = main = links = 0
+    bad = doubtful = main = links = link_depth = 0
     heading = False
 
     def close() -> None:
@@ -94,11 +94,13 @@ def blocks(source: str) -> list[Block]:
         link_parts.clear()
 
     def pop() -> None:
-        nonlocal bad, doubtful, main
+        nonlocal bad, doubtful, main, links
         _, was_bad, was_doubtful, was_main = stack.pop()
         bad -= was_bad
         doubtful -= was_doubtful
         main -= was_main
+        if len(stack) < link_depth:  # a link that nothing closed ends with the block that it began in
+            links = 0
 
     for kind, tag, rest in tokens(source):
         if kind == "text":
@@ -116,14 +118,13 @@ def blocks(source: str) -> list[Block]:
         if kind == "start":
             if block:
                 heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-                links = 0
                 while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag not in ("a", "b"):
                     pop()
                 if tag in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
                     pop()
-            if tag == "a":
-                links += 1
             attrs = attributes(rest) if rest.strip() else {}
+            if tag == "a":  # ends the one before, and goes on in the blocks inside of it
+                links, link_depth = int("href" in attrs), len(stack)
             is_bad = _is_bad(tag, attrs, main > 0)
             if not block and is_bad and tag not in BAD_TAGS:
                 close()
@@ -139,8 +140,8 @@ def blocks(source: str) -> list[Block]:
         else:
             if block:
                 heading = False
-            if tag == "a" and links:
-                links -= 1
+            if tag == "a":
+                links = 0
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at >= 0:
                 if not block and tag not in RAW_TEXT:

@@ -43,7 +43,10 @@ LEAST_SCORE = 5
 _STRING = r"""(?P<string>\"{3}[\s\S]*?(?:\"{3}|\Z)|'{3}[\s\S]*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\[\s\S])*"|(?<!\w)'(?:[^'\\\n]|\\[\s\S])*'|(?<!\w)`(?:[^`\\]|\\[\s\S])*`)"""
 _SIGN = r"(?P<sign>:=|=>|\+=|[=!<>]=+|=|:)"
 _COMMENT = r"(?P<comment>(?:^|(?<=\s))\#[^\n]*|(?<![:\w])//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"
-_CODE, _REMARK = re.compile(f"{_COMMENT}|{_STRING}|{_SIGN}", re.A | re.M), re.compile(f"{_STRING}|{_SIGN}", re.A)
+_QUOTE = r"""(?P<quote>\"{3}|'{3}|"|(?<!\w)['`])"""
+_CODE, _REMARK = re.compile(f"{_COMMENT}|{_QUOTE}|{_SIGN}", re.A | re.M), re.compile(f"{_QUOTE}|{_SIGN}", re.A)
+#: What may stand in a string up to its quote.
+_INSIDE = {'"': re.compile(r'(?:[^"\\\n]|\\[\s\S])*+'), "'": re.compile(r"(?:[^'\\\n]|\\[\s\S])*+"), "`": re.compile(r"(?:[^`\\]|\\[\s\S])*+")}
 _TERM = re.compile(rf"(?:[ \t(]|\\\n)*(?:{_STRING}|(?P<name>[A-Za-z_$][\w.$]*)(?![\w+/=-])|(?P<bare>[\w+/=.$-]+))", re.A)
 _PLUS = re.compile(r"[ \t]*(?:\+(?!=)|\.\.|&)[ \t]*\n?|[ \t]+(?=[\"'])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -77,6 +80,29 @@ def _name_before(text: str, at: int) -> str:
     return text[at:end].strip("-.")
 
 
+def lexed(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of comments, strings and signs, in order and in linear time.
+
+    A quote that nothing closes is no string. All quotes up to where the search for its end stopped are escaped, so each of
+    them would stop there too: they aren't tried.
+    """
+    closed_not_before = dict.fromkeys(_INSIDE, -1)
+    while m := pattern.search(text, start, end):
+        kind, a, start = m.lastgroup, m.start(), m.end()
+        if kind == "quote" and len(m[0]) == 3:
+            stop = text.find(m[0], start, end)
+            kind, start = "string", end if stop < 0 else stop + 3
+        elif kind == "quote":
+            if a < closed_not_before[m[0]]:
+                continue
+            stop = _INSIDE[m[0]].match(text, start, end).end()
+            if stop == end or text[stop] != m[0]:
+                closed_not_before[m[0]] = stop
+                continue
+            kind, start = "string", stop + 1
+        yield kind, a, start
+
+
 Terms = list[tuple[str, int, int]]
 
 
@@ -93,19 +119,20 @@ def pairs(text: str) -> tuple[list[tuple[str, bool, Terms]], list[tuple[str, boo
     def read(pattern: re.Pattern, start: int, end: int) -> Iterator[tuple[str, bool, Terms]]:
         last = (-1, -1)  # the last string
         done = start  # signs before this place belong to a term
-        for m in pattern.finditer(text, start, end):
-            if m.lastgroup == "comment":
-                remarks.append(m.span())
+        for kind, a, b in lexed(pattern, text, start, end):
+            if kind == "comment":
+                remarks.append((a, b))
                 continue
-            if m.lastgroup == "string":
-                last = m.span()
+            if kind == "string":
+                last = (a, b)
                 continue
-            if m[0] not in ("=", ":", ":=", "=>", "+=") or m.start() < done:
+            sign = text[a:b]
+            if sign not in ("=", ":", ":=", "=>", "+=") or a < done:
                 continue
-            key = _key_before(text, m.start(), last)
+            key = _key_before(text, a, last)
             if not key or not (key[0].isalpha() or key[0] in "_$"):
                 continue
-            at, terms = m.end(), []
+            at, terms = b, []
             while term := _TERM.match(text, at, end):
                 kind = term.lastgroup
                 a, b = term.span(kind)
@@ -115,7 +142,7 @@ def pairs(text: str) -> tuple[list[tuple[str, bool, Terms]], list[tuple[str, boo
                     break
                 at = plus.end()
             if terms:
-                yield key, m[0] == "+=", terms
+                yield key, sign == "+=", terms
 
     code = list(read(_CODE, 0, len(text)))
     return code, [x for a, b in remarks for x in read(_REMARK, a, b)]

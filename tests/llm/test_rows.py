@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import time
+import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -373,3 +375,31 @@ def test_html_of_very_long_and_nested_pages(spark):
     assert got[1].n_chars == len(p) * 20_000 - 7 * 20_000 + 20_000 - 1
     assert got[2].text.startswith("The quick")
     assert time.process_time() - began < 30
+
+
+def test_lexed_as_by_one_pattern():
+    plain = {p: re.compile(("" if p is secrets._REMARK else f"{secrets._COMMENT}|") + f"{secrets._STRING}|{secrets._SIGN}", re.A | re.M) for p in (secrets._CODE, secrets._REMARK)}
+    rng = random.Random(12)
+    for _ in range(4_000):
+        text = "".join(rng.choice(['"', "'", "`", '"""', "'''", "\\", "\n", "=", ":", " ", "a", "#", "//", "/*", "*/", '\\"']) for _ in range(rng.randrange(1, 25)))
+        for p, whole in plain.items():
+            assert list(secrets.lexed(p, text, 0, len(text))) == [(m.lastgroup, *m.span()) for m in whole.finditer(text)]
+
+
+@pytest.mark.parametrize("quote", ['"', "'", "`"])
+def test_a_megabyte_of_escaped_quotes(quote):
+    text = "password = " + quote + f"\\{quote}" * 500_000
+    began = time.process_time()
+    assert secrets.pairs(text)[0] is not None
+    assert time.process_time() - began < 3
+
+
+def test_linked_cards_are_links():
+    prose = " ".join(["The quick brown fox jumps over the lazy dog and then it runs to the house of the old man"] * 3)
+    card = f'<a href="/x"><div><h3>Teaser</h3><p>{prose.replace("fox", "cat")}</p></div></a>'
+    got = html_text.blocks(f"<div>{card}<p>{prose}</p></div>")
+    assert [b.link_words == b.words for b in got] == [True, True, False]
+    text = html_text.main_text(f"<p>{prose}</p>{card}<p>{prose.replace('fox', 'cow')}</p>")
+    assert "fox" in text and "cow" in text and "cat" not in text
+    # A link that nothing closes ends with its block or the next link; an anchor without an address is none.
+    assert [b.link_words for b in html_text.blocks('<p><a href="/x">one two</p><p>three</p><a name="n">four five</a><div><a href="/y">six<a>seven</div>')] == [2, 0, 0, 1]
