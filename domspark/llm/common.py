@@ -76,3 +76,15 @@ def bind(value: Column, body) -> Column:
 
 #: A key that more than one of so many rows has is hot; fewer keys than this can be.
 HOT = 10_000
+
+
+def by_key(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with facts, which has one row for each key and in column n about how many of rows have it; n goes.
+
+    Fewer than HOT keys can have more than one of HOT rows: their facts are broadcast and their rows stay where they are.
+    All other keys meet by a shuffle that no key is large in. Both are read several times: give settled tables.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) * HOT > total).drop(n)
+    cold = facts.where(F.col(n) * HOT <= total).drop(n)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key))

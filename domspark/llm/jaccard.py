@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ByteType, LongType, StructField, StructType
 
-from .common import pieces, scratch, settle, small_batches, whole_text
+from .common import by_key, pieces, scratch, settle, small_batches, whole_text
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -332,10 +332,12 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) ->
     """
     with scratch():
         rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
-        named = _named(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), root).select("node", F.col("least").alias("component_id"))
+        nodes = settle(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), rows.count())
+        named = _named(nodes.select("node", "least"), root).withColumnRenamed("least", "component_id").join(nodes.select("node", "rows"), "node")
         size = rows.count()
         rows, named = settle(rows, size, outer=True), settle(named, size, outer=True)
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = by_key(rows.where("n > 0"), named, "node", "rows").select("doc_id", "n", "component_id")
+    return linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id")).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
@@ -346,8 +348,9 @@ def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> Data
     with scratch():
         rows, root = node_components(docs.select("doc_id", "text"), num, den, k)
         key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-        first = _named(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least")), root).select("node", F.col("least").alias("first"))
-        gone = rows.join(first, "node").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+        nodes = settle(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows")), rows.count())
+        first = settle(_named(nodes.select("node", "least"), root).withColumnRenamed("least", "first").join(nodes.select("node", "rows"), "node"), rows.count())
+        gone = by_key(rows.where("n > 0"), first, "node", "rows").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
         size = rows.count()
         gone = settle(gone.select(F.xxhash64("doc_id", "text_hash").alias("gone")).distinct(), size, outer=True)
         twice = settle(rows.where("n > 0").groupBy(F.xxhash64("doc_id", "text_hash").alias("twice")).count().where("count > 1").select("twice"), size, outer=True)

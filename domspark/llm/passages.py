@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, settle
+from .common import by_key, pieces, scratch, settle
 from .shingles import mix, word_hashes
 from .windows import least_of_windows
 
@@ -121,19 +121,21 @@ def rows_with_passages(docs: DataFrame) -> DataFrame:
     with scratch():
         every = settle(_spans_table(docs))
         size = every.count()
-        common = every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("anchor")
-        found = settle(every.join(common.hint("merge"), "anchor", "left_semi"), size)
-        classes = settle(found.groupBy("whole", "anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")), size)
-        settled = settle(found.join(classes.where("a < b").select("whole").hint("merge"), "whole", "left_semi").select("row").distinct(), size)
-        anchors = settle(found.join(settled.hint("merge"), "row", "left_anti").select("anchor").distinct(), size)
+        common = every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count("*").alias("rows")).where("a < b").select("anchor", "rows")
+        found = settle(by_key(every, settle(common, size), "anchor", "rows"), size)
+        classes = settle(found.groupBy("whole", "anchor").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count("*").alias("rows")), size)
+        several = settle(classes.where("a < b").groupBy("whole").agg(F.sum("rows").alias("rows")), size)
+        settled = settle(by_key(found, several, "whole", "rows").select("row").distinct(), size)
+        anchors = found.join(settled.hint("merge"), "row", "left_anti").select("anchor").distinct()
+        anchors = settle(classes.groupBy("anchor").agg(F.count("*").alias("rows")).join(anchors.hint("merge"), "anchor"), size)
         # Of a class that several rows have, its least and greatest row stand for all.
-        witness = classes.join(anchors.hint("merge"), "anchor", "left_semi").select("whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
+        witness = by_key(classes.drop("rows"), anchors, "anchor", "rows").select("whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
         opened = found.join(witness.hint("merge"), ["whole", "row"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "left", "right")).alias("spans"))
         opened = settle(opened, size)
         ids = F.broadcast(opened.select("row")) if opened.count() <= MOST_SENT else opened.select("row")
         texts = docs.select("row", "t").join(ids, "row", "left_semi").dropDuplicates(["row"]).join(opened.hint("merge"), "row")
         windows = settle(_windows(texts.select("row", "t", "spans")), size)
-        shared = windows.groupBy("w").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("w")
+        shared = settle(windows.groupBy("w").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count("*").alias("rows")).where("a < b").select("w", "rows"), size)
         # The rows that are settled stand for others only.
-        late = windows.join(settled.hint("merge"), "row", "left_anti").join(shared.hint("merge"), "w", "left_semi").select("row").distinct()
+        late = by_key(settle(windows.join(settled.hint("merge"), "row", "left_anti"), size), shared, "w", "rows").select("row").distinct()
         return settle(settled.union(late), size, outer=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, settle, small_batches, whole_text
+from .common import by_key, pieces, scratch, settle, small_batches, whole_text
 from .passages import rows_with_passages
 from .shingles import mix
 from .suffix import deep_shallow_sort
@@ -253,17 +253,17 @@ def covered(docs: DataFrame) -> tuple[DataFrame, int]:
     size = found.count()
     classes = found.groupBy("class", "anchor").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "left", "right")).alias("one"))
     classes = settle(classes.select("class", "anchor", "n", "one.*"), size)
-    whole = found.join(classes.where("n > 1").select("class"), "class", "left_semi").select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    whole = by_key(found, classes.where("n > 1").select("class", "n"), "class", "n").select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
 
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor")
-    ends = classes.join(several, "anchor", "left_semi")
+    several = settle(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor", "k"), size)
+    ends = by_key(classes, several, "anchor", "k")
     anchors = settle(ends.groupBy("row").agg(F.collect_list(F.struct("class", "n", "place", "left", "right")).alias("anchors")), size)
     few = anchors.count() <= MOST_SENT
     texts = docs.select("row", "t").where(F.octet_length("t") >= LENGTH)
     texts = texts.join(F.broadcast(anchors.select("row")) if few else anchors.select("row"), "row", "left_semi").groupBy("row").agg(F.first("t").alias("t"))
     sides = settle(_sides(texts.join(anchors, "row").select("row", "t", "anchors")).withColumn("part", F.xxhash64("core", "before", "behind")), size)
-    alive = sides.groupBy("core").agg(F.sum("n").alias("k"), F.min("n").alias("least"), (F.count("*") > MOST_ROWS).alias("crowded")).where("k > 1 and least = 1").select("core", "crowded")
-    sides = settle(sides.join(alive, "core"), size)
+    alive = sides.groupBy("core").agg(F.sum("n").alias("k"), F.min("n").alias("least"), (F.count("*") > MOST_ROWS).alias("crowded"), F.count("*").alias("rows")).where("k > 1 and least = 1").select("core", "crowded", "rows")
+    sides = settle(by_key(sides, settle(alive, size), "core", "rows"), size)
     parts = lambda some: sides.where(some).groupBy("part", "core", "range").agg(F.first("before").alias("before"), F.first("behind").alias("behind"), F.sum("n").alias("n"))
     windows = _resolve(parts("not crowded"))
     if not sides.where("crowded").isEmpty():
