@@ -15,13 +15,18 @@ def entry_key(name: Column, tag: Column) -> Column:
     return F.concat_ws("::", F.coalesce(filled(name), F.lit("Unnamed")), F.coalesce(filled(tag), F.lit("div")))
 
 
-def entries(located: DataFrame) -> DataFrame:
-    """page_id, seq, id, name, tag, locators, hops of elements with locators; seq is the scan's order."""
+def own_hops() -> Column:
+    """The way to an element: its shadow hosts from the outermost in, and then its own segment."""
     kind = "array<struct<type:string,host:string,selector:string>>"
     hosts = F.transform("hosts", lambda h: F.struct(F.lit("shadow").alias("type"), css_segment(h["tag"], h["attrs"]).alias("host"), F.lit(None).cast("string").alias("selector")))
     leaf = F.array(F.struct(F.lit("leaf").alias("type"), F.lit(None).cast("string").alias("host"), css_segment(F.col("tag"), F.col("attrs")).alias("selector")))
+    return F.concat(hosts.cast(kind), leaf.cast(kind))
+
+
+def entries(located: DataFrame) -> DataFrame:
+    """page_id, seq, id, name, tag, locators, hops of elements with locators; seq is the scan's order."""
     plain = F.transform("locators", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["stability"].alias("stability")))
-    return located.select("page_id", F.col("scan_seq").alias("seq"), entry_key(F.col("name"), F.col("tag")).alias("id"), "name", "tag", plain.alias("locators"), F.concat(hosts.cast(kind), leaf.cast(kind)).alias("hops"))
+    return located.select("page_id", F.col("scan_seq").alias("seq"), entry_key(F.col("name"), F.col("tag")).alias("id"), "name", "tag", plain.alias("locators"), own_hops().alias("hops"))
 
 
 def upsert(store: DataFrame | None, new: DataFrame, by_page: bool = True, batch: int = 0) -> DataFrame:

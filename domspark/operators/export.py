@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+from ..sources.reports import write_report
 from .review import clean_records
 
 ROWS_PER_FILE = 200_000
@@ -57,3 +61,24 @@ def write_rows(rows: DataFrame, path: str, files: int | None = None) -> None:
 def file_stamp(ts: Column) -> Column:
     """The time as file names have it, UTC in a session of that zone."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+def file_name(prefix: str, now: datetime, suffix: str) -> str:
+    """With the time in UTC; a time without a zone is taken for UTC."""
+    return f"{prefix}{(now.astimezone(timezone.utc) if now.tzinfo else now).strftime('%Y-%m-%dT%H-%M-%S')}.{suffix}"
+
+
+def save_json(store: DataFrame, folder: str, now: datetime, prefix: str = "locators-") -> str:
+    """The store as one JSON file in folder; returns its name. An empty store gives no file."""
+    name = file_name(prefix, now, "json")
+    rows = settle(json_rows(store))
+    write_report(rows, folder, name, max(1, -(-rows.count() // ROWS_PER_FILE)))
+    return name
+
+
+def save_text(store: DataFrame, folder: str, now: datetime, title: str, prefix: str = "report-") -> str:
+    """The same as a text report."""
+    name = file_name(prefix, now, "txt")
+    rows = settle(text_rows(store, title))
+    write_report(rows, folder, name, max(1, -(-rows.count() // ROWS_PER_FILE)), "\n")
+    return name

@@ -81,9 +81,9 @@ def _texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return whole.select("page_id", "page_text", F.explode("spans").alias("x")).select("page_id", "x.nid", F.substring(F.col("page_text"), F.col("x.text_from") + 1, F.col("x.text_to") - F.col("x.text_from")).alias("own_text"))
 
 
-def _passed(nodes: DataFrame, tests: DataFrame, texts: bool, places: bool) -> DataFrame:
-    """page_id, sig, nid, post, parent, sib_idx: the elements that pass each test."""
-    light = nodes.where("scope = -1").drop("page_text")
+def _passed(nodes: DataFrame, tests: DataFrame, texts: bool, places: bool, trees: bool = False) -> DataFrame:
+    """page_id, sig, nid, post, parent, sib_idx: the elements that pass each test; with trees also scope, and those of shadow trees."""
+    light = (nodes if trees else nodes.where("scope = -1")).drop("page_text")
     keyed = _keys(light).join(tests.select("page_id", "key", "sig"), ["page_id", "key"]).select("page_id", "sig", "nid")
     rows = keyed.join(light, ["page_id", "nid"]).join(tests.drop("key").withColumnRenamed("tag", "asked_tag"), ["page_id", "sig"])
     rows = rows.where("asked_tag = '*' or asked_tag = tag")
@@ -98,7 +98,7 @@ def _passed(nodes: DataFrame, tests: DataFrame, texts: bool, places: bool) -> Da
         w = Window.partitionBy("page_id", "sig", "parent")
         at, n = F.row_number().over(w.orderBy("sib_idx")), F.count("*").over(w)
         rows = rows.withColumns({"_at": at, "_n": n}).where("place is null or place = _at or place = -1 and _at = _n").where(_holds(F.col("then")))
-    return rows.select("page_id", "sig", "nid", "post", "parent", "sib_idx")
+    return rows.select("page_id", "sig", "nid", "post", "parent", "sib_idx", *(["scope"] if trees else []))
 
 
 def _siblings(front: DataFrame, passed: DataFrame, steps: DataFrame, after: bool) -> DataFrame:
@@ -150,8 +150,27 @@ def resolved(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     them. Both read nodes several times: give a settled table. A locator of a page that nodes doesn't have finds nothing.
     """
     asked = settle(parsed(locators))
+    counts, several = _answers(nodes, asked, False)
+    keys = ["page_id", "type", "value"]
+    result = asked.select(*keys, F.col("paths").isNotNull().alias("known"))
+    if counts is None:
+        return result.select(*keys, F.when(F.col("known"), F.lit(0)).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_nid"))
+    answers = counts.unionByName(several.groupBy(*keys).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid")))
+    out = result.join(answers, keys, "left")
+    return out.select(*keys, F.when(F.col("known"), F.coalesce("n", F.lit(0))).cast("long").alias("matches"), "first_nid")
+
+
+def matched(nodes: DataFrame, locators: DataFrame) -> DataFrame:
+    """page_id, type, value, nid: all elements that locators find; none of a locator out of the grammar."""
+    asked = settle(parsed(locators))
+    _, found = _answers(nodes, asked, True)
+    return asked.select("page_id", "type", "value", F.lit(0).alias("nid")).limit(0) if found is None else found.select("page_id", "type", "value", "nid")
+
+
+def _answers(nodes: DataFrame, asked: DataFrame, listing: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """n and first_nid of parsed locators that are counted, and nid of those that are listed: of several paths, with a pick, or listing."""
     paths = asked.where("paths is not null").select("page_id", "type", "value", "pick", F.size("paths").alias("alts"), F.explode("paths").alias("path"))
-    listed = (F.col("alts") > 1) | F.col("pick").isNotNull()
+    listed = (F.col("alts") > 1) | F.col("pick").isNotNull() | F.lit(listing)
     steps = paths.select("page_id", listed.alias("listed"), F.size("path").alias("n"), F.posexplode("path").alias("i", "s")).select("page_id", "i", ((F.col("i") + 1 < F.col("n")) | F.col("listed")).alias("more"), "s.*")
     steps = settle(steps.groupBy("page_id", "i", "prefix").agg(F.max("more").alias("more"), *[F.any_value(c).alias(c) for c in ("axis", "tag", "sig", "before", "key", "texts", "first", "place", "then")]))
     kinds = steps.groupBy("i", "axis").agg(F.max("texts").alias("texts"), F.max(F.col("place").isNotNull()).alias("places"), F.max("more").alias("more")).collect()  # a few rows
@@ -185,21 +204,18 @@ def resolved(nodes: DataFrame, locators: DataFrame) -> DataFrame:
             counts.append(some(new))
         front = settle(new) if i == 0 and any(k.more for k in kinds) else new
         fronts.append(front)
-    result = asked.select("page_id", "type", "value", F.col("paths").isNotNull().alias("known"))
-    keys = ["page_id", "type", "value"]
     if not counts:
-        return result.select(*keys, F.when(F.col("known"), F.lit(0)).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_nid"))
+        return None, None
+    keys = ["page_id", "type", "value"]
     every = counts[0]
     for c in counts[1:]:
         every = every.unionByName(c)
-    last = paths.select(*keys, "pick", "alts", F.element_at("path", -1)["prefix"].alias("prefix"))
-    single = last.where("alts = 1 and pick is null").select(*keys, F.col("prefix").alias("q")).join(every, ["page_id", "q"]).select(*keys, "n", "first_nid")
+    last = paths.withColumn("listed", listed).select(*keys, "pick", "listed", F.element_at("path", -1)["prefix"].alias("prefix"))
+    single = last.where("not listed").select(*keys, F.col("prefix").alias("q")).join(every, ["page_id", "q"]).select(*keys, "n", "first_nid")
     found = fronts[0]
     for f in fronts[1:]:
         found = found.unionByName(f)
-    several = last.where("alts > 1 or pick is not null").join(found.select("page_id", "prefix", "nid"), ["page_id", "prefix"]).select(*keys, "pick", "nid").distinct()
+    several = last.where("listed").join(found.select("page_id", "prefix", "nid"), ["page_id", "prefix"]).select(*keys, "pick", "nid").distinct()
     w = Window.partitionBy(*keys)
     several = several.withColumns({"at": F.row_number().over(w.orderBy("nid")), "all": F.count("*").over(w)}).where("pick is null or pick = at or pick = -1 and at = all")
-    answers = single.unionByName(several.groupBy(*keys).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid")))
-    out = result.join(answers, keys, "left")
-    return out.select(*keys, F.when(F.col("known"), F.coalesce("n", F.lit(0))).cast("long").alias("matches"), "first_nid")
+    return single, several

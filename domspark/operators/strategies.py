@@ -19,7 +19,7 @@ from .matching import QUESTION, class_form, counted, forms, question, text_form
 LOCATOR = "array<struct<strategy:string,type:string,value:string>>"
 #: What the strategies need of the elements.
 COLUMNS = (
-    "page_id", "nid", "pre", "post", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "path", "up", "hosts",
+    "page_id", "nid", "pre", "post", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "up", "hosts",
 )
 
 

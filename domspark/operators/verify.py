@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import settle
+from .numbering import absolute_paths
 from .resolve import COLUMNS as _RESOLVE
-from .resolve import resolved
+from .resolve import _passed, parsed, resolved
 
 #: What is needed of the elements.
-COLUMNS = (*_RESOLVE, "path")
+COLUMNS = _RESOLVE
 _TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
 
 
@@ -24,9 +25,12 @@ def _steps(path: Column) -> Column:
 
 
 def _paths(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Absolute paths: steps without a place fit all of their tag."""
+    """Absolute paths: steps without a place fit all of their tag. Only pages that are asked so have their paths made."""
+    nodes = nodes.where("scope = -1").join(asked.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "nid", "parent", "scope", "tag")
+    if asked.isEmpty():
+        return asked.select("page_id", "type", "value", F.lit(0).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_nid"))
     paths = asked.select("page_id", "type", "value", _steps(F.lower("value")).alias("tags"), F.split(F.lower("value"), "/").alias("want"))
-    every = nodes.where("scope = -1").select("page_id", "nid", _steps(F.col("path")).alias("tags"), F.split("path", "/").alias("have"))
+    every = absolute_paths(nodes).select("page_id", "nid", _steps(F.col("path")).alias("tags"), F.split("path", "/").alias("have"))
     same = F.forall(F.zip_with("want", "have", lambda w, h: (w == h) | ~F.contains(w, F.lit("[")) | ((F.substring_index(w, "[1]", 1) == h) & w.endswith("[1]"))), lambda x: x)
     n = paths.join(every, ["page_id", "tags"]).where(same).groupBy("page_id", "type", "value").agg(F.count("*").alias("matches"), F.min("nid").alias("first_nid"))
     return asked.join(n, ["page_id", "type", "value"], "left").select("page_id", "type", "value", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), "first_nid")
@@ -84,3 +88,34 @@ def by_hops(nodes: DataFrame, hops: list[dict[str, str | None]]) -> DataFrame:
             return first
         at = first.join(trees, ["page_id", "nid"], "left_semi").select("page_id", F.col("nid").alias("tree"))
     return nodes.select("page_id", "nid").limit(0)
+
+
+def by_own_hops(nodes: DataFrame, stored: DataFrame) -> DataFrame:
+    """stored (page_id, hops, ...) with hop_nid, the element that each row's own hops lead to, or null; of all rows at once.
+
+    hops: array of (type, host, selector); each hop takes the first element that its segment fits in the tree so far, from
+    the document on, a shadow hop goes on in that element's shadow tree, a leaf ends the way. The rows of one round are
+    those that are one hop further. Segments have to be selectors of one element; others lead nowhere.
+    """
+    segment = F.transform("hops", lambda h: F.struct(h["type"].alias("type"), F.when(h["type"] == "leaf", h["selector"]).otherwise(h["host"]).alias("s")))
+    ways = stored.select("page_id", "hops").distinct().withColumn("way", segment)
+    asked = ways.select("page_id", F.explode("way.s").alias("value")).distinct().withColumn("type", F.lit("css"))
+    one = settle(parsed(asked).where("size(paths) = 1 and size(paths[0]) = 1").select("page_id", "value", F.col("paths")[0][0].alias("x")).select("page_id", "value", "x.*"))
+    tests = one.groupBy("page_id", "sig").agg(*[F.any_value(c).alias(c) for c in ("tag", "key", "texts", "first", "then", "place")])
+    passed = _passed(nodes, tests, False, False, trees=True)
+    first = passed.groupBy("page_id", "sig", "scope").agg(F.min("nid").alias("nid")).join(one.select("page_id", "sig", "value"), ["page_id", "sig"])
+    first = settle(first.select("page_id", F.col("value").alias("s"), "scope", "nid"))
+    depth = ways.agg(F.max(F.size("way"))).first()[0] or 0
+    at, ends = ways.select("page_id", "hops", "way", F.lit(-1).alias("scope")), []
+    trees = nodes.where("scope >= 0").select("page_id", F.col("scope").alias("nid")).distinct()
+    for i in range(depth):
+        hop = F.get("way", F.lit(i))
+        here = at.withColumns({"type": hop["type"], "s": hop["s"]}).join(first, ["page_id", "s", "scope"])
+        ends.append(here.where("type = 'leaf'").select("page_id", "hops", "nid"))
+        at = here.where("type <> 'leaf'").join(trees, ["page_id", "nid"], "left_semi").select("page_id", "hops", "way", F.col("nid").alias("scope"))
+    if not ends:
+        return stored.withColumn("hop_nid", F.lit(None).cast("int"))
+    found = ends[0]
+    for e in ends[1:]:
+        found = found.union(e)
+    return stored.join(found.withColumnRenamed("nid", "hop_nid"), ["page_id", "hops"], "left")

@@ -135,6 +135,28 @@ def _form_verify() -> str:
       SELECT page_id, type, value, coalesce(matches, -1) AS matches, CASE WHEN matches = 1 THEN 'success-1' WHEN matches > 1 THEN 'success-multi' WHEN matches = 0 THEN 'error' ELSE 'Err' END AS verdict, CASE WHEN matches > 0 THEN tag END AS first_tag FROM t"""
 
 
+#: Elements of plans.queries' pages with shadow trees, by their numbers: tag, hops, where the hops lead, turn in the scan's queue.
+_SHADOW = ((0, "html", 1, 0, 1), (1, "head", 1, 1, 2), (2, "body", 1, 2, 3), (3, "div", 1, 3, 4), (4, "button", 2, 4, 6), (5, "span", 2, 5, 7), (6, "a", 3, 6, 9), (7, "button", 2, 4, 8), (8, "a", 1, 8, 5), (9, "a", 1, 8, 0))
+
+
+def _shadow(columns: str, where: str) -> str:
+    rows = ", ".join(f"({nid}, '{tag}', {hops}, {to}, {turn})" for nid, tag, hops, to, turn in _SHADOW)
+    # On pages with two links the second one's turn comes with the shadow tree's first button.
+    return f"""WITH f(nid, tag, n_hops, hop_nid, turn) AS (VALUES {rows}), t AS (SELECT p_partkey AS page_id, f.*, p_partkey % 2 = 0 AS two FROM part, f WHERE nid < 9 OR p_partkey % 2 = 0)
+      SELECT page_id, {columns} FROM t WHERE {where}"""
+
+
+#: Elements of the styled pages: tag, and whether they can be seen; 2: unless the section is of class v1.
+_STYLED = (
+    ("html", 1), ("head", 0), ("style", 0), ("body", 1), ("div", 0), ("b", 0), ("ul", 1), ("li", 0), ("span", 1), ("li", 1), ("p", 0), ("div", 1), ("p", 1), ("section", 2), ("i", 2), ("div", 1), ("h2", 1), ("em", 0), ("em", 1), ("a", 0), ("style", 0),
+)
+
+
+def _styled() -> str:
+    rows = ", ".join(f"({i}, '{tag}', {seen})" for i, (tag, seen) in enumerate(_STYLED))
+    return f"WITH f(nid, tag, seen) AS (VALUES {rows}) SELECT p_partkey AS page_id, nid, tag, seen = 1 OR seen = 2 AND p_partkey % 3 <> 1 AS visible FROM part, f"
+
+
 def _snippet(language: str) -> str:
     forms = {
         "java": ('driver.findElement(By.id("', '"))', 'driver.findElement(By.cssSelector("', '"))', 'driver.findElement(By.xpath("', '"))'),
@@ -177,6 +199,9 @@ SQL = {
     "full_scan": f"{WITH_STORE} SELECT page_id, name, tag, CAST(i AS INTEGER) AS place, strategy, type, value, stability FROM scan",
     "form_scan": _form_scan(),
     "form_verify": _form_verify(),
+    "hop_returns": _shadow("CAST(nid AS INTEGER) AS nid, tag, CAST(n_hops AS INTEGER) AS n_hops, CAST(hop_nid AS INTEGER) AS hop_nid", "nid > 2"),
+    "scan_order": _shadow("CAST(nid AS INTEGER) AS nid, CAST(CASE WHEN nid = 9 THEN 7 WHEN two AND turn > 6 THEN turn + 1 ELSE turn END AS INTEGER) AS scan_rank", "true"),
+    "visible_elements": _styled(),
     "entries_upsert": f"{WITH_STORE} SELECT page_id, id, name, tag, string_agg(type || ' ' || value || ' ' || stability, chr(10) ORDER BY i) AS locators FROM scored GROUP BY page_id, id, name, tag",
     "entry_rank": f"{WITH_STORE}, m AS (SELECT page_id, id, k, max(stability) AS stab FROM scored GROUP BY page_id, id, k) SELECT page_id, id, stab, CAST(row_number() OVER (PARTITION BY page_id ORDER BY stab DESC, k) AS INTEGER) AS place FROM m",
     "best_locator": f"{WITH_STORE} SELECT page_id, id, type, value, stability FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY stability DESC, i) AS r FROM scored) WHERE r = 1",

@@ -9,11 +9,13 @@ from ..functions import locators as L
 from ..functions.text import css_escape, js_trim, xpath_literal, xpath_normalize
 from ..operators import entries as E
 from ..operators import export as X
+from ..operators import numbering
 from ..operators import review as R
 from ..operators import strategies as S
 from ..operators.candidates import chosen, described
 from ..operators.verify import COLUMNS as VERIFY_COLUMNS
-from ..operators.verify import by_hops, verified
+from ..operators.verify import by_hops, by_own_hops, verified
+from ..operators.visibility import with_styles
 from ..shared import settle
 from ..sources.dom import nodes
 from ..streaming.changes import debounced
@@ -139,12 +141,14 @@ def text_export(spark, d):
 
 
 def absolute_paths(spark, d):
-    return chosen(described(_nodes(spark, d))).select("page_id", "name", "tag", "path")
+    n = _kept_nodes(spark, d)
+    return chosen(described(n)).select("page_id", "nid", "name", "tag").join(numbering.absolute_paths(n.select("page_id", "nid", "parent", "scope", "tag")), ["page_id", "nid"]).select("page_id", "name", "tag", "path")
 
 
 def accessible_names(spark, d):
     n = _kept_nodes(spark, d)
-    own = n.where("tag in ('li', 'a', 'div', 'h1', 'p')").select("page_id", "nid", "tag", "path")
+    paths = numbering.absolute_paths(n.select("page_id", "nid", "parent", "scope", "tag"))
+    own = n.where("tag in ('li', 'a', 'div', 'h1', 'p')").select("page_id", "nid", "tag").join(paths, ["page_id", "nid"])
     return R.accessible_name(n).join(own, ["page_id", "nid"]).select("page_id", "tag", "path", "accessible_name")
 
 
@@ -196,6 +200,38 @@ FORM_ASKED = (
 )
 
 
+def shadow_pages(parts: DataFrame) -> DataFrame:
+    """page_id, html: a page with a shadow tree inside of a shadow tree for each part; every other one has a second link."""
+    html = F.expr("""concat('<div id="host" class="card"><template shadowrootmode="open"><button class="b">Go ', p_partkey, '</button><span class="in"><template shadowrootmode="open"><a href="/x', p_partkey, '">Deep</a></template></span>',
+        '<button class="b">Again</button></template></div><a href="/y">Light</a>', CASE WHEN p_partkey % 2 = 0 THEN '<a href="/z">Other</a>' ELSE '' END)""")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def hop_returns(spark, d):
+    n = settle(nodes(shadow_pages(_table(spark, d, "part"))))
+    stored = n.where("tag in ('div', 'button', 'span', 'a')").select("page_id", "nid", "tag", E.own_hops().alias("hops"))
+    return by_own_hops(n, stored).select("page_id", "nid", "tag", F.size("hops").alias("n_hops"), "hop_nid")
+
+
+def scan_order(spark, d):
+    n = nodes(shadow_pages(_table(spark, d, "part")), columns=("nid", "parent", "scope", "tag"))
+    return numbering.scan_order(settle(n)).select("page_id", "nid", "scan_rank")
+
+
+def styled_pages(parts: DataFrame) -> DataFrame:
+    """page_id, html: a page for each part that hides elements by its style sheets; .v1 is hidden only there."""
+    html = F.expr("""concat('<style>.off { display: none } #menu .x, #none { visibility: hidden } p { pointer-events: none } /* .no {display:none} */ #keep p { pointer-events: auto !important } @media print { * { display: none } }',
+        ' @media screen { .v1 { display: none } } div.card { display: block } .card { display: none } em[data-k] { display: none; } em { display: block } a:hover { display: none }</style>',
+        '<div class="off"><b>b1</b></div><ul id="menu"><li class="x">li1<span style="visibility:visible">span1</span></li><li>li2</li></ul><p>p1</p><div id="keep"><p style="pointer-events:none">p2</p></div>',
+        '<section class="v', p_partkey % 3, '"><i>i1</i></section><div class="card">card</div><h2 class="card">h2</h2><em data-k="1">em1</em><em hidden>em2</em><a href="/" style="display:none">a1</a><style>h2.card { display: block }</style>')""")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def visible_elements(spark, d):
+    n = settle(nodes(styled_pages(_table(spark, d, "part")), columns=(*VERIFY_COLUMNS, "visible")))
+    return with_styles(n).select("page_id", "nid", "tag", "visible")
+
+
 def full_scan(spark, d):
     return _located(spark, d).select("page_id", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "name", "tag", "place", "x.*")
 
@@ -232,4 +268,7 @@ QUERIES = {
     "full_scan": full_scan,
     "form_scan": form_scan,
     "form_verify": form_verify,
+    "hop_returns": hop_returns,
+    "scan_order": scan_order,
+    "visible_elements": visible_elements,
 }

@@ -371,7 +371,7 @@ _NEAR = pa.struct([("tag", pa.string()), ("attrs", _PAIRS), ("nid", pa.int32()),
 KINDS = {
     "page_id": pa.int64(), "nid": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "attrs": _PAIRS, "pre": pa.int32(), "post": pa.int32(), "depth": pa.int32(), "sib_idx": pa.int32(),
     "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "after": pa.map_(pa.string(), pa.int32()), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "brief": pa.string(), "n_child": pa.int32(),
-    "visible": pa.bool_(), "path": pa.string(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])),
+    "visible": pa.bool_(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])),
     "text_from": pa.int32(), "text_to": pa.int32(), "solid": pa.int32(), "page_text": pa.string(), "fresh": pa.int32(),
 }
 _ROWS = 5_000
@@ -405,7 +405,6 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS), before:
             for c in group:
                 place[c.nid] = (*place[c.nid][:2], seen[c.tag])
     wanted = {e.tag for e in found if e.tag in CANDIDATE_TAGS or "id" in e.attrs or e.attrs.get("role") in CANDIDATE_ROLES} | {"label"}
-    path: dict[int, str] = {}
     whole, spans = text_spans(root) if ask & {"text_from", "text_to", "solid", "page_text"} else ("", {})
     for e in found:
         up = parent_of.get(e.nid)
@@ -422,8 +421,6 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS), before:
             row["text"] = content(e) if e.tag in wanted else None
         if "brief" in ask:
             row["brief"] = None if e.tag in wanted else short_content(e)
-        if "path" in ask:
-            row["path"] = path[e.nid] = "/html" if e is root else (path[up.nid] if up else "") + f"/{e.tag}" + (f"[{idx}]" if idx > 1 else "")
         row["text_from"], row["text_to"], row["solid"] = spans.get(e.nid, (None,) * 3)
         row["page_text"] = whole if e is root else None
         row["fresh"] = fresh.get(e.nid)
