@@ -72,6 +72,12 @@ def attribute_priority(preferred: list[str] | None) -> list[str]:
     return list(dict.fromkeys([*(p.strip() for p in preferred), *ATTRIBUTE_ORDER])) if preferred is not None else ATTRIBUTE_ORDER
 
 
+def attribute_priorities(setting: Column) -> Column:
+    """The same for settings that are data: the attributes that a text names, parted by commas, and then the others, each once."""
+    fixed = F.array(*map(F.lit, ATTRIBUTE_ORDER))
+    return F.when(setting.isNull(), fixed).otherwise(F.array_distinct(F.concat(F.transform(F.split(setting, ","), js_trim), fixed)))
+
+
 def css_of(tag: Column, attr: Column, value: Column) -> Column:
     v = css_escape(value)
     return F.when(attr == "id", F.concat(F.lit("#"), v)).when(attr == "class", F.concat(tag, F.lit("."), v)).otherwise(F.concat(tag, F.lit("["), attr, F.lit('="'), v, F.lit('"]')))

@@ -152,6 +152,22 @@ _STYLED = (
 )
 
 
+def _labels() -> str:
+    """$k is the page; the label is the first input's on even pages and the second one's on odd ones."""
+    names = (("label", "User $k", "User $k"), ("input", "User $k", None), ("input", "T", "User $k"), ("span", "Ref text", "Ref text"), ("button", "Ref text", "Ref text"), ("button", "Tip", "Tip"), ("img", "Pic", "Pic"), ("input", "Own", "Own"), ("p", "Plain", "Plain"), ("p", None, None))
+    sql = lambda s: "NULL" if s is None else _quoted(s)
+    rows = ", ".join(f"({i}, '{tag}', {sql(even)}, {sql(odd)})" for i, (tag, even, odd) in enumerate(names, 3))
+    return f"""WITH f(nid, tag, even, odd) AS (VALUES {rows})
+      SELECT p_partkey AS page_id, nid, tag, replace(CASE WHEN p_partkey % 2 = 0 THEN even ELSE odd END, '$k', CAST(p_partkey AS VARCHAR)) AS accessible_name FROM part, f"""
+
+
+def _priorities() -> str:
+    order = ["data-testid", "data-test", "data-qa", "data-cy", "aria-label", "aria-labelledby", "role", "name", "placeholder", "alt", "title", "type", "id", "class"]
+    return f"""WITH s AS (SELECT p_partkey, list_transform(string_split(CASE p_partkey % 3 WHEN 0 THEN 'data-x, title ,' || p_size WHEN 1 THEN p_brand || ' ,class,data-x,class' END, ','), lambda x: trim(x)) AS own FROM part),
+      l AS (SELECT p_partkey, coalesce(own, []) || {order} AS l FROM s), e AS (SELECT p_partkey, unnest(l) AS x, unnest(range(len(l))) AS i FROM l), f AS (SELECT p_partkey, x, min(i) AS i FROM e GROUP BY p_partkey, x)
+      SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS priority FROM f GROUP BY p_partkey"""
+
+
 def _styled() -> str:
     rows = ", ".join(f"({i}, '{tag}', {seen})" for i, (tag, seen) in enumerate(_STYLED))
     return f"WITH f(nid, tag, seen) AS (VALUES {rows}) SELECT p_partkey AS page_id, nid, tag, seen = 1 OR seen = 2 AND p_partkey % 3 <> 1 AS visible FROM part, f"
@@ -199,6 +215,11 @@ SQL = {
     "full_scan": f"{WITH_STORE} SELECT page_id, name, tag, CAST(i AS INTEGER) AS place, strategy, type, value, stability FROM scan",
     "form_scan": _form_scan(),
     "form_verify": _form_verify(),
+    "label_names": _labels(),
+    "url_gate": "SELECT page_id, page_id % 4 = 2 OR page_id % 4 = 0 AND regexp_matches(url, '^(https?|file):') AS openable FROM pages",
+    "attribute_priorities": _priorities(),
+    "file_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%S') AS stamp FROM events",
+    "scan_counts": f"{WITH_STORE}, n AS (SELECT page_id, count(*) AS n_scanned FROM located WHERE len(found) > 0 GROUP BY page_id) SELECT page_id, n_scanned, count(*) AS n_kept FROM n JOIN store USING (page_id) GROUP BY page_id, n_scanned",
     "hop_returns": _shadow("CAST(nid AS INTEGER) AS nid, tag, CAST(n_hops AS INTEGER) AS n_hops, CAST(hop_nid AS INTEGER) AS hop_nid", "nid > 2"),
     "scan_order": _shadow("CAST(nid AS INTEGER) AS nid, CAST(CASE WHEN nid = 9 THEN 7 WHEN two AND turn > 6 THEN turn + 1 ELSE turn END AS INTEGER) AS scan_rank", "true"),
     "visible_elements": _styled(),

@@ -76,11 +76,12 @@ def href_unique_counts(spark, d):
 
 
 def link_texts(spark, d):
-    return S.text_counts(_kept_nodes(spark, d), "a")
+    return S.text_counts(_kept_nodes(spark, d, "nid", "tag", "attrs", "tag_idx", "scope", "direct_text", "text", "brief", "n_child"), "a")
 
 
 def following_sibling_li(spark, d):
-    return S.sibling_locators(_kept_nodes(spark, d)).where("tag = 'li'").select("page_id", "sibling")
+    columns = ("nid", "parent", "tag", "attrs", "sib_idx", "tag_idx", "after", "scope", "direct_text", "text", "brief", "n_child", "visible")
+    return S.sibling_locators(_kept_nodes(spark, d, *columns)).where("tag = 'li'").select("page_id", "sibling")
 
 
 def class_locators(spark, d):
@@ -141,19 +142,19 @@ def text_export(spark, d):
 
 
 def absolute_paths(spark, d):
-    n = _kept_nodes(spark, d)
+    n = _kept_nodes(spark, d, "nid", "parent", "scope", "tag", "attrs", "direct_text", "text", "brief", "n_child", "visible")
     return chosen(described(n)).select("page_id", "nid", "name", "tag").join(numbering.absolute_paths(n.select("page_id", "nid", "parent", "scope", "tag")), ["page_id", "nid"]).select("page_id", "name", "tag", "path")
 
 
 def accessible_names(spark, d):
-    n = _kept_nodes(spark, d)
+    n = _kept_nodes(spark, d, "nid", "pre", "parent", "scope", "tag", "attrs", "text")
     paths = numbering.absolute_paths(n.select("page_id", "nid", "parent", "scope", "tag"))
     own = n.where("tag in ('li', 'a', 'div', 'h1', 'p')").select("page_id", "nid", "tag").join(paths, ["page_id", "nid"])
     return R.accessible_name(n).join(own, ["page_id", "nid"]).select("page_id", "tag", "path", "accessible_name")
 
 
 def hop_leaves(spark, d):
-    return by_hops(_kept_nodes(spark, d), [{"type": "leaf", "selector": "div.ad"}])
+    return by_hops(_kept_nodes(spark, d, "nid", "pre", "tag", "attrs", "scope"), [{"type": "leaf", "selector": "div.ad"}])
 
 
 def snippets(language: str):
@@ -232,6 +233,39 @@ def visible_elements(spark, d):
     return with_styles(n).select("page_id", "nid", "tag", "visible")
 
 
+def label_pages(parts: DataFrame) -> DataFrame:
+    """page_id, html: a page for each part whose elements have their names from labels, other elements, attributes, or themselves."""
+    html = F.expr("""concat('<label for="u', p_partkey % 2, '">User ', p_partkey, '</label><input id="u0"><input id="u1" title="T"><span id="t">  Ref text </span><button aria-labelledby="t">B</button>',
+        '<button aria-labelledby="none" title=" Tip ">B2</button><img alt="Pic"><input id="z" aria-label=" Own "><p>Plain</p><p></p>')""")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def label_names(spark, d):
+    n = settle(nodes(label_pages(_table(spark, d, "part")), columns=("nid", "pre", "tag", "attrs", "text", "scope")))
+    own = n.where("nid > 2").select("page_id", "nid", "tag")
+    return own.join(R.accessible_name(n), ["page_id", "nid"])
+
+
+def url_gate(spark, d):
+    url = F.expr("CASE page_id % 4 WHEN 1 THEN 'ftp://' || page_id WHEN 2 THEN 'file:///' || page_id WHEN 3 THEN 'about:blank' ELSE url END")
+    return _table(spark, d, "pages").select("page_id", R.openable(url).alias("openable"))
+
+
+def attribute_priorities(spark, d):
+    setting = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'data-x, title ,' || p_size WHEN 1 THEN p_brand || ' ,class,data-x,class' END")
+    return _table(spark, d, "part").select("p_partkey", F.array_join(L.attribute_priorities(setting), "|").alias("priority"))
+
+
+def file_stamps(spark, d):
+    return _table(spark, d, "events").select("event_id", X.file_stamp(F.col("ts")).alias("stamp"))
+
+
+def scan_counts(spark, d):
+    found = settle(E.entries(_located(spark, d)))
+    kept = E.upsert(None, found).groupBy("page_id").agg(F.count("*").alias("n_kept"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n_scanned")).join(kept, "page_id")
+
+
 def full_scan(spark, d):
     return _located(spark, d).select("page_id", "name", "tag", F.posexplode("locators").alias("place", "x")).select("page_id", "name", "tag", "place", "x.*")
 
@@ -268,6 +302,11 @@ QUERIES = {
     "full_scan": full_scan,
     "form_scan": form_scan,
     "form_verify": form_verify,
+    "label_names": label_names,
+    "url_gate": url_gate,
+    "attribute_priorities": attribute_priorities,
+    "file_stamps": file_stamps,
+    "scan_counts": scan_counts,
     "hop_returns": hop_returns,
     "scan_order": scan_order,
     "visible_elements": visible_elements,

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from domspark.operators.intervals import counts_inside, inside
+from domspark.operators.strategies import locators
 from domspark.operators.verify import verified
 from domspark.sources import dom
 
@@ -236,3 +237,19 @@ def test_deep_pages_take_linear_rows(spark, pages):
     got = {r.value: r.matches for r in verified(n.drop("path").withColumn("path", F.lit("")), spark.createDataFrame(asked, "page_id long, type string, value string")).collect()}
     assert [got[f"#s{i} section"] for i in range(0, deep, 7)] == [deep - 1 - i for i in range(0, deep, 7)]
     assert [got[v] for _, _, v in asked[-3:]] == [1, 1, deep - 1]
+
+
+def test_the_scans_locators_find_their_elements_alone(spark, pages):
+    """What the strategies count by keys, the resolver finds by steps."""
+    rng = random.Random(21)
+    odd = [
+        """<div id="12345x"><b id="it's">it's "both"</b><b>it's</b><button data-testid='a"b' class="btn 99999 x">Go</button><button data-testid="c">Go</button></div>""",
+        "<ul class=x><li>a<li>b<li id=react-1>c</ul><ul class=x><li>d<li>a</ul><p name=n>x<p name=n>y",
+        """<div id="dup"><span>1</span></div><div id="dup"><span>2</span><template shadowrootmode="open"><span class="in">s</span></template></div>""",
+    ]
+    n = dom.nodes(pages(*odd, *[page(rng) for _ in range(6)])).cache()
+    found = locators(n).where("scope = -1").select("page_id", "nid", F.explode("locators").alias("x")).select("page_id", "nid", "x.*").where("strategy <> 'preferred' and type <> 'id'").cache()  # which are kept unasked
+    hit = {(r.page_id, r.type, r.value): (r.matches, r.first_nid) for r in verified(n, found).collect()}
+    rows = found.collect()
+    assert {(r.strategy, r.type, r.value, hit[r.page_id, r.type, r.value]) for r in rows if hit[r.page_id, r.type, r.value] != (1, r.nid)} == set()
+    assert len({r.strategy for r in rows}) >= 8 and len(rows) > 200
