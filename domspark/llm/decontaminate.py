@@ -144,22 +144,32 @@ def edits_within(pattern: str, text: str, most: int) -> tuple[int, int, int] | N
 
 
 def any_within(patterns: list[str], texts: list[str], most: int) -> np.ndarray:
-    """Which patterns, all of one length, stand in their texts with at most so many edits; all are aligned at once."""
+    """Which patterns, all of one length, stand in their texts with at most so many edits; all are aligned at once, each in a band.
+
+    The band has the diagonals on which a pattern can begin and still end in its text, and most more on both sides: its
+    width is what a text has more than its pattern, not the text's length.
+    """
     codes = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     want = np.stack([codes(p) for p in patterns])
-    have = np.full((len(texts), int(size.max())), 0xFFFFFFFF, np.uint32)
+    m, width = want.shape[1], int(size.max()) - want.shape[1] + 2 * most + 1
+    if width <= 0:
+        return np.zeros(len(texts), bool)
+    # Row i and column k of the band stand for the text's first i + k - most characters.
+    have = np.full((len(texts), m + width), 0xFFFFFFFF, np.uint32)
     for row, t in zip(have, texts, strict=True):
-        row[: len(t)] = codes(t)
-    column = np.arange(have.shape[1] + 1, dtype=np.int32)
-    cost = np.zeros((len(texts), len(column)), np.int32)
-    for i in range(want.shape[1]):
-        new = cost + 1
-        np.minimum(new[:, 1:], cost[:, :-1] + (have != want[:, i : i + 1]), out=new[:, 1:])
-        cost = np.minimum.accumulate(new - column, axis=1) + column  # skipped characters of the text
+        c = codes(t)[: m + width - most]
+        row[most : most + len(c)] = c
+    column, big = np.arange(width, dtype=np.int32), np.int32(m + most + 1)
+    read = column - most
+    cost = np.where((read >= 0) & (read <= size[:, None]), 0, big).astype(np.int32)
+    for i in range(m):
+        new = cost + (have[:, i : i + width] != want[:, i : i + 1])
+        np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])  # a character of the pattern that the text lacks
+        cost = np.minimum.accumulate(new - column, axis=1) + column  # characters that the text has besides
         if cost.min() > most:
             return np.zeros(len(texts), bool)
-    return np.where(column <= size[:, None], cost, most + 1).min(axis=1) <= most
+    return np.where(m + read <= size[:, None], cost, big).min(axis=1) <= most
 
 
 def _verified(text: Plain, item: str, diagonal: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
