@@ -34,11 +34,12 @@ def json_rows(store: DataFrame) -> DataFrame:
 
 
 def _counted(store: DataFrame) -> DataFrame:
-    """store with i, the number of each entry by its place: counts of blocks of places first, then each block by itself."""
-    rows = store.withColumn("_block", F.struct(F.col("ord.batch"), F.expr("ord.page_id div 65536").alias("pages")))
-    blocks = rows.groupBy("_block").agg(F.count("*").alias("k"))
-    before = blocks.select("_block", F.coalesce(F.sum("k").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(before, "_block").withColumn("i", F.col("_before") + F.row_number().over(Window.partitionBy("_block").orderBy("ord"))).drop("_block", "_before")
+    """store with i, the number of each entry by its place: counts of ranges of places first, then each range by itself."""
+    ranges = max(1, -(-store.count() // ROWS_PER_FILE))
+    rows = settle(store.repartitionByRange(ranges, "ord").withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("k"))  # a row for each file that is written
+    before = counts.select("_range", F.coalesce(F.sum("k").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("i", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("ord"))).drop("_range", "_before")
 
 
 def text_rows(store: DataFrame, title: str) -> DataFrame:

@@ -127,6 +127,14 @@ def test_named_reports(spark, tmp_path):
     assert (tmp_path / names[1]).read_text() == text
 
 
+def test_numbers_of_entries_whatever_ids_pages_have(spark, monkeypatch):
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 10)
+    rows = spark.createDataFrame([(f"page {i % 9}", i, f"n{i}::a", f"n{i}", "a", [], None) for i in range(95)], "page_id string, seq int, id string, name string, tag string, locators array<struct<type:string,value:string,stability:int>>, hops array<string>")
+    store = E.upsert(None, rows)
+    got = [r.row.split()[2] for r in export.text_rows(store, "T").where("part = 1").orderBy("ord").collect()]
+    assert got == [str(i) for i in range(1, 96)]
+
+
 def test_entries_of_deep_pages_have_no_long_rows(pages):
     n = dom.nodes(pages("<i>" * 5_000 + "x"), columns=("nid", "post", "parent", "scope", "tag"))
     assert n.count() == 5_003 and numbering.places(n).agg(F.max("tag_cnt")).first()[0] == 1
