@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, element_text
 from ..functions.text import xpath_normalize
-from ..sources.dom import CANDIDATE_ROLES, CANDIDATE_TAGS
+from ..sources.dom import CANDIDATE_ROLES, CANDIDATE_TAGS, HEAD
 from .intervals import inside
 
 
@@ -18,10 +18,10 @@ def is_candidate() -> Column:
 
 def described(nodes: DataFrame, quirks: bool = True) -> DataFrame:
     """nodes with etext, norm (as XPath sees the text), name, classes and candidate."""
-    text = F.coalesce("text", "brief")
-    etext = element_text(F.col("direct_text"), text, F.col("n_child"))
-    out = nodes.withColumns({"etext": etext, "norm": xpath_normalize(F.coalesce(text, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
-    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), text, F.col("etext"), quirks))
+    short = F.when(F.col("solid") <= HEAD, F.col("head"))  # longer texts are neither short nor ever asked for
+    etext = element_text(F.col("direct_text"), short, F.col("n_child"))
+    out = nodes.withColumns({"etext": etext, "norm": xpath_normalize(F.coalesce(short, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
+    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), F.col("head"), F.col("etext"), quirks))
 
 
 def chosen(described: DataFrame) -> DataFrame:

@@ -21,26 +21,21 @@ from pyspark.sql import functions as F
 from ..functions.locators import class_tokens
 from ..functions.text import xpath_normalize
 from ..shared import settle
+from ..sources.dom import HEAD
 from .intervals import counts_inside
 
 SEP = "\x01"
-#: Longer texts are compared by a digest.
-LONG_TEXT = 200
 _BY_PARTS = r"^[^|]*\|[~&]"
 QUESTION = ("rel", "akey", "mid", "own", "text")
 
 
 def _norm() -> Column:
-    """The text as XPath sees it."""
-    return xpath_normalize(F.coalesce("text", "brief"))
-
-
-def _short(norm: Column) -> Column:
-    return F.when(F.length(norm) <= LONG_TEXT, norm).otherwise(F.concat(F.lit(SEP), F.sha2(norm, 256)))
+    """The text as XPath sees it; null if it is longer than any that is asked for."""
+    return F.when(F.col("solid") <= HEAD, xpath_normalize(F.col("head")))
 
 
 def text_form(tag: Column, norm: Column) -> Column:
-    return F.concat(tag, F.lit("|="), _short(norm))
+    return F.concat(tag, F.lit("|="), norm)
 
 
 def class_form(tag: Column, tokens: Column) -> Column:
@@ -102,7 +97,7 @@ def counted(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     if {"below", "child", "below2"} & set(rels):
         found = found.union(_anchored(light, questions, fits))
     if texts:
-        found = found.union(_parts(light, questions))
+        found = found.union(_parts(nodes, questions))
     return found
 
 
@@ -110,9 +105,8 @@ def _anchored(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFr
     """Elements below asked anchors, counted by intervals; a question's own form, parent's form and text name a set of members."""
     col = F.col
     named = lambda own, mid, text: F.concat_ws(SEP, own, F.coalesce(mid, F.lit("")), F.coalesce(text, F.lit("")))
-    short = _short(col("text"))
-    anchored = questions.where("rel in ('below', 'child', 'below2')").select("page_id", "q", "rel", "akey", "own", "mid", F.coalesce(F.when(col("text") != "", short), F.lit("")).alias("text"))
-    place = light.select("page_id", "nid", "post", "parent", F.coalesce(_short(_norm()), F.lit("")).alias("norm"))
+    anchored = questions.where("rel in ('below', 'child', 'below2')").select("page_id", "q", "rel", "akey", "own", "mid", F.coalesce("text", F.lit("")).alias("text"))
+    place = light.select("page_id", "nid", "post", "parent", F.coalesce(_norm(), F.lit("")).alias("norm"))
     tops = fits.join(anchored.select("page_id", col("akey").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place.select("page_id", "nid", "post"), ["page_id", "nid"]).select("page_id", col("form").alias("a"), col("nid").alias("pre"), "post")
     # Each element stands for its form, and once more for its form with its text.
     own = fits.join(anchored.select("page_id", col("own").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place, ["page_id", "nid"])
@@ -128,11 +122,18 @@ def _anchored(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFr
     return found.unionByName(_some(children, col("q")))
 
 
-def _parts(light: DataFrame, questions: DataFrame) -> DataFrame:
-    """Parts of texts: one row for each page and tag."""
+def _parts(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """Parts of texts, each text of a page and tag held against the parts that are asked of them.
+
+    Short texts stand in the row themselves, longer ones are cut out of the page's text one after the other, so that a row
+    is no longer than its page, however deep that is.
+    """
     parts = questions.where("rel is null and own like '%|^%'").select("page_id", "q", F.substring_index("own", "|", 1).alias("tag"), F.expr("substr(own, instr(own, '|') + 2)").alias("part"))
     parts = parts.groupBy("page_id", "tag").agg(F.collect_set(F.struct("q", "part")).alias("parts"))
-    texts = light.where(_norm().isNotNull()).groupBy("page_id", "tag").agg(F.array_sort(F.collect_list(F.struct("nid", _norm().alias("norm")))).alias("texts"))
-    hits = F.transform("parts", lambda p: F.struct(p["q"].alias("q"), F.filter("texts", lambda t: F.contains(t["norm"], p["part"])).alias("hits")))
-    hit = parts.join(texts, ["page_id", "tag"]).select("page_id", F.explode(hits).alias("h")).select("page_id", "h.q", "h.hits")
-    return hit.where(F.size("hits") > 0).select("page_id", "q", F.size("hits").cast("long").alias("n"), F.get("hits", F.lit(0))["nid"].alias("first_nid"))
+    texts = nodes.where("scope = -1").groupBy("page_id", "tag").agg(F.collect_list(F.struct("nid", _norm().alias("norm"), "norm_from", "norm_to")).alias("texts"))
+    whole = nodes.where("page_norm is not null").select("page_id", "page_norm")
+    cut = lambda t: F.coalesce(t["norm"], F.substring(F.col("page_norm"), t["norm_from"] + 1, t["norm_to"] - t["norm_from"]))
+    held = lambda t, text: F.transform(F.filter("parts", lambda p: F.contains(text, p["part"])), lambda p: F.struct(p["q"].alias("q"), t["nid"].alias("nid")))
+    hits = F.flatten(F.transform("texts", lambda t: F.get(F.transform(F.array(cut(t)), lambda text: held(t, text)), F.lit(0))))
+    rows = parts.join(texts, ["page_id", "tag"]).join(whole, "page_id").select("page_id", F.explode(hits).alias("h"))
+    return _some(rows.select("page_id", "h.nid", "h.q"), F.col("q"))

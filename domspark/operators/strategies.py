@@ -19,7 +19,7 @@ from .matching import QUESTION, class_form, counted, forms, question, text_form
 LOCATOR = "array<struct<strategy:string,type:string,value:string>>"
 #: What the strategies need of the elements.
 COLUMNS = (
-    "page_id", "nid", "pre", "post", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "text", "brief", "n_child", "visible", "up", "hosts",
+    "page_id", "nid", "pre", "post", "parent", "tag", "attrs", "sib_idx", "tag_idx", "tag_cnt", "after", "scan_seq", "scope", "direct_text", "head", "solid", "norm_from", "norm_to", "page_norm", "n_child", "visible", "up", "hosts",
 )
 
 
@@ -227,7 +227,7 @@ def text_counts(nodes: DataFrame, tag: str) -> DataFrame:
     kinds = {"exact": text_form(F.lit(tag), F.col("short")), "part": F.concat(F.lit(f"{tag}|^"), "short")}
     each = asked.select("page_id", "short", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), f.alias("own")) for name, f in kinds.items()])).alias("x")).select("page_id", "short", "x.*")
     each = each.withColumns({"q": question(None, None, None, F.col("own")), "rel": nothing, "akey": nothing, "mid": nothing, "text": nothing})
-    n = each.join(counted(own, each), ["page_id", "q"], "left")
+    n = each.join(counted(nodes.where((F.col("tag") == tag) | F.col("page_norm").isNotNull()), each), ["page_id", "q"], "left")
     count = lambda what: F.coalesce(F.max(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).cast("int").alias(f"n_{what}")
     return n.groupBy("page_id", F.col("short").alias("text")).agg(count("exact"), count("part"))
 

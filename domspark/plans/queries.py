@@ -76,11 +76,11 @@ def href_unique_counts(spark, d):
 
 
 def link_texts(spark, d):
-    return S.text_counts(_kept_nodes(spark, d, "nid", "tag", "attrs", "tag_idx", "scope", "direct_text", "text", "brief", "n_child"), "a")
+    return S.text_counts(_kept_nodes(spark, d, "nid", "tag", "attrs", "tag_idx", "scope", "direct_text", "head", "solid", "norm_from", "norm_to", "page_norm", "n_child"), "a")
 
 
 def following_sibling_li(spark, d):
-    columns = ("nid", "parent", "tag", "attrs", "sib_idx", "tag_idx", "after", "scope", "direct_text", "text", "brief", "n_child", "visible")
+    columns = ("nid", "parent", "tag", "attrs", "sib_idx", "tag_idx", "after", "scope", "direct_text", "head", "solid", "n_child", "visible")
     return S.sibling_locators(_kept_nodes(spark, d, *columns)).where("tag = 'li'").select("page_id", "sibling")
 
 
@@ -142,7 +142,7 @@ def text_export(spark, d):
 
 
 def absolute_paths(spark, d):
-    n = _kept_nodes(spark, d, "nid", "parent", "scope", "tag", "attrs", "direct_text", "text", "brief", "n_child", "visible")
+    n = _kept_nodes(spark, d, "nid", "parent", "scope", "tag", "attrs", "direct_text", "head", "solid", "n_child", "visible")
     return chosen(described(n)).select("page_id", "nid", "name", "tag").join(numbering.absolute_paths(n.select("page_id", "nid", "parent", "scope", "tag")), ["page_id", "nid"]).select("page_id", "name", "tag", "path")
 
 

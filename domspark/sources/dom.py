@@ -346,11 +346,19 @@ def _joined(children: list) -> list:
     return out
 
 
-def text_spans(root: Element) -> tuple[str, dict[int, tuple[int, int, int]]]:
-    """The text of the page without shadow trees; for each element where its text begins and ends in it, and how many characters of it aren't white space."""
+#: Texts of up to so many characters, white space aside, are given whole as head, of others so much of their begin.
+HEAD = 200
+_SEEN = re.compile(f"[^{_JS_SPACE}]")
+
+
+def text_spans(root: Element) -> tuple[str, str, dict[int, tuple[int, int, int, int, int]]]:
+    """The text of the page without shadow trees, the same with runs of white space as one blank, and for each element:
+    where its text begins and ends, how many characters of it aren't white space, where it begins and ends in the other."""
     pieces: list[str] = []
-    spans: dict[int, tuple[int, int, int]] = {}
-    at = solid = 0
+    blanks: list[str] = []
+    spans: dict[int, tuple[int, int, int, int, int]] = {}
+    at = solid = norm = 0
+    open_ = False  # whether the last character of the other text isn't a blank
     todo: list[tuple] = [(root, None)]
     while todo:
         x, began = todo.pop()
@@ -358,12 +366,25 @@ def text_spans(root: Element) -> tuple[str, dict[int, tuple[int, int, int]]]:
             pieces.append(x)
             at += len(x)
             solid += len(x) - sum(map(x.count, " \t\r\n"))
+            x = re.sub(r"[ \t\r\n]+", " ", x)
+            x = x if open_ else x.removeprefix(" ")
+            if x:
+                blanks.append(x)
+                norm += len(x)
+                open_ = x[-1] != " "
         elif began is None:
-            todo.append((x, (at, solid)))
+            todo.append((x, (at, solid, norm)))
             todo.extend((c, None) for c in reversed(x.children))
         else:
-            spans[x.nid] = (began[0], at, solid - began[1])
-    return "".join(pieces), spans
+            spans[x.nid] = (began[0], at, solid - began[1], began[2], norm)
+    return "".join(pieces), "".join(blanks), spans
+
+
+def head_of(text: str, start: int, end: int, solid: int) -> str:
+    if solid <= HEAD:
+        return text[start:end]
+    seen = _SEEN.search(text, start, end)
+    return text[seen.start() : min(end, seen.start() + HEAD)] if seen else ""
 
 
 _PAIRS = pa.map_(pa.string(), pa.string())
@@ -373,7 +394,9 @@ KINDS = {
     "tag_idx": pa.int32(), "tag_cnt": pa.int32(), "after": pa.map_(pa.string(), pa.int32()), "scan_seq": pa.int32(), "scope": pa.int32(), "direct_text": pa.string(), "text": pa.string(), "brief": pa.string(), "n_child": pa.int32(),
     "visible": pa.bool_(), "up": pa.list_(_NEAR), "hosts": pa.list_(pa.struct([("tag", pa.string()), ("attrs", _PAIRS)])),
     "text_from": pa.int32(), "text_to": pa.int32(), "solid": pa.int32(), "page_text": pa.string(), "fresh": pa.int32(),
-}
+    "head": pa.string(), "norm_from": pa.int32(), "norm_to": pa.int32(), "page_norm": pa.string(),
+}
+_SPANS = frozenset(("text_from", "text_to", "solid", "page_text", "head", "norm_from", "norm_to", "page_norm"))
 _ROWS = 5_000
 
 
@@ -405,7 +428,7 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS), before:
             for c in group:
                 place[c.nid] = (*place[c.nid][:2], seen[c.tag])
     wanted = {e.tag for e in found if e.tag in CANDIDATE_TAGS or "id" in e.attrs or e.attrs.get("role") in CANDIDATE_ROLES} | {"label"}
-    whole, spans = text_spans(root) if ask & {"text_from", "text_to", "solid", "page_text"} else ("", {})
+    whole, blanks, spans = text_spans(root) if ask & _SPANS else ("", "", {})
     for e in found:
         up = parent_of.get(e.nid)
         sib, idx, cnt = place[e.nid]
@@ -421,8 +444,14 @@ def _rows(page_id, source: str, columns: tuple[str, ...] = tuple(KINDS), before:
             row["text"] = content(e) if e.tag in wanted else None
         if "brief" in ask:
             row["brief"] = None if e.tag in wanted else short_content(e)
-        row["text_from"], row["text_to"], row["solid"] = spans.get(e.nid, (None,) * 3)
-        row["page_text"] = whole if e is root else None
+        if ask & _SPANS:
+            from_, to, solid, row["norm_from"], row["norm_to"] = spans.get(e.nid, (None,) * 5)
+            row["text_from"], row["text_to"] = from_, to
+            if from_ is None:  # in a shadow tree
+                own = content(e)
+                from_, to, solid = 0, len(own), len(own) - sum(map(own.count, " \t\r\n"))
+            row["solid"], row["head"] = solid, head_of(own if row["text_from"] is None else whole, from_, to, solid)
+            row["page_text"], row["page_norm"] = (whole, blanks) if e is root else (None, None)
         row["fresh"] = fresh.get(e.nid)
         if "up" in ask:
             above, p = [], up
@@ -445,7 +474,9 @@ def nodes(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None
     up: parent and grandparent; after: for each tag how many siblings
     of it follow; hosts: shadow hosts from the outermost in. text is there for tags that can be
     scanned; brief is the text of others, if it is short. page_text: the text of the whole page, on its first element only,
-    in which text_from and text_to say where an element's text is; solid: how many characters of it aren't white space.
+    in which text_from and text_to say where an element's text is; page_norm, norm_from and norm_to: the same with runs of
+    white space as one blank; solid: how many characters of the text aren't white space; head: the text if that is HEAD at
+    most, else the begin of what is seen of it, up to HEAD characters. So the rows of deep pages don't repeat long texts.
     before: the column with what the page was, null if it wasn't known; then fresh says what is new (see diff).
     columns: those that are needed, the others are not made. Page ids keep their type.
     """
