@@ -73,12 +73,15 @@ def write_over(pages: DataFrame, batch_id: int, path: str, priority: list[str] |
         last = settle(pages.where("page_id is not null").groupBy("page_id").agg(F.max_by(F.coalesce("html", F.lit("")), order).alias("html")))
         known = store.read(spark, f"{path}/pages")
         seen = last.withColumn("before", F.lit(None).cast("string")) if known is None else last.join(known.select("page_id", F.col("html").alias("before")), "page_id", "left")
-        seen = seen.where(~F.col("html").eqNullSafe(F.col("before")))
+        seen = settle(seen.where(~F.col("html").eqNullSafe(F.col("before"))))
+        if seen.isEmpty():
+            return
         found = rescanned(seen if incremental else seen.withColumn("before", F.lit(None).cast("string")), priority)
         place = F.struct(F.lit(batch_id).cast("long").alias("batch"), "page_id", "seq")
         rows = found.select("page_id", "seq", "id", "name", "tag", "locators", "hops", place.alias("ord"))
         store.write(rows, f"{path}/entries", keys, batch_id, ("page_id", "seq"), ("ord",))
-        store.write(last, f"{path}/pages", ["page_id"], batch_id)  # after the entries: a batch that broke off is done again
+        # After the entries, so that a batch that broke off is done again.
+        store.write(seen.select("page_id", "html"), f"{path}/pages", ["page_id"], batch_id)
 
 
 def follow(pages: DataFrame, path: str, checkpoint: str, priority: list[str] | None = None, by_page: bool = True, incremental: bool = False, debounce: str | None = None, **trigger) -> StreamingQuery:
