@@ -403,3 +403,10 @@ def test_linked_cards_are_links():
     assert "fox" in text and "cow" in text and "cat" not in text
     # A link that nothing closes ends with its block or the next link; an anchor without an address is none.
     assert [b.link_words for b in html_text.blocks('<p><a href="/x">one two</p><p>three</p><a name="n">four five</a><div><a href="/y">six<a>seven</div>')] == [2, 0, 0, 1]
+
+
+def test_html_with_columns_of_the_results_names(spark):
+    rows = [(1, "u", "<p>one two</p>", "clash", -1, "x"), (1, "u", "<p>one two</p>", "clash", -1, "x"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, bad string")
+    got = sorted(map(tuple, html_text.extract(df).collect()), key=str)
+    assert got == sorted([(1, "u", "one two", 7), (1, "u", "one two", 7), (None, None, "", 0)], key=str)
