@@ -149,27 +149,33 @@ def resolved(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     matches: how many elements of the page the locator finds, null if it is out of the grammar; first_nid: the first of
     them. Both read nodes several times: give a settled table. A locator of a page that nodes doesn't have finds nothing.
     """
-    asked = settle(parsed(locators))
+    asked = _numbered(locators)
     counts, several = _answers(nodes, asked, False)
     keys = ["page_id", "type", "value"]
-    result = asked.select(*keys, F.col("paths").isNotNull().alias("known"))
+    result = asked.select(*keys, "number", F.col("paths").isNotNull().alias("known"))
     if counts is None:
         return result.select(*keys, F.when(F.col("known"), F.lit(0)).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_nid"))
-    answers = counts.unionByName(several.groupBy(*keys).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid")))
-    out = result.join(answers, keys, "left")
+    answers = counts.unionByName(several.groupBy("number").agg(F.count("*").alias("n"), F.min("nid").alias("first_nid")))
+    out = result.join(answers, "number", "left")
     return out.select(*keys, F.when(F.col("known"), F.coalesce("n", F.lit(0))).cast("long").alias("matches"), "first_nid")
 
 
 def matched(nodes: DataFrame, locators: DataFrame) -> DataFrame:
     """page_id, type, value, nid: all elements that locators find; none of a locator out of the grammar."""
-    asked = settle(parsed(locators))
+    asked = _numbered(locators)
     _, found = _answers(nodes, asked, True)
-    return asked.select("page_id", "type", "value", F.lit(0).alias("nid")).limit(0) if found is None else found.select("page_id", "type", "value", "nid")
+    names = asked.select("page_id", "type", "value", "number")
+    return names.withColumn("nid", F.lit(0)).drop("number").limit(0) if found is None else names.join(found.select("number", "nid"), "number").drop("number")
+
+
+def _numbered(locators: DataFrame) -> DataFrame:
+    """Parsed locators, written, with a number each: types may be null."""
+    return settle(parsed(locators).withColumn("number", F.monotonically_increasing_id()))
 
 
 def _answers(nodes: DataFrame, asked: DataFrame, listing: bool) -> tuple[DataFrame | None, DataFrame | None]:
     """n and first_nid of parsed locators that are counted, and nid of those that are listed: of several paths, with a pick, or listing."""
-    paths = asked.where("paths is not null").select("page_id", "type", "value", "pick", F.size("paths").alias("alts"), F.explode("paths").alias("path"))
+    paths = asked.where("paths is not null").select("page_id", "number", "pick", F.size("paths").alias("alts"), F.explode("paths").alias("path"))
     listed = (F.col("alts") > 1) | F.col("pick").isNotNull() | F.lit(listing)
     steps = paths.select("page_id", listed.alias("listed"), F.size("path").alias("n"), F.posexplode("path").alias("i", "s")).select("page_id", "i", ((F.col("i") + 1 < F.col("n")) | F.col("listed")).alias("more"), "s.*")
     steps = settle(steps.groupBy("page_id", "i", "prefix").agg(F.max("more").alias("more"), *[F.any_value(c).alias(c) for c in ("axis", "tag", "sig", "before", "key", "texts", "first", "place", "then")]))
@@ -206,16 +212,15 @@ def _answers(nodes: DataFrame, asked: DataFrame, listing: bool) -> tuple[DataFra
         fronts.append(front)
     if not counts:
         return None, None
-    keys = ["page_id", "type", "value"]
     every = counts[0]
     for c in counts[1:]:
         every = every.unionByName(c)
-    last = paths.withColumn("listed", listed).select(*keys, "pick", "listed", F.element_at("path", -1)["prefix"].alias("prefix"))
-    single = last.where("not listed").select(*keys, F.col("prefix").alias("q")).join(every, ["page_id", "q"]).select(*keys, "n", "first_nid")
+    last = paths.withColumn("listed", listed).select("page_id", "number", "pick", "listed", F.element_at("path", -1)["prefix"].alias("prefix"))
+    single = last.where("not listed").select("page_id", "number", F.col("prefix").alias("q")).join(every, ["page_id", "q"]).select("number", "n", "first_nid")
     found = fronts[0]
     for f in fronts[1:]:
         found = found.unionByName(f)
-    several = last.where("listed").join(found.select("page_id", "prefix", "nid"), ["page_id", "prefix"]).select(*keys, "pick", "nid").distinct()
-    w = Window.partitionBy(*keys)
+    several = last.where("listed").join(found.select("page_id", "prefix", "nid"), ["page_id", "prefix"]).select("number", "pick", "nid").distinct()
+    w = Window.partitionBy("number")
     several = several.withColumns({"at": F.row_number().over(w.orderBy("nid")), "all": F.count("*").over(w)}).where("pick is null or pick = at or pick = -1 and at = all")
     return single, several
