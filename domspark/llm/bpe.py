@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, whole_text
+from .common import give_back, pieces, small_batches, whole_text
 
 #: How the vocabulary's authors split text into words before merging; fixed value.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -251,6 +251,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        words.clear()  # only now can its memory go back
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
