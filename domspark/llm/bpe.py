@@ -191,7 +191,7 @@ def load(path: str) -> Automaton:
 class Words(dict):
     """Encoded words: number of tokens, their ids as text, their labels. Emptied when full, so its memory is bounded."""
 
-    def __init__(self, automaton: Automaton, most: int = 250_000, longest: int = 64):
+    def __init__(self, automaton: Automaton, most: int = 600_000, longest: int = 64):
         self.automaton, self.most, self.longest = automaton, most, longest
 
     def __missing__(self, word: str):
