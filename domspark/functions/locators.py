@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,16 +95,17 @@ def xpath_of(tag: Column, attr: Column, value: Column) -> Column:
 
 def stability(kind: Column, value: Column) -> Column:
     """0 to 100; fixed points for a locator's kind and for what its text holds."""
-    low = F.lower(F.coalesce(kind, F.lit("")))
+    low, small = F.lower(F.coalesce(kind, F.lit(""))), F.lower(value)
+    holds = lambda s, *of: reduce(or_, [F.contains(s, F.lit(x)) for x in of])
     points = F.when(low == "id", 80).when(low.isin("css", "xpath"), 60).when(low == "xpath-abs", 10).otherwise(50)
     for test, n in (
-        (value.rlike("(?i)data-(test|qa|cy|testid)") | value.rlike("aria-"), 25),
-        (value.rlike(r"\[name=|@name="), 10),
-        (value.rlike(r"\[placeholder="), 5),
-        (value.rlike(r"(?i)contains\("), -10),
-        (value.rlike(r"(?i)normalize-space\("), -5),
-        (value.rlike(":nth-of-type|following-sibling::"), -15),
-        (value.rlike(r"(?<![A-Za-z0-9_])class='[^']+[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF][^']+'"), -5),
+        (holds(small, "data-test", "data-qa", "data-cy") | holds(value, "aria-"), 25),
+        (holds(value, "[name=", "@name="), 10),
+        (holds(value, "[placeholder="), 5),
+        (holds(small, "contains("), -10),
+        (holds(small, "normalize-space("), -5),
+        (holds(value, ":nth-of-type", "following-sibling::"), -15),
+        (holds(value, "class='") & value.rlike(r"(?<![A-Za-z0-9_])class='[^']+[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF][^']+'"), -5),
         (is_dynamic(value), -25),
     ):
         points = points + F.when(test, n).otherwise(0)
@@ -110,8 +114,15 @@ def stability(kind: Column, value: Column) -> Column:
 
 def element_text(direct: Column, text: Column, n_child: Column) -> Column:
     """The short text of an element: its first own text, or all of it; null if blank, of 50 characters or more, or of lines."""
+    return short_line(first_text(direct, text, n_child))
+
+
+def first_text(direct: Column, text: Column, n_child: Column) -> Column:
     whole = js_trim(F.coalesce(text, F.lit("")))
-    t = F.when(direct.isNotNull(), js_trim(direct)).when(n_child == 0, whole).when(js_length(whole) < 50, first_line(whole))
+    return F.when(direct.isNotNull(), js_trim(direct)).when(n_child == 0, whole).when(js_length(whole) < 50, first_line(whole))
+
+
+def short_line(t: Column) -> Column:
     return F.when((t != "") & (js_length(t) < 50) & ~F.contains(t, F.lit("\n")), t)
 
 

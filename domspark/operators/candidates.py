@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, element_text
+from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, first_text, short_line
 from ..functions.text import xpath_normalize
 from ..sources.dom import CANDIDATE_ROLES, CANDIDATE_TAGS, HEAD
 from .intervals import inside
@@ -19,14 +19,18 @@ def is_candidate() -> Column:
 def described(nodes: DataFrame, quirks: bool = True) -> DataFrame:
     """nodes with etext, norm (as XPath sees the text), name, classes and candidate."""
     short = F.when(F.col("solid") <= HEAD, F.col("head"))  # longer texts are neither short nor ever asked for
-    etext = element_text(F.col("direct_text"), short, F.col("n_child"))
-    out = nodes.withColumns({"etext": etext, "norm": xpath_normalize(F.coalesce(short, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
+    first = first_text(F.col("direct_text"), short, F.col("n_child"))  # a column of its own, so that it is made once
+    out = nodes.withColumn("etext", first).withColumns({"etext": short_line(F.col("etext")), "norm": xpath_normalize(F.coalesce(short, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
     return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), F.col("head"), F.col("etext"), quirks))
 
 
+def is_chosen() -> Column:
+    return F.col("candidate") & F.col("visible") & ((F.col("name") != UNNAMED) | F.col("tag").isin(*INPUTS))
+
+
 def chosen(described: DataFrame) -> DataFrame:
     """Candidates that can be seen and have a name, or are inputs."""
-    return described.where(F.col("candidate") & F.col("visible") & ((F.col("name") != UNNAMED) | F.col("tag").isin(*INPUTS)))
+    return described.where(is_chosen())
 
 
 def added(nodes: DataFrame, roots: DataFrame) -> DataFrame:

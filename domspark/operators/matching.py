@@ -29,9 +29,9 @@ _BY_PARTS = r"^[^|]*\|[~&]"
 QUESTION = ("rel", "akey", "mid", "own", "text")
 
 
-def _norm() -> Column:
-    """The text as XPath sees it; null if it is longer than any that is asked for."""
-    return F.when(F.col("solid") <= HEAD, xpath_normalize(F.col("head")))
+def short_norm(nodes: DataFrame) -> Column:
+    """The text as XPath sees it; null if it is longer than any that is asked for. A column of that name is taken as it is."""
+    return F.col("short_norm") if "short_norm" in nodes.columns else F.when(F.col("solid") <= HEAD, xpath_normalize(F.col("head")))
 
 
 def text_form(tag: Column, norm: Column) -> Column:
@@ -52,7 +52,7 @@ def question(rel: Column | None, akey: Column | None, mid: Column | None, own: C
 def forms(nodes: DataFrame) -> DataFrame:
     """page_id, form, nid: what each element fits, but for the forms with "part of" and of several classes."""
     tag, attrs = F.col("tag"), F.col("attrs")
-    norm = _norm()
+    norm = short_norm(nodes)
     pairs = F.transform(F.map_entries(attrs), lambda e: F.concat(F.lit("|"), e["key"], F.lit("="), e["value"]))
     own = [
         F.array(tag, F.concat(tag, F.lit("|:"), F.col("tag_idx").cast("string"))),
@@ -60,7 +60,8 @@ def forms(nodes: DataFrame) -> DataFrame:
         F.transform(F.array_distinct(class_tokens(attrs, numeric=True)), lambda t: F.concat(tag, F.lit("|."), t)),
         F.when(norm.isNotNull(), F.array(text_form(tag, norm), text_form(F.lit("*"), norm))).otherwise(F.array()),
     ]
-    return nodes.where("scope = -1").select("page_id", "nid", F.explode(F.concat(*own)).alias("form"))
+    # The outer form, since before the other one all forms are made once more, to see whether there are any.
+    return nodes.where("scope = -1").select("page_id", "nid", F.explode_outer(F.concat(*own)).alias("form")).where("form is not null")
 
 
 def _fits(nodes: DataFrame, asked: DataFrame, by_parts: bool) -> DataFrame:
@@ -81,17 +82,28 @@ def _some(df: DataFrame, q: Column) -> DataFrame:
     return df.groupBy("page_id", q.alias("q")).agg(F.count("*").alias("n"), F.min("nid").alias("first_nid"))
 
 
-def counted(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+def asked_forms(questions: DataFrame) -> DataFrame:
+    return questions.select("page_id", F.explode(F.array_compact(F.array("own", "akey", "mid"))).alias("form")).distinct()
+
+
+def fitting(nodes: DataFrame, asked: DataFrame, by_parts: bool = True) -> DataFrame:
+    """page_id, form, nid for the asked forms (page_id, form), written once; by_parts: whether any is about parts of, or several, classes."""
+    return settle_large(_fits(nodes, asked, by_parts))
+
+
+def counted(nodes: DataFrame, questions: DataFrame, fits: DataFrame | None = None) -> DataFrame:
     """page_id, q, n, first_nid for questions (page_id, q, rel, akey, mid, own, text) that find any element; first_nid but for below2.
 
     First it looks which kinds of questions there are, so that only their parts are planned. Questions, and the elements
-    that fit their forms, are written once and read by all parts.
+    that fit their forms, are written once and read by all parts. fits: what fits these forms, and maybe more; then the
+    questions are written already.
     """
-    questions = settle_large(questions)
+    if fits is None:
+        questions = settle_large(questions)
     any_form = lambda pattern: F.max(F.coalesce(F.col("own").rlike(pattern), F.lit(False)) | F.coalesce(F.col("akey").rlike(pattern), F.lit(False)) | F.coalesce(F.col("mid").rlike(pattern), F.lit(False)))
     rels, by_parts, texts = questions.agg(F.collect_set(F.coalesce("rel", F.lit(""))), any_form(_BY_PARTS), any_form(r"^[^|]*\|\^")).first()
-    asked = questions.select("page_id", F.explode(F.array_compact(F.array("own", "akey", "mid"))).alias("form")).distinct()
-    fits = settle_large(_fits(nodes, asked, bool(by_parts)))
+    if fits is None:
+        fits = fitting(nodes, asked_forms(questions), bool(by_parts))
     light = nodes.where("scope = -1")
     found = _some(fits, question(None, None, None, F.col("form")))
     if {"below", "child", "below2"} & set(rels):
@@ -106,7 +118,7 @@ def _anchored(light: DataFrame, questions: DataFrame, fits: DataFrame) -> DataFr
     col = F.col
     named = lambda own, mid, text: F.concat_ws(SEP, own, F.coalesce(mid, F.lit("")), F.coalesce(text, F.lit("")))
     anchored = questions.where("rel in ('below', 'child', 'below2')").select("page_id", "q", "rel", "akey", "own", "mid", F.coalesce("text", F.lit("")).alias("text"))
-    place = light.select("page_id", "nid", "post", "parent", F.coalesce(_norm(), F.lit("")).alias("norm"))
+    place = light.select("page_id", "nid", "post", "parent", F.coalesce(short_norm(light), F.lit("")).alias("norm"))
     tops = fits.join(anchored.select("page_id", col("akey").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place.select("page_id", "nid", "post"), ["page_id", "nid"]).select("page_id", col("form").alias("a"), col("nid").alias("pre"), "post")
     # Each element stands for its form, and once more for its form with its text.
     own = fits.join(anchored.select("page_id", col("own").alias("form")).distinct(), ["page_id", "form"], "left_semi").join(place, ["page_id", "nid"])
@@ -130,7 +142,7 @@ def _parts(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """
     parts = questions.where("rel is null and own like '%|^%'").select("page_id", "q", F.substring_index("own", "|", 1).alias("tag"), F.expr("substr(own, instr(own, '|') + 2)").alias("part"))
     parts = parts.groupBy("page_id", "tag").agg(F.collect_set(F.struct("q", "part")).alias("parts"))
-    texts = nodes.where("scope = -1").groupBy("page_id", "tag").agg(F.collect_list(F.struct("nid", _norm().alias("norm"), "norm_from", "norm_to")).alias("texts"))
+    texts = nodes.where("scope = -1").groupBy("page_id", "tag").agg(F.collect_list(F.struct("nid", short_norm(nodes).alias("norm"), "norm_from", "norm_to")).alias("texts"))
     whole = nodes.where("page_norm is not null").select("page_id", "page_norm")
     cut = lambda t: F.coalesce(t["norm"], F.substring(F.col("page_norm"), t["norm_from"] + 1, t["norm_to"] - t["norm_from"]))
     held = lambda t, text: F.transform(F.filter("parts", lambda p: F.contains(text, p["part"])), lambda p: F.struct(p["q"].alias("q"), t["nid"].alias("nid")))

@@ -27,3 +27,21 @@ def test_queries_are_merged(spark, name):
     if not DATA.exists():
         pytest.skip("no tables here")
     assert "Broadcast" not in planned(entry.queries()[name](spark, str(DATA)))
+
+
+def test_pages_are_parsed_once(spark, pages):
+    from domspark.operators.strategies import locators, sibling_locators
+    from domspark.sources.dom import nodes
+
+    n = nodes(pages("<ul id='l'><li>a</li><li>b</li></ul><button>Go</button>"))
+    assert "MapInArrow" in planned(n)
+    assert "MapInArrow" not in planned(locators(n)) and locators(n).count() == 4
+    assert "MapInArrow" not in planned(sibling_locators(n)) and sibling_locators(n).count() == 2
+
+
+def test_forms_and_tries_are_made_once(spark, pages):
+    from domspark.operators.matching import forms
+    from domspark.sources.dom import nodes
+
+    plan = forms(settle_large(nodes(pages("<p id='a'>x</p>"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(concat" not in plan and plan.count("tag_idx#") < 6, plan
