@@ -45,3 +45,10 @@ def test_forms_and_tries_are_made_once(spark, pages):
 
     plan = forms(settle_large(nodes(pages("<p id='a'>x</p>"))))._jdf.queryExecution().optimizedPlan().toString()
     assert "size(concat" not in plan and plan.count("tag_idx#") < 6, plan
+
+
+def test_paths_keep_edges_and_names_only(spark):
+    if not DATA.exists():
+        pytest.skip("no tables here")
+    plan = planned(entry.queries()["absolute_paths"](spark, str(DATA)))
+    assert "attrs" not in plan and "head" not in plan
