@@ -59,7 +59,7 @@ def stable_attribute(attrs: Column, priority: list[str] | None = None) -> Column
     found.append(F.when(own_id.isNotNull() & ~is_dynamic(own_id), F.struct(F.lit("id").alias("attr"), own_id.alias("value"))))
     token = F.get(F.filter(class_tokens(attrs, numeric=True), lambda t: ~is_dynamic(t) & (js_length(t) <= 40)), F.lit(0))
     found.append(F.when(token.isNotNull(), F.struct(F.lit("class").alias("attr"), token.alias("value"))))
-    return F.coalesce(*found)
+    return F.when(F.size(attrs) > 0, F.coalesce(*found))
 
 
 def preferred_attributes(setting: str | None, changed: bool = False) -> list[str]:
@@ -126,12 +126,18 @@ def short_line(t: Column) -> Column:
     return F.when((t != "") & (js_length(t) < 50) & ~F.contains(t, F.lit("\n")), t)
 
 
-def element_name(tag: Column, attrs: Column, text: Column, etext: Column, quirks: bool = True) -> Column:
-    """What to call an element. quirks: ids of inputs are also turned down for runs of capitals and some other characters."""
+def seen_line(text: Column) -> Column:
+    """The first line that a text shows."""
+    return first_line(js_trim(F.coalesce(text, F.lit(""))))
+
+
+def element_name(tag: Column, attrs: Column, text: Column, etext: Column, quirks: bool = True, line: Column | None = None) -> Column:
+    """What to call an element. quirks: ids of inputs are also turned down for runs of capitals and some other characters.
+    line: seen_line(text), if there is a column of it."""
     name = F.when(tag.isin(*NAMED), attribute(attrs, "name"))
     own_id = attribute(attrs, "id")
     runs = "[0-copy]{5,}" if quirks else "[0-9]{5,}"
-    line = first_line(js_trim(F.coalesce(text, F.lit(""))))
+    line = seen_line(text) if line is None else line
     as_input = F.when(tag.isin(*INPUTS), F.coalesce(name, F.when(~own_id.rlike(runs), own_id), attribute(attrs, "placeholder")))
     return F.coalesce(
         as_input, etext, F.when((line != "") & (js_length(line) < 30), line), attribute(attrs, "aria-label"), attribute(attrs, "title"), F.when(~own_id.rlike("[0-9]{5,}"), own_id), name, F.lit(UNNAMED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, first_text, short_line
+from ..functions.locators import INPUTS, UNNAMED, class_tokens, element_name, first_text, seen_line, short_line
 from ..functions.text import xpath_normalize
 from ..sources.dom import CANDIDATE_ROLES, CANDIDATE_TAGS, HEAD
 from .intervals import inside
@@ -20,8 +20,9 @@ def described(nodes: DataFrame, quirks: bool = True) -> DataFrame:
     """nodes with etext, norm (as XPath sees the text), name, classes and candidate."""
     short = F.when(F.col("solid") <= HEAD, F.col("head"))  # longer texts are neither short nor ever asked for
     first = first_text(F.col("direct_text"), short, F.col("n_child"))  # a column of its own, so that it is made once
-    out = nodes.withColumn("etext", first).withColumns({"etext": short_line(F.col("etext")), "norm": xpath_normalize(F.coalesce(short, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
-    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), F.col("head"), F.col("etext"), quirks))
+    out = nodes.withColumns({"etext": first, "_line": seen_line(F.col("head")), "norm": xpath_normalize(F.coalesce(short, F.lit(""))), "classes": class_tokens(F.col("attrs"), numeric=True), "candidate": is_candidate()})
+    out = out.withColumn("etext", short_line(F.col("etext")))
+    return out.withColumn("name", element_name(F.col("tag"), F.col("attrs"), F.col("head"), F.col("etext"), quirks, F.col("_line"))).drop("_line")
 
 
 def is_chosen() -> Column:
