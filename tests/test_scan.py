@@ -53,3 +53,18 @@ def test_elements_without_later_siblings_are_no_anchors(spark, pages):
 
     d = prepared(nodes(pages("<ul><li>a</li><li>b</li></ul><p>c</p>"), columns=COLUMNS), ["data-cy"])
     assert sorted(r.akey for r in _anchors(d).select(F.col("akey")).collect()) == ["li|=a", "ul|=ab"]  # neither b nor c, which nothing follows
+
+
+def test_dynamic_strings_are_told_by_one_pattern(spark):
+    import re
+
+    from domspark.functions.locators import is_dynamic
+
+    rng = random.Random(3)
+    parts = ["uuid", "GUID", "Token", "session", "deadbe", "abc12", "1234", "12345", "__", "ember", "react-", "ext-gen", "-", "_", ".", " ", "x", "ü", "g", "ſ", "\n", "F00", "f00"]
+    strings = ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(3_000)] + ["", "\nember", "toKen", "toKen"]
+    old = ("[0-9]{5,}", "(?<![A-Za-z0-9_])(?i:uuid|guid|token|session)(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])[a-f0-9]{6,}(?![A-Za-z0-9_])", r"\A(ext-gen|j_id|ui-id|yui_|ember|react-|__|mx_)")
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, s string").select("i", is_dynamic(F.col("s")).alias("d")).collect()
+    assert {r.i: r.d for r in got} == {i: any(re.search(p, s, re.ASCII) for p in old) for i, s in enumerate(strings)}
+    pattern = spark.range(1).select(is_dynamic(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert pattern.count("RLIKE") == 1
