@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.locators import css_segment
@@ -47,8 +47,9 @@ def upsert(store: DataFrame | None, new: DataFrame, by_page: bool = True, batch:
 
     both = dealt(new, 1) if store is None else dealt(store, 0).unionByName(dealt(new, 1))
     keys = ["page_id", "id"] if by_page else ["id"]
-    kept = both.groupBy(*keys).agg(F.max_by(F.struct("page_id", "seq", *rest), "written").alias("row"), F.min("ord").alias("ord"))
-    return kept.select("row.page_id", "row.seq", "id", *[f"row.{c}" for c in rest], "ord")
+    w = Window.partitionBy(*keys)  # most keys are written once, so there is little to merge before they meet
+    kept = both.withColumns({"ord": F.min("ord").over(w), "late": F.row_number().over(w.orderBy(F.desc("written")))}).where("late = 1")
+    return kept.select("page_id", "seq", "id", *rest, "ord")
 
 
 def deleted(store: DataFrame, entry_id: str) -> DataFrame:

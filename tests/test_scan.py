@@ -68,3 +68,35 @@ def test_dynamic_strings_are_told_by_one_pattern(spark):
     assert {r.i: r.d for r in got} == {i: any(re.search(p, s, re.ASCII) for p in old) for i, s in enumerate(strings)}
     pattern = spark.range(1).select(is_dynamic(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
     assert pattern.count("RLIKE") == 1
+
+
+def test_questions_about_own_forms_are_counted_where_forms_and_marks_meet(spark, pages, monkeypatch):
+    from domspark.operators import strategies
+
+    written = []
+    for module in (strategies, matching):
+        settle = module.settle_large
+        monkeypatch.setattr(module, "settle_large", lambda df, settle=settle: written.append(df.columns) or settle(df))
+    own = pages("<ul><li>a</li><li>b</li></ul>", '<p class="c">one</p><a href="/1">x</a><a href="/1">x</a>')
+    got = {(r.page_id, r.name): [tuple(x)[:3] for x in r.locators] for r in locators(nodes(own, columns=COLUMNS, scan=True)).collect()}
+    assert got[1, "b"] == [("text", "xpath", "//li[normalize-space(.)='b']"), ("text_part", "xpath", "//li[contains(normalize-space(.), 'b')]"), ("sibling", "xpath", "//li[normalize-space(.)='a']/following-sibling::li[1]")]
+    assert (2, "one") in got
+    assert len(written) == 3  # elements, possible locators, and what met: questions and fitting elements are no tables of their own
+    d = prepared(nodes(own, columns=COLUMNS), ["data-cy"])
+    assert {r.form for r in matching.forms(d, ["href"], (), steps=False).where("page_id = 2").collect()} == {"html|=onexx", "body|=onexx", "head|=", "p|=one", "p|.c", "a|=x", "a|href=/1"}
+
+
+def test_the_scan_has_no_more_of_own_texts_than_is_asked_for(spark, pages):
+    long = "w " * 40
+    n = nodes(pages(f"<p> {long}</p><p>  short </p>"), columns=COLUMNS, scan=True)
+    assert [r.direct_text for r in n.where("tag = 'p'").orderBy("nid").collect()] == [long[:60], "short"]
+
+
+def test_an_entry_is_not_merged_before_its_writes_meet(spark, pages):
+    from domspark.operators.entries import entries, upsert
+
+    n = nodes(pages("<p id='a'>x</p><p id='b'>x</p><p id='c'>y</p>"), columns=COLUMNS, scan=True)
+    store = upsert(None, entries(locators(n)))
+    got = {r.id: (r.ord["seq"] < r.seq, r.locators[0]["value"]) for r in store.collect()}
+    assert got == {"x::p": (True, "b"), "y::p": (False, "c")}
+    assert "max_by" not in store._jdf.queryExecution().optimizedPlan().toString()
