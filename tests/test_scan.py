@@ -86,6 +86,21 @@ def test_questions_about_own_forms_are_counted_where_forms_and_marks_meet(spark,
     assert {r.form for r in matching.forms(d, ["href"], (), steps=False).where("page_id = 2").collect()} == {"html|=onexx", "body|=onexx", "head|=", "p|=one", "p|.c", "a|=x", "a|href=/1"}
 
 
+def test_a_search_locates_what_it_can_find_only(spark, pages):
+    from domspark.operators.entries import entries, upsert
+    from domspark.operators.review import may_be_named, name_search
+
+    rng = random.Random(11)
+    own = pages('<p id="i">One</p><a::b id="x">y</a::b><b id="z" title="y::a">ONE::</b><i id="u">none</i><p id="j">One</p>', *[some_page(rng) for _ in range(40)])
+    n = nodes(own, columns=COLUMNS, scan=True)
+    rows = lambda df: sorted((r.page_id, r.id, r.name, r.tag, r.ord, [tuple(x) for x in r.locators]) for r in df.collect())
+    for term in ("one", "Y", "::"):
+        some = locators(n, where=may_be_named(term))
+        want = rows(name_search(upsert(None, entries(locators(n))), term))
+        assert want and rows(name_search(upsert(None, entries(some)), term)) == want
+    assert some.count() < locators(n).count()
+
+
 def test_the_scan_has_no_more_of_own_texts_than_is_asked_for(spark, pages):
     long = "w " * 40
     n = nodes(pages(f"<p> {long}</p><p>  short </p>"), columns=COLUMNS, scan=True)
