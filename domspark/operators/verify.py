@@ -104,14 +104,15 @@ def by_own_hops(nodes: DataFrame, stored: DataFrame) -> DataFrame:
 
     hops: array of (type, host, selector); each hop takes the first element that its segment fits in the tree so far, from
     the document on, a shadow hop goes on in that element's shadow tree, a leaf ends the way. In each round all rows go
-    one hop further. Segments have to be selectors of one element; others lead nowhere. Both tables are read several times.
+    one hop further. Segments have to be selectors of one element; others lead nowhere. nodes is read several times: give a settled table.
     """
     segment = F.transform("hops", lambda h: F.struct(h["type"].alias("type"), F.when(h["type"] == "leaf", h["selector"]).otherwise(h["host"]).alias("s")))
-    asked = settle_large(stored.select("page_id", F.lit("css").alias("type"), F.explode(segment["s"]).alias("value")))
+    stored = settle_large(stored)
+    asked = settle_large(stored.select("page_id", F.lit("css").alias("type"), F.posexplode(segment["s"]).alias("at", "value")))
     first = _first_of_segments(nodes, asked)
     trees = nodes.where("scope >= 0").select("page_id", F.col("scope").alias("nid"), F.lit(True).alias("_tree")).distinct()
     first = settle_large(first.join(trees, ["page_id", "nid"], "left").select("page_id", F.col("value").alias("_s"), F.col("scope").alias("_scope"), F.col("nid").alias("_nid"), "_tree"))
-    depth = stored.agg(F.max(F.size("hops"))).first()[0] or 0
+    depth = asked.agg(F.max("at") + 1).first()[0] or 0
     out = stored.withColumns({"_way": segment, "_scope": F.lit(-1), "hop_nid": F.lit(None).cast("int")})
     for i in range(depth):
         hop = F.get("_way", F.lit(i))
