@@ -38,3 +38,8 @@ def test_sheets_of_many_pages(spark, pages):
     n = dom.nodes(pages(*[f"<style>{s}</style><p>x</p>" for s in sheets], "<p>none</p>"))
     got = sorted((r.page_id, r.selector, r.property) for r in sheet_rules(n).collect())
     assert got == sorted((i, r["selector"], r["property"]) for i, s in enumerate(sheets, 1) for r in rules(s))
+
+
+def test_tests_take_no_other_columns_along(spark, pages):
+    n = dom.nodes(pages("<p>x</p>"))
+    assert {"up", "hosts", "after"} <= set(n.columns) and set(resolve._light(n, False).columns) == set(resolve.COLUMNS) - {"page_text"}
